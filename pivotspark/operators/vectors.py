@@ -155,8 +155,11 @@ def l2_norm_unit(df: DataFrame, vec_col: str) -> DataFrame:
 def cosine_vs_reference(cands: DataFrame, ref_vector: Column, vec_col: str = "vector") -> DataFrame:
     """Cosine of each candidate with one reference vector (a scalar
     subquery column, evaluated once and shipped as a literal)."""
-    c = vec.cosine(vec_col, ref_vector)
-    return cands.withColumn("cosine", c).withColumn("same_sign", c > 0)
+    # bind the reference to a column first: subqueries may not sit inside
+    # higher-order functions
+    with_ref = cands.withColumn("_ref", ref_vector)
+    c = vec.cosine(vec_col, "_ref")
+    return with_ref.withColumn("cosine", c).withColumn("same_sign", F.col("cosine") > 0).drop("_ref")
 
 
 # -- D14 -----------------------------------------------------------------------
@@ -249,18 +252,19 @@ def steer_table(df: DataFrame, vec_col: str, direction: Column, coef, mode: str,
 
 
 def steer_multi(states: DataFrame, injections: DataFrame, vec_col: str = "activation",
-                layer_col: str = "layer") -> DataFrame:
-    """Apply several additive injections (layer, inj_ord, direction, coef) in
-    order: h + sum over the layer's injections applied one after another.
-    Injections are few per layer (bounded by the spec), so they are
-    collected per layer and folded with ``aggregate``."""
+                layer_col: str = "layer", mode: str = "additive_raw") -> DataFrame:
+    """Apply several injections (layer, inj_ord, direction, coef) to the
+    states of their layer, one after another in ``inj_ord`` order (each sees
+    the output of the previous one, as chained hooks do).  Injections are a
+    handful per layer (a spec, not data), so they are gathered per layer and
+    folded over the vector with ``aggregate``."""
     per_layer = injections.groupBy(layer_col).agg(
-        F.array_sort(F.collect_list(F.struct("inj_ord", "coef", "direction"))).alias("_inj"))
-    j = states.join(per_layer, layer_col, "left")
-    folded = F.aggregate(
-        F.coalesce(F.col("_inj"), F.array().cast(per_layer.schema["_inj"].dataType)),
-        vec.to_double(vec_col),
-        lambda acc, s: F.zip_with(acc, s["direction"], lambda a, d: a + s["coef"] * d.cast("double")))
+        F.array_sort(F.collect_list(F.struct("inj_ord", F.col("coef").cast("double").alias("coef"),
+                                             vec.to_double("direction").alias("direction")))).alias("_inj"))
+    j = states.join(F.broadcast(per_layer), layer_col, "left")
+    empty = F.array().cast(per_layer.schema["_inj"].dataType)
+    folded = F.aggregate(F.coalesce(F.col("_inj"), empty), vec.to_double(vec_col),
+                         lambda acc, s: steer(acc, s["direction"], s["coef"], mode))
     return j.withColumn("steered", folded).drop("_inj")
 
 
@@ -279,7 +283,7 @@ def layer_range_spec(probes: DataFrame, vectors: DataFrame, offsets=(2, 4, 6),
     g = j.groupBy("probe_layer", "offset").agg(
         F.array_sort(F.collect_list("vlayer")).alias("layers"), F.count(F.lit(1)).alias("n_layers"),
         F.min("vlayer").alias("start_layer"))
-    return g.where((F.col("n_layers") >= 2) & (F.col("start_layer") >= 1))
+    return g.where((F.col("n_layers") >= 2) & (F.col("probe_layer") - F.col("offset") >= 1))
 
 
 def injected_energy(injections: DataFrame, group_col: str = "variant") -> DataFrame:

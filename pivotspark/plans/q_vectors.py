@@ -45,3 +45,203 @@ def q_topk_dims(spark, sf):
     d = V.centroid_diff_long(_train(spark, sf), ["layer"], "label", "activation")
     return tidy(V.topk_dims(d.select("layer", "dim", "value"), ["layer"], 5)
                 .select("layer", "rank", "dim", "value", "sign"))
+
+
+def _test(spark, sf):
+    return X.activations(spark, sf).where(F.col("split") == "test")
+
+
+def _train_dirs(spark, sf):
+    """(layer, direction array<double>) from the train split."""
+    return V.assemble(V.centroid_diff_long(_train(spark, sf), ["layer"], "label", "activation"),
+                      ["layer"], out_col="direction")
+
+
+def _long(df, keys, vec_col, value="value"):
+    """Array column -> long form (keys..., dim, value) for comparison."""
+    return df.select(*keys, F.posexplode(vec_col).alias("dim", value))
+
+
+# SQL helpers: a vector as long form, norms and dots on DOUBLE[] lists
+_SQL_NORM = "sqrt(list_sum(list_transform({v}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+_SQL_DOT = "list_sum(list_transform({a}, lambda x, i: CAST(x AS DOUBLE) * CAST(({b})[i] AS DOUBLE)))"
+
+
+def _n(v):
+    return _SQL_NORM.format(v=v)
+
+
+def _d(a, b):
+    return _SQL_DOT.format(a=a, b=b)
+
+
+@query("layer_matrix", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, query_id, split,
+       CASE WHEN bucket = 'pivotal' THEN 1.0 ELSE 0.0 END AS y,
+       round(list_sum(list_transform(activation, lambda x: CAST(x AS DOUBLE))), 6) AS act_sum
+FROM activations
+WHERE layer IN (SELECT layer FROM activations GROUP BY layer HAVING count(DISTINCT bucket) = 2)""",
+                                 "activations"))
+def q_layer_matrix(spark, sf):
+    """(X, y) rows per layer; layers with an empty bucket drop out."""
+    m = V.layer_matrix(X.activations(spark, sf))
+    return tidy(m.select("layer", "query_id", "split", "y", vec.vsum("activation").alias("act_sum")))
+
+
+@query("weighted_mean_signed", with_ctes("""
+SELECT reasoning_pattern, CAST(dim AS BIGINT) AS dim,
+       round(sum(prob_delta * x) / greatest(1e-8, sum(abs(prob_delta))), 6) AS value
+FROM corpus_long GROUP BY reasoning_pattern, dim""", "corpus_long"))
+def q_weighted_mean_signed(spark, sf):
+    """sum(w v) / max(1e-8, sum|w|) per reasoning pattern, w = prob_delta."""
+    c = X.vector_corpus(spark, sf)
+    return tidy(V.weighted_mean_long(c, ["reasoning_pattern"], "steering_vector", "prob_delta"))
+
+
+@query("weighted_mean_abs", with_ctes("""
+SELECT reasoning_pattern, CAST(dim AS BIGINT) AS dim,
+       round(sum(abs(prob_delta) * x) / greatest(1e-8, sum(abs(prob_delta))), 6) AS value
+FROM corpus_long GROUP BY reasoning_pattern, dim""", "corpus_long"))
+def q_weighted_mean_abs(spark, sf):
+    """The same with |w|."""
+    c = X.vector_corpus(spark, sf)
+    return tidy(V.weighted_mean_long(c, ["reasoning_pattern"], "steering_vector", "prob_delta", absolute=True))
+
+
+_TOPK_SQL = """
+SELECT reasoning_pattern, CAST(dim AS BIGINT) AS dim, round(sum(x), 6) AS value
+FROM corpus_long
+WHERE row_id IN (SELECT row_id FROM (
+        SELECT row_id, row_number() OVER (PARTITION BY reasoning_pattern
+                                          ORDER BY abs(prob_delta) DESC, row_id) AS rk
+        FROM vector_corpus) WHERE rk <= 2)
+GROUP BY reasoning_pattern, dim"""
+
+
+@query("topk_vector_sum", with_ctes(_TOPK_SQL, "corpus_long", "vector_corpus"))
+def q_topk_vector_sum(spark, sf):
+    """Sum of the 2 rows with the largest |prob_delta| per pattern."""
+    c = X.vector_corpus(spark, sf).withColumn("abs_prob_delta", F.abs("prob_delta"))
+    return tidy(V.topk_vector_sum_long(c, ["reasoning_pattern"], "steering_vector", "abs_prob_delta",
+                                       "row_id", 2))
+
+
+@query("group_representative", with_ctes("""
+SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(dim AS BIGINT) AS dim, round(x, 6) AS value
+FROM corpus_long WHERE row_id IN (SELECT min(row_id) FROM vector_corpus GROUP BY cluster_id)""",
+                                         "corpus_long", "vector_corpus"))
+def q_group_representative(spark, sf):
+    """The first row's vector per cluster."""
+    c = X.vector_corpus(spark, sf)
+    rep = V.group_representative(c, "cluster_id", "steering_vector", "row_id")
+    return tidy(_long(rep, ["cluster_id"], "vector"))
+
+
+_TOPK_RAW = """
+SELECT reasoning_pattern, dim, sum(x) AS value FROM corpus_long
+WHERE row_id IN (SELECT row_id FROM (
+        SELECT row_id, row_number() OVER (PARTITION BY reasoning_pattern
+                                          ORDER BY abs(prob_delta) DESC, row_id) AS rk
+        FROM vector_corpus) WHERE rk <= 2)
+GROUP BY reasoning_pattern, dim"""
+_WMEAN_RAW = """
+SELECT reasoning_pattern, dim, sum(prob_delta * x) / greatest(1e-8, sum(abs(prob_delta))) AS value
+FROM corpus_long GROUP BY reasoning_pattern, dim"""
+
+
+@query("match_norm", with_ctes("""
+SELECT reasoning_pattern, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS dim,
+       round(unnest(v), 6) AS value FROM r""", "corpus_long", "vector_corpus", local=[
+    ("topk", _TOPK_RAW), ("wm", _WMEAN_RAW),
+    ("t", "SELECT reasoning_pattern, list(value ORDER BY dim) AS v FROM topk GROUP BY reasoning_pattern"),
+    ("m", "SELECT reasoning_pattern, sqrt(sum(value * value)) AS ref FROM wm GROUP BY reasoning_pattern"),
+    ("r", f"""SELECT t.reasoning_pattern,
+                     CASE WHEN {_n('t.v')} > 1e-8 THEN list_transform(t.v, lambda x: x * (m.ref / {_n('t.v')}))
+                          ELSE t.v END AS v
+              FROM t JOIN m USING (reasoning_pattern)""")]))
+def q_match_norm(spark, sf):
+    """The top-2 sum rescaled to the norm of the pattern's weighted mean."""
+    c = X.vector_corpus(spark, sf).withColumn("abs_prob_delta", F.abs("prob_delta"))
+    top = V.assemble(V.topk_vector_sum_long(c, ["reasoning_pattern"], "steering_vector", "abs_prob_delta",
+                                            "row_id", 2), ["reasoning_pattern"], out_col="v")
+    ref = (V.weighted_mean_long(c, ["reasoning_pattern"], "steering_vector", "prob_delta")
+           .groupBy("reasoning_pattern").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("ref")))
+    out = top.join(ref, "reasoning_pattern").select("reasoning_pattern",
+                                                    V.match_norm("v", F.col("ref")).alias("v"))
+    return tidy(_long(out, ["reasoning_pattern"], "v"))
+
+
+@query("l2_norm_unit", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, CAST(dim AS BIGINT) AS dim,
+       round(value / greatest(1e-12, nrm), 6) AS value, round(nrm, 6) AS norm
+FROM (SELECT layer, dim, value, sqrt(sum(value * value) OVER (PARTITION BY layer)) AS nrm
+      FROM train_dir_long)""", "train_dir_long"))
+def q_l2_norm_unit(spark, sf):
+    """Norm and unit vector of the train direction per layer."""
+    d = V.l2_norm_unit(_train_dirs(spark, sf), "direction")
+    return tidy(d.select("layer", "norm", F.posexplode("unit").alias("dim", "value")))
+
+
+_TEST_DIR = """
+SELECT layer, dim, avg(x) FILTER (WHERE label >= 0.5) - avg(x) FILTER (WHERE label < 0.5) AS value
+FROM acts_long WHERE split = 'test' GROUP BY layer, dim"""
+
+
+@query("cosine", with_ctes("""
+SELECT CAST(a.layer AS BIGINT) AS layer,
+       round(sum(a.value * b.value) / (sqrt(sum(a.value * a.value)) * sqrt(sum(b.value * b.value)) + 1e-12), 6)
+           AS cos_train_test
+FROM train_dir_long a JOIN test_dir_long b ON a.layer = b.layer AND a.dim = b.dim
+GROUP BY a.layer""", "train_dir_long", "acts_long", local=[("test_dir_long", _TEST_DIR)]))
+def q_cosine(spark, sf):
+    """Cosine between the train and the test direction per layer."""
+    test = V.assemble(V.centroid_diff_long(_test(spark, sf), ["layer"], "label", "activation"),
+                      ["layer"], out_col="tdir")
+    j = _train_dirs(spark, sf).join(test, "layer")
+    return tidy(j.select("layer", vec.cosine("direction", "tdir").alias("cos_train_test")))
+
+
+@query("cosine_vs_reference", with_ctes(f"""
+SELECT row_id, round(c, 6) AS cosine, c > 0 AS same_sign
+FROM (SELECT row_id, {_d('steering_vector', 'ref')} / ({_n('steering_vector')} * {_n('ref')} + 1e-12) AS c
+      FROM vector_corpus CROSS JOIN refv)""", "vector_corpus", "corpus_long", local=[
+    ("refl", "SELECT dim, avg(x) AS value FROM corpus_long GROUP BY dim"),
+    ("refv", "SELECT list(value ORDER BY dim) AS ref FROM refl")]))
+def q_cosine_vs_reference(spark, sf):
+    """Every corpus vector against one reference (the corpus mean),
+    which travels as a scalar subquery."""
+    c = X.vector_corpus(spark, sf)
+    ref = V.assemble(V.centroid_long(c.withColumn("_all", F.lit(1)), ["_all"], "steering_vector"),
+                     ["_all"], out_col="ref").select("ref").scalar()
+    out = V.cosine_vs_reference(c, ref, "steering_vector")
+    return tidy(out.select("row_id", "cosine", "same_sign"))
+
+
+_SEP_LOCAL = [
+    ("u", f"""SELECT layer, query_id, label >= 0.5 AS pos,
+                    list_transform(activation, lambda x: CAST(x AS DOUBLE) /
+                        CASE WHEN nrm = 0 THEN 1.0 ELSE nrm END) AS u
+             FROM (SELECT *, {_n('activation')} AS nrm FROM activations WHERE split = 'train')"""),
+    ("p", f"""SELECT a.layer, a.pos AS pa, b.pos AS pb, {_d('a.u', 'b.u')} AS s
+             FROM u a JOIN u b ON a.layer = b.layer AND a.query_id < b.query_id"""),
+    ("agg", """SELECT layer,
+                      avg(s) FILTER (WHERE pa AND pb) AS ip, avg(s) FILTER (WHERE NOT pa AND NOT pb) AS ineg,
+                      avg(s) FILTER (WHERE pa = pb) AS io, avg(s) FILTER (WHERE pa <> pb) AS x
+               FROM p GROUP BY layer"""),
+    ("cnt", """SELECT layer, sum(CASE WHEN label >= 0.5 THEN 1 ELSE 0 END) AS n_pos,
+                      sum(CASE WHEN label >= 0.5 THEN 0 ELSE 1 END) AS n_neg
+               FROM activations WHERE split = 'train' GROUP BY layer"""),
+]
+
+
+# The oracle is the brute-force pair average (all pairs, small fixture); the
+# Spark side is the linear closed form.
+@query("separability", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
+       round(coalesce(ip, 0.0), 6) AS mean_intra_pivotal, round(coalesce(ineg, 0.0), 6) AS mean_intra_nonpivotal,
+       round(coalesce(io, 0.0), 6) AS mean_intra_overall, round(coalesce(x, 0.0), 6) AS mean_inter,
+       round(coalesce(io, 0.0) - coalesce(x, 0.0), 6) AS separability_gap
+FROM cnt LEFT JOIN agg USING (layer)""", "activations", local=_SEP_LOCAL))
+def q_separability(spark, sf):
+    """Class separability of the train split per layer, closed form."""
+    return tidy(V.separability(_train(spark, sf)))

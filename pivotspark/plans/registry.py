@@ -145,8 +145,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_ctes(body: str, *names: str) -> str:
-    """Prefix ``body`` with the named fixture CTEs and their dependencies."""
+def with_ctes(body: str, *names: str, local: list[tuple[str, str]] | tuple = ()) -> str:
+    """Prefix ``body`` with the named fixture CTEs (and their dependencies),
+    then the query's own ``local`` (name, sql) CTEs in the given order."""
     order: list[str] = []
 
     def visit(n: str):
@@ -159,7 +160,7 @@ def with_ctes(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
+    parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order] + [f"{n} AS ({q}\n)" for n, q in local]
+    if not parts:
         return body
-    parts = ",\n".join(f"{n} AS ({CTES[n][1]}\n)" for n in order)
-    return f"WITH {parts}\n{body}"
+    return "WITH " + ",\n".join(parts) + "\n" + body
