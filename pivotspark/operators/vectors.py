@@ -300,8 +300,8 @@ def clustering_agreement(df: DataFrame, a_col: str, b_col: str) -> DataFrame:
     cont = df.groupBy(a_col, b_col).agg(F.count(F.lit(1)).alias("nij"))
     c2 = lambda c: c * (c - 1) / 2
     sij = cont.agg(F.sum(c2(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
-    ai = cont.groupBy(a_col).agg(F.sum("nij").alias("a")).agg(F.sum(c2(F.col("a"))).alias("sa"))
-    bj = cont.groupBy(b_col).agg(F.sum("nij").alias("b")).agg(F.sum(c2(F.col("b"))).alias("sb"))
+    ai = cont.groupBy(a_col).agg(F.sum("nij").alias("_ra")).agg(F.sum(c2(F.col("_ra"))).alias("sa"))
+    bj = cont.groupBy(b_col).agg(F.sum("nij").alias("_rb")).agg(F.sum(c2(F.col("_rb"))).alias("sb"))
     stats = df.agg(F.avg((F.col(b_col) == -1).cast("double")).alias("noise_rate"),
                    F.countDistinct(F.when(F.col(b_col) != -1, F.col(b_col))).alias("n_clusters"))
     # every side is a one-row aggregate: combine them as scalar subqueries

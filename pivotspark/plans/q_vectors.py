@@ -245,3 +245,145 @@ FROM cnt LEFT JOIN agg USING (layer)""", "activations", local=_SEP_LOCAL))
 def q_separability(spark, sf):
     """Class separability of the train split per layer, closed form."""
     return tidy(V.separability(_train(spark, sf)))
+
+
+def _steered_test(spark, sf, mode, coef, mask=None):
+    t = _test(spark, sf).join(F.broadcast(_train_dirs(spark, sf)), "layer")  # one row per layer
+    if mask is None:
+        out = t.withColumn("v", V.steer("activation", "direction", coef, mode))
+    else:
+        out = t.withColumn("v", V.steer_masked("activation", "direction", coef, mask, mode))
+    return tidy(_long(out, ["layer", "query_id"], "v"))
+
+
+def _steer_sql(expr: str, where: str = "a.split = 'test'") -> str:
+    return with_ctes(f"""
+SELECT CAST(layer AS BIGINT) AS layer, query_id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS dim,
+       round(unnest(v), 6) AS value
+FROM (SELECT a.layer, a.query_id, {expr} AS v
+      FROM activations a JOIN train_dir d ON a.layer = d.layer WHERE {where})""", "activations", "train_dir")
+
+
+_VHAT = "(d.direction[i] / ({n} + 1e-8))".format(n=_n("d.direction"))
+
+
+@query("steer_additive_raw", _steer_sql(
+    "list_transform(a.activation, lambda x, i: CAST(x AS DOUBLE) + 1.5 * d.direction[i])"))
+def q_steer_additive_raw(spark, sf):
+    """H + c v on the test activations, v = train direction, c = 1.5."""
+    return _steered_test(spark, sf, "additive_raw", 1.5)
+
+
+@query("steer_additive_normalized", _steer_sql(
+    f"list_transform(a.activation, lambda x, i: CAST(x AS DOUBLE) + 0.5 * {_n('a.activation')} * {_VHAT})"))
+def q_steer_additive_normalized(spark, sf):
+    """H + c |h| v / (|v| + 1e-8), c = 0.5."""
+    return _steered_test(spark, sf, "additive_normalized", 0.5)
+
+
+_PROJ = ("list_transform(a.activation, lambda x, i: CAST(x AS DOUBLE) + ({c} - 1.0) * "
+         "list_sum(list_transform(a.activation, lambda y, j: CAST(y AS DOUBLE) * "
+         "(d.direction[j] / ({n} + 1e-8)))) * {vh})")
+
+
+@query("steer_projection", _steer_sql(_PROJ.format(c="0.0", n=_n("d.direction"), vh=_VHAT)))
+def q_steer_projection(spark, sf):
+    """H + (c - 1)(h . v_hat) v_hat with c = 0 (ablation)."""
+    return _steered_test(spark, sf, "projection", 0.0)
+
+
+@query("steer_masked", _steer_sql(
+    "CASE WHEN a.label = 1 THEN list_transform(a.activation, lambda x, i: CAST(x AS DOUBLE) + 2.0 * d.direction[i])"
+    " ELSE list_transform(a.activation, lambda x: CAST(x AS DOUBLE)) END"))
+def q_steer_masked(spark, sf):
+    """Additive steering (c = 2) only at positions with label 1."""
+    return _steered_test(spark, sf, "additive_raw", 2.0, mask=F.col("label") == 1)
+
+
+def _injections(spark, sf):
+    """Two injections per layer L: its own direction, then that of layer
+    (L+1) mod 4, both with coefficient 0.2."""
+    d = _train_dirs(spark, sf)
+    own = d.select("layer", F.lit(0).alias("inj_ord"), F.lit(0.2).alias("coef"), "direction")
+    nxt = d.select(((F.col("layer") + 3) % 4).alias("layer"), F.lit(1).alias("inj_ord"),
+                   F.lit(0.2).alias("coef"), "direction")
+    return own.unionByName(nxt).withColumn("variant", F.concat(F.lit("L"), F.col("layer").cast("string")))
+
+
+_MULTI_LOCAL = [
+    ("s1", f"""SELECT a.layer, a.query_id,
+                   list_transform(a.activation, lambda x, i: CAST(x AS DOUBLE) + 0.2 * {_n('a.activation')} * {_VHAT})
+                       AS h
+               FROM activations a JOIN train_dir d ON a.layer = d.layer WHERE a.split = 'test'"""),
+    ("s2", f"""SELECT s1.layer, s1.query_id,
+                   list_transform(s1.h, lambda x, i: x + 0.2 * {_n('s1.h')} * {_VHAT}) AS v
+               FROM s1 JOIN train_dir d ON d.layer = (s1.layer + 1) % 4"""),
+]
+
+
+@query("steer_multi", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, query_id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS dim,
+       round(unnest(v), 6) AS value FROM s2""", "activations", "train_dir", local=_MULTI_LOCAL))
+def q_steer_multi(spark, sf):
+    """Two normalized injections on each layer, applied in order."""
+    out = V.steer_multi(_test(spark, sf), _injections(spark, sf), mode="additive_normalized")
+    return tidy(_long(out, ["layer", "query_id"], "steered"))
+
+
+@query("injected_energy", with_ctes(f"""
+SELECT 'L' || CAST(a.layer AS VARCHAR) AS variant, round(0.2 * {_n('a.direction')} + 0.2 * {_n('b.direction')}, 6)
+           AS energy
+FROM train_dir a JOIN train_dir b ON b.layer = (a.layer + 1) % 4""", "train_dir"))
+def q_injected_energy(spark, sf):
+    """Sum |c| |v| per injection variant."""
+    return tidy(V.injected_energy(_injections(spark, sf)))
+
+
+@query("layer_range_spec", with_ctes("""
+SELECT CAST(p.layer AS BIGINT) AS probe_layer, CAST(o.off AS BIGINT) AS offset,
+       array_to_string(list(v.layer ORDER BY v.layer), ',') AS layers, CAST(count(*) AS BIGINT) AS n_layers
+FROM (SELECT DISTINCT layer FROM train_dir) p CROSS JOIN (VALUES (2), (4), (6)) o(off)
+JOIN (SELECT DISTINCT layer FROM train_dir) v ON v.layer BETWEEN p.layer - o.off AND p.layer
+WHERE p.layer - o.off >= 1
+GROUP BY p.layer, o.off HAVING count(*) >= 2""", "train_dir"))
+def q_layer_range_spec(spark, sf):
+    """Layer ranges [p - off, p] with a vector at >= 2 layers, start >= 1."""
+    d = _train_dirs(spark, sf)
+    out = V.layer_range_spec(d, d)
+    return tidy(out.select("probe_layer", "offset", F.array_join("layers", ",").alias("layers"), "n_layers"))
+
+
+_CLUSTER_B = "CASE WHEN prob_delta < -0.25 THEN -1 ELSE cluster_id % 4 END"
+
+
+@query("clustering_agreement", with_ctes(f"""
+SELECT round(CASE WHEN (sa + sb) / 2 = sa * sb / (n * (n - 1) / 2.0) THEN 1.0
+                  ELSE (sij - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2.0)) END, 6)
+           AS ari,
+       round(noise_rate, 6) AS noise_rate, CAST(n_clusters AS BIGINT) AS n_clusters, CAST(n AS BIGINT) AS n
+FROM (SELECT sum(nij * (nij - 1) / 2.0) AS sij, sum(nij) AS n FROM c),
+     (SELECT sum(x * (x - 1) / 2.0) AS sa FROM (SELECT sum(nij) AS x FROM c GROUP BY a)),
+     (SELECT sum(x * (x - 1) / 2.0) AS sb FROM (SELECT sum(nij) AS x FROM c GROUP BY b)),
+     (SELECT avg(CASE WHEN {_CLUSTER_B} = -1 THEN 1.0 ELSE 0.0 END) AS noise_rate,
+             count(DISTINCT CASE WHEN {_CLUSTER_B} <> -1 THEN {_CLUSTER_B} END) AS n_clusters
+      FROM vector_corpus)""", "vector_corpus", local=[
+    ("c", f"SELECT cluster_id AS a, {_CLUSTER_B} AS b, count(*) AS nij FROM vector_corpus GROUP BY 1, 2")]))
+def q_clustering_agreement(spark, sf):
+    """Adjusted Rand index between the given clusters and a second
+    labelling (noise = -1), with noise rate and cluster count."""
+    c = X.vector_corpus(spark, sf).withColumn(
+        "b", F.when(F.col("prob_delta") < -0.25, F.lit(-1)).otherwise(F.col("cluster_id") % 4))
+    return tidy(V.clustering_agreement(c, "cluster_id", "b"))
+
+
+@query("token_logprob", """
+SELECT vec_id, CAST(label AS BIGINT) AS token_id,
+       round(CAST(embedding[label + 1] AS DOUBLE) - m
+             - ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - m)))), 6) AS logp
+FROM (SELECT *, CAST(list_max(embedding) AS DOUBLE) AS m FROM embeddings)""")
+def q_token_logprob(spark, sf):
+    """log_softmax(logits)[token] (stable), logits = the 64-d embedding."""
+    from ..sources.tables import load
+    e = load(spark, sf, "embeddings")
+    return tidy(e.select("vec_id", F.col("label").alias("token_id"),
+                         V.token_logprob("embedding", "label").alias("logp")))
