@@ -29,10 +29,10 @@ def duck(sf_dir: str):
 
 def _norm(v):
     if v is None:
-        return None
+        return "<null>"
     if isinstance(v, float):
         if math.isnan(v):
-            return None
+            return "<null>"
         return repr(round(v, 6))
     if hasattr(v, "tolist"):
         v = v.tolist()
