@@ -133,7 +133,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                              WHEN 6 THEN 0.0 WHEN 7 THEN -1.0 END AS DOUBLE) AS factor
         FROM (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS run FROM lineitem)"""),
     "token_texts": ((), """
-        SELECT CASE WHEN l.quality = 1 THEN 'base' ELSE 'steered' END AS run, d.doc_id, d.text
+        SELECT CASE WHEN l.quality = 1 THEN 'base' ELSE 'steered' END AS run, d.doc_id, d.text,
+               d.source AS task
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en'"""),
     "gate_steps": ((), """
         SELECT user_id AS run,
