@@ -92,8 +92,9 @@ def hidden_states(spark: SparkSession, sf_dir: str, probe_rows: DataFrame) -> Da
     n = n_embeddings(spark, sf_dir)
     pos = probe_rows.select(
         F.col("original_dataset_item_id").alias("id"),
-        F.explode(F.sequence(F.lit(0), F.size("tokens") - 1
-                             - F.when(F.col("original_dataset_item_id").cast("long") % 7 == 0, 1).otherwise(0)))
+        F.explode_outer(F.sequence(F.lit(0), F.size("tokens") - 1
+                                   - F.when(F.col("original_dataset_item_id").cast("long") % 7 == 0, 1)
+                                   .otherwise(0)))
         .alias("position")).where(F.col("position") >= 0)
     pos = pos.withColumn("vec_id", (F.col("id").cast("long") * 31 + F.col("position")) % n)
     joined = pos.join(emb, "vec_id")
