@@ -146,7 +146,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_ctes(body: str, *names: str, local: list[tuple[str, str]] | tuple = ()) -> str:
+def with_ctes(body: str, *names: str, local: list[tuple[str, str]] | tuple = (), recursive: bool = False) -> str:
     """Prefix ``body`` with the named fixture CTEs (and their dependencies),
     then the query's own ``local`` (name, sql) CTEs in the given order."""
     order: list[str] = []
@@ -164,4 +164,4 @@ def with_ctes(body: str, *names: str, local: list[tuple[str, str]] | tuple = ())
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order] + [f"{n} AS ({q}\n)" for n, q in local]
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
