@@ -49,9 +49,20 @@ def norm(v) -> Column:
     return F.sqrt(sq_norm(v))
 
 
+def _spread(c, like) -> Column:
+    """A scalar as an array as long as ``like``.
+
+    Expressions captured inside a lambda are evaluated once per element
+    (higher-order functions are interpreted, with no common-subexpression
+    elimination), so a computed scalar such as a norm must enter the lambda
+    as an argument: it is evaluated once here, not d times."""
+    return F.array_repeat(c, F.size(col(like)))
+
+
 def scale(v, c) -> Column:
-    c = c if isinstance(c, Column) else F.lit(float(c))
-    return F.transform(col(v), lambda x: x.cast("double") * c)
+    if not isinstance(c, Column):
+        return F.transform(col(v), lambda x: x.cast("double") * F.lit(float(c)))
+    return F.zip_with(col(v), _spread(c.cast("double"), v), lambda x, s: x.cast("double") * s)
 
 
 def add(a, b) -> Column:
@@ -64,8 +75,7 @@ def sub(a, b) -> Column:
 
 def axpy(h, v, c) -> Column:
     """h + c * v (element-wise)."""
-    c = c if isinstance(c, Column) else F.lit(float(c))
-    return F.zip_with(col(h), col(v), lambda x, y: x.cast("double") + c * y.cast("double"))
+    return F.zip_with(col(h), scale(v, c), lambda x, y: x.cast("double") + y)
 
 
 def cosine(a, b, eps: float = EPS_COSINE) -> Column:
@@ -75,14 +85,12 @@ def cosine(a, b, eps: float = EPS_COSINE) -> Column:
 
 def unit(v, eps: float = EPS_DIRECTION) -> Column:
     """v / (|v| + eps)."""
-    n = norm(v) + F.lit(eps)
-    return F.transform(col(v), lambda x: x.cast("double") / n)
+    return scale(v, F.lit(1.0) / (norm(v) + F.lit(eps)))
 
 
 def unit_export(v, floor: float = EPS_EXPORT) -> Column:
     """v / max(floor, |v|) — the export convention for unit vectors."""
-    n = F.greatest(norm(v), F.lit(floor))
-    return F.transform(col(v), lambda x: x.cast("double") / n)
+    return scale(v, F.lit(1.0) / F.greatest(norm(v), F.lit(floor)))
 
 
 def sigmoid(z) -> Column:
@@ -94,13 +102,19 @@ def max_elem(v) -> Column:
 
 
 def log_softmax_at(logits, idx) -> Column:
-    """log_softmax(logits)[idx] computed stably:
-    l[idx] - m - log(sum(exp(l - m))) with m = max(l); ``idx`` is 0-based."""
-    m = F.array_max(to_double(logits))
-    lse = F.log(F.aggregate(col(logits), F.lit(0.0).cast("double"),
-                            lambda a, x: a + F.exp(x.cast("double") - m)))
+    """log_softmax(logits)[idx], ``idx`` 0-based, computed stably with a
+    single online log-sum-exp pass (running max and rescaled sum), so no
+    row-level value is captured inside the lambda."""
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc, x):
+        x = x.cast("double")
+        m = F.greatest(acc["m"], x)
+        return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(x - m)).alias("s"))
+
+    lse = F.aggregate(col(logits), init, step, lambda a: a["m"] + F.log(a["s"]))
     picked = F.element_at(col(logits), col(idx).cast("int") + 1).cast("double")
-    return picked - m - lse
+    return picked - lse
 
 
 def round_vec(v, digits: int = 6) -> Column:

@@ -174,7 +174,7 @@ def separability(df: DataFrame, group_cols=("layer",), label_col: str = "label",
     with u = v / |v| (zero rows stay zero).  Means are 0.0 without pairs."""
     g = _g(group_cols)
     n = vec.norm(vec_col)
-    unit = F.transform(vec_col, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    unit = vec.scale(vec_col, F.lit(1.0) / F.when(n == 0, F.lit(1.0)).otherwise(n))
     pos = F.col(label_col) >= 0.5
     u = df.select(*g, pos.alias("_pos"), unit.alias("_u"))
     u = u.withColumn("_q", vec.sq_norm("_u"))

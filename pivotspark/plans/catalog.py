@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_gate, q_labels, q_probes, q_runs, q_text, q_vectors  # noqa: F401
+from . import q_gate, q_labels, q_nie, q_probes, q_runs, q_text, q_vectors  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
