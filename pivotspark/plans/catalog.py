@@ -2,17 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_gate, q_labels, q_nie, q_probes, q_runs, q_text, q_vectors  # noqa: F401
+from . import q_gate, q_labels, q_nie, q_probes, q_runs, q_text, q_train, q_vectors  # noqa: F401
+from .q_train import flagship
 from .registry import ORACLE, QUERIES
 
-
-def flagship(spark, sf_dir):
-    from ..operators import vectors as V
-    from ..sources import fixtures as X
-    from pyspark.sql import functions as F
-    from .registry import tidy
-    acts = X.activations(spark, sf_dir).where(F.col("split") == "train")
-    return tidy(V.centroid_diff_long(acts, ["layer"], "label", "activation"))
-
-
 __all__ = ["QUERIES", "ORACLE", "flagship"]
