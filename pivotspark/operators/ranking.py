@@ -41,10 +41,9 @@ def hash_threshold(df: DataFrame, key: str, seed, k, digits: int = DEFAULT_DIGIT
     h = keys.select("_k", hord(seed, F.col("_k")).alias("_h"))
     h = h.withColumn("_b", F.substring("_h", 1, digits))
     counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    if callable(k):
-        k_col = k(counts.agg(F.sum("_n")).scalar())
-    else:
-        k_col = F.lit(int(k))
+    n_total = counts.agg(F.sum("_n")).scalar()
+    k_col = k(n_total) if callable(k) else F.lit(int(k))
+    k_col = F.least(k_col, n_total)  # k beyond n selects every key
     running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("_cum", F.sum("_n").over(running))
     boundary = (cum.where(F.col("_cum") >= k_col)
