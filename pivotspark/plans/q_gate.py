@@ -172,3 +172,17 @@ def q_prefill_rule(spark, sf):
     return tidy(s.groupBy("run").agg((dec + pre).alias("n_calls_unsteered_prefill"),
                                      dec.alias("n_calls_always_on"),
                                      pre.alias("prefill_passes_steered_always_on")))
+
+
+@query("gate_stream", _gsql("""
+SELECT run, step, round(prob, 6) AS prob, fired, CAST(latch AS BIGINT) AS latch_remaining FROM lat"""))
+def q_gate_stream(spark, sf):
+    """H9: the same gate online -- Structured Streaming over step files
+    (availableNow), per-run state in applyInPandasWithState; must equal the
+    batch fire log (H4), so it shares H4's oracle."""
+    from ..sources.sinks import new_path
+    from ..streaming.gate_stream import run_available_now, write_step_files
+    base = new_path(spark, "gate_stream")
+    write_step_files(X.gate_steps(spark, sf), f"{base}/src", n_files=4)
+    out = run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", TAU, N_HOLD)
+    return tidy(out.select("run", "step", "prob", "fired", "latch_remaining"))
