@@ -105,10 +105,11 @@ def binary_metrics(scored: DataFrame, group_cols=("layer",), label_col: str = "l
 
 # -- E9 ------------------------------------------------------------------------
 
-def auroc(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
-          buckets: int = 256) -> DataFrame:
-    """Exact ROC AUC per group (Mann-Whitney U / (n1 n0), ties count 1/2);
-    null when the group has a single class."""
+def negatives_below(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
+                    buckets: int = 256) -> DataFrame:
+    """Per (group, distinct score s): positives p, negatives n at s and the
+    number of negatives with a lower score (``_below``) -- exact, without
+    sorting a whole group in one task."""
     g = _g(group_cols)
     y = F.col(label_col) >= 0.5
     per_score = scored.groupBy(*g, F.col(prob_col).alias("s")).agg(
@@ -127,7 +128,15 @@ def auroc(scored: DataFrame, group_cols=("layer",), label_col: str = "label", pr
     b = b.join(per_bucket.select(*g, "_bk", "_off"), g + ["_bk"])
     # negatives with a lower score inside the bucket
     ws = Window.partitionBy(*g, "_bk").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("_below", F.col("_off") + F.coalesce(F.sum("n").over(ws), F.lit(0)))
+    return b.withColumn("_below", F.col("_off") + F.coalesce(F.sum("n").over(ws), F.lit(0)))
+
+
+def auroc(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
+          buckets: int = 256) -> DataFrame:
+    """Exact ROC AUC per group (Mann-Whitney U / (n1 n0), ties count 1/2);
+    null when the group has a single class."""
+    g = _g(group_cols)
+    b = negatives_below(scored, g, label_col, prob_col, buckets)
     u = b.groupBy(*g).agg(
         F.sum(F.col("p") * (F.col("_below") + F.col("n") * 0.5)).alias("_u"),
         F.sum("p").alias("_n1"), F.sum("n").alias("_n0"))
