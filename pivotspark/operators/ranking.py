@@ -61,3 +61,25 @@ def first_k_by_hash(df: DataFrame, key: str, seed, k, digits: int = DEFAULT_DIGI
     seeded-hash order."""
     thr = hash_threshold(df, key, seed, k, digits)
     return F.coalesce(rank_key(seed, key) <= thr, F.lit(False))
+
+
+def global_rank(df: DataFrame, order_cols, bucket_key, buckets: int = 256, rank_col: str = "rank") -> DataFrame:
+    """0-based global rank by ``order_cols`` without a single-task window.
+
+    ``bucket_key`` is a numeric column that is monotone in the order (equal
+    keys may repeat).  Approximate quantiles of it cut the rows into ordered
+    buckets; per-bucket counts (<= ``buckets`` rows) give each bucket's
+    offset; the rank is offset + row_number inside the bucket.  The result
+    is exact whatever the quantile error -- it only affects balance."""
+    key = F.col(bucket_key) if isinstance(bucket_key, str) else bucket_key
+    d = df.withColumn("_key", key.cast("double"))
+    qs = [i / buckets for i in range(1, buckets)]
+    cuts = d.agg(F.array_distinct(F.percentile_approx("_key", F.array(*[F.lit(q) for q in qs]), 10000))).scalar()
+    d = d.withColumn("_cuts", cuts).withColumn("_bk", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))) \
+        .drop("_cuts")
+    per = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_nb"))
+    off = per.withColumn("_off", F.coalesce(F.sum("_nb").over(
+        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.join(F.broadcast(off.select("_bk", "_off")), "_bk")   # <= buckets rows
+    w = Window.partitionBy("_bk").orderBy(*order_cols)
+    return d.withColumn(rank_col, F.col("_off") + F.row_number().over(w) - 1).drop("_key", "_bk", "_off")
