@@ -108,3 +108,15 @@ def read_json_reports(df: DataFrame, json_col: str, key_type: str = "int") -> Da
     m = F.from_json(F.col(json_col), "map<string,double>")
     return df.select("*", F.explode_outer(m).alias("_k", "value")).withColumn(
         "key", F.col("_k").try_cast(key_type)).drop("_k")
+
+
+def normalize_activations(nested: DataFrame, store_col: str = "store", keep: Sequence[str] = ()) -> DataFrame:
+    """A5: nested ``map<layer, map<bucket, array<vector>>>`` records -> the
+    long float32 table (layer int, bucket, position, activation array<float>).
+    A missing bucket simply yields no rows."""
+    k = list(keep)
+    lay = nested.select(*k, F.explode(store_col).alias("_layer", "_buckets"))
+    bk = lay.select(*k, "_layer", F.explode("_buckets").alias("bucket", "_vecs"))
+    return bk.select(*k, F.col("_layer").cast("int").alias("layer"), "bucket",
+                     F.posexplode("_vecs").alias("position", "_v")).select(
+        *k, "layer", "bucket", "position", F.transform("_v", lambda x: x.cast("float")).alias("activation"))

@@ -356,3 +356,20 @@ def q_add_abs_delta(spark, sf):
     """|prob_delta| and vectors coerced to float32."""
     c = S.add_abs_delta(X.vector_corpus(spark, sf))
     return tidy(c.select("row_id", "abs_prob_delta", vec.vsum("steering_vector").alias("vec_sum")))
+
+
+@query("normalize_activations", with_ctes("""
+SELECT query_id, CAST(layer AS BIGINT) AS layer, bucket, CAST(0 AS BIGINT) AS position,
+       round(list_sum(list_transform(activation, lambda x: CAST(x AS DOUBLE))), 6) AS act_sum
+FROM activations""", "activations"))
+def q_normalize_activations(spark, sf):
+    """A5: per-record nested layer -> bucket -> vectors flattened to the long
+    float32 table (the nested form is built per id from the embeddings)."""
+    a = X.activations(spark, sf)
+    per_layer = a.groupBy("query_id", "layer", "bucket").agg(
+        F.collect_list(vec.to_double("activation")).alias("vecs"))          # one vector per (id, layer)
+    nested = per_layer.groupBy("query_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("string"),
+                                                   F.create_map("bucket", "vecs")))).alias("store"))
+    out = VA.normalize_activations(nested, "store", ["query_id"])
+    return tidy(out.select("query_id", "layer", "bucket", "position", vec.vsum("activation").alias("act_sum")))
