@@ -114,18 +114,20 @@ def flip_set(paired: DataFrame, runs: Sequence, key: str = "idx") -> DataFrame:
     return paired.where(F.col("run").isin(list(runs)) & flip_flag(paired)).select(key).distinct()
 
 
-def flip_overlap(a: DataFrame, b: DataFrame, key: str = "idx") -> DataFrame:
-    """Sizes, Jaccard (|A & B| / max(1, |A | B|)) and one-sided counts of two
-    flip sets; computed with set operations, nothing collected."""
-    inter = a.intersect(b)
-    union = a.union(b).distinct()
-    out = a.agg(F.count(F.lit(1)).alias("n_a")).select(
-        "n_a",
-        b.agg(F.count(F.lit(1))).scalar().alias("n_b"),
-        inter.agg(F.count(F.lit(1))).scalar().alias("n_both"),
-        union.agg(F.count(F.lit(1))).scalar().alias("n_union"),
-        a.exceptAll(b).agg(F.count(F.lit(1))).scalar().alias("n_a_only"),
-        b.exceptAll(a).agg(F.count(F.lit(1))).scalar().alias("n_b_only"))
+def flip_overlap(paired: DataFrame, runs_a: Sequence, runs_b: Sequence, key: str = "idx") -> DataFrame:
+    """Sizes, Jaccard (|A & B| / max(1, |A | B|)) and one-sided counts of the
+    flip set of ``runs_a`` and the union of the flip sets of ``runs_b``.
+
+    One pass: flipped rows of either side are reduced to one row per idx
+    with membership flags (a single shuffle on idx), then counted."""
+    a, b = list(runs_a), list(runs_b)
+    flips = paired.where(F.col("run").isin(a + b) & flip_flag(paired))
+    per_id = flips.groupBy(key).agg(F.max(F.col("run").isin(a)).alias("_a"),
+                                    F.max(F.col("run").isin(b)).alias("_b"))
+    c = lambda e: F.sum(e.cast("long"))
+    out = per_id.agg(c(F.col("_a")).alias("n_a"), c(F.col("_b")).alias("n_b"),
+                     c(F.col("_a") & F.col("_b")).alias("n_both"), F.count(F.lit(1)).alias("n_union"),
+                     c(F.col("_a") & ~F.col("_b")).alias("n_a_only"), c(~F.col("_a") & F.col("_b")).alias("n_b_only"))
     return out.withColumn("jaccard", F.col("n_both") / F.greatest(F.lit(1), F.col("n_union")))
 
 
@@ -133,16 +135,18 @@ def flip_overlap(a: DataFrame, b: DataFrame, key: str = "idx") -> DataFrame:
 
 def random_null_summary(metrics: DataFrame, config: DataFrame, base_run=1) -> DataFrame:
     """For each pivotal run: base, pivotal, the random arms' mean and
-    population std, and the pivotal - random difference in points."""
+    population std, and the pivotal - random difference in points.  The
+    per-run table has one row per run, so the summary columns are windows
+    over that small table (computed once, no re-derivation of the runs)."""
     m = metrics.join(config, "run")
-    rnd = m.where(F.col("arm") == "random").agg(
-        F.avg("accuracy").alias("random_mean"), F.stddev_pop("accuracy").alias("random_std"),
-        F.count(F.lit(1)).alias("n_random"))
-    base = m.where(F.col("run") == base_run).select(F.col("accuracy").alias("base_acc"))
-    piv = m.where(F.col("arm") == "pivotal").select("factor", F.col("accuracy").alias("pivotal_acc"))
-    out = piv.select("*", base.scalar().alias("base_acc"), rnd.select("random_mean").scalar().alias("random_mean"),
-                     rnd.select("random_std").scalar().alias("random_std"),
-                     rnd.select("n_random").scalar().alias("n_random"))
+    every = Window.partitionBy(F.lit(0))  # one row per run: a bounded table
+    rnd = F.when(F.col("arm") == "random", F.col("accuracy"))
+    m = (m.withColumn("base_acc", F.max(F.when(F.col("run") == base_run, F.col("accuracy"))).over(every))
+         .withColumn("random_mean", F.avg(rnd).over(every))
+         .withColumn("random_std", F.stddev_pop(rnd).over(every))
+         .withColumn("n_random", F.count(rnd).over(every)))
+    out = m.where(F.col("arm") == "pivotal").select(
+        "factor", F.col("accuracy").alias("pivotal_acc"), "base_acc", "random_mean", "random_std", "n_random")
     return out.withColumn("pivotal_vs_random_mean_pp", (F.col("pivotal_acc") - F.col("random_mean")) * 100)
 
 

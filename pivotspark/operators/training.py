@@ -35,8 +35,9 @@ def _layers(df: DataFrame, layers: Sequence[int] | None) -> list[int]:
 
 
 def train_logreg_layers(train: DataFrame, layers: Sequence[int] | None = None, C: float = 1.0,
-                        class_weight: str | None = None, max_iter: int = 200, tol: float = 1e-8,
-                        parallelism: int = 4, vec_col: str = "activation", label_col: str = "label") -> DataFrame:
+                        class_weight: str | None = None, max_iter: int = 100, tol: float = 1e-6,
+                        parallelism: int = 8, vec_col: str = "activation", label_col: str = "label",
+                        cs: Sequence[float] | None = None) -> DataFrame:
     """(layer, c, n_train, coef_scaled, intercept_scaled, coef_raw, bias_raw,
     mean, std).  ``coef_raw``/``bias_raw`` act on raw vectors and give the
     same probabilities as the scaled model; layers with one class are
@@ -59,20 +60,23 @@ def train_logreg_layers(train: DataFrame, layers: Sequence[int] | None = None, C
     counts = {r["layer"]: (r["n"], r["npos"]) for r in scaled.groupBy("layer").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("npos")).collect()}
 
-    def fit(layer: int):
+    def fit(job):
+        layer, c = job
         n, npos = counts.get(layer, (0, 0))
         if n == 0 or npos in (0, n):
             return None
-        lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (C * n),
+        lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (c * n),
                                 elasticNetParam=0.0, standardization=False, fitIntercept=True,
                                 maxIter=max_iter, tol=tol)
         if class_weight == "balanced":
             lr = lr.setWeightCol("w")
         m = lr.fit(scaled.where(F.col("layer") == layer))
-        return (int(layer), float(C), int(n), [float(x) for x in m.coefficients.toArray()], float(m.intercept))
+        return (int(layer), float(c), int(n), [float(x) for x in m.coefficients.toArray()], float(m.intercept))
 
+    # every (layer, C) fit shares the one persisted, scaled table
+    jobs = [(layer, float(c)) for c in (cs or [C]) for layer in todo]
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
-        fitted = [r for r in ex.map(fit, todo) if r is not None]
+        fitted = [r for r in ex.map(fit, jobs) if r is not None]
     scaled.unpersist()
     models = spark.createDataFrame(fitted, "layer int, c double, n_train long, coef_scaled array<double>, "
                                            "intercept_scaled double")
@@ -85,12 +89,8 @@ def train_logreg_layers(train: DataFrame, layers: Sequence[int] | None = None, C
 
 
 def c_sweep(train: DataFrame, cs: Sequence[float] = (0.001, 0.01, 0.1, 1.0), **kw) -> DataFrame:
-    """E2 for each C (one table, column ``c``)."""
-    out = None
-    for c in cs:
-        t = train_logreg_layers(train, C=c, **kw)
-        out = t if out is None else out.unionByName(t)
-    return out
+    """E2 for each C (one table, column ``c``), all fits in one pool."""
+    return train_logreg_layers(train, cs=list(cs), **kw)
 
 
 # -- E5: Adam probes by parameter averaging -----------------------------------------

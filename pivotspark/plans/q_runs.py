@@ -179,15 +179,13 @@ SELECT CAST((SELECT count(*) FROM fa) AS BIGINT) AS n_a, CAST((SELECT count(*) F
 @query("flip_overlap", _overlap_sql("2", "5, 6, 7"))
 def q_flip_overlap(spark, sf):
     """the pivotal arm's flips (run 2) vs the union of the random arms'."""
-    p = paired(spark, sf)
-    return tidy(R.flip_overlap(R.flip_set(p, [2]), R.flip_set(p, [5, 6, 7])))
+    return tidy(R.flip_overlap(paired(spark, sf), [2], [5, 6, 7]))
 
 
 @query("flip_overlap_pair", _overlap_sql("2", "3"))
 def q_flip_overlap_pair(spark, sf):
     """flips of two arms (runs 2 and 3) compared."""
-    p = paired(spark, sf)
-    return tidy(R.flip_overlap(R.flip_set(p, [2]), R.flip_set(p, [3])))
+    return tidy(R.flip_overlap(paired(spark, sf), [2], [3]))
 
 
 @query("random_null_summary", _run_sql("""
