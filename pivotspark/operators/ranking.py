@@ -36,24 +36,24 @@ def hash_threshold(df: DataFrame, key: str, seed, k, digits: int = DEFAULT_DIGIT
     the distinct keys of ``df``; null when k <= 0.
 
     ``k`` may be an int or a function ``n_distinct_column -> k_column``.
+    The whole computation is ONE scalar subquery: bucket counts, their
+    running total (a window over at most 16**digits rows), the boundary
+    bucket, and the rank inside that bucket only.
     """
     keys = df.select(F.col(key).alias("_k")).distinct()
     h = keys.select("_k", hord(seed, F.col("_k")).alias("_h"))
     h = h.withColumn("_b", F.substring("_h", 1, digits))
     counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    n_total = counts.agg(F.sum("_n")).scalar()
-    k_col = k(n_total) if callable(k) else F.lit(int(k))
-    k_col = F.least(k_col, n_total)  # k beyond n selects every key
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("_cum", F.sum("_n").over(running))
-    boundary = (cum.where(F.col("_cum") >= k_col)
-                .agg(F.min_by(F.struct(F.col("_b"), (k_col - (F.col("_cum") - F.col("_n"))).alias("_r")),
-                              F.col("_b")).alias("bd"))
-                .scalar())
-    in_bucket = h.where(F.col("_b") == boundary.getField("_b"))
-    ranked = in_bucket.withColumn("_rn", F.row_number().over(Window.orderBy("_h", "_k")))
-    return (ranked.where(F.col("_rn") == boundary.getField("_r"))
-            .select(F.struct("_h", "_k").alias("thr")).scalar())
+    small = Window.partitionBy(F.lit(0))  # the bucket table: <= 16**digits rows
+    c = (counts.withColumn("_cum", F.sum("_n").over(small.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_tot", F.sum("_n").over(small)))
+    kk = k(F.col("_tot")) if callable(k) else F.lit(int(k))
+    c = c.withColumn("_kk", F.least(kk, F.col("_tot")))  # k beyond n selects every key
+    bnd = (c.where((F.col("_cum") >= F.col("_kk")) & (F.col("_cum") - F.col("_n") < F.col("_kk")))
+           .select("_b", (F.col("_kk") - (F.col("_cum") - F.col("_n"))).alias("_r")))
+    ranked = h.join(F.broadcast(bnd), "_b").withColumn(  # at most one bucket survives
+        "_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k")))
+    return ranked.where(F.col("_rn") == F.col("_r")).select(F.struct("_h", "_k").alias("thr")).scalar()
 
 
 def first_k_by_hash(df: DataFrame, key: str, seed, k, digits: int = DEFAULT_DIGITS) -> Column:
