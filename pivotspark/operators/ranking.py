@@ -83,3 +83,24 @@ def global_rank(df: DataFrame, order_cols, bucket_key, buckets: int = 256, rank_
     d = d.join(F.broadcast(off.select("_bk", "_off")), "_bk")   # <= buckets rows
     w = Window.partitionBy("_bk").orderBy(*order_cols)
     return d.withColumn(rank_col, F.col("_off") + F.row_number().over(w) - 1).drop("_key", "_bk", "_off")
+
+
+def exact_quantiles(df: DataFrame, value_col: str, qs) -> Column:
+    """Scalar array column: exact linearly interpolated quantiles (the
+    definition of ``percentile`` / numpy's default) of ``value_col``.
+
+    Instead of one aggregation buffer holding every value, rows are ranked
+    with ``global_rank`` (quantile buckets + offsets) and only the rows at
+    ranks floor/ceil(q (n - 1)) are kept and interpolated -- one scalar
+    subquery whose result is a handful of values."""
+    v = df.select(F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    n = v.agg(F.count(F.lit(1))).scalar()
+    r = global_rank(v, [F.col("_v")], "_v", rank_col="_r")
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)])
+    pos = r.withColumn("_w", F.explode(wanted)).withColumn("_p", F.col("_w.q") * (n - 1))
+    hit = pos.where((F.col("_r") == F.floor("_p")) | (F.col("_r") == F.ceil("_p")))
+    per_q = hit.groupBy(F.col("_w.i").alias("i"), "_p").agg(
+        F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))
+    val = F.col("_lo") + (F.col("_p") - F.floor("_p")) * (F.col("_hi") - F.col("_lo"))
+    return per_q.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", val.alias("v")))),
+                                 lambda s: s["v"]).alias("q")).scalar()

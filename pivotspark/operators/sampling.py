@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.keys import hord
-from .ranking import first_k_by_hash
+from .ranking import exact_quantiles, first_k_by_hash
 
 DEFAULT_SALT = 16
 
@@ -122,8 +122,8 @@ def sign_groups(df: DataFrame, value_col: str) -> DataFrame:
 
 def quartile_groups(df: DataFrame, value_col: str) -> DataFrame:
     """'high' for value >= q75, 'low' for value <= q25 (linear interpolation).
-    The two quantiles are one scalar subquery."""
-    q = df.agg(F.percentile(F.col(value_col), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).scalar()
+    The two quantiles come from a ranked selection, not a global buffer."""
+    q = exact_quantiles(df, value_col, (0.25, 0.75))  # distributed, exact
     v = F.col(value_col)
     high = df.where(v >= q.getItem(1)).withColumn("quartile_group", F.lit("high"))
     low = df.where(v <= q.getItem(0)).withColumn("quartile_group", F.lit("low"))

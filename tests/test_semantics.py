@@ -167,3 +167,12 @@ def test_topk_salting_is_exact(spark):
     a = S.topk_per_group(df, ["g"], [F.col("v").desc()], 5, salt_buckets=16).orderBy("g", "rank").collect()
     b = S.topk_per_group(df, ["g"], [F.col("v").desc()], 5, salt_buckets=0).orderBy("g", "rank").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from pivotspark.operators.ranking import exact_quantiles
+    rng = np.random.default_rng(5)
+    vals = np.round(rng.normal(size=997), 3)  # with ties
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = df.select(exact_quantiles(df, "x", (0.25, 0.5, 0.75, 0.0, 1.0))).first()[0]
+    assert np.allclose(got, np.quantile(vals, [0.25, 0.5, 0.75, 0.0, 1.0]))
