@@ -56,6 +56,9 @@ def nie_summary(samples: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame
             F.avg("nie").alias("nie_mean"),
             F.when(F.count(F.lit(1)) > 1, F.stddev_samp("nie")).when(F.count(F.lit(1)) == 1, F.lit(0.0))
             .alias("nie_std"),
+            # NIE samples are bounded by the forward passes that produced
+            # them, so one cell's values fit an aggregation buffer; for
+            # unbounded groups use ranking.exact_group_quantile instead
             F.median("nie").alias("nie_median"),
             F.avg("log_p_base").alias("log_p_base_mean"),
             F.avg("log_p_steered").alias("log_p_steered_mean")]

@@ -125,13 +125,15 @@ def q_top_tokens_median(spark, sf):
     """top-20 tokens by median |delta|; top-3 by median positive delta
     among tokens with >= 2 positive rows."""
     c = X.vector_corpus(spark, sf)
-    a = (c.groupBy("pivot_token").agg(F.median(F.abs("prob_delta")).alias("median"))
-         .withColumn("_all", F.lit(1)))
+    from ..operators.ranking import exact_group_quantile
+    a = exact_group_quantile(c.withColumn("abs_delta", F.abs("prob_delta")), ["pivot_token"], "abs_delta", 0.5,
+                             "median").withColumn("_all", F.lit(1))
     a = S.topk_per_group(a, ["_all"], [F.col("median").desc(), F.col("pivot_token")], 20, salt_buckets=0) \
         .withColumn("kind", F.lit("abs"))
-    p = (c.where(F.col("prob_delta") > 0).groupBy("pivot_token")
-         .agg(F.median("prob_delta").alias("median"), F.count(F.lit(1)).alias("_n"))
-         .where(F.col("_n") >= 2).withColumn("_all", F.lit(1)))
+    pos = c.where(F.col("prob_delta") > 0)
+    big = pos.groupBy("pivot_token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
+    p = (exact_group_quantile(pos, ["pivot_token"], "prob_delta", 0.5, "median")
+         .join(big.select("pivot_token"), "pivot_token").withColumn("_all", F.lit(1)))
     p = S.topk_per_group(p, ["_all"], [F.col("median").desc(), F.col("pivot_token")], 3, salt_buckets=0) \
         .withColumn("kind", F.lit("positive"))
     cols = ["kind", "rank", "pivot_token", "median"]

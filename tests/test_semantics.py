@@ -176,3 +176,15 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     got = df.select(exact_quantiles(df, "x", (0.25, 0.5, 0.75, 0.0, 1.0))).first()[0]
     assert np.allclose(got, np.quantile(vals, [0.25, 0.5, 0.75, 0.0, 1.0]))
+
+
+def test_exact_group_quantile_hot_group(spark):
+    from pivotspark.operators.ranking import exact_group_quantile
+    rng = np.random.default_rng(9)
+    rows = [("hot", float(v)) for v in np.round(rng.normal(size=3000), 2)] + \
+           [("a", 1.0), ("a", 4.0), ("b", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.quantile for r in exact_group_quantile(df, ["g"], "x", 0.5).collect()}
+    hot = [v for k, v in rows if k == "hot"]
+    assert abs(got["hot"] - float(np.median(hot))) < 1e-12
+    assert got["a"] == 2.5 and got["b"] == 2.0
