@@ -164,11 +164,15 @@ def token_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H input: run = user_id, steps ordered by (ts, event_id),
     prob = sigmoid((value-60)/20); first step of a run is the prefill."""
+    from ..operators.ranking import group_rank
     ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(
+    # step number = rank of (ts, event_id) inside the run; bucketed by time so
+    # that one very long run is not sorted in a single task
+    ranked = group_rank(ev, ["user_id"], [F.col("ts"), F.col("event_id")],
+                        F.unix_micros(F.col("ts").cast("timestamp")), rank_col="_r")
+    return ranked.select(
         F.col("user_id").alias("run"),
-        F.row_number().over(w).cast("long").alias("step"),
+        (F.col("_r") + 1).cast("long").alias("step"),
         "event_id",
         vec.sigmoid((F.col("value") - 60) / 20).alias("prob"),
         "value",
