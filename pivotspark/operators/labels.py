@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.keys import hord
 
 Tokenizer = Callable[[Column], Column]
 DEFAULT_VOCAB = 151936

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extensions as E
-from ..operators import gating as G
-from ..operators import probes as P
 from ..operators import vectors as V
 from ..sources import fixtures as X
 from ..sources.tables import load
-from .q_gate import N_HOLD, TAU, _latch_local, decisions
+from .q_gate import TAU, decisions
 from .q_probes import _MID_LOCAL, _PROBE_LOCAL, midpoint_probes, scored_test
 from .q_vectors import _test
 from .registry import query, tidy, with_ctes

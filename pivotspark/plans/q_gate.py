@@ -13,7 +13,6 @@ from ..operators import gating as G
 from ..operators import vectors as V
 from ..sources import fixtures as X
 from ..sources.tables import load
-from .q_runs import metrics as run_metrics_df, paired
 from .q_vectors import _n
 from .registry import query, tidy, with_ctes
 

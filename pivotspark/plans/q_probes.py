@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import probes as P
 from ..operators import vectors as V
-from ..sources import fixtures as X
-from .q_vectors import _d, _n, _test, _train, _train_dirs
+from .q_vectors import _d, _test, _train, _train_dirs
 from .registry import query, tidy, with_ctes
 
 

@@ -8,8 +8,6 @@ from ..functions import text as T
 from ..functions import vec
 from ..operators import runs as R
 from ..operators import sampling as S
-from ..operators import textstats as TS
-from ..operators import vectors as V
 from ..sources import fixtures as X
 from .q_vectors import _n, _train_dirs
 from .registry import query, tidy, with_ctes

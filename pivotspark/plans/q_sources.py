@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import vec
-from ..functions.keys import hord
-from ..operators import runs as R
 from ..operators import sampling as S
 from ..operators import validation as VA
 from ..operators import vectors as V

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vec
 from ..operators import sampling as S
 from ..operators import textstats as TS
 from ..operators import vectors as V
