@@ -169,7 +169,7 @@ def gate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     # step number = rank of (ts, event_id) inside the run; bucketed by time so
     # that one very long run is not sorted in a single task
     ranked = group_rank(ev, ["user_id"], [F.col("ts"), F.col("event_id")],
-                        F.unix_micros(F.col("ts").cast("timestamp")), rank_col="_r")
+                        F.unix_micros(F.col("ts").cast("timestamp")), buckets=16, rank_col="_r")
     return ranked.select(
         F.col("user_id").alias("run"),
         (F.col("_r") + 1).cast("long").alias("step"),
