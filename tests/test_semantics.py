@@ -188,3 +188,31 @@ def test_exact_group_quantile_hot_group(spark):
     hot = [v for k, v in rows if k == "hot"]
     assert abs(got["hot"] - float(np.median(hot))) < 1e-12
     assert got["a"] == 2.5 and got["b"] == 2.0
+
+
+def test_refractory_gate_equals_loop(spark):
+    from pivotspark.operators.extensions import refractory_gate
+    rng = np.random.default_rng(11)
+    probs = rng.random(300).tolist()
+    df = spark.createDataFrame([(3, i + 2, p) for i, p in enumerate(probs)], "run long, step long, prob double")
+    got = [r.accepted for r in refractory_gate(df, k=3, threshold=0.5).orderBy("step").collect()]
+    lock, want = -1, []
+    for i, p in enumerate(probs):
+        s = i + 2
+        ok = p > 0.5 and s > lock
+        if ok:
+            lock = s + 3
+        want.append(ok)
+    assert got == want
+
+
+def test_global_rank_equals_row_number(spark):
+    from pyspark.sql import Window
+    from pivotspark.operators.ranking import global_rank, group_rank
+    df = spark.range(0, 2000).select((F.col("id") * 7919 % 1013).alias("v"), F.col("id"), (F.col("id") % 3).alias("g"))
+    a = global_rank(df, [F.col("v"), F.col("id")], "v", buckets=32).select("id", "rank")
+    b = df.select("id", (F.row_number().over(Window.orderBy("v", "id")) - 1).alias("rank"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    c = group_rank(df, ["g"], [F.col("v"), F.col("id")], "v", buckets=8).select("id", "rank")
+    d = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("v", "id")) - 1).alias("rank"))
+    assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
