@@ -43,11 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster the submitter names a shared folder; we only read it.  Only
-    when it is unset (local tests) do we pick a scratch folder of our own.
+    when it is unset on a local master (tests) do we pick a scratch folder of
+    our own; anywhere else a folder of this machine would not be seen by the
+    executors, so an unset setting is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="pivotspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
