@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import bpe, packing, quality_rules, url_filter
 from .common import table
 
 QUERIES = {}
@@ -27,3 +27,13 @@ def op2_url_filter(spark, sf_dir):
 @query("op4_quality_rules", quality_rules.oracle_sql())
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query("op5_bpe")
+def op5_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
