@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, url_filter
+from . import bpe, packing, quality_rules, simhash, url_filter
 from .common import table
 
 QUERIES = {}
@@ -37,3 +37,8 @@ def op3_packing(spark, sf_dir):
 @query("op5_bpe")
 def op5_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
