@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, simhash, url_filter
+from . import bpe, language_id, packing, pii, quality_rules, simhash, url_filter
 from .common import table
 
 QUERIES = {}
@@ -42,3 +42,14 @@ def op5_bpe(spark, sf_dir):
 @query("op8_simhash")
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
