@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, packing, pii, quality_rules, simhash, url_filter
+from . import bpe, html_extract, language_id, lz_fingerprint, packing, pii, quality_rules, simhash, url_filter
 from .common import table
 
 QUERIES = {}
@@ -53,3 +53,13 @@ def op10_pii(spark, sf_dir):
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
+
+
+@query("op1_html_extract")
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_lz_fingerprint")
+def op7_lz_fingerprint(spark, sf_dir):
+    return lz_fingerprint.with_edits(table(spark, sf_dir, "documents"))
