@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, language_id, lz_fingerprint, packing, pii, quality_rules, simhash, url_filter
+from . import (bpe, html_extract, language_id, lz_fingerprint, packing, pii, quality_rules, simhash, token_counts,
+               url_filter)
 from .common import table
 
 QUERIES = {}
@@ -63,3 +64,8 @@ def op1_html_extract(spark, sf_dir):
 @query("op7_lz_fingerprint")
 def op7_lz_fingerprint(spark, sf_dir):
     return lz_fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
