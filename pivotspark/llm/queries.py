@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import (bpe, html_extract, language_id, lz_fingerprint, packing, pii, quality_rules, simhash, token_counts,
                url_filter)
 from .common import table
@@ -69,3 +71,8 @@ def op7_lz_fingerprint(spark, sf_dir):
 @query("op6_token_counts")
 def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
