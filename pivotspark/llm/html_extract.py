@@ -27,9 +27,10 @@ once; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from collections import Counter
+from functools import cache
+from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,6 @@ from .url_filter import host_of
 MIN_PAGES = 8
 #: Share of a host's different pages that show a template block, in percent.
 TEMPLATE_PCT = 90
-#: Nodes of a folded tree that the matching looks at.
-ALIGN_CELLS = 250_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template nav aside form button select textarea iframe object svg "
@@ -56,7 +55,13 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
            "tfoot": ("tr", "td", "th", "tbody", "thead")}
 _SCOPES = frozenset(("ul", "ol", "dl", "table", "select", "html", "body"))
 _ENDS_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "legend"}
+_P_SCOPES = _SCOPES | {"li", "td", "th", "div", "article", "section", "blockquote", "main"}
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"))
+#: Elements whose content is text up to their own end tag.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_TAG_END = re.compile(r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"']\S*+)))?+""")
 _CUES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|"
     r"footer|masthead|topbar|cookies?|consent|gdpr|notice|disclaimer|popup|modal|overlay|newsletter|subscribe|signup|"
@@ -64,22 +69,72 @@ _CUES = re.compile(
 
 
 class _Node:
-    __slots__ = ("tag", "cls", "parent", "children", "dropped", "main")
+    __slots__ = ("tag", "cls", "parent", "children", "dropped", "main", "block")
 
     def __init__(self, tag: str, cls: str, parent, dropped: bool, main: bool):
         self.tag, self.cls, self.parent, self.dropped, self.main = tag, cls, parent, dropped, main
         self.children: list = []
+        # The element that a text in this one is a block of.
+        self.block = self if parent is None or tag in BLOCK or dropped else parent.block
 
 
-class _Dom(HTMLParser):
-    """Tree of elements; text becomes (text, starts a new block) leaves."""
+class Dom:
+    """Tree of elements and the text blocks in page order.  The markup is read
+    once from left to right; what it leaves open at its end is cut off."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, markup: str):
         self.root = self.at = _Node("#root", "", None, False, False)
+        self.open: Counter = Counter()
         self.blocks: list[tuple[_Node, str]] = []
         self.text: list[str] = []
         self.owner: _Node | None = None
+        self.read(markup)
+        self.flush()
+
+    def read(self, markup: str) -> None:
+        at, strict = 0, True
+        while at < len(markup):
+            start = markup.find("<", at)
+            if start < 0:
+                self.data(markup[at:])
+                return
+            if start > at:
+                self.data(markup[at:start])
+            after = markup[start + 1:start + 2]
+            if markup.startswith("<!--", start):
+                end = markup.find("-->", start + 2)
+                at = end + 3
+                if end < 0:
+                    return
+            elif after in ("!", "?") or after == "/" and not markup[start + 2:start + 3].isalpha():
+                end = markup.find(">", start)
+                at = end + 1
+                if end < 0:
+                    return
+            elif m := _NAME.match(markup, start):
+                closing, tag = m.group(1), m.group(2).lower()
+                end = _TAG_END.match(markup, m.end()) if strict else None
+                if end is None:
+                    # A quote is never closed: from here on, tags end at ">".
+                    strict = False
+                    stop = markup.find(">", m.end())
+                    if stop < 0:
+                        return
+                    at = stop + 1
+                else:
+                    at = end.end()
+                if closing:
+                    self.end(tag)
+                    continue
+                self.start(tag, markup[m.end():at - 1])
+                if tag in RAW:
+                    end = _raw_end(tag).search(markup, at)
+                    if end is None:
+                        return
+                    at = end.start()
+            else:
+                self.data("<")
+                at = start + 1
 
     def flush(self) -> None:
         if self.text:
@@ -89,86 +144,77 @@ class _Dom(HTMLParser):
             self.text = []
         self.owner = None
 
-    def pop_to(self, node: _Node) -> None:
-        self.at = node.parent
+    def close_to(self, node: _Node) -> None:
+        """Close ``node`` and all in it."""
+        while True:
+            self.open[self.at.tag] -= 1
+            done = self.at is node
+            self.at = self.at.parent
+            if done:
+                return
 
     def close_open(self, tags, scopes=_SCOPES) -> None:
-        """End the outermost open element of ``tags`` within the scope."""
+        """Close the outermost open element of ``tags`` within the scope."""
+        if not any(self.open[t] for t in tags):
+            return
         node, hit = self.at, None
         while node.parent is not None and node.tag not in scopes:
             if node.tag in tags:
                 hit = node
             node = node.parent
         if hit is not None:
-            self.pop_to(hit)
+            self.close_to(hit)
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, rest: str) -> None:
         if tag in BLOCK:
             self.flush()
         if tag in _ENDS_P:
-            self.close_open(("p",), _SCOPES | {"li", "td", "th", "div", "article", "section", "blockquote", "main"})
+            self.close_open(("p",), _P_SCOPES)
         if tag in _CLOSES:
             self.close_open(_CLOSES[tag])
-        if tag == "br" or tag == "wbr":
-            self.text.append(" " if tag == "br" else "")
+        if tag == "br":
+            self.data(" ")
         if tag in VOID:
             return
-        a = {k: v or "" for k, v in attrs}
+        a = {m[0].lower(): m[1] or m[2] or m[3] for m in reversed(_ATTRIBUTE.findall(rest))} if rest.strip() else {}
         cls = " ".join(sorted(a.get("class", "").lower().split()))
-        up = self.at
+        up, role = self.at, a.get("role", "").lower()
         marks = f"{cls} {a.get('id', '').lower()}"
-        main = up.main or tag in ("article", "main") or a.get("role") in ("main", "article")
+        main = up.main or tag in ("article", "main") or role in ("main", "article")
         keeps = tag in ("html", "body", "article", "main")
-        dropped = (up.dropped or tag in DROPPED or a.get("role") in _ROLES or "hidden" in a
+        dropped = (up.dropped or tag in DROPPED or role in _ROLES or "hidden" in a
                    or tag in OUTER and not up.main or not keeps and marks != " " and bool(_CUES.search(marks)))
         node = _Node(tag, cls, up, dropped, main)
         up.children.append(node)
+        self.open[tag] += 1
         self.at = node
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         if tag == "br":
-            self.text.append(" ")
+            self.data(" ")
+        if not self.open[tag]:
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag in ("body", "html") and tag not in ("body", "html"):
-                return
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.pop_to(node)
+        self.close_to(node)
 
-    def handle_data(self, data):
-        node = self.at
-        if node.dropped:
-            if self.text and not self.owner.dropped:
-                self.flush()
-        elif self.text and self.owner is not None and self.owner.dropped:
+    def data(self, text: str) -> None:
+        owner = self.at.block
+        if self.owner is not owner:
             self.flush()
-        if self.owner is None:
-            owner = node
-            while owner.parent is not None and owner.tag not in BLOCK:
-                owner = owner.parent
-            self.owner = node if node.dropped else owner
-        if node.tag not in ("script", "style"):
-            self.text.append(data)
-
-    def close(self):
-        super().close()
-        self.flush()
+            self.owner = owner
+        if self.at.tag not in ("script", "style"):
+            self.text.append(unescape(text) if "&" in text else text)
 
 
-def parse(html: str | None) -> _Dom:
-    dom = _Dom()
-    dom.feed(html or "")
-    dom.close()
-    return dom
+def parse(html: str | None) -> Dom:
+    return Dom(html or "")
 
 
-def fold(dom: _Dom) -> tuple[list[tuple[str, int]], list[int]]:
+def fold(dom: Dom) -> tuple[list[tuple[str, int]], list[int]]:
     """The folded tree as (label, parent number) in preorder, and the folded
     node of each text block.  Siblings of one label share a node."""
     nodes: list[tuple[str, int]] = [("#root", -1)]
@@ -188,6 +234,11 @@ def fold(dom: _Dom) -> tuple[list[tuple[str, int]], list[int]]:
     return nodes, [number[id(owner)] for owner, _ in dom.blocks]
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE)
+
+
 def _children(nodes: list[tuple[str, int]]) -> list[list[int]]:
     out: list[list[int]] = [[] for _ in nodes]
     for i, (_, up) in enumerate(nodes):
@@ -196,44 +247,56 @@ def _children(nodes: list[tuple[str, int]]) -> list[list[int]]:
     return out
 
 
+def _chain(pairs: list[tuple[int, int, int]]) -> tuple[int, list[int]]:
+    """Heaviest chain of (place, other place, weight), both places rising;
+    first places rise already and no place occurs twice.  Returns its weight
+    and its members.  A Fenwick tree holds the best chain up to each place."""
+    rank = {q: k for k, q in enumerate(sorted(q for _, q, _ in pairs))}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(pairs) + 1)
+    back = []
+    top = (0, -1)
+    for k, (_, q, weight) in enumerate(pairs):
+        best, i = (0, -1), rank[q]
+        while i > 0:
+            best = max(best, tree[i])
+            i &= i - 1
+        back.append(best[1])
+        best, i = (best[0] + weight, k), rank[q] + 1
+        top = max(top, best)
+        while i <= len(pairs):
+            tree[i] = max(tree[i], best)
+            i += i & -i
+    members, k = [], top[1]
+    while k >= 0:
+        members.append(k)
+        k = back[k]
+    return top[0], members
+
+
 def align(page: list[tuple[str, int]], seed: list[tuple[str, int]]) -> list[int]:
     """Simple tree matching of two folded trees: the seed node of each page
     node, -1 if unmatched.  The largest order-preserving matching of nodes with
-    equal labels whose parents match."""
+    equal labels whose parents match; folding leaves one child per label, so a
+    node has one candidate at most."""
     a, b = _children(page), _children(seed)
-    sizes: dict[tuple[int, int], int] = {}
-    grids: dict[tuple[int, int], np.ndarray] = {}
+    result: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
     stack = [(0, 0, False)]
     while stack:
         i, j, ready = stack.pop()
-        if (i, j) in sizes:
-            continue
-        same = [(p, q) for p, x in enumerate(a[i]) for q, y in enumerate(b[j]) if page[x][0] == seed[y][0]]
+        place = {seed[y][0]: q for q, y in enumerate(b[j])}
+        same = [(p, place[page[x][0]]) for p, x in enumerate(a[i]) if page[x][0] in place]
         if not ready:
             stack.append((i, j, True))
             stack += [(a[i][p], b[j][q], False) for p, q in same]
             continue
-        # Folding leaves one child per label: matching is a longest increasing
-        # chain of the weighted pairs.
-        best: list[tuple[int, int]] = []
-        for k, (p, q) in enumerate(same):
-            weight, back = 0, -1
-            for m in range(k):
-                if same[m][0] < p and same[m][1] < q and best[m][0] > weight:
-                    weight, back = best[m][0], m
-            best.append((weight + sizes[a[i][p], b[j][q]], back))
-        sizes[i, j] = 1 + max((w for w, _ in best), default=0)
-        grids[i, j] = (same, best)
+        weight, members = _chain([(p, q, result[a[i][p], b[j][q]][0]) for p, q in same])
+        result[i, j] = 1 + weight, [(a[i][same[k][0]], b[j][same[k][1]]) for k in members]
     out = [-1] * len(page)
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
         out[i] = j
-        same, best = grids[i, j]
-        k = max(range(len(best)), key=lambda m: best[m][0], default=-1)
-        while k >= 0:
-            todo.append((a[i][same[k][0]], b[j][same[k][1]]))
-            k = best[k][1]
+        todo += result[i, j][1]
     return out
 
 
@@ -246,7 +309,7 @@ def unpack_tree(text: str) -> list[tuple[str, int]]:
     return [(label, int(up)) for up, label in pairs]
 
 
-def content(dom: _Dom, owners: list[int], place: list[int], template: set[tuple[int, str]]) -> list[str]:
+def content(dom: Dom, owners: list[int], place: list[int], template: set[tuple[int, str]]) -> list[str]:
     """The blocks of the content slots in page order."""
     rows = [(node, block) for k, (node, block) in enumerate(dom.blocks)
             if not node.dropped and (place[owners[k]], block) not in template]

@@ -265,6 +265,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     any one of equal ids).  Rows get a number of their own, written with them,
     so that repeated ids are told apart."""
     row = "__row"
+    while row in docs.columns:
+        row += "_"
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     prints = stored(fingerprints(numbered, [row, id_col], text_col, shingle), "simhash")
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row)))
