@@ -46,8 +46,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template nav aside form button select textarea iframe object svg "
                     "canvas dialog head menu title audio video map".split())
 OUTER = frozenset(("header", "footer"))
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 "
-                  "h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th "
+BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 "
+                  "h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th "
                   "thead tr ul caption".split())
 #: What an opening tag closes, up to the nearest of the given scopes.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -75,12 +75,13 @@ class _Node:
         self.tag, self.cls, self.parent, self.dropped, self.main = tag, cls, parent, dropped, main
         self.children: list = []
         # The element that a text in this one is a block of.
-        self.block = self if parent is None or tag in BLOCK or dropped else parent.block
+        self.block = self if parent is None or tag in BLOCK else parent.block
 
 
 class Dom:
-    """Tree of elements and the text blocks in page order.  The markup is read
-    once from left to right; what it leaves open at its end is cut off."""
+    """Tree of elements and, in page order, the text blocks that no dropped
+    element holds.  The markup is read once from left to right; what it leaves
+    open at its end is cut off."""
 
     def __init__(self, markup: str):
         self.root = self.at = _Node("#root", "", None, False, False)
@@ -202,12 +203,13 @@ class Dom:
         self.close_to(node)
 
     def data(self, text: str) -> None:
+        if self.at.dropped:
+            return
         owner = self.at.block
         if self.owner is not owner:
             self.flush()
             self.owner = owner
-        if self.at.tag not in ("script", "style"):
-            self.text.append(unescape(text) if "&" in text else text)
+        self.text.append(unescape(text) if "&" in text else text)
 
 
 def parse(html: str | None) -> Dom:
@@ -311,8 +313,7 @@ def unpack_tree(text: str) -> list[tuple[str, int]]:
 
 def content(dom: Dom, owners: list[int], place: list[int], template: set[tuple[int, str]]) -> list[str]:
     """The blocks of the content slots in page order."""
-    rows = [(node, block) for k, (node, block) in enumerate(dom.blocks)
-            if not node.dropped and (place[owners[k]], block) not in template]
+    rows = [(node, block) for owner, (node, block) in zip(owners, dom.blocks) if (place[owner], block) not in template]
     inner = [block for node, block in rows if node.main]
     return inner or [block for _, block in rows]
 
@@ -322,8 +323,8 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def trees(pages: DataFrame) -> DataFrame:
-    """One row for each different page of a host: host, tree, the folded node
-    and 64-bit hash of each text block that is not dropped anyway, page hash."""
+    """One row for each page with a host: host, tree, the folded node and hash
+    of each text block, page hash."""
     rows = _hosted(pages).where((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html")
 
     def run(batches):
@@ -334,7 +335,7 @@ def trees(pages: DataFrame) -> DataFrame:
             for host, html in zip(*(c.to_pylist() for c in batch.columns)):
                 dom = parse(html)
                 nodes, owners = fold(dom)
-                blocks = sorted({(o, xxh64_intdigest(b) >> 1) for o, (n, b) in zip(owners, dom.blocks) if not n.dropped})
+                blocks = sorted({(o, xxh64_intdigest(b) >> 1) for o, (_, b) in zip(owners, dom.blocks)})
                 out.append((host, pack_tree(nodes), [o for o, _ in blocks], [h for _, h in blocks], xxh64_intdigest(html) >> 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
