@@ -93,19 +93,23 @@ def flip_flag(paired: DataFrame) -> Column:
 
 
 def flips_vs_base(paired: DataFrame) -> DataFrame:
-    f = flip_flag(paired)
+    """Flips per run.  A missing base row is a flip either way; among positive
+    and negative flips it counts as a wrong base."""
+    base = F.coalesce("base_correct", F.lit(False))
     return paired.groupBy("run").agg(
-        F.sum(f.cast("long")).alias("flips"),
-        F.sum((f & F.col("correct")).cast("long")).alias("positive_flips"),
-        F.sum((f & ~F.col("correct")).cast("long")).alias("negative_flips"),
+        F.sum(flip_flag(paired).cast("long")).alias("flips"),
+        F.sum((F.col("correct") & ~base).cast("long")).alias("positive_flips"),
+        F.sum((~F.col("correct") & base).cast("long")).alias("negative_flips"),
         F.count(F.lit(1)).alias("n"))
 
 
 def flip_table(scored: DataFrame, base_run, config: DataFrame, key: str = "idx") -> DataFrame:
-    """One row per example whose outcome differs from the base run's."""
+    """One row per example whose outcome differs from the base run's (wrong
+    where the base run lacks the example)."""
     base = scored.where(F.col("run") == base_run).select(key, F.col("correct").alias("base_correct"))
     arms = scored.where(F.col("run") != base_run)
-    j = arms.join(base, key).where(F.col("base_correct") != F.col("correct"))
+    j = arms.join(base, key, "left").withColumn("base_correct", F.coalesce("base_correct", F.lit(False)))
+    j = j.where(F.col("base_correct") != F.col("correct"))
     return j.join(config.select("run", "factor"), "run", "left")
 
 
@@ -114,39 +118,53 @@ def flip_set(paired: DataFrame, runs: Sequence, key: str = "idx") -> DataFrame:
     return paired.where(F.col("run").isin(list(runs)) & flip_flag(paired)).select(key).distinct()
 
 
-def flip_overlap(paired: DataFrame, runs_a: Sequence, runs_b: Sequence, key: str = "idx") -> DataFrame:
-    """Sizes, Jaccard (|A & B| / max(1, |A | B|)) and one-sided counts of the
-    flip set of ``runs_a`` and the union of the flip sets of ``runs_b``.
-
-    One pass: flipped rows of either side are reduced to one row per idx
-    with membership flags (a single shuffle on idx), then counted."""
+def flip_sides(paired: DataFrame, runs_a: Sequence, runs_b: Sequence, key: str = "idx") -> DataFrame:
+    """One row per idx that a run of either side flips: (key, in_a, in_b).
+    One pass: flipped rows are reduced to membership flags by one shuffle."""
     a, b = list(runs_a), list(runs_b)
     flips = paired.where(F.col("run").isin(a + b) & flip_flag(paired))
-    per_id = flips.groupBy(key).agg(F.max(F.col("run").isin(a)).alias("_a"),
-                                    F.max(F.col("run").isin(b)).alias("_b"))
-    c = lambda e: F.sum(e.cast("long"))
-    out = per_id.agg(c(F.col("_a")).alias("n_a"), c(F.col("_b")).alias("n_b"),
-                     c(F.col("_a") & F.col("_b")).alias("n_both"), F.count(F.lit(1)).alias("n_union"),
-                     c(F.col("_a") & ~F.col("_b")).alias("n_a_only"), c(~F.col("_a") & F.col("_b")).alias("n_b_only"))
+    return flips.groupBy(key).agg(F.max(F.col("run").isin(a)).alias("in_a"), F.max(F.col("run").isin(b)).alias("in_b"))
+
+
+def flip_overlap(paired: DataFrame, runs_a: Sequence, runs_b: Sequence, key: str = "idx") -> DataFrame:
+    """Sizes, Jaccard (|A & B| / max(1, |A | B|)) and one-sided counts of the
+    flip set of ``runs_a`` and the union of the flip sets of ``runs_b``."""
+    c = lambda e: F.coalesce(F.sum(e.cast("long")), F.lit(0))
+    a, b = F.col("in_a"), F.col("in_b")
+    out = flip_sides(paired, runs_a, runs_b, key).agg(
+        c(a).alias("n_a"), c(b).alias("n_b"), c(a & b).alias("n_both"), F.count(F.lit(1)).alias("n_union"),
+        c(a & ~b).alias("n_a_only"), c(~a & b).alias("n_b_only"))
     return out.withColumn("jaccard", F.col("n_both") / F.greatest(F.lit(1), F.col("n_union")))
 
 
+def flip_overlap_ids(paired: DataFrame, runs_a: Sequence, runs_b: Sequence, key: str = "idx") -> DataFrame:
+    """The id tables behind ``flip_overlap``: (key, side), side being both,
+    a_only or b_only.  A's flips are both + a_only."""
+    side = (F.when(F.col("in_a") & F.col("in_b"), "both").when(F.col("in_a"), "a_only").otherwise("b_only"))
+    return flip_sides(paired, runs_a, runs_b, key).select(key, side.alias("side"))
+
+
 # -- F12 / F13 / F14 ------------------------------------------------------------------
 
+def random_band(metrics: DataFrame, config: DataFrame) -> DataFrame:
+    """Per factor, over its random arms: mean, population std and number of
+    accuracies, and the accuracies by run as a string of millionths."""
+    rnd = metrics.join(config, "run").where(F.col("arm") == "random")
+    by_run = F.array_sort(F.collect_list(F.struct("run", F.round(F.col("accuracy") * 1e6).cast("long").alias("a"))))
+    return rnd.groupBy("factor").agg(
+        F.avg("accuracy").alias("random_mean"), F.stddev_pop("accuracy").alias("random_std"),
+        F.count("accuracy").alias("n_random"),
+        F.array_join(F.transform(by_run, lambda x: x["a"].cast("string")), ",").alias("random_accs"))
+
+
 def random_null_summary(metrics: DataFrame, config: DataFrame, base_run=1) -> DataFrame:
-    """For each pivotal run: base, pivotal, the random arms' mean and
-    population std, and the pivotal - random difference in points.  The
-    per-run table has one row per run, so the summary columns are windows
-    over that small table (computed once, no re-derivation of the runs)."""
-    m = metrics.join(config, "run")
-    every = Window.partitionBy(F.lit(0))  # one row per run: a bounded table
-    rnd = F.when(F.col("arm") == "random", F.col("accuracy"))
-    m = (m.withColumn("base_acc", F.max(F.when(F.col("run") == base_run, F.col("accuracy"))).over(every))
-         .withColumn("random_mean", F.avg(rnd).over(every))
-         .withColumn("random_std", F.stddev_pop(rnd).over(every))
-         .withColumn("n_random", F.count(rnd).over(every)))
-    out = m.where(F.col("arm") == "pivotal").select(
-        "factor", F.col("accuracy").alias("pivotal_acc"), "base_acc", "random_mean", "random_std", "n_random")
+    """For each pivotal run: base accuracy, its own, the band of the random
+    arms at the same factor, and the pivotal - random mean difference in
+    points.  Factors without a random arm have a null band."""
+    base = metrics.where(F.col("run") == base_run).select("accuracy").scalar()
+    out = (metrics.join(config, "run").where(F.col("arm") == "pivotal")
+           .select("factor", F.col("accuracy").alias("pivotal_acc"), base.alias("base_acc"))
+           .join(random_band(metrics, config), "factor", "left"))
     return out.withColumn("pivotal_vs_random_mean_pp", (F.col("pivotal_acc") - F.col("random_mean")) * 100)
 
 

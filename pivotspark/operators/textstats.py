@@ -79,3 +79,11 @@ def delta_histogram(df: DataFrame, value_col: str, bins: int = 40) -> DataFrame:
     h = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return h.select("bin", (lo + F.col("bin") * width).alias("left"),
                     (lo + (F.col("bin") + 1) * width).alias("right"), "count")
+
+
+def top_tokens_by_median(df: DataFrame, token_col: str, value_col: str, k: int) -> DataFrame:
+    """The k tokens of the largest exact median of ``value_col`` (ties by
+    token): token, median, rank."""
+    from .ranking import exact_group_quantile
+    m = exact_group_quantile(df, [token_col], value_col, 0.5, "median").withColumn("_all", F.lit(1))
+    return topk_per_group(m, ["_all"], [F.col("median").desc(), F.col(token_col)], k).drop("_all")

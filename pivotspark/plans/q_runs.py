@@ -137,22 +137,22 @@ def q_gained_lost_ids(spark, sf):
 @query("flips_vs_base", _run_sql("""
 SELECT CAST(run AS BIGINT) AS run,
        CAST(sum(CASE WHEN base_correct IS DISTINCT FROM correct THEN 1 ELSE 0 END) AS BIGINT) AS flips,
-       CAST(sum(CASE WHEN base_correct IS DISTINCT FROM correct AND correct THEN 1 ELSE 0 END) AS BIGINT)
+       CAST(sum(CASE WHEN correct AND NOT coalesce(base_correct, false) THEN 1 ELSE 0 END) AS BIGINT)
            AS positive_flips,
-       CAST(sum(CASE WHEN base_correct IS DISTINCT FROM correct AND NOT correct THEN 1 ELSE 0 END) AS BIGINT)
+       CAST(sum(CASE WHEN NOT correct AND coalesce(base_correct, false) THEN 1 ELSE 0 END) AS BIGINT)
            AS negative_flips,
        CAST(count(*) AS BIGINT) AS n
 FROM paired GROUP BY run"""))
 def q_flips_vs_base(spark, sf):
-    """F8: flips against base (missing base = flip)."""
+    """F8: flips against base (missing base = flip, and wrong for the signs)."""
     return tidy(R.flips_vs_base(paired(spark, sf)))
 
 
 @query("flip_table", _run_sql("""
-SELECT CAST(p.run AS BIGINT) AS run, p.idx, round(c.factor, 6) AS factor, p.base_correct, p.correct,
-       p.ground_truth, p.predicted
+SELECT CAST(p.run AS BIGINT) AS run, p.idx, round(c.factor, 6) AS factor,
+       coalesce(p.base_correct, false) AS base_correct, p.correct, p.ground_truth, p.predicted
 FROM paired p LEFT JOIN run_config c USING (run)
-WHERE p.base_correct IS NOT NULL AND p.base_correct <> p.correct"""))
+WHERE coalesce(p.base_correct, false) <> p.correct"""))
 def q_flip_table(spark, sf):
     """one row per flipped example with factor, both outcomes, truth, prediction."""
     t = R.flip_table(scored(spark, sf), BASE, X.run_config(spark, sf))
@@ -174,10 +174,34 @@ SELECT CAST((SELECT count(*) FROM fa) AS BIGINT) AS n_a, CAST((SELECT count(*) F
                                   "AND base_correct IS DISTINCT FROM correct")])
 
 
-@query("flip_overlap", _overlap_sql("2", "5, 6, 7"))
+def _overlap_ids_sql(a_runs: str, b_runs: str):
+    return _run_sql("""
+SELECT coalesce(fa.idx, fb.idx) AS idx,
+       CASE WHEN fb.idx IS NULL THEN 'a_only' WHEN fa.idx IS NULL THEN 'b_only' ELSE 'both' END AS side
+FROM fa FULL OUTER JOIN fb ON fa.idx = fb.idx""",
+                    local=[("fa", f"SELECT DISTINCT idx FROM paired WHERE run IN ({a_runs}) "
+                                  "AND base_correct IS DISTINCT FROM correct"),
+                           ("fb", f"SELECT DISTINCT idx FROM paired WHERE run IN ({b_runs}) "
+                                  "AND base_correct IS DISTINCT FROM correct")])
+
+
+@query("flip_overlap", _overlap_sql("2", "4, 5"))
 def q_flip_overlap(spark, sf):
-    """the pivotal arm's flips (run 2) vs the union of the random arms'."""
-    return tidy(R.flip_overlap(paired(spark, sf), [2], [5, 6, 7]))
+    """the pivotal arm's flips (run 2) vs the union of the random arms'
+    at the same factor."""
+    return tidy(R.flip_overlap(paired(spark, sf), [2], [4, 5]))
+
+
+@query("flip_overlap_ids", _overlap_ids_sql("2", "4, 5"))
+def q_flip_overlap_ids(spark, sf):
+    """F10's id tables."""
+    return tidy(R.flip_overlap_ids(paired(spark, sf), [2], [4, 5]))
+
+
+@query("flip_overlap_pair_ids", _overlap_ids_sql("2", "3"))
+def q_flip_overlap_pair_ids(spark, sf):
+    """F11's id tables."""
+    return tidy(R.flip_overlap_ids(paired(spark, sf), [2], [3]))
 
 
 @query("flip_overlap_pair", _overlap_sql("2", "3"))
@@ -186,19 +210,23 @@ def q_flip_overlap_pair(spark, sf):
     return tidy(R.flip_overlap(paired(spark, sf), [2], [3]))
 
 
+_BAND = ("band", """SELECT factor, avg(accuracy) AS random_mean, stddev_pop(accuracy) AS random_std, count(*) AS n_random,
+                           string_agg(CAST(CAST(round(accuracy * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY run) AS random_accs
+                    FROM metrics JOIN random_control_config USING (run) WHERE arm = 'random' GROUP BY factor""")
+
+
 @query("random_null_summary", _run_sql("""
 SELECT round(c.factor, 6) AS factor, round(m.accuracy, 6) AS pivotal_acc,
        round((SELECT accuracy FROM metrics WHERE run = 1), 6) AS base_acc,
        round(r.random_mean, 6) AS random_mean, round(r.random_std, 6) AS random_std,
-       CAST(r.n_random AS BIGINT) AS n_random,
+       CAST(r.n_random AS BIGINT) AS n_random, r.random_accs,
        round((m.accuracy - r.random_mean) * 100, 6) AS pivotal_vs_random_mean_pp
-FROM metrics m JOIN run_config c USING (run),
-     (SELECT avg(accuracy) AS random_mean, stddev_pop(accuracy) AS random_std, count(*) AS n_random
-      FROM metrics JOIN run_config USING (run) WHERE arm = 'random') r
-WHERE c.arm = 'pivotal'"""))
+FROM metrics m JOIN random_control_config c USING (run) LEFT JOIN band r ON r.factor = c.factor
+WHERE c.arm = 'pivotal'""", "random_control_config", local=[_BAND]))
 def q_random_null_summary(spark, sf):
-    """pivotal vs random arms: mean, population std, difference in points."""
-    return tidy(R.random_null_summary(metrics(spark, sf), X.run_config(spark, sf), BASE))
+    """pivotal vs the random arms at its factor: accuracies, mean,
+    population std, difference in points."""
+    return tidy(R.random_null_summary(metrics(spark, sf), X.random_control_config(spark, sf), BASE))
 
 
 @query("run_table", _run_sql("""
@@ -283,25 +311,23 @@ def _run_names(spark, sf):
 
 @query("prior_run_overlay", _run_sql("""
 SELECT round(coalesce(p.factor, b.factor), 6) AS factor, round(p.accuracy, 6) AS prior_accuracy,
-       round(b.random_mean, 6) AS random_mean
+       round(b.random_mean, 6) AS random_mean, round(b.random_std, 6) AS random_std
 FROM (SELECT TRY_CAST(substr(name, 9) AS DOUBLE) AS factor, accuracy
       FROM (SELECT CASE WHEN arm = 'base' THEN 'base'
                         WHEN arm = 'pivotal' THEN 'steered_' || CAST(factor AS VARCHAR)
                         ELSE 'steered_x' || CAST(run AS VARCHAR) END AS name, accuracy
             FROM metrics JOIN run_config USING (run))
       WHERE name LIKE 'steered\\_%' ESCAPE '\\' AND TRY_CAST(substr(name, 9) AS DOUBLE) IS NOT NULL) p
-FULL OUTER JOIN (SELECT factor, avg(accuracy) AS random_mean FROM metrics JOIN run_config USING (run)
-                 WHERE arm = 'random' GROUP BY factor) b ON p.factor = b.factor"""))
+FULL OUTER JOIN band b ON p.factor = b.factor""", "random_control_config", local=[_BAND]))
 def q_prior_run_overlay(spark, sf):
     """factor parsed from 'steered_<f>' run names (unparsable dropped),
-    outer-joined with the random band per factor."""
+    outer-joined with the random band (mean, std) per factor."""
     names = _run_names(spark, sf).join(metrics(spark, sf), "run")
     prior = names.select(R.parse_prefixed_factor("name").alias("factor"), "accuracy").where(
         F.col("factor").isNotNull()).withColumnRenamed("accuracy", "prior_accuracy")
-    band = (metrics(spark, sf).join(X.run_config(spark, sf), "run").where(F.col("arm") == "random")
-            .groupBy("factor").agg(F.avg("accuracy").alias("random_mean")))
+    band = R.random_band(metrics(spark, sf), X.random_control_config(spark, sf))
     j = prior.join(band, "factor", "full_outer")
-    return tidy(j.select("factor", "prior_accuracy", "random_mean"))
+    return tidy(j.select("factor", "prior_accuracy", "random_mean", "random_std"))
 
 
 @query("decode_mode_compare", _run_sql("""

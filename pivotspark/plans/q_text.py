@@ -117,24 +117,17 @@ WHERE rank <= 20
 UNION ALL
 SELECT 'positive', CAST(rank AS BIGINT), pivot_token, round(med, 6)
 FROM (SELECT pivot_token, med, row_number() OVER (ORDER BY med DESC, pivot_token) AS rank
-      FROM (SELECT pivot_token, median(prob_delta) AS med FROM vector_corpus WHERE prob_delta > 0
-            GROUP BY 1 HAVING count(*) >= 2))
-WHERE rank <= 3""", "vector_corpus"))
+      FROM (SELECT pivot_token, median(prob_delta) AS med FROM vector_corpus WHERE prob_delta > 0 GROUP BY 1)) t
+WHERE rank <= 3 AND (SELECT count(*) FROM vector_corpus v WHERE v.pivot_token = t.pivot_token) >= 2""", "vector_corpus"))
 def q_top_tokens_median(spark, sf):
-    """top-20 tokens by median |delta|; top-3 by median positive delta
-    among tokens with >= 2 positive rows."""
+    """top-20 tokens by median |delta|; the top-3 by median positive
+    delta, of which those with fewer than two rows in all are skipped."""
+    from ..operators.textstats import top_tokens_by_median
     c = X.vector_corpus(spark, sf)
-    from ..operators.ranking import exact_group_quantile
-    a = exact_group_quantile(c.withColumn("abs_delta", F.abs("prob_delta")), ["pivot_token"], "abs_delta", 0.5,
-                             "median").withColumn("_all", F.lit(1))
-    a = S.topk_per_group(a, ["_all"], [F.col("median").desc(), F.col("pivot_token")], 20, salt_buckets=0) \
-        .withColumn("kind", F.lit("abs"))
-    pos = c.where(F.col("prob_delta") > 0)
-    big = pos.groupBy("pivot_token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
-    p = (exact_group_quantile(pos, ["pivot_token"], "prob_delta", 0.5, "median")
-         .join(big.select("pivot_token"), "pivot_token").withColumn("_all", F.lit(1)))
-    p = S.topk_per_group(p, ["_all"], [F.col("median").desc(), F.col("pivot_token")], 3, salt_buckets=0) \
-        .withColumn("kind", F.lit("positive"))
+    a = top_tokens_by_median(c.withColumn("abs_delta", F.abs("prob_delta")), "pivot_token", "abs_delta", 20)
+    p = top_tokens_by_median(c.where(F.col("prob_delta") > 0), "pivot_token", "prob_delta", 3)
+    n = c.groupBy("pivot_token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
+    a, p = a.withColumn("kind", F.lit("abs")), p.join(n, "pivot_token").withColumn("kind", F.lit("positive"))
     cols = ["kind", "rank", "pivot_token", "median"]
     return tidy(a.select(*cols).unionByName(p.select(*cols)))
 

@@ -127,14 +127,15 @@ def q_topk_vector_sum(spark, sf):
 
 
 @query("group_representative", with_ctes("""
-SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(dim AS BIGINT) AS dim, round(x, 6) AS value
-FROM corpus_long WHERE row_id IN (SELECT min(row_id) FROM vector_corpus GROUP BY cluster_id)""",
+SELECT pivot_token, CAST(dim AS BIGINT) AS dim, round(v, 6) AS value
+FROM (SELECT pivot_token, arg_min(cluster_id, row_id) AS cluster_id FROM vector_corpus GROUP BY 1)
+JOIN (SELECT cluster_id, dim, avg(x) AS v FROM corpus_long GROUP BY 1, 2) USING (cluster_id)""",
                                          "corpus_long", "vector_corpus"))
 def q_group_representative(spark, sf):
-    """The first row's vector per cluster."""
-    c = X.vector_corpus(spark, sf)
-    rep = V.group_representative(c, "cluster_id", "steering_vector", "row_id")
-    return tidy(_long(rep, ["cluster_id"], "vector"))
+    """The cluster vector of the first row of each token's rows."""
+    c = X.vector_corpus_clustered(spark, sf)
+    rep = V.group_representative(c, "pivot_token", "cluster_vector", "row_id")
+    return tidy(_long(rep, ["pivot_token"], "vector"))
 
 
 _TOPK_RAW = """

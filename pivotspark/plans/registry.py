@@ -132,6 +132,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(CASE run WHEN 2 THEN 1.2 WHEN 3 THEN 1.4 WHEN 4 THEN 1.6 WHEN 5 THEN 2.0
                              WHEN 6 THEN 0.0 WHEN 7 THEN -1.0 END AS DOUBLE) AS factor
         FROM (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS run FROM lineitem)"""),
+    "random_control_config": ((), """
+        SELECT run, CASE WHEN run = 1 THEN 'base' WHEN run IN (2, 3) THEN 'pivotal'
+                         WHEN run IN (4, 5, 6, 7) THEN 'random' END AS arm,
+               CAST(CASE WHEN run IN (2, 4, 5) THEN 1.2 WHEN run IN (3, 6, 7) THEN 1.4 END AS DOUBLE) AS factor
+        FROM (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS run FROM lineitem)"""),
     "token_texts": ((), """
         SELECT CASE WHEN l.quality = 1 THEN 'base' ELSE 'steered' END AS run, d.doc_id, d.text,
                d.source AS task

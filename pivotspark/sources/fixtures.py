@@ -22,6 +22,10 @@ TEST_SIZE = 0.2
 # run -> steering factor of the generations fixture (run 1 is the base run)
 RUN_FACTORS = {2: 1.2, 3: 1.4, 4: 1.6, 5: 2.0, 6: 0.0, 7: -1.0}
 RANDOM_ARM_RUNS = (5, 6, 7)
+# run -> (arm, factor) of the random-control experiment: two factors, two
+# random directions each
+CONTROL_RUNS = {1: ("base", None), 2: ("pivotal", 1.2), 3: ("pivotal", 1.4), 4: ("random", 1.2), 5: ("random", 1.2),
+                6: ("random", 1.4), 7: ("random", 1.4)}
 
 
 def _layers(n: int = N_LAYERS):
@@ -114,7 +118,14 @@ def vector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("tok"), (F.col("user_id") % 17).cast("string")).alias("pivot_token"),
         F.col("embedding").alias("steering_vector"),
         F.col("label").alias("cluster_id"))
+    return rows
+
+
+def vector_corpus_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vector_corpus`` with ``cluster_vector``, the centroid of the row's
+    cluster (for the operators that read it)."""
     from ..operators.vectors import centroid_arrays
+    rows = vector_corpus(spark, sf_dir)
     cents = centroid_arrays(rows, ["cluster_id"], "steering_vector").withColumnRenamed(
         "centroid", "cluster_vector")
     return rows.join(cents, "cluster_id")
@@ -151,6 +162,15 @@ def run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run", arm.alias("arm"), factor.alias("factor"))
 
 
+def random_control_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run -> (arm, factor) of the random-control experiment: every pivotal
+    factor has random arms of its own."""
+    runs = load(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("run")).distinct()
+    pick = lambda k, kind: F.coalesce(*[F.when(F.col("run") == r, F.lit(v[k]).cast(kind))
+                                        for r, v in CONTROL_RUNS.items()])
+    return runs.select("run", pick(0, "string").alias("arm"), pick(1, "double").alias("factor"))
+
+
 def token_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, doc_id, text): English documents with labels; quality 1 = base,
     quality 0 = steered."""
