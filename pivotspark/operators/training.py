@@ -7,11 +7,9 @@
   distributed L-BFGS (tree aggregates over the executors); the layers are
   submitted concurrently from a small thread pool.  Only coefficients (one
   hidden-size vector per layer) come back to the driver.
-* Adam probes: one Spark job per epoch for all layers; each partition of a
-  (layer, bucket) repartition runs mini-batch Adam on its shard with numpy
-  starting from the current parameters, and the parameters are averaged
-  (weighted by rows).  This is parameter averaging, not one-machine Adam:
-  the numbers differ from a single sequential run.
+* Adam probes: one Spark job per epoch for all layers.  A layer of up to
+  ``SHARD_ROWS`` rows is sequential mini-batch Adam; a larger one is cut into
+  shards of that size, whose parameters and moments are averaged each epoch.
 """
 
 from __future__ import annotations
@@ -21,19 +19,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import new_path
 from .probes import apply_scaler, scaler_arrays
 
 
-def _layers(df: DataFrame, layers: Sequence[int] | None) -> list[int]:
-    if layers:
-        return [int(x) for x in layers]
-    return [r[0] for r in df.select("layer").distinct().orderBy("layer").collect()]  # tens of values
-
-
 def train_logreg_layers(train: DataFrame, layers: Sequence[int] | None = None, C: float = 1.0,
                         class_weight: str | None = None, max_iter: int = 100, tol: float = 1e-6,
                         parallelism: int = 8, vec_col: str = "activation", label_col: str = "label",
@@ -55,10 +47,13 @@ def train_logreg_layers(train: DataFrame, layers: Sequence[int] | None = None, C
         tot = scaled.groupBy("layer").agg(F.count(F.lit(1)).alias("_n"))
         scaled = (scaled.join(F.broadcast(cnt), ["layer", "y"]).join(F.broadcast(tot), "layer")
                   .withColumn("w", F.col("_n") / (2.0 * F.col("_nc"))).drop("_nc", "_n"))
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    todo = _layers(scaled, layers)
+    # written once by layer: each fit reads its own partition only
+    path = new_path(spark, "scaled")
+    scaled.write.partitionBy("layer").parquet(path)
+    scaled = spark.read.schema(scaled.schema).parquet(path)
     counts = {r["layer"]: (r["n"], r["npos"]) for r in scaled.groupBy("layer").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("npos")).collect()}
+    todo = [int(x) for x in layers] if layers else sorted(counts)
 
     def fit(job):
         layer, c = job
@@ -73,11 +68,9 @@ def train_logreg_layers(train: DataFrame, layers: Sequence[int] | None = None, C
         m = lr.fit(scaled.where(F.col("layer") == layer))
         return (int(layer), float(c), int(n), [float(x) for x in m.coefficients.toArray()], float(m.intercept))
 
-    # every (layer, C) fit shares the one persisted, scaled table
     jobs = [(layer, float(c)) for c in (cs or [C]) for layer in todo]
     with ThreadPoolExecutor(max(1, parallelism)) as ex:
         fitted = [r for r in ex.map(fit, jobs) if r is not None]
-    scaled.unpersist()
     models = spark.createDataFrame(fitted, "layer int, c double, n_train long, coef_scaled array<double>, "
                                            "intercept_scaled double")
     j = models.join(scaler, "layer")
@@ -93,66 +86,113 @@ def c_sweep(train: DataFrame, cs: Sequence[float] = (0.001, 0.01, 0.1, 1.0), **k
     return train_logreg_layers(train, cs=list(cs), **kw)
 
 
-# -- E5: Adam probes by parameter averaging -----------------------------------------
+# -- E5: Adam probes -------------------------------------------------------------
+
+SHARD_ROWS = 1 << 16
+
+
+def _adam_epoch(params: dict, lr: float, batch: int, schema_names: list[str]):
+    """The function of one epoch over rows sorted by (layer, shard, order).
+    Parameters, moments and the rows of an unfinished mini-batch are carried
+    from one Arrow batch to the next; each (layer, shard) gives one row."""
+
+    class Shard:
+        def __init__(self, layer: int, shard: int):
+            self.key = layer, shard
+            w, mw, vw, self.t = params[layer]
+            # the bias is the last entry, next to the weights
+            self.w, self.mw, self.vw = (np.array(a, dtype=np.float64) for a in (w, mw, vw))
+            self.n, self.loss, self.steps = 0, 0.0, 0
+            self.x: list = []
+            self.y: list = []
+
+        def add(self, x: np.ndarray, y: np.ndarray) -> None:
+            self.x.append(x)
+            self.y.append(y)
+            if sum(map(len, self.y)) >= batch:
+                xs, ys = np.concatenate(self.x), np.concatenate(self.y)
+                whole = len(ys) // batch * batch
+                for s in range(0, whole, batch):
+                    self.step(xs[s:s + batch], ys[s:s + batch])
+                self.x, self.y = [xs[whole:]], [ys[whole:]]
+
+        def step(self, x: np.ndarray, y: np.ndarray) -> None:
+            z = x @ self.w[:-1] + self.w[-1]
+            d = (1.0 / (1.0 + np.exp(-z)) - y) / len(y)
+            self.loss += float(np.mean(np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))))
+            g = np.append(d @ x, d.sum())
+            self.t, self.steps, self.n = self.t + 1, self.steps + 1, self.n + len(y)
+            self.mw = 0.9 * self.mw + 0.1 * g
+            self.vw = 0.999 * self.vw + 0.001 * g * g
+            self.w = self.w - lr * (self.mw / (1 - 0.9 ** self.t)) / (np.sqrt(self.vw / (1 - 0.999 ** self.t)) + 1e-8)
+
+        def row(self) -> pd.DataFrame:
+            if self.y and len(rest := np.concatenate(self.y)):
+                self.step(np.concatenate(self.x), rest)
+            return pd.DataFrame([[*self.key, self.n, self.t, self.loss, self.steps, self.w, self.mw, self.vw]],
+                                columns=schema_names)
 
-def _adam_epoch(params: dict, lr: float, batch: int, seed: int, epoch: int):
-    """Build the per-partition function for one epoch (params is a small
-    dict layer -> (w, b), shipped with the closure)."""
     def run(it):
+        now = None
         for pdf in it:
-            if pdf.empty:
-                continue
-            for layer, g in pdf.groupby("layer"):
-                w, b = params[int(layer)]
-                w, b = np.array(w, dtype=np.float64), float(b)
-                x = np.stack(g["x"].to_numpy()).astype(np.float64)
-                y = g["y"].to_numpy().astype(np.float64)
-                order = np.argsort(g["_h"].to_numpy() ^ np.int64(epoch * 0x9E3779B1 + seed))
-                x, y = x[order], y[order]
-                mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-                b1, b2, eps, t, losses = 0.9, 0.999, 1e-8, 0, []
-                for s in range(0, len(y), batch):
-                    xb, yb = x[s:s + batch], y[s:s + batch]
-                    z = xb @ w + b
-                    p = 1.0 / (1.0 + np.exp(-z))
-                    losses.append(float(np.mean(np.maximum(z, 0) - z * yb + np.log1p(np.exp(-np.abs(z))))))
-                    gw, gb = xb.T @ (p - yb) / len(yb), float(np.mean(p - yb))
-                    t += 1
-                    mw, vw = b1 * mw + (1 - b1) * gw, b2 * vw + (1 - b2) * gw * gw
-                    mb, vb = b1 * mb + (1 - b1) * gb, b2 * vb + (1 - b2) * gb * gb
-                    w = w - lr * (mw / (1 - b1 ** t)) / (np.sqrt(vw / (1 - b2 ** t)) + eps)
-                    b = b - lr * (mb / (1 - b1 ** t)) / (np.sqrt(vb / (1 - b2 ** t)) + eps)
-                yield pd.DataFrame({"layer": [int(layer)], "n": [len(y)], "w": [w.tolist()], "b": [b],
-                                    "loss_sum": [float(np.sum(losses))], "n_batches": [len(losses)]})
+            keys = pdf[["layer", "shard"]].to_numpy()
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *edges], [*edges, len(keys)]):
+                if a == b:
+                    continue
+                key = int(keys[a, 0]), int(keys[a, 1])
+                if now is None or now.key != key:
+                    if now is not None:
+                        yield now.row()
+                    now = Shard(*key)
+                now.add(np.stack(pdf["x"].iloc[a:b].to_numpy()).astype(np.float64), pdf["y"].iloc[a:b].to_numpy())
+        if now is not None:
+            yield now.row()
     return run
 
 
 def train_adam_layers(train: DataFrame, epochs: int = 10, lr: float = 1e-3, batch: int = 32,
-                      shards_per_layer: int = 4, seed: int = 42, vec_col: str = "activation",
+                      shard_rows: int = SHARD_ROWS, seed: int = 42, vec_col: str = "activation",
                       label_col: str = "label") -> tuple[DataFrame, DataFrame]:
-    """Returns (probes(layer, weights, bias), epoch_losses(layer, epoch, loss))."""
+    """Returns (probes(layer, weights, bias), epoch_losses(layer, epoch, loss)).
+
+    A layer of up to ``shard_rows`` rows is one shard: mini-batch Adam in a
+    hash order of its rows, a new one each epoch, with one optimizer over all
+    epochs.  A larger layer is cut into shards of about that many rows; after
+    each epoch the shards' parameters and moments are averaged by rows.  The
+    result does not depend on partitions or Arrow batches."""
     spark = train.sparkSession
-    data = train.select("layer", F.col(vec_col).alias("x"), (F.col(label_col) >= 0.5).cast("double").alias("y"),
-                        F.xxhash64(F.lit(seed), F.col(vec_col).cast("string")).alias("_h"))
-    data = data.repartition(F.col("layer"), F.pmod(F.col("_h"), F.lit(shards_per_layer))) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    dims = {r[0]: r[1] for r in data.groupBy("layer").agg(F.max(F.size("x"))).collect()}
-    params = {int(layer): (np.zeros(d).tolist(), 0.0) for layer, d in dims.items()}
+    rows = train.select(F.col("layer").cast("int").alias("layer"), F.col(vec_col).alias("x"),
+                        (F.col(label_col) >= 0.5).cast("double").alias("y"))
+    sizes = {r["layer"]: (r["n"], r["d"]) for r in rows.groupBy("layer").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).collect()}
+    if not sizes:
+        return (spark.createDataFrame([], "layer int, weights array<double>, bias double"),
+                spark.createDataFrame([], "layer int, epoch int, loss double"))
+    shards = F.coalesce(*[F.when(F.col("layer") == k, F.lit(-(-n // shard_rows))) for k, (n, _) in sizes.items()])
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "x", "y"), shards).cast("int"))
+    path = new_path(spark, "adam")
+    rows.write.parquet(path)
+    data = spark.read.schema(rows.schema).parquet(path)
+    params = {k: (np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), 0) for k, (_, d) in sizes.items()}
+    names = ["layer", "shard", "n", "t", "loss", "steps", "w", "mw", "vw"]
+    schema = "layer int, shard int, n long, t long, loss double, steps long, w array<double>, mw array<double>, vw array<double>"
     loss_rows = []
     for ep in range(epochs):
-        out = data.mapInPandas(_adam_epoch(params, lr, batch, seed, ep),
-                               "layer int, n long, w array<double>, b double, loss_sum double, n_batches long")
-        agg = out.groupBy("layer").agg(
-            F.sum("n").alias("n"), F.sum("loss_sum").alias("loss_sum"), F.sum("n_batches").alias("nb"),
-            F.collect_list(F.struct("n", "w", "b")).alias("parts")).collect()  # <= shards per layer
-        for r in agg:
-            tot = float(r["n"])
-            w = sum(np.array(p["w"]) * p["n"] for p in r["parts"]) / tot
-            b = sum(p["b"] * p["n"] for p in r["parts"]) / tot
-            params[int(r["layer"])] = (w.tolist(), float(b))
-            loss_rows.append((int(r["layer"]), ep + 1, float(r["loss_sum"] / max(1, r["nb"]))))
-    data.unpersist()
-    probes = spark.createDataFrame([(k, v[0], v[1]) for k, v in params.items()],
+        # equal rows are interchangeable, so ties of the order do not matter
+        order = F.xxhash64(F.lit(seed), F.lit(ep), "x", "y")
+        dealt = data.repartition("layer", "shard").sortWithinPartitions("layer", "shard", order, "x", "y")
+        parts = dealt.mapInPandas(_adam_epoch(params, lr, batch, names), schema)
+        # averaged by dimension in Spark; hidden size + 1 rows a layer come back
+        long = parts.select("layer", "n", "t", "loss", "steps", F.posexplode(F.arrays_zip("w", "mw", "vw")).alias("dim", "z"))
+        mean = lambda c: (F.sum(F.col(f"z.{c}") * F.col("n")) / F.sum("n")).alias(c)
+        got = long.groupBy("layer", "dim").agg(
+            mean("w"), mean("mw"), mean("vw"), F.max("t").alias("t"),
+            (F.sum("loss") / F.sum("steps")).alias("loss")).orderBy("layer", "dim").toPandas()
+        for layer, g in got.groupby("layer"):
+            params[int(layer)] = (g["w"].to_numpy(), g["mw"].to_numpy(), g["vw"].to_numpy(), int(g["t"].iloc[0]))
+            loss_rows.append((int(layer), ep + 1, float(g["loss"].iloc[0])))
+    probes = spark.createDataFrame([(k, v[0][:-1].tolist(), float(v[0][-1])) for k, v in params.items()],
                                    "layer int, weights array<double>, bias double")
     losses = spark.createDataFrame(loss_rows, "layer int, epoch int, loss double")
     return probes, losses

@@ -33,6 +33,52 @@ def test_adam_loss_decreases(spark):
         assert ls[-1] < ls[0]
 
 
+def _toy(spark, n, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 5)).round(3)
+    y = (x[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int)
+    return x, y, spark.createDataFrame([(0, [float(v) for v in r], int(k)) for r, k in zip(x, y)],
+                                       "layer int, activation array<double>, label int")
+
+
+def _weights(probes):
+    r = probes.first()
+    return np.append(r.weights, r.bias)
+
+
+def test_adam_does_not_depend_on_arrow_batches(spark):
+    _, _, df = _toy(spark, 1500)
+    key, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for size in ("100", "10000"):
+            spark.conf.set(key, size)
+            got.append(_weights(TR.train_adam_layers(df.repartition(int(size) % 7 + 1), epochs=3, shard_rows=400)[0]))
+    finally:
+        spark.conf.set(key, before)
+    assert np.allclose(got[0], got[1], atol=1e-12) and np.abs(got[0]).max() > 0.01
+
+
+def test_one_shard_is_sequential_adam(spark):
+    x, y, df = _toy(spark, 300)
+    probes, losses = TR.train_adam_layers(df, epochs=3, lr=0.01, batch=32)
+    w, m, v, t, means = np.zeros(6), np.zeros(6), np.zeros(6), 0, []
+    xb = np.hstack([x, np.ones((len(x), 1))])
+    for ep in range(3):
+        order = [r[0] for r in df.select(F.xxhash64(F.lit(42), F.lit(ep), "activation", F.col("label").cast("double"))).collect()]
+        order, loss = np.argsort(np.array(order), kind="stable"), []
+        for s in range(0, len(y), 32):
+            own = order[s:s + 32]
+            z = xb[own] @ w
+            loss.append(np.mean(np.logaddexp(0, z) - z * y[own]))
+            g = xb[own].T @ (1 / (1 + np.exp(-z)) - y[own]) / len(own)
+            t, m, v = t + 1, 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.01 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        means.append(np.mean(loss))
+    assert np.allclose(_weights(probes), w, atol=1e-9)
+    assert np.allclose([r.loss for r in losses.orderBy("epoch").collect()], means, atol=1e-9)
+
+
 def test_bootstrap_brackets_mean(spark):
     rng = np.random.default_rng(3)
     vals = rng.normal(1.0, 2.0, size=400).tolist()
