@@ -20,13 +20,20 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkEncoder, text_slices
+from .chunks import ChunkEncoder, ranges, text_slices
 from .common import vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 SHORT = 64
+#: Bytes of words that are merged together.
+TOGETHER = 1 << 19
+# ASCII marks but for the apostrophe (contractions) and "<" (special tokens).
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+# Letters below U+0250 that stay single when lower-cased, then marks.
+PLAIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]*[!-&(-/:;=-@\[-`{-~]*$"
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -78,36 +85,33 @@ class RankArrayBpe:
         return np.where(self.pairs[at] == key, self.rank[at], NO_RANK)
 
     def _short(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge words of one length, one a row; returns (parts, part counts)."""
-        n, width = parts.shape
-        counts = np.full(n, width)
-        if width < 2:
-            return parts, counts
+        """Merge words of one length, one a row; returns (parts, part counts).
+        Each round takes one part from every word that can still merge."""
+        out, counts = parts.copy(), np.full(len(parts), parts.shape[1])
+        rows, width = np.arange(len(parts)), parts.shape[1]
         ranks = self.ranks(parts[:, :-1], parts[:, 1:])
-        live = np.arange(n)
-        columns = np.arange(width)
-        while len(live):
-            at = ranks[live].argmin(axis=1)
-            best = ranks[live, at]
+        while width > 1 and len(rows):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
             going = best != NO_RANK
-            live, at, best = live[going], at[going], best[going]
-            if not len(live):
-                break
-            parts[live, at] = self.merged[best]
-            # Delete the boundary after ``at``: what follows moves up by one.
-            shift = np.minimum(columns + (columns > at[:, None]), width - 1)
-            parts[live] = np.take_along_axis(parts[live], shift, axis=1)
-            moved = np.take_along_axis(ranks[live], np.minimum(shift[:, :-1], width - 2), axis=1)
-            counts[live] -= 1
-            moved[:, width - 2] = NO_RANK
-            ranks[live] = moved
-            for left in (at - 1, at):
-                ok = (left >= 0) & (left + 1 < counts[live])
-                rows, cols = live[ok], left[ok]
-                ranks[rows, cols] = self.ranks(parts[rows, cols], parts[rows, cols + 1])
-            ranks[live, np.minimum(counts[live] - 1, width - 2)] = np.where(
-                counts[live] - 1 <= width - 2, NO_RANK, ranks[live, np.minimum(counts[live] - 1, width - 2)])
-        return parts, counts
+            if not going.all():
+                done = ~going
+                out[rows[done], :width], counts[rows[done]] = parts[done], width
+                rows, parts, ranks, at, best = rows[going], parts[going], ranks[going], at[going], best[going]
+            each = np.arange(len(rows))
+            parts[each, at] = self.merged[best]
+            # Delete the boundary behind ``at``: what follows moves up by one.
+            before = np.arange(width - 1) <= at[:, None]
+            parts = np.where(before, parts[:, :-1], parts[:, 1:])
+            width -= 1
+            if width > 1:
+                ranks = np.where(np.arange(width - 1) < at[:, None], ranks[:, :-1], ranks[:, 1:])
+                for left in (at - 1, at):
+                    ok = (left >= 0) & (left < width - 1)
+                    i, j = each[ok], left[ok]
+                    ranks[i, j] = self.ranks(parts[i, j], parts[i, j + 1])
+        out[rows, :width], counts[rows] = parts, width
+        return out, counts
 
     def _long(self, parts: np.ndarray) -> np.ndarray:
         """Merge one long word with a heap of (rank, place)."""
@@ -138,50 +142,104 @@ class RankArrayBpe:
                 refresh(before[i])
         return np.array([p for p, g in zip(parts, gone) if not g], dtype=np.uint32)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word (its UTF-8 bytes)."""
-        out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for width, rows in by_length.items():
-            raw = np.frombuffer(b"".join([words[i] for i in rows]), dtype=np.uint8).reshape(len(rows), width)
-            parts = self.inner[raw]
-            parts[:, -1] = self.final[raw[:, -1]]
-            if width > SHORT:
-                for i, p in zip(rows, parts):
-                    out[i] = self._long(p)
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and their counts."""
+        words = words.cast(pa.binary())
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        sizes = np.diff(at)
+        counts = np.zeros(len(words), dtype=np.int64)
+        found = []
+        order = np.argsort(sizes, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
+            width = int(sizes[own[0]])
+            if not width:
                 continue
-            parts, counts = self._short(parts)
-            parts = parts.astype(np.uint32)
-            for i, p, c in zip(rows, parts, counts.tolist()):
-                out[i] = p[:c].copy()
-        return out
+            for low in range(0, len(own), max(1, TOGETHER // width)):
+                rows = own[low:low + max(1, TOGETHER // width)]
+                raw = data[at[rows][:, None] + np.arange(width)]
+                parts = self.inner[raw]
+                parts[:, -1] = self.final[raw[:, -1]]
+                if width > SHORT:
+                    for row, p in zip(rows, parts):
+                        merged = self._long(p)
+                        counts[row] = len(merged)
+                        found.append((np.array([row]), merged))
+                    continue
+                parts, counts[rows] = self._short(parts)
+                found.append((rows, parts[np.arange(width) < counts[rows][:, None]]))
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), dtype=np.uint32)
+        for rows, ids in found:
+            flat[ranges(starts[rows], counts[rows])] = ids
+        return flat, counts
 
     def split(self, chunk: str) -> list[bytes | int]:
-        """Words of a space-free chunk as UTF-8 bytes; special tokens as ids."""
-        if self.at_special and "<" in chunk and (hit := self.at_special.search(chunk)):
+        """Words of any space-free chunk as UTF-8 bytes; special tokens as ids."""
+        if self.at_special and (hit := self.at_special.search(chunk)):
             return [*self.split(chunk[:hit.start()]), self.special[hit.group()], *self.split(chunk[hit.end():])]
-        if chunk.isalpha() and max(chunk) < "ɐ" and (lower := chunk.lower()).isalpha():  # a word, composed as it is
-            return [lower.encode()]
         text = chunk.lower() if chunk.isascii() else self.normalize(chunk)
         if not text or max(text) < "ɐ":
             return [w.encode() for w in self.words(text)]
         return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.pre_tokenize(text)]
 
-    def encode_many(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each space-free chunk."""
-        split = [self.split(c) for c in chunks]
-        words = list({w for s in split for w in s if isinstance(w, bytes)})
-        ids: dict = dict(zip(words, self.encode_words(words)))
-        ids |= {i: np.array([i], dtype=np.uint32) for i in self.special.values()}
-        none = np.empty(0, dtype=np.uint32)
-        return [ids[s[0]] if len(s) == 1 else np.concatenate([ids[w] for w in s]) if s else none for s in split]
+    def encode_distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of space-free chunks, one after the other, and their counts."""
+        n = len(chunks)
+        # Latin letters, then marks: at most two words, found in bulk.
+        plain = np.asarray(pc.match_substring_regex(chunks, PLAIN))
+        lower = pc.utf8_lower(chunks.filter(pa.array(plain)))
+        stems = pc.ascii_rtrim(lower, characters=MARKS)
+        tail_size = np.asarray(pc.binary_length(lower)) - np.asarray(pc.binary_length(stems))
+        tailed = np.flatnonzero(tail_size)
+        tails = [w[-k:].encode() for w, k in zip(lower.take(pa.array(tailed)).to_pylist(), tail_size[tailed].tolist())]
+        rest = np.flatnonzero(~plain)
+        split = [self.split(c) for c in chunks.take(pa.array(rest)).to_pylist()]
+
+        stem_code = stems.dictionary_encode()
+        known = stem_code.dictionary.cast(pa.binary())
+        other = list({w: None for w in [*tails, *(w for s in split for w in s if isinstance(w, bytes))]})
+        words = pa.concat_arrays([known, pa.array(other, pa.binary())])
+        flat, counts = self._with_special(words)
+        number = {w: len(known) + i for i, w in enumerate(other)} | {i: len(words) + k for k, i in enumerate(self.special.values())}
+
+        # Words of each chunk: stem and tail, or the split ones; an empty stem
+        # is a word without ids.
+        size = np.empty(n, dtype=np.int64)
+        size[plain] = 1 + (tail_size > 0)
+        size[rest] = [len(s) for s in split]
+        first = np.cumsum(size) - size
+        listed = np.empty(int(size.sum()), dtype=np.int64)
+        listed[first[plain]] = np.asarray(stem_code.indices)
+        listed[first[plain][tailed] + 1] = [number[w] for w in tails]
+        for at, s in zip(first[rest].tolist(), split):
+            listed[at:at + len(s)] = [number[w] for w in s]
+        starts = np.cumsum(counts) - counts
+        ids = flat[ranges(starts[listed], counts[listed])]
+        ends = np.concatenate([[0], np.cumsum(counts[listed])])
+        return ids, ends[first + size] - ends[first]
+
+    def _with_special(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = self.encode_words(words)
+        special = np.array(list(self.special.values()), dtype=np.uint32)
+        return np.append(flat, special), np.append(counts, np.ones(len(special), dtype=np.int64))
 
     def decode(self, ids) -> bytes:
         """UTF-8 of the decoded text: the tokens, joined by spaces (the file
         names no decoder)."""
-        return b" ".join([self.token[i] for i in ids])
+        return b" ".join(map(self.token.__getitem__, ids))
+
+
+def _encoded(path: str, batches, finish):
+    """Record batches from ``finish(ids, decoded text)`` of each text."""
+    bpe = RankArrayBpe(path)
+    encoder = ChunkEncoder(bpe.encode_distinct)
+    for batch in batches:
+        for rows, texts in text_slices(batch, "text"):
+            ids, at = encoder(texts)
+            whole = ids.astype("<u4")
+            out = [finish(own.tobytes(), bpe.decode(own.tolist())) for own in (whole[a:b] for a, b in zip(at, at[1:]))]
+            yield rows.column(0), pa.array(np.diff(at)), *zip(*out)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -190,20 +248,9 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = path or vocabulary_path(VOCABULARY)
 
     def run(batches):
-        bpe = RankArrayBpe(path)
-        encoder = ChunkEncoder(bpe.encode_many)
-        for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
-                ids, at, parts, which, chunk_at = encoder(texts)
-                decoded = np.array([bpe.decode(p.tolist()) for p in parts], dtype=object)
-                words = decoded[which]
-                blobs, backs = [], []
-                for i in range(len(texts)):
-                    blobs.append(ids[at[i]:at[i + 1]].astype("<u4").tobytes())
-                    backs.append(b" ".join([w for w in words[chunk_at[i]:chunk_at[i + 1]].tolist() if w]))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.diff(at)), pa.array(blobs, pa.binary()), pa.array(backs, pa.binary())],
-                    names=["id", "n_tokens", "ids", "decoded"])
+        for key, n, ids, decoded in _encoded(path, batches, lambda i, d: (i, d)):
+            yield pa.RecordBatch.from_arrays([key, n, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
+                                             names=["id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -216,21 +263,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     path = path or vocabulary_path(VOCABULARY)
 
     def run(batches):
-        bpe = RankArrayBpe(path)
-        encoder = ChunkEncoder(bpe.encode_many)
-        for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
-                ids, at, parts, which, chunk_at = encoder(texts)
-                decoded = np.array([bpe.decode(p.tolist()) for p in parts], dtype=object)
-                words, whole = decoded[which], ids.astype("<u4")
-                id_hash, text_hash = [], []
-                for i in range(len(texts)):
-                    id_hash.append(hashlib.sha256(whole[at[i]:at[i + 1]].data).hexdigest())
-                    back = b" ".join([w for w in words[chunk_at[i]:chunk_at[i + 1]].tolist() if w])
-                    text_hash.append(hashlib.sha256(back).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.diff(at)), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        def hashed(ids: bytes, decoded: bytes) -> tuple[str, str]:
+            return hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+        for key, n, ids, decoded in _encoded(path, batches, hashed):
+            yield pa.RecordBatch.from_arrays([key, n, pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                                             names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

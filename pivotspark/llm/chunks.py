@@ -14,7 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
-CACHE_ENTRIES = 200_000
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -38,33 +37,21 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Encodes slices of texts; keeps a bounded cache of chunk ids."""
+    """Encodes slices of texts.  ``encode_distinct`` gives the ids of all
+    strings of an Arrow array, one after the other, and their counts."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[np.ndarray]]):
-        self.encode_many = encode_many
-        self.cache: dict[str, np.ndarray] = {"": np.empty(0, dtype=np.uint32)}
+    def __init__(self, encode_distinct: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.encode_distinct = encode_distinct
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """Returns (ids of all texts, token offset of each text, ids of each
-        distinct chunk, chunk number of each occurrence, chunk offset of each
-        text)."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Returns the ids of all texts and the offset of each text in them."""
         lists = pc.ascii_split_whitespace(texts)
         chunk_at = np.asarray(lists.offsets, dtype=np.int64)
         chunk_at -= chunk_at[0]
         coded = lists.flatten().dictionary_encode()
-        which = np.asarray(coded.indices, dtype=np.int64)
-        chunks = coded.dictionary.to_pylist()
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-            cache[""] = np.empty(0, dtype=np.uint32)
-        missing = [c for c in chunks if c not in cache]
-        if missing:
-            cache.update(zip(missing, self.encode_many(missing)))
-        parts = [cache[c] for c in chunks]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
+        flat, lengths = self.encode_distinct(coded.dictionary)
+        which = np.asarray(coded.indices)
         starts = np.cumsum(lengths) - lengths
         ids = flat[ranges(starts[which], lengths[which])]
         ends = np.concatenate([[0], np.cumsum(lengths[which])])
-        return ids, ends[chunk_at], parts, which, chunk_at
+        return ids, ends[chunk_at]

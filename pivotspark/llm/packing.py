@@ -4,6 +4,8 @@ Pass one tokenizes each partition once and writes ids with their offset inside
 the partition.  The totals of the partitions (one row each) are then summed up
 to global offsets, and pass two cuts every document at the window boundaries;
 a piece is the boundary record of its window.  Only totals meet in one place.
+The ids are those of the tokenizers library, from the encoder of ``bpe``, which
+does each distinct word once.
 
 Order is that of the written partitions.  Only the last sequence is partial;
 its padded length is the next power of two at or above its tokens, at most the
@@ -14,7 +16,6 @@ columns are not looked at.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import RankArrayBpe
 from .chunks import ChunkEncoder, text_slices
 from .common import stored, vocabulary_path
 
@@ -32,18 +34,6 @@ WINDOW = 4096
 PIECES_PER_BATCH = 20_000
 
 
-def library_encoder(path: str) -> ChunkEncoder:
-    """Chunk encoder that asks the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return ChunkEncoder(lambda chunks: [
-        np.array(e.ids, dtype=np.uint32) for e in t.encode_batch_fast(chunks, add_special_tokens=False)])
-
-
 def token_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
                  end_id: int = END_ID) -> DataFrame:
     """Pass one: id, ids (binary little-endian uint32), n tokens, the number
@@ -51,10 +41,10 @@ def token_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = path or vocabulary_path(VOCABULARY)
 
     def run(batches):
-        encoder, part, at = library_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = ChunkEncoder(RankArrayBpe(path).encode_distinct), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, texts in text_slices(batch, "text"):
-                ids, ends, *_ = encoder(texts)
+                ids, ends = encoder(texts)
                 blobs = [np.append(ids[ends[i]:ends[i + 1]], end_id).astype("<u4").tobytes() for i in range(len(texts))]
                 lengths = np.diff(ends) + 1
                 starts = at + np.cumsum(lengths) - lengths
