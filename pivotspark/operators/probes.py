@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from .ranking import group_rank
 from .vectors import explode_dims, assemble
 
 
@@ -106,7 +107,7 @@ def binary_metrics(scored: DataFrame, group_cols=("layer",), label_col: str = "l
 # -- E9 ------------------------------------------------------------------------
 
 def negatives_below(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
-                    buckets: int = 256) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Per (group, distinct score s): positives p, negatives n at s and the
     number of negatives with a lower score (``_below``) -- exact, without
     sorting a whole group in one task."""
@@ -114,25 +115,11 @@ def negatives_below(scored: DataFrame, group_cols=("layer",), label_col: str = "
     y = F.col(label_col) >= 0.5
     per_score = scored.groupBy(*g, F.col(prob_col).alias("s")).agg(
         F.sum(y.cast("long")).alias("p"), F.sum((~y).cast("long")).alias("n"))
-    # per-group quantile cut points of the distinct scores (<= buckets values
-    # per group; the table has one row per group, so it is broadcast)
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = per_score.groupBy(*g).agg(
-        F.array_distinct(F.percentile_approx("s", F.array(*[F.lit(q) for q in qs]), 10000)).alias("_cuts"))
-    b = per_score.join(F.broadcast(cuts), g).withColumn(
-        "_bk", F.size(F.filter("_cuts", lambda c: c < F.col("s")))).drop("_cuts")
-    # negatives in all lower buckets: a running sum over <= buckets rows/group
-    per_bucket = b.groupBy(*g, "_bk").agg(F.sum("n").alias("_nb"))
-    wb = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_off", F.coalesce(F.sum("_nb").over(wb), F.lit(0)))
-    b = b.join(per_bucket.select(*g, "_bk", "_off"), g + ["_bk"])
-    # negatives with a lower score inside the bucket
-    ws = Window.partitionBy(*g, "_bk").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return b.withColumn("_below", F.col("_off") + F.coalesce(F.sum("n").over(ws), F.lit(0)))
+    return group_rank(per_score, g, [F.col("s")], "s", buckets, "_below", weight="n")
 
 
 def auroc(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
-          buckets: int = 256) -> DataFrame:
+          buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC per group (Mann-Whitney U / (n1 n0), ties count 1/2);
     null when the group has a single class."""
     g = _g(group_cols)

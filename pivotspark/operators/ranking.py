@@ -17,10 +17,13 @@ is collected to the driver and the big table is never joined.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hord
+from ..session import ensure_checkpoint_dir
 
 DEFAULT_DIGITS = 4  # 65,536 buckets
 
@@ -63,81 +66,113 @@ def first_k_by_hash(df: DataFrame, key: str, seed, k, digits: int = DEFAULT_DIGI
     return F.coalesce(rank_key(seed, key) <= thr, F.lit(False))
 
 
-def global_rank(df: DataFrame, order_cols, bucket_key, buckets: int = 256, rank_col: str = "rank") -> DataFrame:
+#: Rows that one bucket is meant to hold, and cut points of one level.  More
+#: buckets than that are made in two levels.
+BUCKET_ROWS = 1 << 16
+LEVEL_BUCKETS = 1 << 12
+
+
+def bucket_count(rows: int, least: int = 16) -> int:
+    """Buckets for ``rows`` rows: grows with them, whatever their number."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
+def _cut(d: DataFrame, g: list[str], buckets: int, out: str) -> DataFrame:
+    """Number of the ordered bucket of ``_key`` inside each group."""
+    qs = F.array(*[F.lit(i / buckets) for i in range(1, max(2, buckets))])
+    cuts = F.array_distinct(F.percentile_approx("_key", qs, max(10000, 4 * buckets)))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("_key")))
+    if g:
+        return d.join(d.groupBy(*g).agg(cuts.alias("_cuts")), g).withColumn(out, place).drop("_cuts")
+    # at most LEVEL_BUCKETS numbers
+    known = [repr(c) if math.isfinite(c) else f"'{c}'" for c in d.agg(cuts).first()[0] or []]
+    literal = F.expr(f"cast(array({', '.join(known)}) as array<double>)")
+    return d.withColumn(out, F.size(F.filter(literal, lambda c: c < F.col("_key"))))
+
+
+def _bucketed_rank(df: DataFrame, g: list[str], order_cols, bucket_key, buckets: int | None, rank_col: str,
+                   weight: str | None) -> DataFrame:
+    key = F.col(bucket_key) if isinstance(bucket_key, str) else bucket_key
+    n = F.lit(1) if weight is None else F.col(weight)
+    # read four times below: computed once, into the shared checkpoint folder
+    ensure_checkpoint_dir(df.sparkSession)
+    d = df.withColumn("_key", key.cast("double")).checkpoint()
+    buckets = bucket_count(d.count()) if buckets is None else buckets
+    level = ["_b1"]
+    d = _cut(d, g, min(buckets, LEVEL_BUCKETS), "_b1")
+    if buckets > LEVEL_BUCKETS:
+        d = _cut(d, [*g, "_b1"], min(-(-buckets // LEVEL_BUCKETS), LEVEL_BUCKETS), "_b2")
+        level.append("_b2")
+    per = d.groupBy(*g, *level).agg(F.sum(n).alias("_nb"))
+    # offsets: the window holds one row per bucket of a group
+    before = (Window.partitionBy(*g) if g else Window).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select(*g, *level, F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
+    d = d.join(off, [*g, *level])
+    inside = Window.partitionBy(*g, *level).orderBy(*order_cols)
+    own = (F.row_number().over(inside) - 1 if weight is None
+           else F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return d.withColumn(rank_col, F.col("_off") + own).drop("_key", "_off", *level)
+
+
+def global_rank(df: DataFrame, order_cols, bucket_key, buckets: int | None = None, rank_col: str = "rank",
+                weight: str | None = None) -> DataFrame:
     """0-based global rank by ``order_cols`` without a single-task window.
 
     ``bucket_key`` is a numeric column that is monotone in the order (equal
     keys may repeat).  Approximate quantiles of it cut the rows into ordered
-    buckets; per-bucket counts (<= ``buckets`` rows) give each bucket's
-    offset; the rank is offset + row_number inside the bucket.  The result
-    is exact whatever the quantile error -- it only affects balance."""
-    key = F.col(bucket_key) if isinstance(bucket_key, str) else bucket_key
-    d = df.withColumn("_key", key.cast("double"))
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = d.agg(F.array_distinct(F.percentile_approx("_key", F.array(*[F.lit(q) for q in qs]), 10000))).scalar()
-    d = d.withColumn("_cuts", cuts).withColumn("_bk", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))) \
-        .drop("_cuts")
-    per = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_nb"))
-    off = per.withColumn("_off", F.coalesce(F.sum("_nb").over(
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(F.broadcast(off.select("_bk", "_off")), "_bk")   # <= buckets rows
-    w = Window.partitionBy("_bk").orderBy(*order_cols)
-    return d.withColumn(rank_col, F.col("_off") + F.row_number().over(w) - 1).drop("_key", "_bk", "_off")
+    buckets, as many as the number of rows asks for; per-bucket counts give
+    each bucket's offset; the rank is offset + row_number inside the bucket.
+    The result is exact whatever the quantile error -- it only affects
+    balance.  With ``weight`` a row counts that many times."""
+    return _bucketed_rank(df, [], order_cols, bucket_key, buckets, rank_col, weight)
+
+
+def group_rank(df: DataFrame, group_cols, order_cols, bucket_key, buckets: int | None = None,
+               rank_col: str = "rank", weight: str | None = None) -> DataFrame:
+    """``global_rank`` inside each group; stays spread out when one group
+    holds a large share of the rows."""
+    return _bucketed_rank(df, list(group_cols), order_cols, bucket_key, buckets, rank_col, weight)
+
+
+def _at_ranks(counts: DataFrame, position: Column) -> tuple[Column, Column]:
+    """Whether the value of a row (rank ``_r``, ``_c`` copies) is at the floor
+    and at the ceiling of a position."""
+    covers = lambda p: (F.col("_r") <= p) & (p < F.col("_r") + F.col("_c"))
+    return covers(F.floor(position)), covers(F.ceil(position))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, qs) -> Column:
     """Scalar array column: exact linearly interpolated quantiles (the
     definition of ``percentile`` / numpy's default) of ``value_col``.
 
-    Instead of one aggregation buffer holding every value, rows are ranked
-    with ``global_rank`` (quantile buckets + offsets) and only the rows at
-    ranks floor/ceil(q (n - 1)) are kept and interpolated -- one scalar
+    Equal values are counted first, so a value that a third of the rows share
+    is one row; the distinct values are ranked by their counts and only those
+    at ranks floor/ceil(q (n - 1)) are kept and interpolated -- one scalar
     subquery whose result is a handful of values."""
     v = df.select(F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     n = v.agg(F.count(F.lit(1))).scalar()
-    r = global_rank(v, [F.col("_v")], "_v", rank_col="_r")
+    r = global_rank(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")), [F.col("_v")], "_v", rank_col="_r", weight="_c")
     wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)])
     pos = r.withColumn("_w", F.explode(wanted)).withColumn("_p", F.col("_w.q") * (n - 1))
-    hit = pos.where((F.col("_r") == F.floor("_p")) | (F.col("_r") == F.ceil("_p")))
-    per_q = hit.groupBy(F.col("_w.i").alias("i"), "_p").agg(
-        F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))
+    low, high = _at_ranks(pos, F.col("_p"))
+    per_q = pos.where(low | high).groupBy(F.col("_w.i").alias("i"), "_p").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     val = F.col("_lo") + (F.col("_p") - F.floor("_p")) * (F.col("_hi") - F.col("_lo"))
     return per_q.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", val.alias("v")))),
                                  lambda s: s["v"]).alias("q")).scalar()
 
 
-def group_rank(df: DataFrame, group_cols, order_cols, bucket_key, buckets: int = 64,
-               rank_col: str = "rank") -> DataFrame:
-    """0-based rank inside each group by ``order_cols`` that stays spread
-    out when one group holds a large share of the rows: per-group quantile
-    cut points of ``bucket_key`` (a mergeable sketch aggregate) split every
-    group into ordered buckets, per-bucket counts give offsets, and only a
-    bucket is sorted in one task."""
-    g = list(group_cols)
-    key = F.col(bucket_key) if isinstance(bucket_key, str) else bucket_key
-    d = df.withColumn("_key", key.cast("double"))
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = d.groupBy(*g).agg(
-        F.array_distinct(F.percentile_approx("_key", F.array(*[F.lit(q) for q in qs]), 10000)).alias("_cuts"))
-    d = d.join(cuts, g).withColumn("_bk", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts")
-    per = d.groupBy(*g, "_bk").agg(F.count(F.lit(1)).alias("_nb"))
-    per = per.withColumn("_off", F.coalesce(F.sum("_nb").over(
-        Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(per.select(*g, "_bk", "_off"), g + ["_bk"])
-    w = Window.partitionBy(*g, "_bk").orderBy(*order_cols)
-    return d.withColumn(rank_col, F.col("_off") + F.row_number().over(w) - 1).drop("_key", "_bk", "_off")
-
-
 def exact_group_quantile(df: DataFrame, group_cols, value_col: str, q: float = 0.5,
                          out_col: str = "quantile") -> DataFrame:
     """(group..., quantile): exact, linearly interpolated per-group quantile
     (``median`` for q = 0.5) without buffering a whole group in one task."""
     g = list(group_cols)
     v = df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    n = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    r = group_rank(v, g, [F.col("_v")], "_v", rank_col="_r").join(n, g)
+    c = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = c.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    r = group_rank(c, g, [F.col("_v")], "_v", rank_col="_r", weight="_c").join(n, g)
     r = r.withColumn("_p", F.lit(float(q)) * (F.col("_n") - 1))
-    hit = r.where((F.col("_r") == F.floor("_p")) | (F.col("_r") == F.ceil("_p")))
-    agg = hit.groupBy(*g, "_p").agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))
+    low, high = _at_ranks(r, F.col("_p"))
+    agg = r.where(low | high).groupBy(*g, "_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     return agg.select(*g, (F.col("_lo") + (F.col("_p") - F.floor("_p")) * (F.col("_hi") - F.col("_lo")))
                       .alias(out_col))

@@ -216,3 +216,19 @@ def test_global_rank_equals_row_number(spark):
     c = group_rank(df, ["g"], [F.col("v"), F.col("id")], "v", buckets=8).select("id", "rank")
     d = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("v", "id")) - 1).alias("rank"))
     assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
+
+
+def test_hot_values_and_two_levels_of_buckets(spark, monkeypatch):
+    from pivotspark.operators import ranking as K
+    rng = np.random.default_rng(4)
+    vals = [0.5] * 2000 + rng.normal(size=2500).round(3).tolist()
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, x double")
+    qs = (0.1, 0.25, 0.5, 0.9)
+    for rows, level in ((K.BUCKET_ROWS, K.LEVEL_BUCKETS), (40, 8)):
+        monkeypatch.setattr(K, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(K, "LEVEL_BUCKETS", level)
+        assert np.allclose(df.select(K.exact_quantiles(df, "x", qs)).first()[0], np.quantile(vals, qs))
+        assert K.exact_group_quantile(df, ["g"], "x", 0.3).first().quantile == pytest.approx(np.quantile(vals, 0.3))
+    ids = spark.range(0, 3000).select((F.col("id") * 7919 % 1013).alias("v"), "id")
+    got = K.global_rank(ids, [F.col("v"), F.col("id")], "v").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(3000)) and [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
