@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,22 +31,60 @@ def cascade_gate(df: DataFrame, p1: str, p2: str, tau1: float = 0.5, tau_steer:
             .withColumn("strength", F.when(F.col("fire"), F.lit(alpha_max) * p).otherwise(0.0)))
 
 
-def refractory_gate(steps: DataFrame, k: int = 3, threshold: float = 0.5, run_col: str = "run") -> DataFrame:
+def _accepted(steps: np.ndarray, lock: int, k: int) -> tuple[np.ndarray, int]:
+    """Which of the sorted firing ``steps`` are accepted when steps up to
+    ``lock`` are locked, and the lock after them."""
+    ok, i = np.zeros(len(steps), bool), int(np.searchsorted(steps, lock, side="right"))
+    while i < len(steps):
+        ok[i] = True
+        lock = int(steps[i]) + k
+        i = int(np.searchsorted(steps, lock, side="right"))
+    return ok, lock
+
+
+def refractory_gate(steps: DataFrame, k: int = 3, threshold: float = 0.5, run_col: str = "run",
+                    block: int = 4096) -> DataFrame:
     """I4: a fire is accepted only outside the lock; an accepted fire locks
-    the next k steps.  Each decision depends on the previous *accepted* fire,
-    so each run is scanned in step order in one pandas group."""
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    the next k steps.
+
+    Each decision depends on the previous *accepted* fire, so runs are cut
+    into blocks of ``block`` step numbers.  What a block does depends only on
+    how many of its first steps are locked (0 to k): pass one tabulates the
+    lock it hands on for each of these, the tables (k + 1 numbers a block)
+    are composed along the run, and pass two replays each block from its
+    lock.  No task holds a run's steps."""
+    rows = steps.select(F.col(run_col).alias("run"), "step", "prob", F.floor(F.col("step") / block).alias("blk"))
+
+    def tabulate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * block
+        fires = np.sort(pdf.loc[pdf["prob"] > threshold, "step"].to_numpy())
+        # handed on: locked steps of the next block, by locked steps of this one
+        out = [max(0, _accepted(fires, first + s - 1, k)[1] - (first + block) + 1) for s in range(k + 1)]
+        return pd.DataFrame({"run": [key[0]], "blk": [key[1]], "out": [out]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, locked, at, starts = pdf.sort_values("blk"), 0, None, []
+        for blk, out in zip(pdf["blk"], pdf["out"]):
+            if at is not None and blk != at + 1:
+                locked = max(0, locked - (blk - at - 1) * block)
+            starts.append(locked)
+            locked, at = int(out[min(locked, k)]), blk
+        return pd.DataFrame({"run": pdf["run"], "blk": pdf["blk"], "locked": starts})
+
+    def replay(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
-        locked_until, acc = -1, []
-        for s, p in zip(pdf["step"].to_numpy(), pdf["prob"].to_numpy()):
-            ok = bool(p > threshold) and s > locked_until
-            if ok:
-                locked_until = s + k
-            acc.append(ok)
-        pdf = pdf.assign(accepted=acc)
-        return pdf[[run_col, "step", "prob", "accepted"]]
-    return steps.select(run_col, "step", "prob").groupBy(run_col).applyInPandas(
-        scan, f"{run_col} long, step long, prob double, accepted boolean")
+        fire = (pdf["prob"] > threshold).to_numpy()
+        accepted = np.zeros(len(pdf), bool)
+        lock = int(key[1]) * block + int(start["locked"].iloc[0]) - 1
+        accepted[fire] = _accepted(pdf["step"].to_numpy()[fire], lock, k)[0]
+        return pdf[["run", "step", "prob"]].assign(accepted=accepted)
+
+    assert k < block
+    tables = rows.groupBy("run", "blk").applyInPandas(tabulate, "run long, blk long, out array<long>")
+    starts = tables.groupBy("run").applyInPandas(compose, "run long, blk long, locked long")
+    out = rows.groupBy("run", "blk").cogroup(starts.groupBy("run", "blk")).applyInPandas(
+        replay, "run long, step long, prob double, accepted boolean")
+    return out.withColumnRenamed("run", run_col)
 
 
 def threshold_at_fpr(scored: DataFrame, budget: float = 0.1, group_cols=("layer",), label_col: str = "label",

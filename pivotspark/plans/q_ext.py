@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extensions as E
+from ..operators import gating as G
 from ..operators import vectors as V
 from ..sources import fixtures as X
 from ..sources.tables import load
-from .q_gate import TAU, decisions
+from .q_gate import N_HOLD, TAU, decisions, stored_steps
 from .q_probes import _MID_LOCAL, _PROBE_LOCAL, midpoint_probes, scored_test
+from .q_runs import _run_sql, scored
 from .q_vectors import _test
 from .registry import query, tidy, with_ctes
 
@@ -84,8 +86,8 @@ def q_threshold_at_fpr(spark, sf):
     return tidy(E.threshold_at_fpr(scored_test(spark, sf), 0.1))
 
 
-_DECODER = "SELECT vec_id AS feature, embedding AS vector FROM embeddings WHERE vec_id < 64"
-_SPARSE = """SELECT user_id AS row_id, event_id % 64 AS feature, sum(value / 100) AS weight
+_DECODER = "SELECT vec_id AS feature, embedding AS vector FROM embeddings"
+_SPARSE = """SELECT user_id AS row_id, event_id % (SELECT count(*) FROM embeddings) AS feature, sum(value / 100) AS weight
              FROM events GROUP BY 1, 2"""
 
 
@@ -96,11 +98,11 @@ FROM (SELECT a.row_id, a.weight, generate_subscripts(d.vector, 1) - 1 AS dim, CA
 GROUP BY row_id, dim""", local=[("dec", _DECODER), ("sp", _SPARSE)]))
 def q_sparse_feature_projection(spark, sf):
     """Sum of weight * decoder row over each row's non-zero features
-    (decoder rows = the first 64 embeddings; weights from events)."""
-    dec = load(spark, sf, "embeddings").where(F.col("vec_id") < 64).select(
+    (decoder rows = the embeddings; weights from events)."""
+    dec = load(spark, sf, "embeddings").select(
         F.col("vec_id").alias("feature"), F.col("embedding").alias("vector"))
-    ev = load(spark, sf, "events")
-    acts = ev.groupBy(F.col("user_id").alias("row_id"), (F.col("event_id") % 64).alias("feature")).agg(
+    ev, n = load(spark, sf, "events"), X.n_embeddings(spark, sf)
+    acts = ev.groupBy(F.col("user_id").alias("row_id"), (F.col("event_id") % n).alias("feature")).agg(
         F.sum(F.col("value") / 100).alias("weight"))
     return tidy(E.sparse_feature_projection(acts, dec))
 
@@ -146,21 +148,56 @@ def q_feature_edit(spark, sf):
 _THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
 
 
-@query("accuracy_vs_fire_rate", with_ctes("""
-SELECT round(t.th, 6) AS threshold,
-       round((SELECT avg(CASE WHEN (label >= 0.5) = (prob >= t.th) THEN 1.0 ELSE 0.0 END) FROM scored), 6)
-           AS probe_accuracy,
-       round((SELECT avg(CASE WHEN prob > t.th THEN 1.0 ELSE 0.0 END) FROM gate_steps WHERE phase = 'decode'), 6)
-           AS gate_fire_rate
-FROM (VALUES """ + ", ".join(f"({t})" for t in _THRESHOLDS) + """) t(th)""",
-                                            "activations", "train_dir", "gate_steps", local=_PROBE_LOCAL))
+def _sweep_sql() -> str:
+    """Per threshold: latched decisions (a fire within the last two), rates
+    and the accuracy of the run whose examples the gate would steer."""
+    return f"""
+SELECT round(t.th, 6) AS threshold, round(f.fire_rate, 6) AS fire_rate, round(f.steered_rate, 6) AS steered_rate,
+       round(a.accuracy, 6) AS accuracy, round((a.accuracy - a.base_accuracy) * 100, 6) AS lift_pp
+FROM (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in _THRESHOLDS)}) t(th)
+JOIN (SELECT th, avg(CASE WHEN pf THEN 1.0 ELSE 0.0 END) AS fire_rate, avg(CASE WHEN on_ THEN 1.0 ELSE 0.0 END) AS steered_rate
+      FROM lt GROUP BY th) f ON f.th = t.th
+JOIN (SELECT g.th, avg(CASE WHEN CASE WHEN g.steered THEN s.correct ELSE b.correct END THEN 1.0 ELSE 0.0 END) AS accuracy,
+             avg(CASE WHEN b.correct THEN 1.0 ELSE 0.0 END) AS base_accuracy
+      FROM (SELECT th, run, bool_or(on_) AS steered FROM lt GROUP BY th, run) g
+      JOIN (SELECT idx, correct FROM scored WHERE run = 2) s ON s.idx % (SELECT max(user_id) + 1 FROM events) = g.run
+      JOIN (SELECT idx, correct FROM scored WHERE run = 1) b ON b.idx = s.idx GROUP BY g.th) a ON a.th = t.th"""
+
+
+_SWEEP_LOCAL = [
+    ("dt", f"""SELECT run, step, prob, prob > th AS pf, th, row_number() OVER (PARTITION BY th, run ORDER BY step) AS i
+               FROM gate_steps CROSS JOIN (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in _THRESHOLDS)}) t(th)
+               WHERE phase = 'decode'"""),
+    ("lt", """SELECT th, run, pf, bool_or(pf) OVER (PARTITION BY th, run ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+                     AS on_ FROM dt"""),
+]
+
+
+@query("accuracy_vs_fire_rate", _run_sql(_sweep_sql(), "gate_steps", local=_SWEEP_LOCAL))
 def q_accuracy_vs_fire_rate(spark, sf):
-    """Over thresholds: probe accuracy on the test split and the gate's
-    decode fire rate (thresholds are a literal array, exploded)."""
+    """Over thresholds: fire rate and steered rate (latch included) of
+    the gate's decisions, accuracy of the run it makes, and its lift over
+    base.  An example belongs to gate run idx mod the number of
+    runs; it has the outcome of
+    the steered arm (run 2) if its gate is ever on, else that of the base."""
+    steps = G.decision_index(stored_steps(spark, sf))
     ths = F.explode(F.array(*[F.lit(float(t)) for t in _THRESHOLDS])).alias("threshold")
-    s = scored_test(spark, sf).select("label", "prob", ths)
-    acc = s.groupBy("threshold").agg(F.avg(((F.col("label") >= 0.5) == (F.col("prob") >= F.col("threshold")))
-                                           .cast("double")).alias("probe_accuracy"))
-    d = decisions(spark, sf).select("prob", ths)
-    fr = d.groupBy("threshold").agg(F.avg((F.col("prob") > F.col("threshold")).cast("double")).alias("gate_fire_rate"))
-    return tidy(acc.join(fr, "threshold"))
+    d = steps.select("run", "step", "prob", "decision_idx", ths).withColumn("probe_fire", F.col("prob") > F.col("threshold"))
+    # one latch per (threshold, run)
+    d = d.withColumn("key", F.struct("threshold", "run"))
+    on = G.hysteresis_latch(d, N_HOLD, run_col="key")
+    per = on.groupBy("threshold", "run").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("probe_fire").cast("long")).alias("f"),
+        F.sum(F.col("fired").cast("long")).alias("o"))
+    rates = per.groupBy("threshold").agg((F.sum("f") / F.sum("n")).alias("fire_rate"), (F.sum("o") / F.sum("n")).alias("steered_rate"))
+    s, n_runs = scored(spark, sf), load(spark, sf, "events").agg(F.max("user_id") + 1).scalar()
+    outcome = (s.where("run = 2").select("idx", F.col("correct").alias("steered"))
+               .join(s.where("run = 1").select("idx", F.col("correct").alias("base")), "idx")
+               # counts per gate run: what meets the sweep is one row a run
+               .groupBy((F.col("idx") % n_runs).alias("run")).agg(
+                   F.count(F.lit(1)).alias("m"), F.sum(F.col("steered").cast("long")).alias("s"), F.sum(F.col("base").cast("long")).alias("b")))
+    acc = per.join(outcome, "run").groupBy("threshold").agg(
+        (F.sum(F.when(F.col("o") > 0, F.col("s")).otherwise(F.col("b"))) / F.sum("m")).alias("accuracy"),
+        (F.sum("b") / F.sum("m")).alias("base_accuracy"))
+    return tidy(rates.join(acc, "threshold").select(
+        "threshold", "fire_rate", "steered_rate", "accuracy", ((F.col("accuracy") - F.col("base_accuracy")) * 100).alias("lift_pp")))

@@ -8,20 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vec
 from ..operators import gating as G
-from ..operators import vectors as V
 from ..sources import fixtures as X
-from ..sources.tables import load
-from .q_vectors import _n
+from ..sources.sinks import new_path
 from .registry import query, tidy, with_ctes
 
 TAU, N_HOLD, RATE, PATTERN_LEN = 0.5, 2, 0.2, 20
 
 
 def decisions(spark, sf):
-    s = G.gate_decide(X.gate_steps(spark, sf), TAU)
-    return s.where(F.col("phase") == "decode").withColumn("decision_idx", F.col("step") - 2)
+    return decided(X.gate_steps(spark, sf))
+
+
+def stored_steps(spark, sf):
+    """The steps, written once for queries that read them more than once."""
+    steps, path = X.gate_steps(spark, sf), new_path(spark, "gate_steps")
+    steps.write.parquet(path)
+    return spark.read.schema(steps.schema).parquet(path)
+
+
+def decided(steps):
+    return G.decision_index(G.gate_decide(steps, TAU))
 
 
 def latched(spark, sf, dec=None):
@@ -30,15 +37,16 @@ def latched(spark, sf, dec=None):
 
 def _latch_local(force: str = "d.pf"):
     return [
-        ("dec", f"""SELECT run, step, prob, prob > {TAU} AS pf0, step - 2 AS decision_idx,
+        ("dec", f"""SELECT run, step, prob, delta_norm, prob > {TAU} AS pf0,
+                          row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS decision_idx,
                           row_number() OVER (PARTITION BY run ORDER BY step) AS i
                    FROM gate_steps WHERE phase = 'decode'"""),
         ("dec2", f"SELECT *, {force} AS pf FROM dec d"),
-        ("lat", f"""SELECT run, i, step, prob, pf, pf AS fired, false AS held,
+        ("lat", f"""SELECT run, i, step, prob, delta_norm, pf, pf AS fired, false AS held,
                           CASE WHEN pf THEN {N_HOLD} ELSE 0 END AS latch
                    FROM dec2 WHERE i = 1
                    UNION ALL
-                   SELECT d.run, d.i, d.step, d.prob, d.pf, d.pf OR l.latch > 0, NOT d.pf AND l.latch > 0,
+                   SELECT d.run, d.i, d.step, d.prob, d.delta_norm, d.pf, d.pf OR l.latch > 0, NOT d.pf AND l.latch > 0,
                           CASE WHEN d.pf THEN {N_HOLD} WHEN l.latch > 0 THEN l.latch - 1 ELSE 0 END
                    FROM lat l JOIN dec2 d ON d.run = l.run AND d.i = l.i + 1"""),
     ]
@@ -63,16 +71,25 @@ def q_hysteresis_latch(spark, sf):
     return tidy(latched(spark, sf).select("run", "step", "probe_fire", "held", "fired", "latch_remaining"))
 
 
+_STATS_SQL = """
+SELECT run, CAST(count(*) + any_value(pre) AS BIGINT) AS n_calls,
+       CAST(count(*) FILTER (WHERE pf) AS BIGINT) AS n_fired, CAST(count(*) FILTER (WHERE held) AS BIGINT) AS n_hysteresis_holds,
+       count(*) FILTER (WHERE pf) / greatest(1, count(*) + any_value(pre)) AS fire_rate,
+       coalesce(sum(delta_norm) FILTER (WHERE fired), 0.0) AS energy
+FROM lat JOIN (SELECT run, count(*) FILTER (WHERE phase = 'prefill') AS pre FROM gate_steps GROUP BY run) USING (run)
+GROUP BY run"""
+
+
 @query("gate_stats", _gsql("""
-SELECT run, CAST(count(*) + 1 AS BIGINT) AS n_calls, CAST(sum(CASE WHEN pf THEN 1 ELSE 0 END) AS BIGINT) AS n_fired,
-       CAST(sum(CASE WHEN held THEN 1 ELSE 0 END) AS BIGINT) AS n_hysteresis_holds,
-       round(sum(CASE WHEN pf THEN 1 ELSE 0 END) / greatest(1, count(*) + 1), 6) AS fire_rate
-FROM lat GROUP BY run
+SELECT run, n_calls, n_fired, n_hysteresis_holds, round(fire_rate, 6) AS fire_rate, round(energy, 6) AS energy FROM st
 UNION ALL
-SELECT run, 1, 0, 0, 0.0 FROM gate_steps GROUP BY run HAVING count(*) = 1"""))
+SELECT run, count(*), 0, 0, 0.0, 0.0 FROM gate_steps GROUP BY run HAVING count(*) FILTER (WHERE phase = 'decode') = 0""",
+                           local=[("st", _STATS_SQL)]))
 def q_gate_stats(spark, sf):
-    """H3: calls (the un-steered prefill counts one), fires, holds, rate."""
-    return tidy(G.gate_stats(latched(spark, sf), X.gate_steps(spark, sf)))
+    """H3: calls (an un-steered prefill counts one), fires, holds, rate,
+    energy."""
+    steps = stored_steps(spark, sf)
+    return tidy(G.gate_stats(latched(spark, sf, decided(steps)), steps))
 
 
 @query("fire_log", _gsql("""
@@ -88,8 +105,9 @@ def _uniform_sql(seed: str, *keys: str) -> str:
 
 
 @query("random_pattern", with_ctes(f"""
-SELECT run, CAST(step - 2 AS BIGINT) AS decision_idx, {_uniform_sql('101', 'run', 'step - 2')} < {RATE} AS fire
-FROM gate_steps WHERE phase = 'decode'""", "gate_steps"))
+SELECT run, CAST(k AS BIGINT) AS decision_idx, {_uniform_sql('101', 'run', 'k')} < {RATE} AS fire
+FROM (SELECT run, row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS k FROM gate_steps WHERE phase = 'decode')""",
+                                   "gate_steps"))
 def q_random_pattern(spark, sf):
     """H6: Bernoulli(0.2) decisions per run (seed = run), hashed uniforms."""
     d = decisions(spark, sf)
@@ -113,47 +131,24 @@ def q_forced_pattern(spark, sf):
 @query("matched_rate", _gsql("""
 SELECT run, round(fire_rate, 6) AS fire_rate,
        round(least(greatest(CASE WHEN fire_rate = 0 THEN 0.2 ELSE fire_rate END, 0.05), 0.95), 6) AS matched_rate
-FROM (SELECT run, sum(CASE WHEN pf THEN 1 ELSE 0 END) / greatest(1, count(*) + 1) AS fire_rate FROM lat GROUP BY run)
-"""))
+FROM st""", local=[("st", _STATS_SQL)]))
 def q_matched_rate(spark, sf):
     """H7: the random arm's rate: the detector's rate (0 -> 0.2) clamped to
     [0.05, 0.95]."""
-    st = G.gate_stats(latched(spark, sf), X.gate_steps(spark, sf)).where(F.col("n_calls") > 1)
+    steps = stored_steps(spark, sf)
+    st = G.gate_stats(latched(spark, sf, decided(steps)), steps).where(F.col("n_calls") > 1)
     return tidy(st.select("run", "fire_rate", G.matched_rate(F.col("fire_rate")).alias("matched_rate")))
 
 
-_H8_LOCAL = [
-    ("nemb", "SELECT count(*) AS n FROM embeddings"),
-    ("v0", """SELECT list(v ORDER BY dim) AS v
-              FROM (SELECT dim, avg(x) AS v
-                    FROM (SELECT generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x
-                          FROM embeddings WHERE label = 0)
-                    GROUP BY dim)"""),
-    ("hs", """SELECT l.run, l.step, l.fired, e.embedding AS h
-              FROM lat l JOIN gate_steps g ON g.run = l.run AND g.step = l.step CROSS JOIN nemb
-              JOIN embeddings e ON e.vec_id = g.event_id % nemb.n"""),
-]
-
-
-@query("gated_steer_energy", _gsql(f"""
-SELECT run, CAST(sum(CASE WHEN fired THEN 1 ELSE 0 END) AS BIGINT) AS n_steered,
-       round(coalesce(sum(CASE WHEN fired THEN 0.5 * {_n('h')} * {_n('v0.v')} / ({_n('v0.v')} + 1e-8) END), 0.0), 6)
-           AS energy
-FROM hs CROSS JOIN v0 GROUP BY run""", local=_H8_LOCAL))
+@query("gated_steer_energy", _gsql("""
+SELECT run, CAST(count(*) FILTER (WHERE fired) AS BIGINT) AS n_steered,
+       round(coalesce(sum(delta_norm) FILTER (WHERE fired), 0.0), 6) AS energy FROM lat GROUP BY run"""))
 def q_gated_steer_energy(spark, sf):
     """H8: steer (normalized, c = 0.5, v = label-0 centroid) only at gated
-    steps; energy = sum of |delta| (h = embedding of event_id mod n)."""
-    lat = latched(spark, sf)
-    emb = load(spark, sf, "embeddings")
-    n = emb.agg(F.count(F.lit(1))).scalar()
-    v0 = V.assemble(V.centroid_long(emb.where(F.col("label") == 0).withColumn("_g", F.lit(0)), ["_g"],
-                                    "embedding"), ["_g"], out_col="v").select("v").scalar()
-    h = (lat.withColumn("vec_id", F.col("event_id") % n)
-         .join(emb.select("vec_id", F.col("embedding").alias("h")), "vec_id").withColumn("_v", v0))
-    delta_norm = vec.norm(vec.sub(V.steer("h", "_v", 0.5, "additive_normalized"), "h"))
-    out = h.groupBy("run").agg(F.sum(F.col("fired").cast("long")).alias("n_steered"),
-                               F.coalesce(F.sum(F.when(F.col("fired"), delta_norm)), F.lit(0.0)).alias("energy"))
-    return tidy(out)
+    steps; energy = sum of |delta|."""
+    return tidy(latched(spark, sf).groupBy("run").agg(
+        F.sum(F.col("fired").cast("long")).alias("n_steered"),
+        F.sum(F.when(F.col("fired"), F.col("delta_norm")).otherwise(0.0)).alias("energy")))
 
 
 @query("prefill_rule", with_ctes("""
@@ -174,14 +169,15 @@ def q_prefill_rule(spark, sf):
 
 
 @query("gate_stream", _gsql("""
-SELECT run, step, round(prob, 6) AS prob, fired, CAST(latch AS BIGINT) AS latch_remaining FROM lat"""))
+SELECT run, step, round(prob, 6) AS prob, fired, CAST(latch AS BIGINT) AS latch_remaining,
+       round(sum(CASE WHEN fired THEN delta_norm ELSE 0.0 END) OVER (PARTITION BY run ORDER BY step), 6) AS energy
+FROM lat"""))
 def q_gate_stream(spark, sf):
     """H9: the same gate online -- Structured Streaming over step files
     (availableNow), per-run state in applyInPandasWithState; must equal the
-    batch fire log (H4), so it shares H4's oracle."""
-    from ..sources.sinks import new_path
+    batch fire log (H4), with the energy so far."""
     from ..streaming.gate_stream import run_available_now, write_step_files
     base = new_path(spark, "gate_stream")
-    write_step_files(X.gate_steps(spark, sf), f"{base}/src", n_files=4)
+    write_step_files(X.gate_steps(spark, sf), f"{base}/src", n_slices=4)
     out = run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", TAU, N_HOLD)
-    return tidy(out.select("run", "step", "prob", "fired", "latch_remaining"))
+    return tidy(out.select("run", "step", "prob", "fired", "latch_remaining", "energy"))

@@ -11,7 +11,7 @@ from ..operators import nie as N
 from ..operators import vectors as V
 from ..sources import fixtures as X
 from ..sources.tables import load
-from .q_gate import _latch_local, latched
+from .q_gate import _latch_local, _uniform_sql, decided, latched, stored_steps
 from .q_labels import _probe_local, probe_rows
 from .q_runs import _RUN_LOCAL, metrics as run_metrics_df, paired
 from .q_vectors import _d, _n
@@ -186,29 +186,48 @@ def q_bootstrap_ci(spark, sf):
     return tidy(N.bootstrap_ci(s, "nie", "_key", ["cell"], n_boot=2000))
 
 
-@query("arm_compare", with_ctes("""
+_ARM_RUNS = [("base", 1), ("always_on", 2), ("detect", 3), ("random", 5)]
+_ARMS_SQL = f"""
 SELECT a.arm, round(m.accuracy, 6) AS accuracy, round(m.parse_rate, 6) AS parse_rate,
-       round(CASE a.arm WHEN 'base' THEN 0.0 WHEN 'always_on' THEN 1.0
-                        WHEN 'detect' THEN (SELECT sum(CASE WHEN pf THEN 1 ELSE 0 END) / sum(1 + 0) FROM lat)
-                        ELSE (SELECT least(greatest(sum(CASE WHEN pf THEN 1 ELSE 0 END) / sum(1 + 0), 0.05), 0.95)
-                              FROM lat) END, 6) AS fire_rate,
-       CAST(f.flips AS BIGINT) AS flips
-FROM (VALUES ('base', 1), ('always_on', 2), ('detect', 3), ('random', 5)) a(arm, run)
+       round(g.fire_rate, 6) AS fire_rate, round(g.energy, 6) AS energy, CAST(f.flips AS BIGINT) AS flips
+FROM (VALUES {", ".join(f"('{a}', {r})" for a, r in _ARM_RUNS)}) a(arm, run)
 JOIN metrics m ON m.run = a.run
 LEFT JOIN (SELECT run, sum(CASE WHEN base_correct IS DISTINCT FROM correct THEN 1 ELSE 0 END) AS flips
-           FROM paired GROUP BY run) f ON f.run = a.run""", "gate_steps", "generations", "run_config",
-                                local=_latch_local("d.pf0") + _RUN_LOCAL,
-                                recursive=True))
+           FROM paired GROUP BY run) f ON f.run = a.run
+LEFT JOIN (SELECT 'detect' AS arm, fire_rate, (SELECT sum(delta_norm) FROM lat WHERE fired) AS energy FROM det
+           UNION ALL SELECT 'always_on', 1.0, (SELECT sum(delta_norm) FROM gate_steps)
+           UNION ALL SELECT 'random', (SELECT count(*) FROM rnd WHERE force) / (SELECT count(*) FROM gate_steps),
+                            (SELECT sum(delta_norm) FROM rnd WHERE on_)) g ON g.arm = a.arm"""
+_ARMS_LOCAL = [
+    ("det", "SELECT (SELECT count(*) FROM lat WHERE pf) / greatest(1, count(*)) AS fire_rate FROM gate_steps"),
+    ("rnd0", f"""SELECT run, decision_idx, delta_norm, {_uniform_sql('101', 'run', 'decision_idx')}
+                       < (SELECT least(greatest(CASE WHEN fire_rate = 0 THEN 0.2 ELSE fire_rate END, 0.05), 0.95) FROM det)
+                       AS force FROM dec"""),
+    ("rnd", """SELECT *, bool_or(force) OVER (PARTITION BY run ORDER BY decision_idx
+                                              ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS on_ FROM rnd0"""),
+]
+
+
+@query("arm_compare", with_ctes(_ARMS_SQL, "gate_steps", "generations", "run_config",
+                                local=_latch_local("d.pf0") + _RUN_LOCAL + _ARMS_LOCAL, recursive=True))
 def q_arm_compare(spark, sf):
     """Base / always-on / detect / random arms side by side: accuracy,
-    parse rate, fire rate (detect = decode fire rate over all gate runs,
-    random = the same clamped) and flips against base."""
-    arms = spark.createDataFrame([("base", 1), ("always_on", 2), ("detect", 3), ("random", 5)], "arm string, run int")
-    lat = latched(spark, sf)
-    rate = lat.agg(F.sum(F.col("probe_fire").cast("long")) / F.count(F.lit(1))).scalar()
-    fire = (F.when(F.col("arm") == "base", 0.0).when(F.col("arm") == "always_on", 1.0)
-            .when(F.col("arm") == "detect", rate).otherwise(G.matched_rate(rate)))
+    parse rate, flips against base, and of the arm's own gate its fire rate
+    and energy.  Always-on steers every step, prefill included; the random
+    arm's pattern has the detector's rate, clamped."""
+    arms = spark.createDataFrame(_ARM_RUNS, "arm string, run int")
+    steps = stored_steps(spark, sf)
+    dec = decided(steps)
+    overall = [F.sum("n_fired").alias("f"), F.sum("n_calls").alias("c"), F.sum("energy").alias("energy")]
+    rate = F.col("f") / F.greatest(F.lit(1), F.col("c"))
+    det = G.gate_stats(latched(spark, sf, dec), steps).agg(*overall).select(rate.alias("fire_rate"), "energy")
+    matched = det.select(G.matched_rate(F.col("fire_rate"))).scalar()
+    forced = dec.withColumn("probe_fire", G.random_pattern(dec, matched))
+    rnd = G.gate_stats(latched(spark, sf, forced), steps).agg(*overall).select(rate.alias("fire_rate"), "energy")
+    on = steps.agg(F.lit(1.0).alias("fire_rate"), F.sum("delta_norm").alias("energy"))
+    gates = (det.withColumn("arm", F.lit("detect")).unionByName(rnd.withColumn("arm", F.lit("random")))
+             .unionByName(on.withColumn("arm", F.lit("always_on"))))
     flips = paired(spark, sf).groupBy("run").agg(
         F.sum((~F.col("base_correct").eqNullSafe(F.col("correct"))).cast("long")).alias("flips"))
-    j = arms.join(run_metrics_df(spark, sf), "run").join(flips, "run", "left")
-    return tidy(j.select("arm", "accuracy", "parse_rate", fire.alias("fire_rate"), "flips"))
+    j = arms.join(run_metrics_df(spark, sf), "run").join(flips, "run", "left").join(gates, "arm", "left")
+    return tidy(j.select("arm", "accuracy", "parse_rate", "fire_rate", "energy", "flips"))

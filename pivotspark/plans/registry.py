@@ -141,13 +141,23 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT CASE WHEN l.quality = 1 THEN 'base' ELSE 'steered' END AS run, d.doc_id, d.text,
                d.source AS task
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en'"""),
-    "gate_steps": ((), """
-        SELECT user_id AS run,
-               CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step,
-               event_id, 1.0 / (1.0 + exp(-((value - 60) / 20))) AS prob, value,
-               CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
-                    THEN 'prefill' ELSE 'decode' END AS phase
-        FROM events"""),
+    "gate_probe": ((), """
+        SELECT list(w ORDER BY dim) AS w, list(v ORDER BY dim) AS v, -sum(w * (p + q) / 2) - 0.5 AS b
+        FROM (SELECT dim, p, q, v, 100.0 * (p - q) AS w
+              FROM (SELECT dim, avg(x) FILTER (WHERE label < 5) AS p, avg(x) FILTER (WHERE label >= 5) AS q,
+                           avg(x) FILTER (WHERE label = 0) AS v
+                    FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim,
+                                 CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY dim))"""),
+    "gate_steps": (("gate_probe",), """
+        SELECT run, step, event_id, CASE WHEN step = 1 OR step % 13 = 0 THEN 'prefill' ELSE 'decode' END AS phase,
+               1.0 / (1.0 + exp(-(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * p.w[i])) + p.b)))
+                   AS prob,
+               0.5 * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
+                   * sqrt(list_sum(list_transform(p.v, lambda x: x * x)))
+                   / (sqrt(list_sum(list_transform(p.v, lambda x: x * x))) + 1e-8) AS delta_norm
+        FROM (SELECT user_id AS run, event_id,
+                     CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step FROM events) s
+        CROSS JOIN gate_probe p JOIN embeddings e ON e.vec_id = s.event_id % (SELECT count(*) FROM embeddings)"""),
 }
 
 

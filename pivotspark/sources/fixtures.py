@@ -181,22 +181,55 @@ def token_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("task"))
 
 
+#: The gate probe's weights are this many times the difference of the class
+#: means, its bias that of their midpoint less GATE_SHIFT.
+GATE_GAIN, GATE_SHIFT = 100.0, 0.5
+#: Every so many steps a run has another prefill pass (the first is step 1).
+PREFILL_EVERY = 13
+#: Scale of the gate's steering vector (normalised mode).
+GATE_COEF = 0.5
+
+
+def gate_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: probe weights w and bias b, and the steering vector v (the
+    centroid of label 0), from the embeddings."""
+    from ..operators.vectors import explode_dims
+    x = explode_dims(load(spark, sf_dir, "embeddings"), "embedding", ["label"])
+    m = x.groupBy("dim").agg(F.avg(F.when(F.col("label") < 5, F.col("x"))).alias("p"),
+                             F.avg(F.when(F.col("label") >= 5, F.col("x"))).alias("q"),
+                             F.avg(F.when(F.col("label") == 0, F.col("x"))).alias("v"))
+    gain = F.lit(GATE_GAIN)
+    ordered = F.array_sort(F.collect_list(F.struct("dim", (gain * (F.col("p") - F.col("q"))).alias("w"), "v")))
+    bias = -F.sum(gain * (F.col("p") - F.col("q")) * (F.col("p") + F.col("q")) / 2) - F.lit(GATE_SHIFT)
+    return m.agg(ordered.alias("o"), bias.alias("b")).select(
+        F.transform("o", lambda s: s["w"]).alias("w"), "b", F.transform("o", lambda s: s["v"]).alias("v"))
+
+
 def gate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H input: run = user_id, steps ordered by (ts, event_id),
-    prob = sigmoid((value-60)/20); first step of a run is the prefill."""
+    """H input: run = user_id, steps ordered by (ts, event_id), of which the
+    first and every 13th are prefill passes.  The step's residual is the
+    embedding of event_id mod n; ``prob`` is the probe's probability for it,
+    ``delta_norm`` the norm of the change that steering it makes."""
+    from ..operators import gating as G
+    from ..operators import vectors as V
     from ..operators.ranking import group_rank
-    ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     # step number = rank of (ts, event_id) inside the run; bucketed by time so
     # that one very long run is not sorted in a single task
     ranked = group_rank(ev, ["user_id"], [F.col("ts"), F.col("event_id")],
                         F.unix_micros(F.col("ts").cast("timestamp")), rank_col="_r")
-    return ranked.select(
-        F.col("user_id").alias("run"),
-        (F.col("_r") + 1).cast("long").alias("step"),
-        "event_id",
-        vec.sigmoid((F.col("value") - 60) / 20).alias("prob"),
-        "value",
-    ).withColumn("phase", F.when(F.col("step") == 1, "prefill").otherwise("decode"))
+    step = (F.col("_r") + 1).cast("long")
+    steps = ranked.select(
+        F.col("user_id").alias("run"), step.alias("step"), "event_id",
+        F.when((step == 1) | (step % PREFILL_EVERY == 0), "prefill").otherwise("decode").alias("phase"))
+    emb = load(spark, sf_dir, "embeddings").select("vec_id", vec.to_double(F.col("embedding")).alias("h"))
+    probe = gate_probe(spark, sf_dir)
+    w, b, v = (probe.select(c).scalar() for c in ("w", "b", "v"))
+    j = steps.withColumn("vec_id", F.col("event_id") % n_embeddings(spark, sf_dir)).join(emb, "vec_id")
+    # scalars of the probe travel as columns: lambdas must not capture them
+    j = j.withColumn("_w", w).withColumn("_v", v)
+    delta = vec.norm(vec.sub(V.steer("h", "_v", GATE_COEF, "additive_normalized"), "h"))
+    return j.select("run", "step", "event_id", "phase", G.probe_prob("h", "_w", b).alias("prob"), delta.alias("delta_norm"))
 
 
 def seeded_order(seed, *keys):

@@ -1,52 +1,65 @@
 """The gate as a stateful stream.
 
 Steps arrive as files; ``groupBy(run).applyInPandasWithState`` keeps one
-small state per run -- (latch, n_calls, n_fired, holds, last_step) -- and
-emits one log row per decode step.  Steps at or below ``last_step`` are
-ignored, so a replayed micro-batch after a failure changes nothing.  The
-output equals the batch latch (``operators.gating``) step for step.
+small state per run -- (latch, n_calls, n_fired, holds, energy) -- and emits
+one log row per decode step.  A micro-batch's steps of a run are taken in
+step order; steps that arrive late are decided when they arrive, none is
+dropped.  Exactly-once comes from the stream's checkpoint.  For steps that
+arrive in order the output equals the batch latch step for step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STEP_SCHEMA = "run long, step long, prob double, phase string"
+STEP_SCHEMA = "run long, step long, prob double, phase string, delta_norm double"
 OUT_SCHEMA = ("run long, step long, prob double, probe_fire boolean, held boolean, fired boolean, "
-              "latch_remaining int, n_calls long, n_fired long, n_hysteresis_holds long")
-STATE_SCHEMA = "latch int, n_calls long, n_fired long, holds long, last_step long"
+              "latch_remaining int, n_calls long, n_fired long, n_hysteresis_holds long, energy double")
+STATE_SCHEMA = "latch int, n_calls long, n_fired long, holds long, energy double"
+
+
+def latch_block(fire: np.ndarray, latch: int, n_hold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(held, latch after each decision) of consecutive decisions that begin
+    with ``latch`` holds left."""
+    k = np.arange(len(fire))
+    # the latch that is left counts as a fire before the first decision
+    last = np.maximum.accumulate(np.where(fire, k, latch - n_hold - 1))
+    left = np.maximum(n_hold - (k - last), 0)
+    held = ~fire & (k - last <= n_hold) if n_hold else np.zeros(len(fire), bool)
+    return held, np.where(fire, n_hold, left)
 
 
 def _gate_fn(threshold: float, n_hold: int, prefill_unsteered: bool = True):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latch, n_calls, n_fired, holds, last = state.get if state.exists else (0, 0, 0, 0, -1)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("step")
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.step <= last:
-                continue  # replayed step
-            last = int(r.step)
-            if r.phase == "prefill":
-                n_calls += 1 if prefill_unsteered else 0
-                continue
-            n_calls += 1
-            fire = bool(r.prob > threshold)
-            held = False
-            if fire:
-                latch, n_fired = n_hold, n_fired + 1
-            elif latch > 0:
-                latch, holds, held = latch - 1, holds + 1, True
-            out.append((int(key[0]), int(r.step), float(r.prob), fire, held, fire or held, int(latch),
-                        n_calls, n_fired, holds))
-        state.update((int(latch), int(n_calls), int(n_fired), int(holds), int(last)))
-        if out:
-            yield pd.DataFrame(out, columns=["run", "step", "prob", "probe_fire", "held", "fired",
-                                             "latch_remaining", "n_calls", "n_fired", "n_hysteresis_holds"])
+        latch, n_calls, n_fired, holds, energy = state.get if state.exists else (0, 0, 0, 0, 0.0)
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("step", kind="stable")
+        decode = (batch["phase"] == "decode").to_numpy()
+        calls = n_calls + np.cumsum(decode | prefill_unsteered)
+        own = batch[decode]
+        fire = (own["prob"] > threshold).to_numpy()
+        held, left = latch_block(fire, latch, n_hold)
+        fired = fire | held
+        spent = np.where(fired, own["delta_norm"].to_numpy(), 0.0)
+        if not prefill_unsteered:  # steered prefill passes spend energy and are no calls
+            energy += float(batch.loc[~decode, "delta_norm"].sum())
+        out = pd.DataFrame({
+            "run": int(key[0]), "step": own["step"].to_numpy(), "prob": own["prob"].to_numpy(), "probe_fire": fire,
+            "held": held, "fired": fired, "latch_remaining": left.astype(np.int32), "n_calls": calls[decode],
+            "n_fired": n_fired + np.cumsum(fire), "n_hysteresis_holds": holds + np.cumsum(held),
+            "energy": energy + np.cumsum(spent)})
+        if len(out):
+            end = out.iloc[-1]
+            latch, n_fired, holds, energy = (int(end["latch_remaining"]), int(end["n_fired"]),
+                                             int(end["n_hysteresis_holds"]), float(end["energy"]))
+        state.update((latch, int(calls[-1]) if len(calls) else n_calls, n_fired, holds, energy))
+        if len(out):
+            yield out
     return fn
 
 
@@ -56,22 +69,28 @@ def gate_stream(steps: DataFrame, threshold: float = 0.5, n_hold: int = 2) -> Da
         _gate_fn(threshold, n_hold), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def write_step_files(steps: DataFrame, path: str, n_files: int = 4) -> None:
-    """Write the steps as ``n_files`` Parquet folders in step order (each
-    file a later slice of every run), the arriving stream."""
-    mx = steps.agg(F.max("step")).first()[0] or 0
-    width = max(1, -(-int(mx) // n_files))
-    for i in range(n_files):
-        part = steps.where((F.col("step") > i * width) & (F.col("step") <= (i + 1) * width))
-        part.select("run", "step", "prob", "phase").coalesce(1).write.mode("overwrite") \
-            .parquet(f"{path}/part_{i:03d}")
+def write_step_files(steps: DataFrame, path: str, n_slices: int = 4) -> None:
+    """Write the steps as ``n_slices`` folders in step order, the arriving
+    stream.  Inside a slice a run's steps are in one file, and the files of a
+    slice are written before those of the next, so that a run's steps arrive
+    in order.  The steps are computed once."""
+    spark = steps.sparkSession
+    whole = f"{path.rstrip('/')}-whole"
+    cols = ["run", "step", "prob", "phase", "delta_norm"]
+    steps.select(*cols).write.parquet(whole)
+    kept = spark.read.schema(STEP_SCHEMA).parquet(whole)
+    width = max(1, -(-int(kept.agg(F.max("step")).first()[0] or 0) // n_slices))
+    for i in range(n_slices):
+        part = kept.where((F.col("step") > i * width) & (F.col("step") <= (i + 1) * width))
+        part.repartition("run").write.parquet(f"{path}/part_{i:03d}")
 
 
 def run_available_now(spark: SparkSession, src: str, sink: str, checkpoint: str,
-                      threshold: float = 0.5, n_hold: int = 2) -> DataFrame:
-    """Process every file in ``src`` with an availableNow trigger into a
-    Parquet sink (exactly-once through the checkpoint), then read it back."""
-    steps = (spark.readStream.schema(STEP_SCHEMA).option("maxFilesPerTrigger", 1)
+                      threshold: float = 0.5, n_hold: int = 2, files_per_batch: int = 64) -> DataFrame:
+    """Process every file in ``src``, oldest first, with an availableNow
+    trigger into a Parquet sink (exactly-once through the checkpoint), then
+    read it back."""
+    steps = (spark.readStream.schema(STEP_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
              .option("recursiveFileLookup", "true").parquet(src))
     q = (gate_stream(steps, threshold, n_hold).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))

@@ -148,8 +148,18 @@ def _sequential_latch(fires, n_hold):
 def test_latch_equals_sequential_loop_with_small_blocks(spark):
     rng = np.random.default_rng(1)
     fires = (rng.random(400) < 0.15).tolist()
-    df = spark.createDataFrame([(7, i + 2, bool(f)) for i, f in enumerate(fires)], "run long, step long, probe_fire boolean")
-    got = G.hysteresis_latch(df, n_hold=2, block=16).orderBy("step").collect()
+    # a prefill pass before the first decision and before every fifth one
+    rows, step = [], 0
+    for i, f in enumerate(fires):
+        if i % 5 == 0:
+            step += 1
+            rows.append((7, step, "prefill", False))
+        step += 1
+        rows.append((7, step, "decode", bool(f)))
+    df = spark.createDataFrame(rows, "run long, step long, phase string, probe_fire boolean")
+    idx = G.decision_index(df, block=16)
+    assert [r.decision_idx for r in idx.orderBy("step").collect()] == list(range(400))
+    got = G.hysteresis_latch(idx, n_hold=2, block=16).orderBy("step").collect()
     want = _sequential_latch(fires, 2)
     assert [(r.fired, r.held, r.latch_remaining) for r in got] == want
 
@@ -195,7 +205,7 @@ def test_refractory_gate_equals_loop(spark):
     rng = np.random.default_rng(11)
     probs = rng.random(300).tolist()
     df = spark.createDataFrame([(3, i + 2, p) for i, p in enumerate(probs)], "run long, step long, prob double")
-    got = [r.accepted for r in refractory_gate(df, k=3, threshold=0.5).orderBy("step").collect()]
+    got = [r.accepted for r in refractory_gate(df, k=3, threshold=0.5, block=8).orderBy("step").collect()]
     lock, want = -1, []
     for i, p in enumerate(probs):
         s = i + 2

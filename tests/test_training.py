@@ -95,11 +95,31 @@ def test_stream_equals_batch(spark):
     from pivotspark.sources.sinks import new_path
     from pivotspark.streaming.gate_stream import run_available_now, write_step_files
     base = new_path(spark, "test_stream")
-    write_step_files(X.gate_steps(spark, SF_SMALL), f"{base}/src", n_files=3)
-    s = run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", 0.5, 2)
+    write_step_files(X.gate_steps(spark, SF_SMALL), f"{base}/src", n_slices=3)
+    s = run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", 0.5, 2, files_per_batch=3)
     b = latched(spark, SF_SMALL)
-    cols = ["run", "step", "fired", "latch_remaining"]
+    cols = ["run", "step", "probe_fire", "held", "fired", "latch_remaining"]
     assert sorted(map(tuple, s.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
-    # a replay of the same files changes nothing (steps <= last_step are skipped)
+    spent = {r.run: r.e for r in b.groupBy("run").agg(F.sum(F.when(F.col("fired"), F.col("delta_norm")).otherwise(0.0)).alias("e")).collect()}
+    assert all(abs(r.e - spent[r.run]) < 1e-9 for r in s.groupBy("run").agg(F.max("energy").alias("e")).collect())
+    # the checkpoint knows the files: another start reads none again
     again = run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", 0.5, 2)
     assert again.count() == s.count()
+    # a step that comes late is decided, not dropped
+    late = X.gate_steps(spark, SF_SMALL).where("phase = 'decode'").limit(1).select("run", "step", "prob", "phase", "delta_norm")
+    late.write.mode("append").parquet(f"{base}/src/part_999")
+    assert run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", 0.5, 2).count() == s.count() + 1
+
+
+def test_latch_block_equals_loop():
+    from pivotspark.streaming.gate_stream import latch_block
+    rng = np.random.default_rng(8)
+    for n_hold in (0, 1, 3):
+        for latch in range(n_hold + 1):
+            fire = rng.random(60) < 0.2
+            held, left = latch_block(fire, latch, n_hold)
+            now = latch
+            for f, h, x in zip(fire, held, left):
+                want = not f and now > 0
+                now = n_hold if f else now - 1 if want else 0
+                assert (h, x) == (want, now)
