@@ -125,6 +125,15 @@ def append_random_tokens(df: DataFrame, k: int, seed=42, vocab: int = DEFAULT_VO
     return df.withColumn("random_ids", ids)
 
 
+RANDOM_PREFIX = "tok"  # an appended id as it is written in the text
+
+
+def token_id(token: Column, vocab: int = DEFAULT_VOCAB) -> Column:
+    """Id of a token of the default tokenizer: the first 8 hex digits of its
+    md5, modulo the vocabulary."""
+    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(int(vocab)))
+
+
 # -- C6 ------------------------------------------------------------------------
 
 def assemble_labels(df: DataFrame, length: Column) -> DataFrame:
@@ -141,19 +150,23 @@ def build_probe_rows(rows: DataFrame, tokenize: Tokenizer = T.whitespace_tokens,
                      seed=42, add_random_tokens: int = 5, vocab: int = DEFAULT_VOCAB,
                      id_col: str = "dataset_item_id", ord_col: str = "row_ord",
                      variant: str = "default") -> DataFrame:
-    """C1-C6 for all ids: (original_dataset_item_id, text, tokens, random_ids,
-    labels, n_pos, n_neg).  ``variant='focused'`` is the older rule: prefix
-    rows need > 1 token, ratio 2 without the minimum of one, no clamp of the
-    answer start."""
+    """C1-C6 for all ids: (original_dataset_item_id, text, tokens, token_ids,
+    random_ids, labels, pivots, negatives).  Labels cover the longest text and
+    the appended tokens, and so do ``text`` and ``token_ids``.
+    ``variant='focused'`` is the older rule: prefix rows need > 1 token, ratio
+    2 without the minimum of one, no clamp of the answer start."""
     focused = variant == "focused"
     p = pivot_positions(rows, tokenize, id_col, ord_col, variant)
     p = negative_candidates(p, tokenize, clamp=not focused)
     p = sample_negatives(p, 2.0 if focused else ratio, seed, id_col, min_one=not focused)
     p = append_random_tokens(p, 0 if focused else add_random_tokens, seed, vocab, id_col)
-    p = pin(p, "tokens", "negatives", "random_ids")
+    appended = F.transform("random_ids", lambda i: F.concat(F.lit(RANDOM_PREFIX), i.cast("string")))
+    p = p.withColumn("token_ids", F.concat(F.transform("tokens", lambda t: token_id(t, vocab)), F.col("random_ids")))
+    p = p.withColumn("text", F.concat_ws(" ", F.col("longest_text"), appended))
+    p = pin(p, "tokens", "negatives", "random_ids", "token_ids")
     p = pin(assemble_labels(p, F.size("tokens") + F.size("random_ids")), "labels")
-    return p.select(F.col(id_col).alias("original_dataset_item_id"), F.col("longest_text").alias("text"),
-                    "tokens", "random_ids", "labels", "pivots", "negatives")
+    return p.select(F.col(id_col).alias("original_dataset_item_id"), "text",
+                    "tokens", "token_ids", "random_ids", "labels", "pivots", "negatives")
 
 
 # -- C9 / C10 / C11 --------------------------------------------------------------
@@ -168,13 +181,13 @@ def double_negatives(df: DataFrame, tokenize: Tokenizer = T.whitespace_tokens, s
                      id_col: str = "original_dataset_item_id", tail_only: bool = False) -> DataFrame:
     """Add as many new -1 as exist.  Labels are first fitted to the token
     count of ``text``; candidates are 0-labelled positions from the first
-    labelled one (``tail_only``: positions beyond the original array); rows
-    without negatives are unchanged."""
+    labelled one (``tail_only``: positions beyond the original array).  Rows
+    without negatives keep their labels as they are."""
     n = F.size(tokenize(F.col("text")))
     orig_len = F.size("labels")
     fitted = fit_labels_length(F.col("labels"), n)
     d = pin(df.withColumn("_lab", fitted), "_lab")
-    k = F.size(F.filter("_lab", lambda x: x == -1))
+    k = F.size(F.filter("labels", lambda x: x == -1))
     labelled = F.filter(F.transform("_lab", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
     start = F.coalesce(F.array_min(labelled), F.lit(0))
     if tail_only:
@@ -185,7 +198,7 @@ def double_negatives(df: DataFrame, tokenize: Tokenizer = T.whitespace_tokens, s
                                                           F.col(id_col)))
                          .otherwise(F.array().cast("array<int>"))), "_new", "_lab")
     out = F.transform("_lab", lambda x, i: F.when(F.array_contains("_new", i), F.lit(-1)).otherwise(x))
-    return pin(d.withColumn("labels", out).drop("_lab", "_new", "_cands"), "labels")
+    return pin(d.withColumn("labels", F.when(k > 0, out).otherwise(F.col("labels"))).drop("_lab", "_new", "_cands"), "labels")
 
 
 # -- C12 / C13 / C14 ---------------------------------------------------------------

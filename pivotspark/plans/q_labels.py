@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vec
 from ..operators import labels as L
+from ..operators import sampling as S
 from ..sources import fixtures as X
+from ..sources.sinks import new_path, read_split
 from .registry import query, tidy, with_ctes
 
 RATIO, SEED, K_RANDOM, VOCAB = 2.0, 42, 5, 151936
@@ -57,7 +59,11 @@ def _probe_local(focused: bool = False):
                                AS negatives,
                            {rand} AS random_ids
                     FROM cand"""),
-        ("probe", """SELECT dataset_item_id AS original_dataset_item_id, longest_text AS text, tokens, random_ids,
+        ("probe", f"""SELECT dataset_item_id AS original_dataset_item_id,
+                            array_to_string(list_concat([longest_text], list_transform(random_ids, lambda i: 'tok' || i)), ' ')
+                                AS text, tokens, random_ids,
+                            list_concat(list_transform(tokens, lambda t:
+                                ('0x' || substr(md5(t), 1, 8))::BIGINT % {VOCAB}), random_ids) AS token_ids,
                             pivots, negatives,
                             list_transform(range(0, len(tokens) + len(random_ids)), lambda i:
                                 CASE WHEN list_contains(pivots, i) THEN 1
@@ -66,7 +72,8 @@ def _probe_local(focused: bool = False):
     ]
 
 
-_PROBE_OUT = """SELECT original_dataset_item_id, CAST(len(tokens) AS BIGINT) AS n_tokens,
+_PROBE_OUT = """SELECT original_dataset_item_id, text, CAST(len(tokens) AS BIGINT) AS n_tokens,
+       array_to_string(token_ids, ',') AS token_ids,
        array_to_string(pivots, ',') AS pivots, array_to_string(negatives, ',') AS negatives,
        array_to_string(random_ids, ',') AS random_ids, array_to_string(labels, ',') AS labels FROM probe"""
 
@@ -77,8 +84,8 @@ def probe_rows(spark, sf, variant: str = "default"):
 
 
 def _probe_out(df):
-    return tidy(df.select("original_dataset_item_id", F.size("tokens").alias("n_tokens"),
-                          *[F.array_join(c, ",").alias(c) for c in ("pivots", "negatives", "random_ids", "labels")]))
+    return tidy(df.select("original_dataset_item_id", "text", F.size("tokens").alias("n_tokens"),
+                          *[F.array_join(c, ",").alias(c) for c in ("token_ids", "pivots", "negatives", "random_ids", "labels")]))
 
 
 def _lsql(body: str, focused: bool = False, extra=()):
@@ -86,11 +93,19 @@ def _lsql(body: str, focused: bool = False, extra=()):
 
 
 @query("read_pivot_rows", with_ctes("""
-SELECT dataset_item_id, query, pivot_context, pivot_token, timestamp, round(prob_delta, 6) AS prob_delta,
-       CAST(row_ord AS BIGINT) AS row_ord FROM pivot_rows""", "pivot_rows"))
+SELECT r.dataset_item_id, query, pivot_context, pivot_token, timestamp, round(prob_delta, 6) AS prob_delta,
+       CAST(row_ord AS BIGINT) AS row_ord
+FROM pivot_rows r JOIN (
+    SELECT dataset_item_id, row_number() OVER (ORDER BY md5('42|' || dataset_item_id), dataset_item_id)
+                            <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS is_test
+    FROM (SELECT DISTINCT dataset_item_id FROM pivot_rows)) k ON k.dataset_item_id = r.dataset_item_id
+WHERE NOT is_test""", "pivot_rows"))
 def q_read_pivot_rows(spark, sf):
-    """A1: the raw pivot rows (T1) read with an explicit schema."""
-    return tidy(X.pivot_rows(spark, sf))
+    """A1: rows stored by split, read with an explicit schema; the split asked
+    for does not exist, so the train split is read."""
+    path = new_path(spark, "pivot_rows")
+    S.split_by_key(X.pivot_rows(spark, sf), "dataset_item_id", SEED, 0.2).write.partitionBy("split").parquet(path)
+    return tidy(read_split(spark, path, "validation", X.PIVOT_SCHEMA))
 
 
 @query("longest_context", _lsql("""
@@ -161,17 +176,17 @@ def _dn_local(tail: bool):
            if tail else "SELECT original_dataset_item_id, text, labels FROM probe")
     return [
         ("src", src),
-        ("fit", f"""SELECT original_dataset_item_id, text, len(labels) AS orig_len, len({_tok('text')}) AS n,
+        ("fit", f"""SELECT original_dataset_item_id, text, labels, len(labels) AS orig_len, len({_tok('text')}) AS n,
                        CASE WHEN len(labels) >= len({_tok('text')}) THEN labels[1:len({_tok('text')})]
                             ELSE list_concat(labels, list_transform(range(len({_tok('text')}) - len(labels)),
                                                                     lambda x: 0)) END AS lab
                 FROM src"""),
-        ("dn0", f"""SELECT *, len(list_filter(lab, lambda x: x = -1)) AS k,
+        ("dn0", f"""SELECT *, len(list_filter(labels, lambda x: x = -1)) AS k,
                        list_filter(range({start}, n), lambda i: lab[i + 1] = 0) AS cands FROM fit"""),
         ("dn", f"""SELECT original_dataset_item_id,
-                      list_transform(lab, lambda x, i: CASE WHEN k > 0 AND list_contains(
+                      CASE WHEN k = 0 THEN labels ELSE list_transform(lab, lambda x, i: CASE WHEN list_contains(
                           {_pick('cands', 'least(k, len(cands))', 'original_dataset_item_id')}, i - 1)
-                          THEN -1 ELSE x END) AS labels
+                          THEN -1 ELSE x END) END AS labels
                FROM dn0"""),
     ]
 
@@ -217,14 +232,14 @@ def q_fit_labels_length(spark, sf):
 
 _HS_LOCAL = [
     ("nemb", "SELECT count(*) AS n FROM embeddings"),
-    ("hpos", """SELECT original_dataset_item_id AS id, p AS position
-                FROM (SELECT original_dataset_item_id,
-                             unnest(range(0, len(tokens) - CASE WHEN CAST(original_dataset_item_id AS BIGINT) % 7 = 0
-                                                                THEN 1 ELSE 0 END)) AS p FROM probe)"""),
+    ("hpos", """SELECT id, position, token FROM (
+                  SELECT original_dataset_item_id AS id, generate_subscripts(token_ids, 1) - 1 AS position,
+                         unnest(token_ids) AS token, len(token_ids) AS n_tok FROM probe)
+                WHERE position < n_tok - CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END"""),
     ("hs", """SELECT h.id, CAST(l.layer AS INTEGER) AS layer, h.position,
                      e.embedding[16 * l.layer + 1 : 16 * l.layer + 16] AS activation
               FROM hpos h CROSS JOIN nemb
-              JOIN embeddings e ON e.vec_id = (CAST(h.id AS BIGINT) * 31 + h.position) % nemb.n
+              JOIN embeddings e ON e.vec_id = (h.token + h.position) % nemb.n
               CROSS JOIN range(4) l(layer)"""),
     ("lab", """SELECT original_dataset_item_id AS id, generate_subscripts(labels, 1) - 1 AS position,
                       unnest(labels) AS label FROM probe"""),

@@ -95,11 +95,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                  conv_id, turn
           FROM conversations)
         SELECT dataset_item_id, query, pivot_context, pivot_token, timestamp,
-               CAST(prob_delta AS DOUBLE) AS prob_delta, conv_id * 1000 + turn * 2 AS row_ord
+               CAST(prob_delta AS DOUBLE) AS prob_delta, conv_id * 1048576 + turn * 2 AS row_ord
         FROM r WHERE turn >= 1
         UNION ALL
         SELECT dataset_item_id, query, pivot_context, pivot_token, timestamp,
-               CAST(prob_delta AS DOUBLE) AS prob_delta, conv_id * 1000 + turn * 2 + 1 AS row_ord
+               CAST(prob_delta AS DOUBLE) AS prob_delta, conv_id * 1048576 + turn * 2 + 1 AS row_ord
         FROM r WHERE turn >= 1 AND turn % 3 = 1"""),
     "vector_corpus": ((), """
         WITH base AS (

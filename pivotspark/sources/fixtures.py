@@ -57,6 +57,12 @@ def activations_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("activation", shifted)
 
 
+PIVOT_SCHEMA = ("dataset_item_id string, query string, pivot_context string, pivot_token string, timestamp string, "
+                "prob_delta double, row_ord long")
+#: File order of a conversation's first row: room for half a million turns.
+ORD_STEP = 1 << 20
+
+
 def pivot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 raw pivot rows from ``conversations``.
 
@@ -76,9 +82,9 @@ def pivot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((F.col("conv_id") * 7 + F.col("turn") * 13) % 21 - 10) / F.lit(20.0)).alias("prob_delta"),
         "conv_id", "turn",
     ).where(F.col("turn") >= 1)
-    base = rows.withColumn("row_ord", F.col("conv_id") * 1000 + F.col("turn") * 2)
+    base = rows.withColumn("row_ord", F.col("conv_id") * ORD_STEP + F.col("turn") * 2)
     dups = rows.where(F.col("turn") % 3 == 1).withColumn(
-        "row_ord", F.col("conv_id") * 1000 + F.col("turn") * 2 + 1)
+        "row_ord", F.col("conv_id") * ORD_STEP + F.col("turn") * 2 + 1)
     return base.unionByName(dups).drop("conv_id", "turn")
 
 
@@ -90,17 +96,14 @@ def hidden_states(spark: SparkSession, sf_dir: str, probe_rows: DataFrame) -> Da
     """Hidden states in long form: (id, layer, position, activation).
 
     Position p of probe row ``id`` (= conv_id) takes embedding
-    vec_id = (id*31 + p) % n, cut to the layer's 16 dims.  Rows with
+    vec_id = (token_ids[p] + p) % n, cut to the layer's 16 dims.  Rows with
     id % 7 == 0 get one state fewer than they have tokens (truncation)."""
     emb = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = n_embeddings(spark, sf_dir)
-    pos = probe_rows.select(
-        F.col("original_dataset_item_id").alias("id"),
-        F.explode_outer(F.sequence(F.lit(0), F.size("tokens") - 1
-                                   - F.when(F.col("original_dataset_item_id").cast("long") % 7 == 0, 1)
-                                   .otherwise(0)))
-        .alias("position")).where(F.col("position") >= 0)
-    pos = pos.withColumn("vec_id", (F.col("id").cast("long") * 31 + F.col("position")) % n)
+    row_id = F.col("original_dataset_item_id")
+    kept = F.size("token_ids") - F.when(row_id.cast("long") % 7 == 0, 1).otherwise(0)
+    pos = probe_rows.select(row_id.alias("id"), kept.alias("_kept"), F.posexplode_outer("token_ids").alias("position", "_token"))
+    pos = pos.where(F.col("position") < F.col("_kept")).withColumn("vec_id", (F.col("_token") + F.col("position")) % n)
     joined = pos.join(emb, "vec_id")
     return joined.select("id", _layers(), "position", "embedding").select(
         "id", F.col("layer").cast("int").alias("layer"), "position",

@@ -42,6 +42,21 @@ def write_split(df: DataFrame, path: str) -> dict[str, str]:
     return {"train": f"{path}/split=train", "test": f"{path}/split=test"}
 
 
+def read_split(spark: SparkSession, path: str, split: str, schema: str) -> DataFrame:
+    """A1: the rows of a split of a table stored by ``split``, read with the
+    given schema.  A split that is not there falls back to ``train``, then to
+    the first in alphabetical order."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = sorted(s.getPath().getName()[len("split="):] for s in fs.listStatus(root)
+                   if s.getPath().getName().startswith("split="))
+    if not there:
+        raise FileNotFoundError(f"no split in {path}")
+    chosen = next(s for s in (split, "train", there[0]) if s in there)
+    return spark.read.schema(schema).parquet(f"{path}/split={chosen}")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> str:
     """Persist a table (Parquet, JSON or CSV)."""
     w = df.write.mode("overwrite")
