@@ -18,7 +18,8 @@ def _c(c):
 
 def hord(seed, *keys) -> Column:
     """Hex md5 of ``seed|key1|key2...``; sort by it for a seeded shuffle."""
-    parts = [F.lit(str(seed))] + [_c(k).cast("string") for k in keys]
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    parts = [first] + [_c(k).cast("string") for k in keys]
     return F.md5(F.concat_ws("|", *parts))
 
 

@@ -8,12 +8,13 @@ uses MLlib (distributed covariance / Gram aggregates); only d x d matrices
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.keys import uniform01
-from .ranking import global_rank
+from .ranking import exact_quantiles, global_rank, group_rank
 
 
 def thin_dims(v, max_dims: int) -> Column:
@@ -27,23 +28,52 @@ def thin_dims(v, max_dims: int) -> Column:
 
 
 def stride_sample(df: DataFrame, order_cols, bucket_key, max_rows: int, vec_col: str | None = None,
-                  max_dims: int | None = None) -> DataFrame:
-    """Rank rows globally, keep every step-th (step = max(1, n //
+                  max_dims: int | None = None, group_cols=()) -> DataFrame:
+    """Rank the rows of each group, keep every step-th (step = max(1, n //
     max_rows)), the first ``max_rows``; optionally thin the vector's dims."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    step = F.greatest(F.lit(1), F.floor(n / max_rows))
-    r = global_rank(df, order_cols, bucket_key, rank_col="_r")
+    g = list(group_cols)
+    if g:
+        r = group_rank(df, g, order_cols, bucket_key, rank_col="_r").join(
+            df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g)
+    else:
+        r = global_rank(df, order_cols, bucket_key, rank_col="_r").withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / max_rows))
     r = r.where((F.col("_r") % step == 0) & (F.floor(F.col("_r") / step) < max_rows)) \
-        .withColumn("row_index", F.floor(F.col("_r") / step).cast("long")).drop("_r")
+        .withColumn("row_index", F.floor(F.col("_r") / step).cast("long")).drop("_r", "_n")
     if vec_col and max_dims:
         r = r.withColumn(vec_col, thin_dims(vec_col, max_dims))
     return r
 
 
+def by_label_then_id(acts: DataFrame):
+    """Order columns and monotone numeric key of "label descending, then id",
+    whatever the ids' range."""
+    span = acts.agg(F.max("query_id") - F.min("query_id") + 1).scalar()
+    return ([F.col("label").desc(), F.col("query_id")],
+            (F.lit(1) - F.col("label")).cast("double") * span + F.col("query_id"))
+
+
 def heatmap_rows(acts: DataFrame, max_rows: int = 50, max_dims: int = 8) -> DataFrame:
-    """Rows by label desc then id (stable), thinned rows and dims."""
-    key = (F.lit(1) - F.col("label")).cast("long") * F.lit(10 ** 12) + F.col("query_id")
-    return stride_sample(acts, [F.col("label").desc(), F.col("query_id")], key, max_rows, "activation", max_dims)
+    """Per layer, rows by label desc then id (stable), thinned rows and
+    dims."""
+    order, key = by_label_then_id(acts)
+    return stride_sample(acts, order, key, max_rows, "activation", max_dims, ["layer"])
+
+
+def cluster_heatmap(corpus: DataFrame, vec_col: str = "steering_vector") -> DataFrame:
+    """(row_id, cluster_id, boundary, dim, position, x): every cell, its
+    dim's place in PCA column order, its value clipped to the 1st..99th
+    percentile of all cells.  In (cluster, pattern, delta, id) order a
+    boundary starts every cluster: the first row of each, by a grouped min."""
+    firsts = corpus.groupBy("cluster_id").agg(
+        F.min(F.struct("reasoning_pattern", "prob_delta", "row_id")).getField("row_id").alias("row_id"))
+    rows = corpus.join(firsts.withColumn("boundary", F.lit(True)), ["cluster_id", "row_id"], "left").fillna(False, ["boundary"])
+    cells = rows.select("row_id", "cluster_id", "boundary", F.posexplode(vec_col).alias("dim", "x")).withColumn(
+        "x", F.col("x").cast("double"))
+    q = exact_quantiles(cells, "x", (0.01, 0.99))
+    place = {d: i for i, d in enumerate(pca_column_order(corpus, vec_col))}
+    position = F.element_at(F.array(*[F.lit(place[d]) for d in range(len(place))]), F.col("dim") + 1)
+    return cells.withColumn("position", position).withColumn("x", F.least(F.greatest(F.col("x"), q.getItem(0)), q.getItem(1)))
 
 
 def random_directions(reference: DataFrame, seeds=(1, 2, 3), vec_col: str = "direction") -> DataFrame:
@@ -98,14 +128,22 @@ def project(df: DataFrame, comp: np.ndarray, mean: np.ndarray, vec_col: str = "a
 def pca_column_order(df: DataFrame, vec_col: str = "steering_vector") -> list[int]:
     """Dims ordered by their score on the first principal component of
     the transposed matrix (samples row-centred).  The d x d Gram of the
-    row-centred rows is one distributed aggregate (MLlib RowMatrix); its top
+    row-centred rows is summed from one partial matrix per partition; its top
     eigenvector is computed on the driver (d x d only)."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    v = vec.to_double(vec_col)
-    cen = df.select(vec.sub(v, F.array_repeat(vec.vsum(v) / F.size(v), F.size(v))).alias("v"))
-    rows = cen.rdd.map(lambda r: Vectors.dense(r[0]))
-    gram = RowMatrix(rows).computeGramianMatrix().toArray()
+    def partial(it):
+        gram = None
+        for pdf in it:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+                x -= x.mean(axis=1, keepdims=True)
+                gram = x.T @ x if gram is None else gram + x.T @ x
+        if gram is not None:
+            yield pd.DataFrame({"i": np.arange(len(gram)), "row": list(gram)})
+
+    parts = df.select(F.col(vec_col).alias("v")).mapInPandas(partial, "i long, row array<double>")
+    cells = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    got = cells.orderBy("i", "j").toPandas()
+    gram = got["x"].to_numpy().reshape(int(got["i"].max()) + 1, -1)
     # PCA of the transposed matrix centres every sample across the dims
     # (done above); the dims' scores on PC1 are the top eigenvector of the
     # Gram scaled by its singular value

@@ -15,17 +15,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from .ranking import exact_group_quantile
 
 
 def nie_positions(probe: DataFrame, label_value: int = 1, max_positions_per_row: int | None = None,
-                  id_col: str = "original_dataset_item_id", ids_col: str = "tokens") -> DataFrame:
+                  id_col: str = "original_dataset_item_id", ids_col: str = "tokens",
+                  max_rows: int | None = None) -> DataFrame:
     """(row_id, position, pivot_token): positions p < min(len(labels),
     len(ids)) - 1 whose label is ``label_value``; rows with <= 1 id are
-    skipped; optionally the first k positions per row."""
+    skipped; optionally the first k positions per row, and only the first
+    ``max_rows`` rows by id."""
+    if max_rows is not None:
+        probe = probe.orderBy(id_col).limit(max_rows)
     usable = F.least(F.size("labels"), F.size(ids_col))
     e = probe.where(F.size(ids_col) > 1).select(
         F.col(id_col).alias("row_id"), ids_col, usable.alias("_u"),
@@ -47,22 +52,24 @@ def token_nie(base: DataFrame, steered: DataFrame, keys: Sequence[str] = ("row_i
     return b.join(s, k).withColumn("nie", F.col("log_p_steered") - F.col("log_p_base"))
 
 
-def nie_summary(samples: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """n_positions, mean, std (ddof 1; 0.0 for one sample), median and the
-    mean log-probabilities; null where there is no sample."""
+def nie_summary(samples: DataFrame, group_cols: Sequence[str] = (), n_rows=None) -> DataFrame:
+    """n_rows (rows processed, given as a number or scalar column; those
+    without a sample count too), rows with samples, n_positions, mean, std
+    (ddof 1; 0.0 for one sample), exact median and the mean
+    log-probabilities; null where there is no sample."""
     g = list(group_cols)
-    aggs = [F.count(F.lit(1)).alias("n_positions"),
-            F.countDistinct("row_id").alias("n_rows_with_samples"),
-            F.avg("nie").alias("nie_mean"),
-            F.when(F.count(F.lit(1)) > 1, F.stddev_samp("nie")).when(F.count(F.lit(1)) == 1, F.lit(0.0))
-            .alias("nie_std"),
-            # NIE samples are bounded by the forward passes that produced
-            # them, so one cell's values fit an aggregation buffer; for
-            # unbounded groups use ranking.exact_group_quantile instead
-            F.median("nie").alias("nie_median"),
-            F.avg("log_p_base").alias("log_p_base_mean"),
-            F.avg("log_p_steered").alias("log_p_steered_mean")]
-    return samples.groupBy(*g).agg(*aggs) if g else samples.agg(*aggs)
+    if not g:
+        samples = samples.withColumn("_all", F.lit(1))
+    keys = g or ["_all"]
+    rows = F.countDistinct("row_id")
+    out = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_positions"), rows.alias("n_rows_with_samples"), F.avg("nie").alias("nie_mean"),
+        F.when(F.count(F.lit(1)) > 1, F.stddev_samp("nie")).when(F.count(F.lit(1)) == 1, F.lit(0.0)).alias("nie_std"),
+        F.avg("log_p_base").alias("log_p_base_mean"), F.avg("log_p_steered").alias("log_p_steered_mean"))
+    out = out.join(exact_group_quantile(samples, keys, "nie", 0.5, "nie_median"), keys, "left")
+    n = n_rows if isinstance(n_rows, Column) else F.col("n_rows_with_samples") if n_rows is None else F.lit(int(n_rows))
+    return out.select(*g, n.alias("n_rows"), "n_rows_with_samples", "n_positions", "nie_mean", "nie_std", "nie_median",
+                      "log_p_base_mean", "log_p_steered_mean")
 
 
 # -- G4: Poisson bootstrap -------------------------------------------------------

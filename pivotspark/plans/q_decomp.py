@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -15,37 +18,46 @@ from .q_vectors import _train, _train_dirs
 from .registry import query, tidy, with_ctes
 
 _THIN_SQL = """
-SELECT query_id, CAST(label AS BIGINT) AS label, CAST((rn - 1) // step AS BIGINT) AS row_index,
+SELECT CAST(layer AS BIGINT) AS layer, query_id, CAST(label AS BIGINT) AS label, CAST((rn - 1) // step AS BIGINT) AS row_index,
        CAST(j AS BIGINT) AS dim, round(CAST(activation[j * dstep + 1] AS DOUBLE), 6) AS value
 FROM (SELECT *, greatest(1, cnt // {mr}) AS step, greatest(1, len(activation) // {md}) AS dstep
-      FROM (SELECT *, row_number() OVER (ORDER BY label DESC, query_id) AS rn, count(*) OVER () AS cnt
-            FROM activations WHERE split = 'train' AND layer = 0)),
+      FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY label DESC, query_id) AS rn,
+                   count(*) OVER (PARTITION BY layer) AS cnt
+            FROM activations WHERE split = 'train')),
      LATERAL (SELECT unnest(range(0, least({md}, CAST(ceil(len(activation) / dstep) AS INTEGER)))) AS j)
 WHERE (rn - 1) % step = 0 AND (rn - 1) // step < {mr}"""
 
 
 def _thin_long(df):
-    return df.select("query_id", "label", "row_index", F.posexplode("activation").alias("dim", "value"))
+    return df.select("layer", "query_id", "label", "row_index", F.posexplode("activation").alias("dim", "value"))
 
 
 @query("heatmap_rows", with_ctes(_THIN_SQL.format(mr=50, md=8), "activations"))
 def q_heatmap_rows(spark, sf):
-    """Layer-0 train rows by label desc (then id), thinned to 50 rows
-    and 8 dims; global rank without a single-task window."""
-    a = _train(spark, sf).where(F.col("layer") == 0)
-    return tidy(_thin_long(DC.heatmap_rows(a, 50, 8)))
+    """Per layer, train rows by label desc (then id), thinned to 50 rows
+    and 8 dims; ranks without a single-task window."""
+    return tidy(_thin_long(DC.heatmap_rows(_train(spark, sf), 50, 8)))
 
 
 @query("stride_sample", with_ctes(_THIN_SQL.format(mr=30, md=5), "activations"))
 def q_stride_sample(spark, sf):
-    """Every step-th row (step = n // 30) and every step-th dim (first 5)."""
-    a = _train(spark, sf).where(F.col("layer") == 0)
-    key = (F.lit(1) - F.col("label")).cast("long") * F.lit(10 ** 12) + F.col("query_id")
-    return tidy(_thin_long(DC.stride_sample(a, [F.col("label").desc(), F.col("query_id")], key, 30,
-                                            "activation", 5)))
+    """Per layer, every step-th row (step = n // 30) and every step-th dim
+    (first 5)."""
+    a = _train(spark, sf)
+    order, key = DC.by_label_then_id(a)
+    return tidy(_thin_long(DC.stride_sample(a, order, key, 30, "activation", 5, ["layer"])))
+
 
+_UNIFORM = "(CAST(('0x' || substr(md5(CAST(seed AS VARCHAR) || '|' || CAST(layer AS VARCHAR) || '|' || CAST(dim AS VARCHAR) || '|{k}'), 1, 8)) AS BIGINT) / 4294967296.0)"
 
-@query("random_directions")
+
+@query("random_directions", with_ctes(f"""
+SELECT CAST(layer AS BIGINT) AS layer, CAST(seed AS BIGINT) AS seed, round(sqrt(sum(r * r)), 6) AS norm,
+       round(sum(g * r) / (sqrt(sum(g * g)) * sqrt(sum(r * r)) + 1e-12), 6) AS cos_to_reference
+FROM (SELECT layer, seed, dim, value AS r,
+             sqrt(-2.0 * ln(1.0 - {_UNIFORM.format(k='a')})) * cos(2 * pi() * {_UNIFORM.format(k='b')}) AS g
+      FROM train_dir_long CROSS JOIN (VALUES (1), (2), (3)) s(seed))
+GROUP BY layer, seed""", "train_dir_long"))
 def q_random_directions(spark, sf):
     """Three seeded Gaussian directions per layer, rescaled to the train
     direction's norm, with their cosine to it."""
@@ -53,7 +65,11 @@ def q_random_directions(spark, sf):
     return tidy(r.select("layer", "seed", "norm", "cos_to_reference"))
 
 
-def _pca_rows(spark, sf, layer=1):
+def _layers(spark, sf):
+    return [r[0] for r in X.activations(spark, sf).select("layer").distinct().orderBy("layer").collect()]  # tens of values
+
+
+def _pca_rows(spark, sf, layer):
     a = X.activations(spark, sf).where(F.col("layer") == layer)
     comp, evr, mean = DC.pca_2d(a)
     return DC.project(a, comp, mean), comp, evr
@@ -61,22 +77,30 @@ def _pca_rows(spark, sf, layer=1):
 
 @query("pca_2d")
 def q_pca_2d(spark, sf):
-    """2-component centred PCA of layer-1 activations: explained
+    """Per layer, 2-component centred PCA of the activations: explained
     variance ratio and the projected class centroids."""
-    rows, comp, evr = _pca_rows(spark, sf)
-    cents = rows.groupBy("bucket").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"))
-    return tidy(cents.select("bucket", "pc1", "pc2", F.lit(float(evr[0])).alias("evr1"),
-                             F.lit(float(evr[1])).alias("evr2")))
-
-
-@query("pc1_outlier_filter")
+    out = []
+    for layer in _layers(spark, sf):
+        rows, comp, evr = _pca_rows(spark, sf, layer)
+        out.append(rows.groupBy("layer", "bucket").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2")).withColumns(
+            {"evr1": F.lit(float(evr[0])), "evr2": F.lit(float(evr[1]))}))
+    return tidy(reduce(DataFrame.unionByName, out))
+
+
+@query("pc1_outlier_filter", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, CAST(n - floor(0.05 * (n - 1)) - CASE WHEN 0.05 * (n - 1) = floor(0.05 * (n - 1)) THEN 0 ELSE 1 END
+       AS BIGINT) AS n_kept
+FROM (SELECT layer, count(*) AS n FROM activations GROUP BY layer)""", "activations"))
 def q_pc1_outlier_filter(spark, sf):
-    """Rows of layer 1 with pc1 below a bound dropped (bound: the 5th
-    percentile of pc1 here, -30 in the notebook's units)."""
-    rows, _, _ = _pca_rows(spark, sf)
-    bound = rows.agg(F.percentile("pc1", 0.05)).first()[0]
-    kept = S.pc1_outlier_filter(rows, layer=1, bound=bound)
-    return tidy(kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_kept")))
+    """Per layer, rows with pc1 below a bound dropped (bound: the exact
+    5th percentile of the layer's pc1 here, -30 in the notebook's units)."""
+    from ..operators.ranking import exact_quantiles
+    out = []
+    for layer in _layers(spark, sf):
+        rows, _, _ = _pca_rows(spark, sf, layer)
+        bound = rows.select(exact_quantiles(rows, "pc1", (0.05,)).getItem(0)).first()[0]
+        out.append(S.pc1_outlier_filter(rows, layer=layer, bound=bound).groupBy("layer").agg(F.count(F.lit(1)).alias("n_kept")))
+    return tidy(reduce(DataFrame.unionByName, out))
 
 
 @query("pca_column_order")
@@ -86,27 +110,17 @@ def q_pca_column_order(spark, sf):
     return spark.createDataFrame([(i, d) for i, d in enumerate(order)], "position long, dim long")
 
 
-@query("heatmap_codelion")
-def q_heatmap_codelion(spark, sf):
-    """Corpus rows ordered by (cluster, pattern, delta), cluster
-    boundaries, dims in PCA order, values clipped to the 1st..99th
-    percentile of all cells (thinned to 8 dims)."""
-    c = X.vector_corpus(spark, sf)
-    order = DC.pca_column_order(c)[:8]
-    cells = c.select("row_id", "cluster_id", "reasoning_pattern", "prob_delta",
-                     F.array(*[F.element_at("steering_vector", d + 1) for d in order]).alias("v"))
-    ex = cells.select("*", F.posexplode("v").alias("pos", "x"))
-    q = ex.agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).scalar()
-    # in (cluster, pattern, delta, id) order a boundary starts every cluster:
-    # the first row of each cluster, found by a grouped min (no global sort)
-    firsts = cells.groupBy("cluster_id").agg(
-        F.min(F.struct("reasoning_pattern", "prob_delta", "row_id")).getField("row_id").alias("row_id"))
-    rows = cells.join(firsts.withColumn("boundary", F.lit(True)), ["cluster_id", "row_id"], "left") \
-        .fillna(False, ["boundary"])
-    out = rows.select("row_id", "cluster_id", "boundary", F.posexplode("v").alias("pos", "x")).withColumn(
-        "x", F.least(F.greatest(F.col("x"), q.getItem(0)), q.getItem(1)))
-    return tidy(out.groupBy("cluster_id").agg(F.sum(F.col("boundary").cast("long")).alias("n_boundaries"),
-                                              F.avg("x").alias("mean_clipped")))
+@query("cluster_heatmap", with_ctes("""
+SELECT row_id, CAST(cluster_id AS BIGINT) AS cluster_id, row_id IN (
+           SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY cluster_id
+                                   ORDER BY reasoning_pattern, prob_delta, row_id) AS rn FROM vector_corpus) WHERE rn = 1) AS boundary,
+       CAST(dim AS BIGINT) AS dim,
+       round(least(greatest(x, (SELECT quantile_cont(x, 0.01) FROM corpus_long)), (SELECT quantile_cont(x, 0.99) FROM corpus_long)), 6) AS x
+FROM corpus_long""", "corpus_long", "vector_corpus"))
+def q_cluster_heatmap(spark, sf):
+    """Every cell of the corpus, clipped to the 1st..99th percentile,
+    with the cluster boundaries (the order of the dims is D27's)."""
+    return tidy(DC.cluster_heatmap(X.vector_corpus(spark, sf)).select("row_id", "cluster_id", "boundary", "dim", "x"))
 
 
 @query("probe_weight_direction")

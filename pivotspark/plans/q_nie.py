@@ -43,7 +43,7 @@ def grid_samples(spark, sf, vectors=("v0", "v1"), modes=MODES, coefs=COEFS):
     is exploded per row (a few cells), and the two vectors join by name."""
     cells = F.array(*[F.struct(F.lit(v).alias("vector"), F.lit(m).alias("mode"), F.lit(float(c)).alias("coef"))
                       for v in vectors for m in modes for c in coefs])
-    base = logits_rows(spark, sf)
+    base = logits_rows(spark, sf).withColumn("log_p_base", vec.log_softmax_at("logits", "pivot_token_id"))
     rows = base.select("*", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
     rows = rows.join(F.broadcast(label_vectors(spark, sf)), "vector")  # two rows, one per vector
     steered = F.lit(None)
@@ -52,8 +52,7 @@ def grid_samples(spark, sf, vectors=("v0", "v1"), modes=MODES, coefs=COEFS):
     rows = rows.withColumn("steered", steered)
     cell = F.concat_ws("__", "vector", "mode", F.concat(F.lit("c"), F.col("coef").cast("string")))
     return rows.select(cell.alias("cell"), "vector", "mode", "coef", "row_id", "position", "pivot_token_id",
-                       vec.log_softmax_at("logits", "pivot_token_id").alias("log_p_base"),
-                       vec.log_softmax_at("steered", "pivot_token_id").alias("log_p_steered")) \
+                       "log_p_base", vec.log_softmax_at("steered", "pivot_token_id").alias("log_p_steered")) \
         .withColumn("nie", F.col("log_p_steered") - F.col("log_p_base"))
 
 
@@ -91,14 +90,15 @@ _GRID_LOCAL = [
                     FROM st"""),
     ("s2", "SELECT *, log_p_steered - log_p_base AS nie FROM samples"),
 ]
-_SUMMARY_SEL = """CAST(count(*) AS BIGINT) AS n_positions, round(avg(nie), 6) AS nie_mean,
+_SUMMARY_SEL = """(SELECT count(*) FROM embeddings) AS n_rows, CAST(count(DISTINCT row_id) AS BIGINT) AS n_rows_with_samples,
+       CAST(count(*) AS BIGINT) AS n_positions, round(avg(nie), 6) AS nie_mean,
        round(CASE WHEN count(*) > 1 THEN stddev_samp(nie) WHEN count(*) = 1 THEN 0.0 END, 6) AS nie_std,
        round(median(nie), 6) AS nie_median, round(avg(log_p_base), 6) AS log_p_base_mean,
        round(avg(log_p_steered), 6) AS log_p_steered_mean"""
 
 
-def _summary_cols(df):
-    return df.select(*[c for c in df.columns if c != "n_rows_with_samples"])
+def _n_rows(spark, sf):
+    return X.n_embeddings(spark, sf)
 
 
 @query("nie_positions", with_ctes("""
@@ -132,7 +132,7 @@ SELECT {_SUMMARY_SEL} FROM s2 WHERE vector = 'v0' AND mode = 'additive_normalize
 def q_nie_summary(spark, sf):
     """NIE summary of one setting (normalized, c = 0.5, label-0 centroid)."""
     s = grid_samples(spark, sf, vectors=("v0",), modes=("additive_normalized",), coefs=(0.5,))
-    return tidy(_summary_cols(N.nie_summary(s)))
+    return tidy(N.nie_summary(s, n_rows=_n_rows(spark, sf)))
 
 
 @query("nie_candidate_grid", with_ctes(f"""
@@ -141,7 +141,7 @@ SELECT cell, vector, mode, round(coef, 6) AS coef, {_SUMMARY_SEL} FROM s2 GROUP
 def q_nie_candidate_grid(spark, sf):
     """Vector x (mode, coef) cells, one NIE summary each."""
     s = grid_samples(spark, sf)
-    return tidy(_summary_cols(N.nie_summary(s, ["cell", "vector", "mode", "coef"])))
+    return tidy(N.nie_summary(s, ["cell", "vector", "mode", "coef"], _n_rows(spark, sf)))
 
 
 @query("nie_views", with_ctes(f"""
@@ -175,7 +175,7 @@ def q_nie_by_sign(spark, sf):
     c = X.vector_corpus(spark, sf).select(F.col("row_id"), "prob_delta")
     j = s.join(c, "row_id").withColumn("sign", F.when(F.col("prob_delta") > 0, "pos")
                                        .when(F.col("prob_delta") < 0, "neg").otherwise("zero"))
-    return tidy(_summary_cols(N.nie_summary(j, ["sign"])))
+    return tidy(N.nie_summary(j, ["sign"], _n_rows(spark, sf)))
 
 
 @query("bootstrap_ci")

@@ -140,7 +140,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "token_texts": ((), """
         SELECT CASE WHEN l.quality = 1 THEN 'base' ELSE 'steered' END AS run, d.doc_id, d.text,
                d.source AS task
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en'"""),
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
     "gate_probe": ((), """
         SELECT list(w ORDER BY dim) AS w, list(v ORDER BY dim) AS v, -sum(w * (p + q) / 2) - 0.5 AS b
         FROM (SELECT dim, p, q, v, 100.0 * (p - q) AS w

@@ -175,9 +175,9 @@ def random_control_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, doc_id, text): English documents with labels; quality 1 = base,
+    """(run, doc_id, text): the labelled documents; quality 1 = base,
     quality 0 = steered."""
-    docs = load(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text", "source")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(lab, "doc_id").select(
         F.when(F.col("quality") == 1, "base").otherwise("steered").alias("run"), "doc_id", "text",
