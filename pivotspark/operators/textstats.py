@@ -87,3 +87,58 @@ def top_tokens_by_median(df: DataFrame, token_col: str, value_col: str, k: int)
     from .ranking import exact_group_quantile
     m = exact_group_quantile(df, [token_col], value_col, 0.5, "median").withColumn("_all", F.lit(1))
     return topk_per_group(m, ["_all"], [F.col("median").desc(), F.col(token_col)], k).drop("_all")
+
+
+def task_vectors(corpus: DataFrame, vec_col: str = "steering_vector") -> DataFrame:
+    """(task, group, arm, dim, value, norm) of the eight grouping tasks.
+    Each row is exploded once into the groups it belongs to."""
+    from .ranking import exact_quantiles
+    from .vectors import centroid_long, explode_dims
+    pick = lambda task, group, when=None: F.struct(
+        F.lit(task).alias("task"), (group if when is None else F.when(when, group)).alias("group"))
+    sizes = corpus.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(1))
+    big = topk_per_group(sizes, ["_all"], [F.col("n").desc(), F.col("cluster_id")], 5, "rk").select("cluster_id", "rk")
+    n = corpus.groupBy("pivot_token").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
+    tokens = top_tokens_by_median(corpus.where(F.col("prob_delta") > 0), "pivot_token", "prob_delta", 3).join(n, "pivot_token")
+    q = exact_quantiles(corpus, "abs_delta", (0.25, 0.75))
+    # five clusters and three tokens at most
+    rows = (corpus.withColumn("_q", q).join(F.broadcast(big), "cluster_id", "left")
+            .join(F.broadcast(tokens.select("pivot_token", F.lit(True).alias("_targeted"))), "pivot_token", "left"))
+    named = F.concat(F.lit("c"), F.col("cluster_id").cast("string"))
+    groups = F.array(
+        pick("all", F.lit("all")), pick("sign", F.lit("pos"), F.col("prob_delta") > 0), pick("sign", F.lit("neg"), F.col("prob_delta") < 0),
+        pick("magnitude", F.lit("high"), F.col("abs_delta") >= F.col("_q")[1]),
+        pick("magnitude", F.lit("low"), F.col("abs_delta") <= F.col("_q")[0]), pick("pattern", F.col("reasoning_pattern")),
+        pick("cluster_vs_raw", named, F.col("rk") == 1), pick("token_targeted", F.col("pivot_token"), F.col("_targeted")))
+    g = rows.select("row_id", vec_col, "abs_delta", F.explode(F.filter(groups, lambda x: x["group"].isNotNull())).alias("g")).select(
+        "row_id", vec_col, "abs_delta", "g.task", "g.group")
+    keys = ["task", "group"]
+    mean = centroid_long(g, keys, vec_col)
+    ref = mean.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("ref"))
+    arms = mean.select(*keys, F.lit("mean").alias("arm"), "dim", "value")
+
+    top = topk_per_group(g.where(F.col("task") != "all"), keys, [F.col("abs_delta").desc(), F.col("row_id")], 2, "rk")
+    top = top.withColumn("arm", F.explode(F.when(F.col("task") == "cluster_vs_raw", F.array(F.lit("top2")))
+                                          .when(F.col("rk") == 1, F.array(F.lit("top1"), F.lit("top2")))
+                                          .otherwise(F.array(F.lit("top2")))))
+    sums = explode_dims(top, vec_col, [*keys, "arm"]).groupBy(*keys, "arm", "dim").agg(F.sum("x").alias("value"))
+    own = sums.groupBy(*keys, "arm").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("own"))
+    scaled = sums.join(own, [*keys, "arm"]).join(ref, keys).withColumn(
+        "value", F.when(F.col("own") > 1e-8, F.col("value") * F.col("ref") / F.col("own")).otherwise(F.col("value")))
+
+    cluster = centroid_long(corpus.join(F.broadcast(big), "cluster_id"), ["cluster_id", "rk"], vec_col)
+    cluster = cluster.withColumn("task", F.explode(F.when(F.col("rk") == 1, F.array(F.lit("cluster"), F.lit("cluster_vs_raw")))
+                                                   .otherwise(F.array(F.lit("cluster")))))
+    x = corpus.select("prob_delta", F.posexplode(vec_col).alias("dim", "x"))
+    weighted = x.groupBy("dim").agg(
+        F.sum(F.col("prob_delta") * F.col("x")).alias("s"), F.sum(F.abs("prob_delta") * F.col("x")).alias("a"),
+        F.greatest(F.lit(1e-8), F.sum(F.abs("prob_delta"))).alias("w"))
+    weighted = weighted.select("dim", F.explode(F.array(
+        F.struct(F.lit("weighted_mean_signed").alias("arm"), (F.col("s") / F.col("w")).alias("value")),
+        F.struct(F.lit("weighted_mean_abs").alias("arm"), (F.col("a") / F.col("w")).alias("value")))).alias("z"))
+    cols = [*keys, "arm", "dim", "value"]
+    out = (arms.unionByName(scaled.select(cols))
+           .unionByName(cluster.select("task", named.alias("group"), F.lit("cluster_vector").alias("arm"), "dim", "value"))
+           .unionByName(weighted.select(F.lit("weighted").alias("task"), F.lit("all").alias("group"), "z.arm", "dim", "z.value")))
+    norm = out.groupBy(*keys, "arm").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("norm"))
+    return out.join(norm, [*keys, "arm"])

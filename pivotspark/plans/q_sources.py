@@ -12,6 +12,7 @@ from ..sources import fixtures as X
 from ..sources import sinks as SK
 from ..sources.tables import load
 from .q_labels import _probe_local, probe_rows
+from .q_probes import _probe_sql
 from .q_runs import _RUN_LOCAL, metrics as run_metrics_df, scored
 from .q_vectors import _n, _d, _test, _train, _train_dirs
 from .registry import query, tidy, with_ctes
@@ -88,22 +89,32 @@ def q_write_probe_rows(spark, sf):
                       F.sum(F.size(F.filter("labels", lambda x: x == 1))).alias("n_pos")))
 
 
-@query("write_layer_artifacts")
+@query("write_layer_artifacts", with_ctes("""
+SELECT b.backend, CAST(layer AS BIGINT) AS layer, CAST(count(*) AS BIGINT) AS n_val, CAST(max(len(activation)) AS BIGINT) AS dim
+FROM activations CROSS JOIN (VALUES ('centroid'), ('logreg')) b(backend) WHERE split = 'test' GROUP BY 1, 2""", "activations"))
 def q_write_layer_artifacts(spark, sf):
-    """Per layer the validation (X, y), weights and bias, written by
+    """Per backend and layer the validation (X, y), the probe's weights
+    and bias -- of the centroid probe and of the trained one -- written by
     (backend, layer) and read back."""
+    from ..operators import training as TR
     from .q_probes import fixed_probes
     base = SK.new_path(spark, "layer_artifacts")
     val = _test(spark, sf).select("layer", "query_id", "activation", F.col("label").cast("double").alias("y"))
-    SK.write_table(val.withColumn("backend", F.lit("centroid")), f"{base}/val", partition_by=["backend", "layer"])
-    SK.write_table(fixed_probes(spark, sf).withColumn("backend", F.lit("centroid")), f"{base}/probes",
-                   partition_by=["backend", "layer"])
-    v = spark.read.parquet(f"{base}/val").groupBy("layer").agg(F.count(F.lit(1)).alias("n_val"))
-    p = spark.read.parquet(f"{base}/probes").select("layer", F.size("weights").alias("dim"))
-    return tidy(v.join(p, "layer"))
-
-
-@query("write_reports")
+    trained = TR.train_logreg_layers(X.activations(spark, sf).where(F.col("split") == "train")).select(
+        "layer", F.col("coef_raw").alias("weights"), F.col("bias_raw").alias("bias"))
+    probes = (fixed_probes(spark, sf).select("layer", "weights", "bias").withColumn("backend", F.lit("centroid"))
+              .unionByName(trained.withColumn("backend", F.lit("logreg"))))
+    backends = F.explode(F.array(F.lit("centroid"), F.lit("logreg"))).alias("backend")
+    SK.write_table(val.select("*", backends), f"{base}/val", partition_by=["backend", "layer"])
+    SK.write_table(probes, f"{base}/probes", partition_by=["backend", "layer"])
+    v = spark.read.parquet(f"{base}/val").groupBy("backend", "layer").agg(F.count(F.lit(1)).alias("n_val"))
+    p = spark.read.parquet(f"{base}/probes").select("backend", "layer", F.size("weights").alias("dim"))
+    return tidy(v.join(p, ["backend", "layer"]))
+
+
+@query("write_reports", _probe_sql("""
+SELECT (SELECT count(*) FROM met) AS n_metric_rows, (SELECT count(DISTINCT l_linenumber) FROM lineitem) AS n_run_rows,
+       'best_layer=' || (SELECT CAST(layer AS VARCHAR) FROM met ORDER BY accuracy DESC, layer LIMIT 1) AS best_line"""))
 def q_write_reports(spark, sf):
     """A10: metrics JSON, run CSV and the best-layer text written and read back."""
     from ..operators import probes as P
@@ -120,7 +131,8 @@ def q_write_reports(spark, sf):
     return tidy(a.select("n_metric_rows", b.scalar().alias("n_run_rows"), c.scalar().alias("best_line")))
 
 
-@query("materialize_once")
+@query("materialize_once", with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS n_first, CAST(count(*) AS BIGINT) AS n_reused FROM run_config""", "run_config"))
 def q_materialize_once(spark, sf):
     """The second call reuses the stored result instead of recomputing."""
     path = SK.new_path(spark, "materialized")

@@ -147,53 +147,53 @@ def q_crosstab(spark, sf):
     return tidy(t)
 
 
-_TASK_GROUPS = """
-SELECT 'all' AS task, 'all' AS grp, row_id FROM vector_corpus
-UNION ALL SELECT 'sign', CASE WHEN prob_delta > 0 THEN 'pos' ELSE 'neg' END, row_id
+_TASK_LOCAL = [
+    ("big", """SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS rk FROM vector_corpus GROUP BY 1"""),
+    ("toks", """SELECT pivot_token FROM (
+                  SELECT pivot_token, row_number() OVER (ORDER BY median(prob_delta) DESC, pivot_token) AS rk
+                  FROM vector_corpus WHERE prob_delta > 0 GROUP BY 1) t
+                WHERE rk <= 3 AND (SELECT count(*) FROM vector_corpus v WHERE v.pivot_token = t.pivot_token) >= 2"""),
+    ("groups", """
+SELECT 'all' AS task, 'all' AS grp, row_id, abs(prob_delta) AS key FROM vector_corpus
+UNION ALL SELECT 'sign', CASE WHEN prob_delta > 0 THEN 'pos' ELSE 'neg' END, row_id, abs(prob_delta)
           FROM vector_corpus WHERE prob_delta <> 0
-UNION ALL SELECT 'magnitude', 'high', row_id FROM vector_corpus
+UNION ALL SELECT 'magnitude', 'high', row_id, abs(prob_delta) FROM vector_corpus
           WHERE abs(prob_delta) >= (SELECT quantile_cont(abs(prob_delta), 0.75) FROM vector_corpus)
-UNION ALL SELECT 'magnitude', 'low', row_id FROM vector_corpus
+UNION ALL SELECT 'magnitude', 'low', row_id, abs(prob_delta) FROM vector_corpus
           WHERE abs(prob_delta) <= (SELECT quantile_cont(abs(prob_delta), 0.25) FROM vector_corpus)
-UNION ALL SELECT 'pattern', reasoning_pattern, row_id FROM vector_corpus
-UNION ALL SELECT 'cluster', CAST(cluster_id AS VARCHAR), row_id FROM vector_corpus"""
+UNION ALL SELECT 'pattern', reasoning_pattern, row_id, abs(prob_delta) FROM vector_corpus
+UNION ALL SELECT 'cluster_vs_raw', 'c' || CAST(cluster_id AS VARCHAR), row_id, abs(prob_delta)
+          FROM vector_corpus WHERE cluster_id IN (SELECT cluster_id FROM big WHERE rk = 1)
+UNION ALL SELECT 'token_targeted', pivot_token, row_id, abs(prob_delta)
+          FROM vector_corpus WHERE pivot_token IN (SELECT pivot_token FROM toks)"""),
+    ("means", """SELECT g.task, g.grp, l.dim, avg(l.x) AS v FROM groups g JOIN corpus_long l USING (row_id) GROUP BY 1, 2, 3"""),
+    ("ranked", "SELECT *, row_number() OVER (PARTITION BY task, grp ORDER BY key DESC, row_id) AS rk FROM groups"),
+    ("tops", """SELECT r.task, r.grp, 'top' || k AS arm, l.dim, sum(l.x) AS v
+                FROM ranked r JOIN (VALUES (1), (2)) ks(k) ON r.rk <= k JOIN corpus_long l USING (row_id)
+                WHERE r.task <> 'all' AND (r.task <> 'cluster_vs_raw' OR k = 2) GROUP BY 1, 2, 3, 4"""),
+    ("cvec", "SELECT cluster_id, dim, avg(x) AS v FROM corpus_long GROUP BY 1, 2"),
+    ("arms", """
+SELECT task, grp, 'mean' AS arm, dim, v FROM means
+UNION ALL SELECT t.task, t.grp, t.arm, t.dim, t.v * m.ref / sqrt(sum(t.v * t.v) OVER (PARTITION BY t.task, t.grp, t.arm))
+          FROM tops t JOIN (SELECT task, grp, sqrt(sum(v * v)) AS ref FROM means GROUP BY 1, 2) m USING (task, grp)
+UNION ALL SELECT k.task, 'c' || CAST(cluster_id AS VARCHAR), 'cluster_vector', dim, v FROM cvec JOIN big USING (cluster_id)
+          JOIN (VALUES ('cluster', 5), ('cluster_vs_raw', 1)) k(task, most) ON rk <= most
+UNION ALL SELECT 'weighted', 'all', 'weighted_mean_signed', dim, sum(prob_delta * x) / greatest(1e-8, sum(abs(prob_delta)))
+          FROM corpus_long GROUP BY dim
+UNION ALL SELECT 'weighted', 'all', 'weighted_mean_abs', dim, sum(abs(prob_delta) * x) / greatest(1e-8, sum(abs(prob_delta)))
+          FROM corpus_long GROUP BY dim"""),
+]
 
 
 @query("task_vectors", with_ctes("""
-SELECT task, grp AS "group", CAST(n AS BIGINT) AS n, round(sqrt(sum(m * m)), 6) AS norm
-FROM (SELECT g.task, g.grp, l.dim, avg(l.x) AS m, count(*) AS n
-      FROM groups g JOIN corpus_long l ON g.row_id = l.row_id GROUP BY g.task, g.grp, l.dim)
-GROUP BY task, grp, n
-UNION ALL
-SELECT 'weighted', 'all', CAST((SELECT count(*) FROM vector_corpus) AS BIGINT),
-       round(sqrt(sum(v * v)), 6)
-FROM (SELECT dim, sum(prob_delta * x) / greatest(1e-8, sum(abs(prob_delta))) AS v FROM corpus_long GROUP BY dim)
-""", "vector_corpus", "corpus_long", local=[("groups", _TASK_GROUPS)]))
+SELECT task, grp AS "group", arm, CAST(dim AS BIGINT) AS dim, round(v, 6) AS value,
+       round(sqrt(sum(v * v) OVER (PARTITION BY task, grp, arm)), 6) AS norm FROM arms""",
+                                 "vector_corpus", "corpus_long", local=_TASK_LOCAL))
 def q_task_vectors(spark, sf):
-    """the grouping tasks as one long table (task, group, n, norm of the
-    group's mean vector): all, delta sign, delta magnitude quartiles,
-    pattern, cluster, and the |delta|-weighted mean."""
+    """the vectors of the eight grouping tasks as one long table (task,
+    group, arm, dim, value, norm).  Arms: the group's mean; the sums of its
+    top 1 and 2 rows, norm-matched to the mean; the cluster vector (of the
+    five largest clusters, and beside mean and top 2 of the largest); the
+    signed and absolute weighted means; the top tokens by median delta."""
     c = X.vector_corpus(spark, sf).withColumn("abs_delta", F.abs("prob_delta"))
-    parts = [
-        c.select(F.lit("all").alias("task"), F.lit("all").alias("group"), "row_id", "steering_vector"),
-        S.sign_groups(c, "prob_delta").select(F.lit("sign").alias("task"), F.col("sign_group").alias("group"),
-                                              "row_id", "steering_vector"),
-        S.quartile_groups(c, "abs_delta").select(F.lit("magnitude").alias("task"),
-                                                 F.col("quartile_group").alias("group"), "row_id", "steering_vector"),
-        c.select(F.lit("pattern").alias("task"), F.col("reasoning_pattern").alias("group"), "row_id",
-                 "steering_vector"),
-        c.select(F.lit("cluster").alias("task"), F.col("cluster_id").cast("string").alias("group"), "row_id",
-                 "steering_vector"),
-    ]
-    g = parts[0]
-    for p in parts[1:]:
-        g = g.unionByName(p)
-    means = V.centroid_long(g, ["task", "group"], "steering_vector")
-    n = g.groupBy("task", "group").agg(F.count(F.lit(1)).alias("n"))
-    norms = means.groupBy("task", "group").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("norm")).join(
-        n, ["task", "group"])
-    w = V.weighted_mean_long(c.withColumn("_t", F.lit(1)), ["_t"], "steering_vector", "prob_delta")
-    wn = w.groupBy("_t").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("norm")).select(
-        F.lit("weighted").alias("task"), F.lit("all").alias("group"),
-        c.agg(F.count(F.lit(1))).scalar().alias("n"), "norm")
-    return tidy(norms.select("task", "group", "n", "norm").unionByName(wn))
+    return tidy(TS.task_vectors(c))
