@@ -118,17 +118,23 @@ def negatives_below(scored: DataFrame, group_cols=("layer",), label_col: str = "
     return group_rank(per_score, g, [F.col("s")], "s", buckets, "_below", weight="n")
 
 
+def _u_stats() -> list[Column]:
+    """Mann-Whitney U and class sizes over the rows of ``negatives_below``."""
+    return [F.sum(F.col("p") * (F.col("_below") + F.col("n") * 0.5)).alias("_u"),
+            F.sum("p").alias("_n1"), F.sum("n").alias("_n0")]
+
+
+def _auroc_col() -> Column:
+    return F.when((F.col("_n1") > 0) & (F.col("_n0") > 0), F.col("_u") / (F.col("_n1") * F.col("_n0")))
+
+
 def auroc(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
           buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC per group (Mann-Whitney U / (n1 n0), ties count 1/2);
     null when the group has a single class."""
     g = _g(group_cols)
-    b = negatives_below(scored, g, label_col, prob_col, buckets)
-    u = b.groupBy(*g).agg(
-        F.sum(F.col("p") * (F.col("_below") + F.col("n") * 0.5)).alias("_u"),
-        F.sum("p").alias("_n1"), F.sum("n").alias("_n0"))
-    return u.select(*g, F.when((F.col("_n1") > 0) & (F.col("_n0") > 0),
-                               F.col("_u") / (F.col("_n1") * F.col("_n0"))).alias("auroc_score"))
+    u = negatives_below(scored, g, label_col, prob_col, buckets).groupBy(*g).agg(*_u_stats())
+    return u.select(*g, _auroc_col().alias("auroc_score"))
 
 
 # -- E10 -----------------------------------------------------------------------
@@ -143,10 +149,15 @@ def evaluate_probes(data: DataFrame, probes: DataFrame, threshold=0.5, layers: S
         data = data.where(F.col("layer").isin(list(layers)))
     keys = ["layer", *extra_keys]
     s = score(data, probes, vec_col, weights_col, bias_col)
-    m = binary_metrics(s, keys, label_col, "prob", threshold)
-    a = auroc(s, keys, label_col, "prob")
+    # rows are scored once: counts per score give the matrix and the AUROC
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return m.join(a, keys).withColumn("threshold", t.cast("double"))
+    hit = F.col("s") >= t
+    count = lambda when, c: F.sum(F.when(when, F.col(c)).otherwise(0))
+    per = negatives_below(s, keys, label_col, "prob").groupBy(*keys).agg(
+        count(~hit, "n").alias("TN"), count(hit, "n").alias("FP"), count(~hit, "p").alias("FN"), count(hit, "p").alias("TP"),
+        *_u_stats())
+    m = metrics_from_counts(per.withColumn("auroc_score", _auroc_col()).drop("_u", "_n1", "_n0"))
+    return m.withColumn("threshold", t.cast("double"))
 
 
 # -- E11 / E12 ------------------------------------------------------------------

@@ -15,7 +15,7 @@ from ..operators import sampling as S
 from ..operators import training as TR
 from ..operators import vectors as V
 from ..sources import fixtures as X
-from .registry import query, tidy
+from .registry import query, tidy, with_ctes
 
 
 def _split(spark, sf):
@@ -75,6 +75,28 @@ def q_c_sweep(spark, sf):
                            "best_c_by_accuracy", "best_c_by_cosine"))
 
 
+@query("logreg_stationarity", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, round(c, 6) AS c, CAST(count(*) AS BIGINT) AS n_train, true AS stationary
+FROM acts_shifted CROSS JOIN (VALUES (CAST(0.001 AS DOUBLE)), (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) v(c)
+WHERE split = 'train' GROUP BY layer, c""", "acts_shifted"))
+def q_logreg_stationarity(spark, sf):
+    """At each trained probe the gradient of sum(loss) + |w|^2 / (2 C)
+    in scaled space vanishes (largest entry below 1e-3 a row)."""
+    train, _ = _split(spark, sf)
+    p = TR.c_sweep(train, (0.001, 0.01, 0.1, 1.0)).select("layer", "c", "coef_scaled", "intercept_scaled", "mean", "std")
+    rows = train.select("layer", "label", "activation").join(F.broadcast(p), "layer")  # one probe per layer and C
+    xs = F.zip_with(F.zip_with("activation", "mean", lambda x, m: x.cast("double") - m), "std", lambda x, s: x / s)
+    rows = rows.withColumn("xs", xs)
+    rows = rows.withColumn("r", vec.sigmoid(vec.dot("xs", "coef_scaled") + F.col("intercept_scaled"))
+                           - (F.col("label") >= 0.5).cast("double"))
+    # the intercept's entry is a last dim of ones with no penalty
+    entries = F.arrays_zip(F.concat("xs", F.array(F.lit(1.0))).alias("x"), F.concat("coef_scaled", F.array(F.lit(0.0))).alias("w"))
+    g = rows.select("layer", "c", "r", F.posexplode(entries).alias("dim", "e")).groupBy("layer", "c", "dim").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(F.col("r") * F.col("e.x")) + F.max("e.w") / F.col("c")).alias("g"))
+    return tidy(g.groupBy("layer", "c").agg(
+        F.max("n").alias("n_train"), (F.max(F.abs("g") / F.col("n")) < 1e-3).alias("stationary")))
+
+
 def _adam(spark, sf, epochs=10):
     train, test = _split(spark, sf)
     probes, losses = TR.train_adam_layers(train, epochs=epochs)
