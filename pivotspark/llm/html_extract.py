@@ -10,7 +10,7 @@ show at the same seed node become the host's template.  What varies is
 content.
 
 A page's text is then the blocks of its content slots: the article or main
-element if it has one, else the body, without elements whose tag, role, class
+element if it has one, else the body, joined by empty lines, without elements whose tag, role, class
 or id says menu, header, footer, sidebar, notice, advert, form or comments, and
 without template blocks.
 
@@ -404,7 +404,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     template = {(place[o], b) for o, (_, b) in zip(owners, dom.blocks)
                                 if (place[o], xxh64_intdigest(b) >> 1) in entries}
                 blocks = content(dom, owners, place, template)
-                texts.append("\n".join(blocks))
+                texts.append("\n\n".join(blocks))
                 kept.append(len(blocks))
                 fixed.append(len(template))
             yield pa.RecordBatch.from_arrays(

@@ -85,11 +85,11 @@ def test_template_of_a_host_goes(spark):
     rows += [(f"http://few.org/{i}", layout(i, f"<p>text {i}</p>")) for i in range(3)]
     rows += [("http://copies.org/", layout(0, "<p>copy</p>"))] * 20
     got = texts(spark, rows)
-    assert [got[i].text for i in range(12)] == [f"text {i}\nShared passage" if i % 2 else f"text {i}" for i in range(12)]
+    assert [got[i].text for i in range(12)] == [f"text {i}\n\nShared passage" if i % 2 else f"text {i}" for i in range(12)]
     assert all(got[i].n_template_blocks == 3 for i in range(12))
     # Too few different pages say nothing, however often one is repeated.
-    assert got[12].text == "Site name\nRead more on this site\ntext 0\n(c) us"
-    assert all(got[i].text == "Site name\nRead more on this site\ncopy\n(c) us" for i in range(15, 35))
+    assert got[12].text == "Site name\n\nRead more on this site\n\ntext 0\n\n(c) us"
+    assert all(got[i].text == "Site name\n\nRead more on this site\n\ncopy\n\n(c) us" for i in range(15, 35))
 
 
 def test_nulls_repeats_and_empty_tables(spark):
