@@ -10,9 +10,9 @@ show at the same seed node become the host's template.  What varies is
 content.
 
 A page's text is then the blocks of its content slots: the article or main
-element if it has one, else the body, joined by empty lines, without elements whose tag, role, class
+element if it has one, else the body, without elements whose tag, role, class
 or id says menu, header, footer, sidebar, notice, advert, form or comments, and
-without template blocks.
+without template blocks.  Blocks are joined by two line feeds.
 
 Nothing of a host meets in one task: seeds are a minimum, blocks are counted
 with partial sums, and pages join their host's seed and template as plain
@@ -68,6 +68,11 @@ _CUES = re.compile(
     r"login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reader-comments|widget)(?:$|[\s_-])")
 
 
+#: Classes and ids of a page's header, as against that of an article.
+_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top)[_-]?)?header(?:$|\s)")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
 class _Node:
     __slots__ = ("tag", "cls", "parent", "children", "dropped", "main", "block")
 
@@ -183,8 +188,10 @@ class Dom:
         marks = f"{cls} {a.get('id', '').lower()}"
         main = up.main or tag in ("article", "main") or role in ("main", "article")
         keeps = tag in ("html", "body", "article", "main")
-        dropped = (up.dropped or tag in DROPPED or role in _ROLES or "hidden" in a
-                   or tag in OUTER and not up.main or not keeps and marks != " " and bool(_CUES.search(marks)))
+        dropped = (up.dropped or tag in DROPPED or role in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+                   or bool(_HIDDEN.search(a.get("style", ""))) or tag in OUTER and not up.main
+                   or not keeps and marks != " " and bool(_CUES.search(marks))
+                   or not up.main and not keeps and bool(_HEADER.search(marks)))
         node = _Node(tag, cls, up, dropped, main)
         up.children.append(node)
         self.open[tag] += 1

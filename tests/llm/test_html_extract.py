@@ -31,7 +31,9 @@ def blocks(html):
     ("<p>a < b</p>< p>c<!x><?y>", ["a < b", "< p>c"]), ("plain", ["plain"]), ("", []), (None, []),
     ("<p>cut <a href=\"x", ["cut"]), ("<p>cut<!-- open", ["cut"]), ("</p></div>x</span>", ["x"]), ("<title>t</title>x", ["x"]),
     ("<div>a<p>b</p>c</div>", ["a", "b", "c"]), ("<p>a<script>x()</script>b <button>y</button>c<aside>d</aside>e", ["ab c", "e"]),
-    ("<DIV CLASS='Menu'>m</DIV><P>x</P>", ["x"]), ("<p hidden>h</p><p>x&#x41;&#66;", ["xAB"])])
+    ("<DIV CLASS='Menu'>m</DIV><P>x</P>", ["x"]),
+    ("<div id='site-header'>h</div><div class='article-header'><h1>t</h1></div><p style='display: none'>n</p><p>x</p>", ["t", "x"]),
+    ("<body class='sidebar-left'><article class='widget'><div class='header'>t</div><div class='user-comments'>c</div>x", ["t", "x"]), ("<p hidden>h</p><p>x&#x41;&#66;", ["xAB"])])
 def test_blocks(html, want):
     assert blocks(html) == want
 
