@@ -271,4 +271,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     prints = stored(fingerprints(numbered, [row, id_col], text_col, shingle), "simhash")
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row)))
     kept = stored(with_root(prints, max_bits).groupBy("root").agg(first.alias("k")).select(f"k.{row}"), "simhash-kept")
-    return numbered.join(kept, row, "left_semi").select(docs.columns)
+    # The rows are shuffled at every size: a list that is broadcast while it is
+    # small says nothing about the disk that a large one needs.
+    return numbered.join(kept.hint("merge"), row, "left_semi").select(docs.columns)
