@@ -7,6 +7,7 @@ of rows is encoded once; the ids of all occurrences are gathered with numpy.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,22 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         at = end
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """Consecutive parts of a long text of about ``size`` bytes, cut at ASCII
+    white space (a part without any is longer)."""
+    at = 0
+    while len(text) - at > size:
+        hit = _SPACE.search(text, at + size)
+        if hit is None:
+            break
+        yield text[at:hit.end()]
+        at = hit.end()
+    yield text[at:]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of arange(start, start + length)."""
     ends = np.cumsum(lengths)
@@ -44,7 +61,15 @@ class ChunkEncoder:
         self.encode_distinct = encode_distinct
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Returns the ids of all texts and the offset of each text in them."""
+        """Returns the ids of all texts and the offset of each text in them.  A
+        very long text is encoded piece by piece."""
+        if len(texts) == 1 and texts[0].as_buffer().size > 2 * SLICE_BYTES:
+            whole = texts[0].as_buffer().to_pybytes()
+            ids = np.concatenate([self._encode(pa.array([p.decode()], texts.type))[0] for p in pieces(whole)])
+            return ids, np.array([0, len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         chunk_at = np.asarray(lists.offsets, dtype=np.int64)
         chunk_at -= chunk_at[0]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import text_slices
+from .chunks import pieces, text_slices
 from .common import stored
 from .components import connected_components
 
@@ -37,6 +37,8 @@ CHUNK = 2048
 # Expected fingerprints in a bucket of evenly spread bits.
 BUCKET = 512
 LEAF_PAIRS = 64
+#: Bytes beyond which a text is taken piece by piece.
+LONG_TEXT = 8 << 20
 WORK = 1 << 24
 ROWS = 1 << 17
 #: Bit k of every byte of a 64-bit word.
@@ -58,32 +60,55 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(counts, first, axis=0)
 
 
-def text_fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """uint64 fingerprint of each UTF-8 text."""
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     from xxhash import xxh64_intdigest as xxh
 
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxh(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array([xxh(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1:].tolist())], dtype=np.uint64)
+
+
+def _long_counts(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
+    """Bit counts and number of the shingles of a text taken piece by piece;
+    the last words of a piece go on into the next."""
+    counts, n, rest = np.zeros(64, dtype=np.int64), 0, []
+    for piece in pieces(text):
+        words = rest + piece.split()
+        if len(words) >= shingle:
+            hashes = _shingle_hashes(words, shingle)
+            counts += bit_counts(hashes, np.array([0]))[0]
+            n += len(hashes)
+            words = words[len(words) - shingle + 1:] if shingle > 1 else []
+        rest = words
+    if not n and rest:
+        counts, n = bit_counts(_shingle_hashes(rest, shingle), np.array([0]))[0], 1
+    return counts, n
+
+
+def text_fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """uint64 fingerprint of each UTF-8 text."""
     out = np.zeros(len(texts), dtype=np.uint64)
     hashes, starts, rows, n = [], [], [], 0
+    pack = lambda bits: np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     for i, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
+        text = text.lower()
+        if len(text) > LONG_TEXT:
+            counts, size = _long_counts(text, shingle)
+            out[i] = pack(2 * counts[None] > size)[0] if size else 0
             continue
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            own = [xxh(joined, SEED)]
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            begins = [0, *(ends[:-shingle] + 1).tolist()]
-            own = [xxh(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1:].tolist())]
-        hashes.append(np.array(own, dtype=np.uint64))
-        starts.append(n)
-        rows.append(i)
-        n += len(own)
+        words = text.split()
+        if words:
+            hashes.append(_shingle_hashes(words, shingle))
+            starts.append(n)
+            rows.append(i)
+            n += len(hashes[-1])
     if rows:
         starts, flat = np.array(starts), np.concatenate(hashes)
         sizes = np.diff(np.append(starts, n))
-        bits = 2 * bit_counts(flat, starts) > sizes[:, None]
-        out[rows] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+        out[rows] = pack(2 * bit_counts(flat, starts) > sizes[:, None])
     return out
 
 

@@ -35,6 +35,16 @@ def test_ids_are_those_of_the_library(own, library):
         assert ids[at[i]:at[i + 1]].tolist() == e.ids, texts[i]
 
 
+def test_long_texts_piece_by_piece(own, library, monkeypatch):
+    from pivotspark.llm import chunks as C
+    text = " ".join(t or "" for t in ODD_TEXTS)
+    assert b"".join(C.pieces(text.encode(), 5)) == text.encode()
+    monkeypatch.setattr(C, "SLICE_BYTES", 100)
+    monkeypatch.setattr(C.pieces, "__defaults__", (100,))
+    ids, at = ChunkEncoder(own.encode_distinct)(pa.array([text]))
+    assert at.tolist() == [0, len(ids)] and ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_words_give_what_short_ones_would(own, monkeypatch):
     words = pa.array([prose(i, 1).encode() * 8 for i in range(30)] + [b"a" * 60, bytes(range(64))])
     want = own.encode_words(words)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from pivotspark.llm import chunks as C
 from pivotspark.llm import simhash as S
 from pivotspark.llm.common import stored
 from pivotspark.llm.components import connected_components
@@ -70,6 +71,14 @@ def test_fingerprints():
     assert [int(x) for x in got] == [brute_print(t) for t in texts]
 
 
+def test_long_texts_piece_by_piece(monkeypatch):
+    texts = [(t or "").encode() for t in near_texts()]
+    want = S.text_fingerprints(texts)
+    monkeypatch.setattr(S, "LONG_TEXT", 0)
+    monkeypatch.setattr(S, "pieces", lambda t: C.pieces(t, 7))
+    assert np.array_equal(want, S.text_fingerprints(texts))
+
+
 @pytest.mark.parametrize("chunk", [8, 2048])
 def test_links_have_the_components_of_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(S, "CHUNK", chunk)
