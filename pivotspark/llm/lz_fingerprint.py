@@ -38,7 +38,13 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP = 2048
 #: Phrases that are hashed at a time.
 PHRASE_BLOCK = 1 << 17
+#: Characters that are parsed at a time.
+TEXT_BLOCK = 1 << 20
 ROWS = 256
+#: Ranges of ids for each shuffle partition, and ids that a cut between two is
+#: found from.
+RANGES = 8
+IDS_PER_CUT = 50
 
 
 def _odd(seed: int) -> np.ndarray:
@@ -60,9 +66,9 @@ class Parser:
 
     def parse(self, text: str, start: int, end: int) -> tuple[list[int], list[tuple[dict, str]]]:
         """Phrase ends in text[start:end], and the entries made (as parent,
-        character)."""
+        character) before the dictionary was replaced."""
         root, node, size, limit = self.root, self.node, self.size, self.limit
-        ends, made = [], []
+        ends, made, kept = [], [], True
         at = start
         for c in text[start:end]:
             at += 1
@@ -70,16 +76,32 @@ class Parser:
             if down is None:
                 node[c] = {}
                 ends.append(at)
-                made.append((node, c))
+                if kept:
+                    made.append((node, c))
                 size += 1
                 if size >= limit:
-                    root, size = {}, 0
+                    root, size, kept = {}, 0, False
                 node = root
             else:
                 node = down
         self.root, self.node, self.size = root, node, size
         return ends, made
 
+    def signature(self, text: str, start: int, end: int, first: int) -> tuple[np.ndarray, int, list[tuple[dict, str]]]:
+        """Signature of the phrases that end in text[start:end], the first of
+        which begins at ``first``; where the next one begins; and the entries
+        made in the dictionary that was there at the start.  A long text is
+        parsed block by block."""
+        out, undo, root = NO_PHRASE, [], self.root
+        for at in range(start, end, TEXT_BLOCK):
+            same = self.root is root
+            ends, made = self.parse(text, at, min(end, at + TEXT_BLOCK))
+            if same:
+                undo += made
+            if ends:
+                out, first = np.minimum(out, phrase_signature(text, first, ends)), ends[-1]
+        return out, first, undo
+
     def state(self):
         return self.root, self.node, self.size
 
@@ -140,7 +162,7 @@ def phrase_signature(text: str, first: int, ends: list[int]) -> np.ndarray:
 
 
 def text_signature(text: str) -> np.ndarray:
-    return phrase_signature(text, 0, Parser().parse(text, 0, len(text))[0])
+    return Parser().signature(text, 0, len(text), 0)[0]
 
 
 def edited_pair(text: str, following: str) -> tuple[np.ndarray, str, np.ndarray]:
@@ -149,15 +171,13 @@ def edited_pair(text: str, following: str) -> tuple[np.ndarray, str, np.ndarray]
     kept = len(text) - len(text) // 2
     tail = following[:len(text) // 2]
     parser = Parser()
-    head, _ = parser.parse(text, 0, kept)
-    first, state = head[-1] if head else 0, parser.state()
-    common = phrase_signature(text, 0, head)
-    rest, made = parser.parse(text, kept, len(text))
-    own = np.minimum(common, phrase_signature(text, first, rest))
+    common, first, _ = parser.signature(text, 0, kept, 0)
+    state = parser.state()
+    own, _, made = parser.signature(text, kept, len(text), first)
     parser.back_to(state, made)
     edited = text[:kept] + tail
-    rest, _ = parser.parse(edited, kept, len(edited))
-    return own, edited, np.minimum(common, phrase_signature(edited, first, rest))
+    other, _, _ = parser.signature(edited, kept, len(edited), first)
+    return np.minimum(common, own), edited, np.minimum(common, other)
 
 
 def printed(signature: np.ndarray) -> str:
@@ -177,9 +197,13 @@ def ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     ids = docs.select(docs[id_col].cast("long").alias("id"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bounded: one cut and one head for each shuffle partition.
-    cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    # Several ranges meet in a partition, so that partitions come out even.
+    n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bounded: one cut and one head for each range.  Cuts only balance the
+    # ranges, so some ids for each are enough to find them.
+    share = min(1.0, IDS_PER_CUT * n / max(1, ids.count()))
+    some = ids.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    cuts = some.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 4 * n)).first()[0] or []
     cuts = np.unique(np.array(cuts, dtype=np.int64))
 
     def range_of(column: pa.Array) -> np.ndarray:

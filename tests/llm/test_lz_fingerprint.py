@@ -40,8 +40,18 @@ def test_edited_pair_equals_two_parses():
 
 def test_full_dictionaries_and_blocks(monkeypatch):
     whole = [L.text_signature(t) for t in TEXTS]
+    pairs = [L.edited_pair(a, b) for a, b in zip(TEXTS, TEXTS[1:])]
     monkeypatch.setattr(L, "PHRASE_BLOCK", 3)
+    monkeypatch.setattr(L, "TEXT_BLOCK", 10)
     assert all(np.array_equal(a, L.text_signature(t)) for a, t in zip(whole, TEXTS))
+    for (own, edited, other), a, b in zip(pairs, TEXTS, TEXTS[1:]):
+        got = L.edited_pair(a, b)
+        assert np.array_equal(own, got[0]) and edited == got[1] and np.array_equal(other, got[2])
+    # full dictionaries: what is shared is undone, what was replaced is not
+    monkeypatch.setattr(L.Parser.__init__, "__defaults__", (30,))
+    for a, b in zip(TEXTS, TEXTS[1:]):
+        own, edited, other = L.edited_pair(a, b)
+        assert np.array_equal(own, L.text_signature(a)) and np.array_equal(other, L.text_signature(edited))
     text = prose(9, 2000)
     parser = L.Parser(limit=50)
     parser.parse(text, 0, 100)
