@@ -28,10 +28,11 @@ PUNCT_CLASS = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 
 def words(text_col: str = "text"):
     """lower -> punctuation to space -> split on whitespace -> drop empty,
-    digit-only and stopword tokens (array column)."""
+    digit-only and stopword tokens (array column).  White space and digits
+    are those of Unicode."""
     cleaned = F.regexp_replace(F.lower(F.col(text_col)), PUNCT_CLASS, " ")
-    toks = F.split(cleaned, r"\s+")
-    return F.filter(toks, lambda t: (t != "") & ~t.rlike("^[0-9]+$") & ~t.isin(*STOPWORDS))
+    toks = F.split(cleaned, r"(?U)[\s\x1c-\x1f]+")
+    return F.filter(toks, lambda t: (t != "") & ~t.rlike(r"^\p{Nd}+$") & ~t.isin(*STOPWORDS))
 
 
 def token_counts(texts: DataFrame, group_cols: Sequence[str] = ("run",), text_col: str = "text") -> DataFrame:

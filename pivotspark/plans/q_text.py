@@ -13,8 +13,8 @@ from .registry import query, tidy, with_ctes
 _SQL_PUNCT = TS.PUNCT_CLASS.replace("'", "''")
 _SQL_STOP = "[" + ", ".join(f"'{w}'" for w in TS.STOPWORDS) + "]"
 _WORDS = f"""SELECT run, task, unnest(list_filter(
-                 regexp_split_to_array(regexp_replace(lower(text), '{_SQL_PUNCT}', ' ', 'g'), '\\s+'),
-                 lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains({_SQL_STOP}, t)))
+                 regexp_split_to_array(regexp_replace(lower(text), '{_SQL_PUNCT}', ' ', 'g'), '[\\s\\x{{85}}\\p{{Z}}\\x{{b}}\\x{{1c}}-\\x{{1f}}]+'),
+                 lambda t: t <> '' AND NOT regexp_full_match(t, '\\p{{Nd}}+') AND NOT list_contains({_SQL_STOP}, t)))
                  AS word
              FROM token_texts"""
 
