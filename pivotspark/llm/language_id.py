@@ -237,11 +237,13 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_documents(docs: DataFrame, model: ByteCnn | None, wanted: list[str] | None = None, min_score: float = 0.4,
+def keep_documents(docs: DataFrame, model: ByteCnn | None, wanted: list[str] | None = None, min_score: float = 0.0,
                    text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose language is one of ``wanted`` (any that was
-    learned) with at least ``min_score``.  Without a model nothing can be told
-    apart and all rows stay."""
+    learned) with at least ``min_score``; ``und`` goes.  A clean text that
+    quotes other languages has a low score, so there is no least one unless it
+    is asked for.  Without a model nothing can be told apart and all rows
+    stay."""
     if model is None:
         return docs
     wanted = model.languages if wanted is None else wanted
