@@ -33,22 +33,24 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """Reject when 100 * measure > limit * per (``above``) or < (not above)."""
+    """Reject when 100 * measure > limit * per (``above``) or < (not above),
+    in texts of at least ``words`` words (few words say little of a share)."""
     name: str
     measure: str
     per: str
     above: bool
     limit: int
+    words: int = 0
 
 
 RULES = (
     Rule("symbols", "n_symbols", "n_words", True, 10),
     Rule("exclamations", "n_exclamations", "n_words", True, 30),
     Rule("capitals", "n_upper", "word_chars", True, 40),
-    Rule("non_letters", "n_non_letters", "word_chars", True, 30),
+    Rule("non_letters", "n_non_letters", "word_chars", True, 45),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", True, 35),
     Rule("stuttered_words", "n_stutters", "n_words", True, 30),
-    Rule("stop_words", "n_stop_words", "n_words", False, 6),
+    Rule("stop_words", "n_stop_words", "n_words", False, 6, words=50),
     Rule("long_words", "word_chars", "n_words", True, 900),
     Rule("short_words", "word_chars", "n_words", False, 250),
 )
@@ -131,7 +133,7 @@ def failed_rules(m: Column, rules=RULES) -> Column:
     hits = []
     for r in rules:
         got, bound = 100 * m[r.measure], r.limit * m[r.per]
-        hits.append(F.when(got > bound if r.above else got < bound, F.lit(r.name)))
+        hits.append(F.when((got > bound if r.above else got < bound) & (m["n_words"] >= r.words), F.lit(r.name)))
     return F.concat_ws(",", *hits)
 
 
@@ -157,7 +159,7 @@ def keep_documents(docs: DataFrame, text_col: str = "text", rules=RULES) -> Data
 def oracle_sql() -> str:
     """The same verdicts in DuckDB SQL, windows compared as word lists."""
     hits = ", ".join(
-        f"CASE WHEN 100 * {r.measure} {'>' if r.above else '<'} {r.limit} * {r.per} THEN '{r.name}' END" for r in RULES)
+        f"CASE WHEN 100 * {r.measure} {'>' if r.above else '<'} {r.limit} * {r.per} AND n_words >= {r.words} THEN '{r.name}' END" for r in RULES)
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
