@@ -7,13 +7,21 @@ and a text's score is the mean over all its windows.  The network is trained
 in numpy on the driver on a bounded sample of labelled texts; prediction runs
 in batches on the executors and sees the whole text.
 
+The network names one of its languages for whatever it is given, and surely
+so: its score does not tell a foreign text from a mixed one.  ``keep_documents``
+therefore also asks how familiar a text is: the share of its runs of four bytes
+(letters and single spaces) that the training sample shows, whatever the
+language.  A text that mixes learned languages is familiar throughout, one in
+an unlearned language or of random letters is not.  The least share is measured
+for each language on texts of the held-out third.
+
 A filter's response is a sum of one table row per byte of its width.  Rows for
 two adjacent bytes are added up beforehand, so a response costs one or two
 look-ups instead of a matrix product.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0,
-and so is every text when no labelled row exists; equal texts get equal
-results; ties go to the first language in alphabetical order; an empty table
+and so is every text when no labelled row exists; a text of fewer than ``LEAST_RUNS`` runs, or in a language without a
+held-out text, is taken as familiar; equal texts get equal results; ties go to the first language in alphabetical order; an empty table
 gives an empty result; other columns are not looked at by ``predict`` and pass
 through ``keep_documents`` whatever their names are.
 """
@@ -44,6 +52,19 @@ BATCH = 64
 RATE = 0.01
 SEED = 7
 UNDETERMINED = "und"
+#: Held-out texts a language that its least familiarity is measured on, at most.
+HELD_SAMPLE = 500
+#: A text goes below this part of the familiarity that all but a twentieth of
+#: its language's held-out texts have.
+FAMILIAR_PART, FAMILIAR_QUANTILE = 0.8, 0.05
+#: Runs of four bytes below which a text's familiarity says little.
+LEAST_RUNS = 32
+#: Runs are hashed into so many bits.
+RUN_BITS = 24
+#: Small ASCII letters for capitals, a space for what is no letter.
+_FOLD = np.array([b if b >= 0x80 or 0x61 <= b <= 0x7A else b | 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)], dtype=np.uint8)
+#: What a byte counts among the spaces of a run; a digit rules the run out.
+_SPACE = np.array([2 if 0x30 <= b <= 0x39 else int(_FOLD[b] == 0x20) for b in range(256)], dtype=np.uint8)
 #: Windows that go through the network together.
 TOGETHER = 256
 
@@ -56,6 +77,10 @@ class ByteCnn:
     bias: list[np.ndarray]
     weights: np.ndarray         # [len(WIDTHS) * FILTERS, languages]
     offset: np.ndarray
+    #: Hashes of the sample's runs of four bytes, and the least share of them
+    #: in a text of each language; None: not measured.
+    runs: np.ndarray | None = None
+    least: dict[str, float] | None = None
 
     def tables(self) -> list[list[np.ndarray]]:
         """For each width, tables whose rows add up to the responses: one of
@@ -155,16 +180,47 @@ def cut(data: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return out if whole == len(data) else np.concatenate([out, data[None, -size:]])
 
 
+def byte_runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of four bytes in ``windows`` [n, WINDOW], and which
+    of them count: those with one space at most and no digit."""
+    folded, space = _FOLD[windows], _SPACE[windows]
+    n = windows.shape[1] - 3
+    run, spaces = np.zeros((len(windows), n), np.uint32), np.zeros((len(windows), n), np.uint8)
+    for k in range(4):
+        run = run << np.uint32(8) | folded[:, k:k + n]
+        spaces += space[:, k:k + n]
+    return run * np.uint32(0x9E3779B1) >> np.uint32(32 - RUN_BITS), spaces <= 1
+
+
+def familiarity(windows: np.ndarray, starts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Share of known runs of each text, whose windows begin at ``starts``; 1
+    for a text of fewer than ``LEAST_RUNS``."""
+    known, all_runs = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
+    for i in range(0, len(windows), TOGETHER):
+        runs, counts = byte_runs(windows[i:i + TOGETHER])
+        known[i:i + TOGETHER] = (seen[runs] & counts).sum(axis=1)
+        all_runs[i:i + TOGETHER] = counts.sum(axis=1)
+    known, all_runs = np.add.reduceat(known, starts), np.add.reduceat(all_runs, starts)
+    return np.where(all_runs < LEAST_RUNS, 1.0, known / np.maximum(all_runs, 1))
+
+
+def _table(runs: np.ndarray) -> np.ndarray:
+    seen = np.zeros(1 << RUN_BITS, bool)
+    seen[runs] = True
+    return seen
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int,
+                    held: bool = False) -> list:
     """(language, pieces of text) of labelled rows outside the held-out third,
-    about ``per_language`` each, chosen by a hash of the text.  A first scan of
+    or in it, about ``per_language`` each, chosen by a hash of the text.  A first scan of
     ids and labels gives the shares; the driver gets a few windows a text."""
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l"))
-    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(held_out(F.col("i")), F.lit(True)))
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.coalesce(held_out(F.col("i")), F.lit(not held)) == held))
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
         return []
@@ -179,8 +235,10 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = SAMPLE) -> ByteCnn | None:
-    """A network trained on ``labelled_sample``; None without labelled rows."""
+        per_language: int = SAMPLE, measure: bool = True) -> ByteCnn | None:
+    """A network trained on ``labelled_sample``; None without labelled rows.
+    With ``measure`` it also knows the sample's runs of bytes and the least
+    familiarity of each language, which ``keep_documents`` asks for."""
     sample = labelled_sample(docs, id_col, text_col, lang_col, per_language)
     languages = sorted({lang for lang, _ in sample})
     if not languages:
@@ -191,31 +249,57 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         own = own[(own != 0x20).sum(axis=1) >= 16] if len(own) > 1 else own
         windows.append(own)
         labels += [languages.index(lang)] * len(own)
-    return train(np.concatenate(windows), np.array(labels), languages)
+    model = train(np.concatenate(windows), np.array(labels), languages)
+    if measure:
+        # A run has to occur twice; distinct runs are bounded by the sample.
+        n = np.zeros(1 << RUN_BITS, np.int32)
+        for own in windows:
+            runs, counts = byte_runs(own)
+            np.add.at(n, runs[counts], 1)
+        model.runs = np.flatnonzero(n > 1).astype(np.uint32)
+        model.least = least_familiarity(labelled_sample(docs, id_col, text_col, lang_col, HELD_SAMPLE, held=True), model.runs)
+    return model
+
+
+def least_familiarity(sample: list, runs: np.ndarray) -> dict[str, float]:
+    """For each language of ``sample``, as ``labelled_sample`` gives it, the
+    least familiarity that a text of it must have."""
+    seen, shares = _table(runs), {}
+    for lang, pieces in sample:
+        windows = np.concatenate([cut(np.frombuffer(p.encode(), np.uint8)) for p in pieces])
+        if byte_runs(windows)[1].sum() >= LEAST_RUNS:
+            shares.setdefault(lang, []).append(familiarity(windows, np.array([0]), seen)[0])
+    return {lang: FAMILIAR_PART * float(np.quantile(x, FAMILIAR_QUANTILE)) for lang, x in shares.items()}
 
 
-def _predictor(model: ByteCnn | None):
-    """Function from an Arrow array of texts to (languages, scores)."""
+def _predictor(model: ByteCnn | None, judge: bool = False):
+    """Function from an Arrow array of texts to (languages, scores, which are
+    familiar; all without ``judge``)."""
     tables = model.tables() if model else None
+    seen = _table(model.runs) if judge and model and model.runs is not None else None
 
-    def run(texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def run(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         letters = np.asarray(pc.match_substring_regex(texts, r"\p{L}"))
-        langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        langs, scores, familiar = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if model is None:
-            return langs, scores
+            return langs, scores, familiar
         rows = np.flatnonzero(letters)
         cuts = [cut(np.frombuffer(t, np.uint8)) for t in texts.cast(pa.binary()).take(pa.array(rows)).to_pylist()]
         if not cuts:
-            return langs, scores
+            return langs, scores, familiar
         windows = np.concatenate(cuts)
         each = np.concatenate([model.scores(windows[i:i + TOGETHER], tables) for i in range(0, len(windows), TOGETHER)])
         sizes = np.array([len(c) for c in cuts])
-        mean = np.add.reduceat(each.astype(np.float64), np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        starts = np.cumsum(sizes) - sizes
+        mean = np.add.reduceat(each.astype(np.float64), starts, axis=0) / sizes[:, None]
         best = mean.argmax(axis=1)
         for i, b in zip(rows.tolist(), best.tolist()):
             langs[i] = model.languages[b]
         scores[rows] = np.clip(mean[np.arange(len(rows)), best], 0, 1)
-        return langs, scores
+        if seen is not None:
+            least = np.array([model.least.get(lang, 0.0) for lang in model.languages])
+            familiar[rows] = familiarity(windows, starts, seen) >= least[best]
+        return langs, scores, familiar
 
     return run
 
@@ -229,7 +313,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
         of = _predictor(model)
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                langs, scores = of(texts)
+                langs, scores, _ = of(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(langs, pa.string()), pa.array(scores)],
                                                  names=["id", "held_out", "lang_pred", "score"])
 
@@ -240,20 +324,21 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
 def keep_documents(docs: DataFrame, model: ByteCnn | None, wanted: list[str] | None = None, min_score: float = 0.0,
                    text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose language is one of ``wanted`` (any that was
-    learned) with at least ``min_score``; ``und`` goes.  A clean text that
-    quotes other languages has a low score, so there is no least one unless it
-    is asked for.  Without a model nothing can be told apart and all rows
-    stay."""
+    learned) with at least ``min_score`` and whose text is familiar; ``und``
+    goes, and so do texts in other languages or scripts and random letters.  A
+    clean text that quotes other learned languages has a low score but is
+    familiar, so there is no least score unless it is asked for.  Without a
+    model nothing can be told apart and all rows stay."""
     if model is None:
         return docs
     wanted = model.languages if wanted is None else wanted
 
     def run(batches):
-        of = _predictor(model)
+        of = _predictor(model, judge=True)
         for batch in batches:
             for part, texts in text_slices(batch, text_col):
-                langs, scores = of(texts)
-                keep = [lang in wanted and s >= min_score for lang, s in zip(langs, scores.tolist())]
+                langs, scores, familiar = of(texts)
+                keep = [lang in wanted and s >= min_score and f for lang, s, f in zip(langs, scores.tolist(), familiar.tolist())]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,7 +55,7 @@ def op10_pii(spark, sf_dir):
 @query("op9_language_id")
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return language_id.predict(docs, language_id.fit(docs))
+    return language_id.predict(docs, language_id.fit(docs, measure=False))
 
 
 @query("op1_html_extract")

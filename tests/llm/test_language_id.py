@@ -103,3 +103,30 @@ def test_odd_texts_and_no_model(spark, trained):
     assert "clash" not in kept.columns and kept.columns == documents(spark, [None], extra=True).columns
     assert 0 not in [r.doc_id for r in kept.collect()]
     assert L.predict(docs.limit(0), model).count() == 0 and L.keep_documents(docs.limit(0), model).count() == 0
+
+
+def test_unlearned_languages_and_gibberish_go_and_mixed_texts_stay(spark, trained):
+    _, _, model = trained
+    rng = random.Random(8)
+    every = [w for words in WORDS.values() for w in words]
+    mixed = [" ".join(rng.choice(every) for _ in range(n)) for n in (40, 200, 900)]
+    quoting = [" ".join(" ".join(rng.choice(WORDS[x]) for _ in range(8)) for x in rng.choices(sorted(WORDS), k=20)) for _ in range(5)]
+    clean = [*mixed, *quoting, *corpus(30)[0]]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    foreign = [
+        "Rząd ogłosił wczoraj szereg nowych środków mających na celu wsparcie rodzin i przedsiębiorstw dotkniętych kryzysem. " * 3,
+        "Il governo ha annunciato ieri una serie di misure per sostenere le famiglie e le imprese colpite dalla crisi.",
+        "Правительство объявило вчера о ряде новых мер поддержки семей и предприятий, пострадавших от кризиса.",
+        "政府昨天宣布了一系列新措施以支持最近几个月受到经济危机影响的家庭和企业 " * 4,
+        *(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (30, 200, 1000))]
+    kept = {r.doc_id for r in L.keep_documents(documents(spark, clean + foreign, extra=True), model).collect()}
+    assert kept == set(range(len(clean)))
+
+
+def test_one_language_is_told_from_none(spark):
+    texts, langs = corpus(300)
+    own = [t for t, lang in zip(texts, langs) if lang == "en"]
+    model = L.fit(documents(spark, own, ["en"] * len(own)))
+    other = [t for t, lang in zip(texts, langs) if lang == "de"][:20]
+    kept = {r.doc_id for r in L.keep_documents(documents(spark, own[:20] + other), model).collect()}
+    assert kept == set(range(20))
