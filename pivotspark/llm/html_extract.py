@@ -7,7 +7,10 @@ The host's seed tree (that of the page with the smallest hash) is aligned with
 every page of the host by simple tree matching, the matched nodes' blocks are
 counted over the host's different pages, and blocks that nearly all of them
 show at the same seed node become the host's template.  What varies is
-content.
+content.  A host of few pages has less to show, so there a template block must
+be on all of them, outside article and main, and on no other host, and all of
+them together must be half of the longest page's text at most (else the pages
+are copies of one another).
 
 A page's text is then the blocks of its content slots: the article or main
 element if it has one, else the body, without elements whose tag, role, class
@@ -19,8 +22,8 @@ with partial sums, and pages join their host's seed and template as plain
 tables, where a hot host's rows can be split.
 
 Defined results: null or empty html gives "" ; broken markup is repaired as
-HTML's implied end tags ask for; pages without a host, and hosts with fewer
-than ``MIN_PAGES`` different pages, have no template; repeated pages count
+HTML's implied end tags ask for; pages without a host, and hosts with a single
+different page, have no template; repeated pages count
 once; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -38,6 +41,9 @@ from pyspark.sql import functions as F
 from .common import stored
 from .url_filter import host_of
 
+#: Different pages of a host from which a template can be told, and those
+#: from which their number alone says enough.
+FEW_PAGES = 2
 MIN_PAGES = 8
 #: Share of a host's different pages that show a template block, in percent.
 TEMPLATE_PCT = 90
@@ -330,8 +336,9 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def trees(pages: DataFrame) -> DataFrame:
-    """One row for each page with a host: host, tree, the folded node and hash
-    of each text block, page hash."""
+    """One row for each page with a host: host, tree, the folded node, hash and
+    size of each text block (size 0: inside article or main), characters of all
+    blocks, page hash."""
     rows = _hosted(pages).where((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html")
 
     def run(batches):
@@ -342,14 +349,19 @@ def trees(pages: DataFrame) -> DataFrame:
             for host, html in zip(*(c.to_pylist() for c in batch.columns)):
                 dom = parse(html)
                 nodes, owners = fold(dom)
-                blocks = sorted({(o, xxh64_intdigest(b) >> 1) for o, (_, b) in zip(owners, dom.blocks)})
-                out.append((host, pack_tree(nodes), [o for o, _ in blocks], [h for _, h in blocks], xxh64_intdigest(html) >> 1))
+                blocks: dict[tuple[int, int], int] = {}
+                for o, (node, b) in zip(owners, dom.blocks):
+                    key = o, xxh64_intdigest(b) >> 1
+                    blocks[key] = min(blocks.get(key, len(b)), 0 if node.main else len(b))
+                keys = sorted(blocks)
+                out.append((host, pack_tree(nodes), [o for o, _ in keys], [h for _, h in keys], [blocks[k] for k in keys],
+                            sum(len(b) for _, b in dom.blocks), xxh64_intdigest(html) >> 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
-    names, kinds = ["host", "tree", "nodes", "hashes", "page"], [
-        pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
-    return rows.mapInArrow(run, "host string, tree string, nodes array<int>, hashes array<bigint>, page bigint")
+    names, kinds = ["host", "tree", "nodes", "hashes", "sizes", "chars", "page"], [
+        pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+    return rows.mapInArrow(run, "host string, tree string, nodes array<int>, hashes array<bigint>, sizes array<int>, chars bigint, page bigint")
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -358,33 +370,47 @@ def induce(pages: DataFrame) -> DataFrame:
     own = stored(trees(pages), "page-trees")
     # Different pages of a host; the seed is the one with the smallest hash.
     distinct = stored(own.groupBy("host", "page").agg(F.first("tree").alias("tree"), F.first("nodes").alias("nodes"),
-                                                      F.first("hashes").alias("hashes")), "page-trees")
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("tree", "page").alias("seed"))
-    hosts = stored(hosts.where(F.col("pages") >= MIN_PAGES), "seeds")
-    joined = distinct.join(hosts, "host").select("host", "tree", "nodes", "hashes", "seed")
+                                                      F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"),
+                                                      F.first("chars").alias("chars")), "page-trees")
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("tree", "page").alias("seed"),
+                                         F.max("chars").alias("longest"))
+    hosts = stored(hosts.where(F.col("pages") >= FEW_PAGES), "seeds")
+    joined = distinct.join(hosts, "host").select("host", "tree", "nodes", "hashes", "sizes", "seed")
 
     def run(batches):
         known: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
-            hosts, slots, hashes = [], [], []
-            for host, tree, nodes, own, seed in zip(*(c.to_pylist() for c in batch.columns)):
+            hosts, slots, hashes, least = [], [], [], []
+            for host, tree, nodes, own, sizes, seed in zip(*(c.to_pylist() for c in batch.columns)):
                 place = known.get((tree, seed))
                 if place is None:
                     if len(known) > 10_000:
                         known.clear()
                     place = known[tree, seed] = align(unpack_tree(tree), unpack_tree(seed))
-                for node, h in {(place[n], h) for n, h in zip(nodes, own)}:
-                    if node >= 0:
+                for n, h, size in zip(nodes, own, sizes):
+                    if place[n] >= 0:
                         hosts.append(host)
-                        slots.append(node)
+                        slots.append(place[n])
                         hashes.append(h)
+                        least.append(size)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()),
-                                              pa.array(hashes, pa.int64())], names=["host", "node", "hash"])
-
-    seen = joined.mapInArrow(run, "host string, node int, hash bigint").groupBy("host", "node", "hash").count()
-    fixed = seen.join(hosts.select("host", "pages"), "host").where(100 * F.col("count") >= TEMPLATE_PCT * F.col("pages"))
+                                              pa.array(hashes, pa.int64()), pa.array(least, pa.int32())],
+                                             names=["host", "node", "hash", "size"])
+
+    seen = joined.mapInArrow(run, "host string, node int, hash bigint, size int").groupBy("host", "node", "hash").agg(
+        F.count("*").alias("count"), F.min("size").alias("size"))
+    fixed = seen.join(hosts.select("host", "pages", "longest"), "host").where(
+        100 * F.col("count") >= TEMPLATE_PCT * F.col("pages"))
+    fixed = stored(fixed, "fixed-blocks")
+    many = F.col("pages") >= MIN_PAGES
+    blocks = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("hash").agg(
+        F.min("host").alias("a"), F.max("host").alias("b"))
+    few = fixed.where(~many & (F.col("size") > 0)).join(blocks.where(F.col("a") != F.col("b")), "hash", "left_anti")
+    fixed = fixed.where(many).unionByName(few)
     # Bounded: every block here is on nearly every page of its host.
-    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("fixed"))
+    fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("fixed"), F.sum("size").alias("size"),
+                                      F.first("pages").alias("pages"), F.first("longest").alias("longest"))
+    fixed = fixed.where(many | (2 * F.col("size") <= F.col("longest"))).select("host", "fixed")
     return hosts.join(fixed, "host").select(
         "host", "seed", F.col("fixed.node").alias("nodes"), F.col("fixed.hash").alias("hashes"))
 

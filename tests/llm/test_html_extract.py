@@ -99,3 +99,27 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = texts(spark, rows)
     assert [(got[i].text, got[i].n_chars) for i in range(5)] == [("a", 1), ("", 0), ("", 0), ("é😀", 2), ("é😀", 2)]
     assert H.extract(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_template_of_a_host_of_few_pages_goes(spark):
+    def page(host, body):
+        return (f"<div><b>Site of {host}</b></div><div class=x><i>Home and away</i></div><div class=y>{body}</div>"
+                f"<div class=z>(c) {host}</div>")
+
+    def body(host, i):
+        return f"<p>{' '.join(f'{host}{i}w{k}' for k in range(40))}</p>"
+
+    rows = [(f"http://{h}.org/{i}", page(h, body(h, i))) for h, n in (("two", 2), ("three", 3), ("seven", 7), ("one", 1)) for i in range(n)]
+    # Near copies: what they share is their content.
+    rows += [(f"http://near.org/{i}", f"<div><p>{'the same long story ' * 20}</p><p>seen {i} times</p></div>") for i in range(3)]
+    # An article's own words stay, whatever they share.
+    rows += [(f"http://art.org/{i}", f"<div>top of art</div><article><p>A word before</p>{body('art', i)}</article>") for i in range(3)]
+    got = texts(spark, rows)
+    for at, (h, n) in zip((0, 2, 5), (("two", 2), ("three", 3), ("seven", 7))):
+        for i in range(n):
+            # "Home and away" is on other hosts too: no host's own block.
+            assert got[at + i].text == "Home and away\n\n" + body(h, i)[3:-4], (h, i)
+            assert got[at + i].n_template_blocks == 2
+    assert got[12].text.startswith("Site of one") and got[12].n_template_blocks == 0
+    assert all(got[13 + i].text == "the same long story " * 19 + f"the same long story\n\nseen {i} times" for i in range(3))
+    assert all(got[16 + i].text.startswith("A word before\n\nart") for i in range(3))
