@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import (bpe, html_extract, language_id, lz_fingerprint, packing, pii, quality_rules, simhash, token_counts,
+from . import (bpe, html_extract, language_id, lz_fingerprint, packing, periodic_runs, pii, quality_rules, simhash, token_counts,
                url_filter)
 from .common import table
 
@@ -73,6 +73,12 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.detect(docs))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -47,5 +47,5 @@ def test_run_is_the_stages_in_order(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")) == list(range(1, 14))
     assert "pipeline" in Q.QUERIES and set(Q.ORACLE) <= set(Q.QUERIES)
