@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import (bpe, html_extract, language_id, lz_fingerprint, packing, periodic_runs, pii, quality_rules, simhash, token_counts,
+from . import (bpe, collocations, html_extract, language_id, lz_fingerprint, packing, periodic_runs, pii, quality_rules, simhash, token_counts,
                url_filter)
 from .common import table
 
@@ -79,6 +79,11 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.detect(docs))
 
 
+@query("op12_collocations", collocations.oracle_sql())
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
