@@ -22,7 +22,9 @@ without their pairs.  Then buckets that still hold several components are
 walked: all pairs of different components are held against the sketch bound
 inside the task, a large bucket as pairs of chunks, and those that pass are
 verified.  Only links are decided by the exact sets, so none is lost and none
-is made up.  Buckets of more than ``HOT`` sets do not count for sets that have
+is made up.  The walk is made twice: first every set brings its nearest one in the
+bucket only, whose links merge what is left of large groups, then all pairs.
+Buckets of more than ``HOT`` sets do not count for sets that have
 ``spare`` of them or fewer in the band, as above.
 
 Equal sets are one node, known by a 64-bit hash.  Buckets that a 64th of the
@@ -38,8 +40,6 @@ an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -266,8 +266,8 @@ def shared_buckets(met: DataFrame, large: dict[int, int]) -> DataFrame:
         met = met.withColumn("part", F.lit(0))
     met = met.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key")
 
-    def groups(rows: np.ndarray, low: int | None, size: int):
-        """Whole buckets, but that the first may go on from rows before."""
+    def groups(rows: np.ndarray):
+        """Rows of whole buckets."""
         first = np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2]))
         rows = rows[first | np.append(True, rows[1:, 1] != rows[:-1, 1])]
         first = np.flatnonzero(np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])))
@@ -291,12 +291,12 @@ def shared_buckets(met: DataFrame, large: dict[int, int]) -> DataFrame:
             last = rows[-1, [0, 2]]
             cut = len(rows) - int((rows[::-1][:, [0, 2]] != last).any(axis=1).argmax()) if (rows[0, [0, 2]] != last).any() else 0
             if cut:
-                yield groups(rows[:cut], None, 0)
+                yield groups(rows[:cut])
             held, count = [rows[cut:]], 0
         if held:
             rows = np.concatenate(held)
             if len(rows):
-                yield groups(rows, None, 0)
+                yield groups(rows)
 
     return met.mapInArrow(run, "bucket bigint, key bigint, low bigint, size bigint")
 
@@ -362,12 +362,14 @@ def links(docs: DataFrame, text_col: str, pairs: DataFrame, classes: DataFrame,
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(verify, "u bigint, v bigint")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select(F.col("u").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def open_buckets(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(bucket, key, root) of the buckets of three or more sets that are in
     several components, without what the spare blocks allow to leave out."""
-    rooted = shared.where("size <> 2").select("bucket", "key", "size").join(
-        roots.select(F.col("u").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = stored(rooted, "join-rooted")
+    rooted = stored(_rooted(shared.where("size <> 2").select("bucket", "key", "size"), roots), "join-rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"),
                                            F.min("size").alias("least"), F.max("size").alias("most")).where("a <> b")
     several = stored(several.select("bucket", ((F.col("least") < 0) | (F.col("most") > HOT)).alias("hot")), "join-open")
@@ -379,58 +381,73 @@ def open_buckets(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     return rows.withColumn("band", band).join(free, ["key", "band"], "left").where("not hot or free is null").select("bucket", "key", "root")
 
 
-def walk(rows: np.ndarray, sketch: list[bytes], percent: int) -> np.ndarray:
-    """Pairs of one bucket's sets, or across two chunks of it (side 0 is held
-    against itself, -2 against -1), of different roots and within the sketch
-    bound.  Columns of ``rows``: key, root, n, side."""
+def walk(rows: np.ndarray, sketch: list[bytes], percent: int, every: bool) -> np.ndarray:
+    """One bucket's sets, or two chunks of it, held against each other (side 0
+    against itself, -2 against -1): pairs of different roots within the sketch
+    bound.  ``every``: all of them; else, for each set that has any, the one
+    with the nearest sketch.  Columns of ``rows``: key, root, n, side; returns
+    row numbers."""
     size = min(map(len, sketch))
     words = np.stack([folded(s, size) for s in sketch])
-    key, root, n, side = rows.T
+    _, root, n, side = rows.T
     if side[0] == 0:
         left = right = np.arange(len(rows))
     else:
         left, right = np.flatnonzero(side == -2), np.flatnonzero(side == -1)
-    out, block = [], max(1, WORK // (8 * max(1, len(right)) * words.shape[1]))
+    none = np.iinfo(np.int64).max
+    out, block = [np.zeros((0, 2), np.int64)], max(1, WORK // (8 * max(1, len(right)) * words.shape[1]))
+    best, partner = np.full(len(rows), none), np.zeros(len(rows), dtype=np.int64)
     for at in range(0, len(left), block):
         a = left[at:at + block]
         apart = np.bitwise_count(words[a][:, None] ^ words[right][None]).sum(axis=2, dtype=np.int64)
-        total = n[a][:, None] + n[right][None]
-        near = (apart <= most_apart(total, percent)) & (root[a][:, None] != root[right][None])
+        near = (apart <= most_apart(n[a][:, None] + n[right][None], percent)) & (root[a][:, None] != root[right][None])
         near &= np.minimum(n[a][:, None], n[right][None]) * 100 >= np.maximum(n[a][:, None], n[right][None]) * percent
-        i, j = np.nonzero(near)
-        out.append(np.stack([key[a[i]], key[right[j]]], axis=1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    pairs = np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1) if len(pairs) else pairs
-    return np.unique(pairs, axis=0)
-
-
-def walked_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the open buckets' sets that may be linked."""
+        if every:
+            i, j = np.nonzero(near)
+            out.append(np.stack([a[i], right[j]], axis=1))
+        elif near.any():
+            apart[~near] = none
+            for own, other, least, axis in ((a, right, apart.argmin(axis=1), 1), (right, a, apart.argmin(axis=0), 0)):
+                found = np.take_along_axis(apart, np.expand_dims(least, axis), axis).ravel()
+                better = found < best[own]
+                best[own[better]], partner[own[better]] = found[better], other[least[better]]
+    if not every:
+        has = np.flatnonzero(best < none)
+        out.append(np.stack([has, partner[has]], axis=1))
+    return np.concatenate(out)
+
+
+def walked(rows: DataFrame, classes: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(bucket, u, v) of the open buckets' sets that may be linked."""
     sizes = stored(rows.groupBy("bucket").count().where(F.col("count") > CHUNK), "join-large")
     chunks = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / CHUNK)
     dealt = (rows.join(sizes, "bucket", "left").withColumn("chunks", chunks)
              .withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
     dealt = dealt.select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key", "root",
+        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key", "root", "bucket",
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(-2).cast("long").alias("side"))
-    dealt = dealt.join(classes.select("key", "n", "sketch"), "key").select("group", "key", "root", "n", "side", "sketch")
+    dealt = dealt.join(classes.select("key", "n", "sketch"), "key").select("group", "key", "root", "n", "side", "bucket", "sketch")
     dealt = dealt.repartition("group").sortWithinPartitions("group")
 
     def pairs_of(held):
-        group = held[0]
-        rows = np.stack([np.asarray(held[i], dtype=np.int64) for i in range(1, 5)], axis=1)
+        group, sketch = held[0], held[6]
+        rows = np.stack(held[1:5], axis=1)
         cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-        found = [walk(rows[a:b], held[5][a:b], percent) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["u", "v"])
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 1:
+                found.append(a + walk(rows[a:b], sketch[a:b], percent, every))
+        u, v = np.concatenate(found).T
+        return pa.RecordBatch.from_arrays([pa.array(held[5][u]), pa.array(held[1][u]), pa.array(held[1][v])],
+                                          names=["bucket", "u", "v"])
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [np.asarray(batch.column(i), dtype=np.int64) for i in range(5)] + [batch.column(5).to_pylist()]
+            cols = [np.asarray(batch.column(i), dtype=np.int64) for i in range(6)] + [batch.column(6).to_pylist()]
             if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held[:5], cols[:5])] + [held[5] + cols[5]]
+                cols = [np.concatenate([h, c]) for h, c in zip(held[:6], cols[:6])] + [held[6] + cols[6]]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
@@ -440,7 +457,12 @@ def walked_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         if held is not None and len(held[0]):
             yield pairs_of(held)
 
-    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(run, "bucket bigint, u bigint, v bigint")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The distinct unordered pairs (u, v), the larger one first."""
+    return rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def linked_classes(docs: DataFrame, printed: DataFrame, text_col: str = "text", shingle: int = SHINGLE,
@@ -455,11 +477,19 @@ def linked_classes(docs: DataFrame, printed: DataFrame, text_col: str = "text",
     near = stored(near_pairs(stars, classes, percent), "join-near")
     first = stored(links(docs, text_col, near, classes, shingle, percent), "join-links")
     roots = stored(connected_components(first), "join-roots")
-    rest = stored(open_buckets(shared, roots, percent), "join-rest")
-    near = stored(walked_pairs(rest, classes, percent), "join-near")
+    # Each set's nearest in every open bucket, then all pairs of what that has
+    # left apart: sets with no near one in a bucket are out of it.
+    closest = stored(walked(open_buckets(shared, roots, percent), classes, percent, every=False), "join-closest")
+    near = stored(_pairs(closest), "join-near")
     second = links(docs, text_col, near, classes, shingle, percent)
-    every = reduce(DataFrame.unionByName, [roots.select("u", F.col("root").alias("v")), second])
-    return connected_components(every)
+    roots = stored(connected_components(roots.select("u", F.col("root").alias("v")).unionByName(second)), "join-roots")
+    members = closest.select("bucket", F.col("u").alias("key")).distinct()
+    rooted = stored(_rooted(members, roots), "join-rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    near = stored(_pairs(walked(rooted.join(several, "bucket"), classes, percent, every=True)).join(near, ["u", "v"], "left_anti"),
+                  "join-near")
+    third = links(docs, text_col, near, classes, shingle, percent)
+    return connected_components(roots.select("u", F.col("root").alias("v")).unionByName(third))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
