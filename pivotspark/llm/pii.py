@@ -37,14 +37,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = string.ascii_letters + string.digits + "+.-"
 _USER_URL = re.compile(r"[^\s/?#@\"'<>]++@[^\s\"'<>]++")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"[\"']?\s{0,3}(?:[=:]|=>)\s{0,3}[\"']?([A-Za-z0-9_\-+/=.]{12,})")
 
 CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key")
-LOOK_BACK = 64
 
 
 def _automaton():
@@ -60,8 +59,7 @@ def _automaton():
             for s in ("", " ", "-"):
                 found.setdefault(f"{a}{s}{b}", set()).add("card")
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.setdefault(form, set()).add("secret")
+        found.setdefault(cue, set()).add("secret")
     auto = ahocorasick.Automaton()
     for anchor, kinds in found.items():
         auto.add_word(anchor, (len(anchor), tuple(sorted(kinds))))
@@ -74,13 +72,13 @@ def _luhn(digits: str) -> bool:
     return (sum(own[::2]) + sum(sum(divmod(2 * d, 10)) for d in own[1::2])) % 10 == 0
 
 
-def _local_start(text: str, at: int, floor: int) -> int:
-    """Start of the run of local-part characters that ends at ``at``; the run
-    is looked at once, since ``floor`` moves past it."""
+def _run_start(text: str, at: int, floor: int, characters: str) -> int:
+    """Start of the run of ``characters`` that ends at ``at``; the run is
+    looked at once, since ``floor`` moves past it."""
     size = 64
     while True:
         low = max(floor, at - size)
-        start = low + len(text[low:at].rstrip(_LOCAL))
+        start = low + len(text[low:at].rstrip(characters))
         if start > low or low == floor:
             return start
         size *= 4
@@ -92,7 +90,7 @@ def _emails(text: str, anchors: list[int]):
     for at in anchors:
         if at < end:
             continue
-        start = _local_start(text, at, max(end, seen))
+        start = _run_start(text, at, max(end, seen), _LOCAL)
         seen = at + 1
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             end = m.end()
@@ -142,13 +140,20 @@ def _phones(text: str, anchors: list[int]):
 
 
 def _urls(text: str, anchors: list[int]):
-    """Addresses that carry user information (user:password@host)."""
+    """Addresses that carry user information (user:password@host); an anchor
+    inside the last one is a part of it."""
+    end = 0   # of the last match
+    seen = 0  # behind the last separator: no scheme reaches across it
     for at in anchors:
-        low = max(0, at - LOOK_BACK)
-        scheme = _SCHEME.search(text[low:at])
-        m = _USER_URL.match(text, at + 3)
-        if scheme and m:
-            yield low + scheme.start(), m.end() - (len(m.group()) - len(m.group().rstrip(".,;:!?)")))
+        if at < end:
+            continue
+        start = _run_start(text, at, max(end, seen), _SCHEME)
+        while start < at and not (text[start].isascii() and text[start].isalpha()):
+            start += 1
+        seen = at + 3
+        if start < at and (m := _USER_URL.match(text, at + 3)):
+            end = m.end()
+            yield start, at + 3 + len(m.group().rstrip(".,;:!?)"))
 
 
 def _ibans(text: str, anchors: list[int]):
@@ -180,19 +185,27 @@ def _ssns(text: str, anchors: list[int]):
 
 
 def _secrets(text: str, anchors: list[int]):
-    """The value after a cue; one of letters and digits mixed."""
-    last = 0
+    """The value after a cue; one of letters and digits mixed.  A cue inside a
+    value is a part of it (where that one has no digit, what follows the cue
+    has none either)."""
+    end = 0
     for at in anchors:
-        m = _SECRET.match(text, at)
-        if m and m.start(1) >= last and re.search("[0-9]", m.group(1)) and re.search("[A-Za-z]", m.group(1)):
-            last = m.end(1)
-            yield m.start(1), m.end(1)
+        if at >= end and (m := _SECRET.match(text, at)):
+            end = m.end(1)
+            if re.search("[0-9]", m.group(1)) and re.search("[A-Za-z]", m.group(1)):
+                yield m.start(1), end
+
+
+def _folded(text: str) -> str:
+    """Lower case with every character in its place (one capital letter has a
+    small form of two characters)."""
+    return text.replace("\u0130", "I").lower()
 
 
 def find_spans(text: str, automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kind as listed."""
     at: dict[str, list[int]] = {}
-    for last, (size, kinds) in automaton.iter(text):
+    for last, (size, kinds) in automaton.iter(_folded(text)):
         for kind in kinds:
             at.setdefault(kind, []).append(last + 1 - size if kind != "secret" else last + 1)
     if not at:

@@ -48,7 +48,8 @@ def test_base_spans_are_those_of_the_patterns(automaton):
 
 @pytest.mark.parametrize("text", ["a" * 200000 + "@", "@" * 100000, "1" * 200000, "1." * 100000, "+1" * 100000,
                                   "a." * 100000 + "@b", "1-" * 50000, "+1" + "(" * 100000, ("a" * 1000 + "é") * 300 + "@",
-                                  "token" * 40000, "AB12" * 50000, "http://" * 40000])
+                                  "token" * 40000, "AB12" * 50000, "http://" * 40000, "token=" * 170000,
+                                  "x://a@" * 170000, "a" * 500000 + "://u@h", "Token=a1" * 120000, "+1" * 500000])
 def test_long_runs_take_linear_time(automaton, text):
     start = time.time()
     P.find_spans(text, automaton)
@@ -60,12 +61,46 @@ def test_long_runs_take_linear_time(automaton, text):
     ("ssn 123-45-6789.", "ssn", "123-45-6789"), ("ssn 000-45-6789.", "ssn", None),
     ("at https://bob:pw@host.example/x, ok", "url", "https://bob:pw@host.example/x"),
     ('token = "04dbebab91ab85687d33"', "secret", "04dbebab91ab85687d33"), ("token of thanks", "secret", None),
+    ("apiKey: abcdef123456x", "secret", "abcdef123456x"), ("h" * 80 + "://u:p@h.example", "url", "h" * 80 + "://u:p@h.example"),
     ("GB83 WEST 1234 5698 7654 32", "iban", None)])
 def test_added_kinds(automaton, text, kind, span):
     got = [text[a:b] for a, b, k in P.find_spans(text, automaton) if k == kind]
     assert got == ([span] if span else [])
 
 
+def brute_added(text):
+    """Urls and secrets one after the other, by patterns over the whole text."""
+    out, end = [], 0
+    for m in re.finditer("://", text):
+        scheme = re.search(r"[A-Za-z][A-Za-z0-9+.-]*\Z", text[end:m.start()])
+        user = re.match(r"[^\s/?#@\"'<>]+@[^\s\"'<>]+", text[m.end():])
+        if m.start() >= end and scheme and user:
+            out.append((m.start() - len(scheme.group()), m.end() + len(user.group().rstrip(".,;:!?)")), "url"))
+            end = m.end() + user.end()
+    end = 0
+    cues = sorted({m.start() + len(c) for c in P.CUES for m in re.finditer(f"(?={re.escape(c)})", text, re.I | re.A)})
+    for at in cues:
+        m = re.match(r"[\"']?\s{0,3}(?:[=:]|=>)\s{0,3}[\"']?([A-Za-z0-9_\-+/=.]{12,})", text[at:])
+        if at >= end and m:
+            end = at + m.end()
+            if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
+                out.append((at + m.start(1), end, "secret"))
+    return sorted(out)
+
+
+def test_added_spans_are_those_of_the_rules(automaton):
+    rng = random.Random(9)
+    parts = ["a", "x", "1", "://", "@", "host", ".", ",", " ", "apiKey", "Token", "SECRET", "=", ":", "=>", "'", "abc123def456",
+             "zzzzzzzzzzzzz", "/", "İ", "+", "-", "\n"]
+    found = 0
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 16)))
+        want = brute_added(text)
+        found += len(want)
+        assert [s for s in P.find_spans(text, automaton) if s[2] in ("url", "secret")] == want, text
+    assert found > 400
+
+
 TEXTS = [*ODD_TEXTS, "x a@b.c y +1 (017) 555-7713 é 1.2.3.4", "a@b.c", "nothing here"]
 
 
