@@ -13,10 +13,14 @@ them together must be half of the longest page's text at most (else the pages
 are copies of one another).
 
 A page's text is then the blocks of its content slots: the article or main
-element if it has one, else the body, without elements whose tag, role, class
-or id says menu, header, footer, sidebar, notice, advert, form or comments, and
-without template blocks.  Blocks are joined by two line feeds.
-
+element if it has one with a tenth of the text at least, else the body, without
+elements whose tag, role, class or id says menu, header, footer, sidebar,
+notice, advert, form or comments, and without template blocks.  A class or id
+drops no element that wraps the article (or most of a page without one).
+Blocks are joined by two line feeds.
+
+Trees are known by their hash; each is stored once and aligned once with a
+seed.  Markup is read in slices of ``SLICE`` bytes (one page at least).
 Nothing of a host meets in one task: seeds are a minimum, blocks are counted
 with partial sums, and pages join their host's seed and template as plain
 tables, where a hot host's rows can be split.
@@ -34,10 +38,12 @@ from collections import Counter
 from functools import cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import text_slices
 from .common import stored
 from .url_filter import host_of
 
@@ -45,13 +51,17 @@ from .url_filter import host_of
 #: from which their number alone says enough.
 FEW_PAGES = 2
 MIN_PAGES = 8
+#: Markup that a task turns into trees at a time, rows of packed blocks that
+#: it opens at a time, and shapes whose trees a task remembers to have sent.
+SLICE = 1 << 20
+ROWS = 512
+SHAPES = 1 << 18
 #: Share of a host's different pages that show a template block, in percent.
 TEMPLATE_PCT = 90
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template nav aside form button select textarea iframe object svg "
                     "canvas dialog head menu title audio video map".split())
-OUTER = frozenset(("header", "footer"))
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 "
                   "h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th "
                   "thead tr ul caption".split())
@@ -74,16 +84,22 @@ _CUES = re.compile(
     r"login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reader-comments|widget)(?:$|[\s_-])")
 
 
+#: Readers' words are none of the article's, however many they are.
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reader-comments)(?:$|[\s_-])")
 #: Classes and ids of a page's header, as against that of an article.
 _HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top)[_-]?)?header(?:$|\s)")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+#: What an element's class and id say of it.
+NO_CUE, CUE, COMMENT_CUE = 0, 1, 2
+
+
 class _Node:
-    __slots__ = ("tag", "cls", "parent", "children", "dropped", "main", "block")
+    __slots__ = ("tag", "cls", "parent", "children", "dropped", "main", "cue", "block")
 
-    def __init__(self, tag: str, cls: str, parent, dropped: bool, main: bool):
-        self.tag, self.cls, self.parent, self.dropped, self.main = tag, cls, parent, dropped, main
+    def __init__(self, tag: str, cls: str, parent, dropped: bool, main: bool, cue: int = NO_CUE):
+        self.tag, self.cls, self.parent, self.dropped, self.main, self.cue = tag, cls, parent, dropped, main, cue
         self.children: list = []
         # The element that a text in this one is a block of.
         self.block = self if parent is None or tag in BLOCK else parent.block
@@ -92,16 +108,49 @@ class _Node:
 class Dom:
     """Tree of elements and, in page order, the text blocks that no dropped
     element holds.  The markup is read once from left to right; what it leaves
-    open at its end is cut off."""
+    open at its end is cut off.
+
+    Tags and roles drop at once.  A cue in a class or id drops an element when
+    the page is known: not if it holds most of the text of all article and main
+    elements, nor, on a page without any, most of the text (but for comments).
+    """
 
     def __init__(self, markup: str):
         self.root = self.at = _Node("#root", "", None, False, False)
+        self.nodes = [self.root]
         self.open: Counter = Counter()
         self.blocks: list[tuple[_Node, str]] = []
         self.text: list[str] = []
         self.owner: _Node | None = None
         self.read(markup)
         self.flush()
+        if any(node.cue for node in self.nodes):
+            self.judge_cues()
+
+    def judge_cues(self) -> None:
+        number = {id(node): i for i, node in enumerate(self.nodes)}
+        up = [number.get(id(node.parent), -1) for node in self.nodes]
+        chars, own = [0] * len(up), [0] * len(up)
+        for node, block in self.blocks:
+            chars[number[id(node)]] += len(block)
+            own[number[id(node)]] += len(block) if node.main else 0
+        for i in range(len(up) - 1, 0, -1):  # an element comes behind its parent
+            chars[up[i]] += chars[i]
+            own[up[i]] += own[i]
+        gone = [False] * len(up)
+        for i, node in enumerate(self.nodes):
+            most = 2 * own[i] > own[0] if own[0] else node.cue == CUE and 2 * chars[i] > chars[0]
+            inside = node.parent is not None and node.parent.main  # an article's own part, not a wrapper of it
+            gone[i] = i > 0 and gone[up[i]] or bool(node.cue) and (inside or not most)
+        self.blocks = [(node, block) for node, block in self.blocks if not gone[number[id(node)]]]
+
+    def release(self) -> None:
+        """Cut the references in circles, so that the tree goes when it is no
+        longer needed and not when the collector comes by."""
+        for node in self.nodes:
+            node.parent = node.block = None
+            node.children = []
+        self.nodes, self.blocks = [], []
 
     def read(self, markup: str) -> None:
         at, strict = 0, True
@@ -195,10 +244,15 @@ class Dom:
         main = up.main or tag in ("article", "main") or role in ("main", "article")
         keeps = tag in ("html", "body", "article", "main")
         dropped = (up.dropped or tag in DROPPED or role in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-                   or bool(_HIDDEN.search(a.get("style", ""))) or tag in OUTER and not up.main
-                   or not keeps and marks != " " and bool(_CUES.search(marks))
-                   or not up.main and not keeps and bool(_HEADER.search(marks)))
-        node = _Node(tag, cls, up, dropped, main)
+                   or bool(_HIDDEN.search(a.get("style", ""))) or tag == "footer" or tag == "header" and not up.main)
+        cue = NO_CUE
+        if not keeps and marks != " " and not dropped:
+            if _COMMENTS.search(marks):
+                cue = COMMENT_CUE
+            elif _CUES.search(marks) or not up.main and _HEADER.search(marks):
+                cue = CUE
+        node = _Node(tag, cls, up, dropped, main, cue)
+        self.nodes.append(node)
         up.children.append(node)
         self.open[tag] += 1
         self.at = node
@@ -325,94 +379,114 @@ def unpack_tree(text: str) -> list[tuple[str, int]]:
 
 
 def content(dom: Dom, owners: list[int], place: list[int], template: set[tuple[int, str]]) -> list[str]:
-    """The blocks of the content slots in page order."""
+    """The blocks of the content slots in page order: those of article and main
+    elements, if these hold a tenth of the text at least."""
     rows = [(node, block) for owner, (node, block) in zip(owners, dom.blocks) if (place[owner], block) not in template]
     inner = [block for node, block in rows if node.main]
-    return inner or [block for _, block in rows]
+    whole = sum(len(block) for _, block in rows)
+    return inner if inner and 10 * sum(map(len, inner)) >= whole else [block for _, block in rows]
 
 
 def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
 
+_BLOCK = np.dtype([("node", "<i4"), ("hash", "<i8"), ("size", "<i4")])
+
+
 def trees(pages: DataFrame) -> DataFrame:
-    """One row for each page with a host: host, tree, the folded node, hash and
-    size of each text block (size 0: inside article or main), characters of all
-    blocks, page hash."""
+    """One row for each page with a host: host, page (a hash of the markup),
+    shape (a hash of the folded tree), tree (only where a task meets the shape
+    first), blocks (folded node, hash and size of each text block, packed; size
+    0: inside article or main), characters of all blocks."""
     rows = _hosted(pages).where((F.col("host") != "") & F.col("html").isNotNull()).select("host", "html")
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
+        seen: set[int] = set()
         for batch in batches:
-            out = []
-            for host, html in zip(*(c.to_pylist() for c in batch.columns)):
-                dom = parse(html)
-                nodes, owners = fold(dom)
-                blocks: dict[tuple[int, int], int] = {}
-                for o, (node, b) in zip(owners, dom.blocks):
-                    key = o, xxh64_intdigest(b) >> 1
-                    blocks[key] = min(blocks.get(key, len(b)), 0 if node.main else len(b))
-                keys = sorted(blocks)
-                out.append((host, pack_tree(nodes), [o for o, _ in keys], [h for _, h in keys], [blocks[k] for k in keys],
-                            sum(len(b) for _, b in dom.blocks), xxh64_intdigest(html) >> 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
-
-    names, kinds = ["host", "tree", "nodes", "hashes", "sizes", "chars", "page"], [
-        pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-    return rows.mapInArrow(run, "host string, tree string, nodes array<int>, hashes array<bigint>, sizes array<int>, chars bigint, page bigint")
+            for part, htmls in text_slices(batch, "html", SLICE):
+                out = []
+                for host, html in zip(part.column(0).to_pylist(), htmls.to_pylist()):
+                    dom = parse(html)
+                    nodes, owners = fold(dom)
+                    blocks: dict[tuple[int, int], int] = {}
+                    for o, (node, b) in zip(owners, dom.blocks):
+                        key = o, xxh64_intdigest(b) >> 1
+                        blocks[key] = min(blocks.get(key, len(b)), 0 if node.main else len(b))
+                    packed = np.array([(o, h, size) for (o, h), size in sorted(blocks.items())], dtype=_BLOCK).tobytes()
+                    chars = sum(len(b) for _, b in dom.blocks)
+                    dom.release()
+                    tree = pack_tree(nodes)
+                    shape = xxh64_intdigest(tree) >> 1
+                    out.append((host, xxh64_intdigest(html) >> 1, shape, None if shape in seen else tree, packed, chars))
+                    if len(seen) < SHAPES:
+                        seen.add(shape)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    names, kinds = ["host", "page", "shape", "tree", "blocks", "chars"], [
+        pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+    return rows.mapInArrow(run, "host string, page bigint, shape bigint, tree string, blocks binary, chars bigint")
 
 
 def induce(pages: DataFrame) -> DataFrame:
     """Wrapper of each host with enough different pages: host, seed tree, and
     its template as seed nodes and block hashes (arrays of one length)."""
     own = stored(trees(pages), "page-trees")
+    shapes = stored(own.where("tree is not null").groupBy("shape").agg(F.min("tree").alias("tree")), "tree-shapes")
     # Different pages of a host; the seed is the one with the smallest hash.
-    distinct = stored(own.groupBy("host", "page").agg(F.first("tree").alias("tree"), F.first("nodes").alias("nodes"),
-                                                      F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"),
-                                                      F.first("chars").alias("chars")), "page-trees")
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("tree", "page").alias("seed"),
+    distinct = stored(own.groupBy("host", "page").agg(F.first("shape").alias("shape"), F.first("blocks").alias("blocks"),
+                                                      F.first("chars").alias("chars")), "page-blocks")
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"), F.min(F.struct("page", "shape"))["shape"].alias("seed"),
                                          F.max("chars").alias("longest"))
     hosts = stored(hosts.where(F.col("pages") >= FEW_PAGES), "seeds")
-    joined = distinct.join(hosts, "host").select("host", "tree", "nodes", "hashes", "sizes", "seed")
+    tree_of = lambda name: shapes.select(F.col("shape").alias(name), F.col("tree").alias(f"{name}_tree"))
+    pairs = distinct.join(hosts, "host").select("shape", "seed").distinct().join(tree_of("shape"), "shape").join(tree_of("seed"), "seed")
+
+    def match(batches):
+        for batch in batches:
+            for part, own in text_slices(batch, "shape_tree", SLICE):
+                seeds = part.column(part.schema.get_field_index("seed_tree")).to_pylist()
+                places = [align(unpack_tree(a), unpack_tree(b)) for a, b in zip(own.to_pylist(), seeds)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index(c)) for c in ("shape", "seed")] + [pa.array(places, pa.list_(pa.int32()))],
+                    names=["shape", "seed", "place"])
+
+    places = stored(pairs.mapInArrow(match, "shape bigint, seed bigint, place array<int>"), "tree-places")
+    joined = distinct.join(hosts, "host").select("host", "shape", "seed", "blocks").join(places, ["shape", "seed"]).select(
+        "host", "blocks", "place")
 
     def run(batches):
-        known: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
-            hosts, slots, hashes, least = [], [], [], []
-            for host, tree, nodes, own, sizes, seed in zip(*(c.to_pylist() for c in batch.columns)):
-                place = known.get((tree, seed))
-                if place is None:
-                    if len(known) > 10_000:
-                        known.clear()
-                    place = known[tree, seed] = align(unpack_tree(tree), unpack_tree(seed))
-                for n, h, size in zip(nodes, own, sizes):
-                    if place[n] >= 0:
-                        hosts.append(host)
-                        slots.append(place[n])
-                        hashes.append(h)
-                        least.append(size)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()),
-                                              pa.array(hashes, pa.int64()), pa.array(least, pa.int32())],
-                                             names=["host", "node", "hash", "size"])
-
-    seen = joined.mapInArrow(run, "host string, node int, hash bigint, size int").groupBy("host", "node", "hash").agg(
-        F.count("*").alias("count"), F.min("size").alias("size"))
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                hosts, found = [], []
+                for host, blocks, place in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    own = np.frombuffer(blocks, dtype=_BLOCK).copy()
+                    own["node"] = np.asarray(place.values)[own["node"]]
+                    found.append(own[own["node"] >= 0])
+                    hosts.append((host, len(found[-1])))
+                rows = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h for h, n in hosts for _ in range(n)], pa.string()),
+                     *(pa.array(np.ascontiguousarray(rows[c])) for c in ("node", "hash", "size"))], names=["host", "node", "hash", "size"])
+
+    seen = stored(joined.mapInArrow(run, "host string, node int, hash bigint, size int").groupBy("host", "node", "hash").agg(
+        F.count("*").alias("count"), F.min("size").alias("size")), "host-blocks")
     fixed = seen.join(hosts.select("host", "pages", "longest"), "host").where(
         100 * F.col("count") >= TEMPLATE_PCT * F.col("pages"))
     fixed = stored(fixed, "fixed-blocks")
     many = F.col("pages") >= MIN_PAGES
-    blocks = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("hash").agg(
-        F.min("host").alias("a"), F.max("host").alias("b"))
+    blocks = seen.groupBy("hash").agg(F.min("host").alias("a"), F.max("host").alias("b"))
     few = fixed.where(~many & (F.col("size") > 0)).join(blocks.where(F.col("a") != F.col("b")), "hash", "left_anti")
     fixed = fixed.where(many).unionByName(few)
     # Bounded: every block here is on nearly every page of its host.
     fixed = fixed.groupBy("host").agg(F.collect_list(F.struct("node", "hash")).alias("fixed"), F.sum("size").alias("size"),
                                       F.first("pages").alias("pages"), F.first("longest").alias("longest"))
     fixed = fixed.where(many | (2 * F.col("size") <= F.col("longest"))).select("host", "fixed")
-    return hosts.join(fixed, "host").select(
-        "host", "seed", F.col("fixed.node").alias("nodes"), F.col("fixed.hash").alias("hashes"))
+    return hosts.join(fixed, "host").join(tree_of("seed"), "seed").select(
+        "host", F.col("seed_tree").alias("seed"), F.col("fixed.node").alias("nodes"), F.col("fixed.hash").alias("hashes"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -425,25 +499,27 @@ def extract(pages: DataFrame) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            texts, kept, fixed = [], [], []
-            for html, seed, nodes, hashes in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                dom = parse(html)
-                template: set = set()
-                tree, owners = fold(dom)
-                place = [-1] * len(tree)
-                if seed is not None:
-                    place = align(tree, unpack_tree(seed))
-                    entries = set(zip(nodes, hashes))
-                    template = {(place[o], b) for o, (_, b) in zip(owners, dom.blocks)
-                                if (place[o], xxh64_intdigest(b) >> 1) in entries}
-                blocks = content(dom, owners, place, template)
-                texts.append("\n\n".join(blocks))
-                kept.append(len(blocks))
-                fixed.append(len(template))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(kept, pa.int64()), pa.array(fixed, pa.int64())],
-                names=["page_id", "url", "text", "n_chars", "n_blocks", "n_template_blocks"])
+            for part, htmls in text_slices(batch, "html", SLICE):
+                texts, kept, fixed = [], [], []
+                for html, seed, nodes, hashes in zip(htmls.to_pylist(), *(c.to_pylist() for c in part.columns[3:])):
+                    dom = parse(html)
+                    template: set = set()
+                    tree, owners = fold(dom)
+                    place = [-1] * len(tree)
+                    if seed is not None:
+                        place = align(tree, unpack_tree(seed))
+                        entries = set(zip(nodes, hashes))
+                        template = {(place[o], b) for o, (_, b) in zip(owners, dom.blocks)
+                                    if (place[o], xxh64_intdigest(b) >> 1) in entries}
+                    blocks = content(dom, owners, place, template)
+                    dom.release()
+                    texts.append("\n\n".join(blocks))
+                    kept.append(len(blocks))
+                    fixed.append(len(template))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
+                     pa.array(kept, pa.int64()), pa.array(fixed, pa.int64())],
+                    names=["page_id", "url", "text", "n_chars", "n_blocks", "n_template_blocks"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(
