@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import (bpe, collocations, html_extract, language_id, lz_fingerprint, ngram_join, packing, periodic_runs, pii, quality_rules, simhash, token_counts,
                url_filter)
 from .common import table
@@ -87,8 +85,3 @@ def op12_collocations(spark, sf_dir):
 @query("op13_ngram_join", ngram_join.oracle_sql())
 def op13_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
-
-
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
-def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)

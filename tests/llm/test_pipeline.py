@@ -48,4 +48,9 @@ def test_run_is_the_stages_in_order(spark):
 
 def test_one_query_for_each_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES if k.startswith("op")) == list(range(1, 14))
-    assert "pipeline" in Q.QUERIES and set(Q.ORACLE) <= set(Q.QUERIES)
+    assert set(Q.ORACLE) <= set(Q.QUERIES)
+
+
+def test_entry_has_the_pipeline_beside_the_operators():
+    import __spark_entry__ as E
+    assert {"pipeline", *Q.QUERIES} <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
