@@ -27,16 +27,16 @@ def thin_dims(v, max_dims: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(c, i * step + 1))
 
 
-def stride_sample(df: DataFrame, order_cols, bucket_key, max_rows: int, vec_col: str | None = None,
+def stride_sample(df: DataFrame, order_cols, max_rows: int, vec_col: str | None = None,
                   max_dims: int | None = None, group_cols=()) -> DataFrame:
     """Rank the rows of each group, keep every step-th (step = max(1, n //
     max_rows)), the first ``max_rows``; optionally thin the vector's dims."""
     g = list(group_cols)
     if g:
-        r = group_rank(df, g, order_cols, bucket_key, rank_col="_r").join(
+        r = group_rank(df, g, order_cols, rank_col="_r").join(
             df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g)
     else:
-        r = global_rank(df, order_cols, bucket_key, rank_col="_r").withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
+        r = global_rank(df, order_cols, rank_col="_r").withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / max_rows))
     r = r.where((F.col("_r") % step == 0) & (F.floor(F.col("_r") / step) < max_rows)) \
         .withColumn("row_index", F.floor(F.col("_r") / step).cast("long")).drop("_r", "_n")
@@ -45,19 +45,15 @@ def stride_sample(df: DataFrame, order_cols, bucket_key, max_rows: int, vec_col:
     return r
 
 
-def by_label_then_id(acts: DataFrame):
-    """Order columns and monotone numeric key of "label descending, then id",
-    whatever the ids' range."""
-    span = acts.agg(F.max("query_id") - F.min("query_id") + 1).scalar()
-    return ([F.col("label").desc(), F.col("query_id")],
-            (F.lit(1) - F.col("label")).cast("double") * span + F.col("query_id"))
+def by_label_then_id() -> list[Column]:
+    """Label descending, then id."""
+    return [F.col("label").desc(), F.col("query_id")]
 
 
 def heatmap_rows(acts: DataFrame, max_rows: int = 50, max_dims: int = 8) -> DataFrame:
     """Per layer, rows by label desc then id (stable), thinned rows and
     dims."""
-    order, key = by_label_then_id(acts)
-    return stride_sample(acts, order, key, max_rows, "activation", max_dims, ["layer"])
+    return stride_sample(acts, by_label_then_id(), max_rows, "activation", max_dims, ["layer"])
 
 
 def cluster_heatmap(corpus: DataFrame, vec_col: str = "steering_vector") -> DataFrame:

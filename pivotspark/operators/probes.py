@@ -106,8 +106,7 @@ def binary_metrics(scored: DataFrame, group_cols=("layer",), label_col: str = "l
 
 # -- E9 ------------------------------------------------------------------------
 
-def negatives_below(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
-                    buckets: int | None = None) -> DataFrame:
+def negatives_below(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob") -> DataFrame:
     """Per (group, distinct score s): positives p, negatives n at s and the
     number of negatives with a lower score (``_below``) -- exact, without
     sorting a whole group in one task."""
@@ -115,7 +114,7 @@ def negatives_below(scored: DataFrame, group_cols=("layer",), label_col: str = "
     y = F.col(label_col) >= 0.5
     per_score = scored.groupBy(*g, F.col(prob_col).alias("s")).agg(
         F.sum(y.cast("long")).alias("p"), F.sum((~y).cast("long")).alias("n"))
-    return group_rank(per_score, g, [F.col("s")], "s", buckets, "_below", weight="n")
+    return group_rank(per_score, g, [F.col("s")], rank_col="_below", weight="n")
 
 
 def _u_stats() -> list[Column]:
@@ -128,12 +127,11 @@ def _auroc_col() -> Column:
     return F.when((F.col("_n1") > 0) & (F.col("_n0") > 0), F.col("_u") / (F.col("_n1") * F.col("_n0")))
 
 
-def auroc(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob",
-          buckets: int | None = None) -> DataFrame:
+def auroc(scored: DataFrame, group_cols=("layer",), label_col: str = "label", prob_col: str = "prob") -> DataFrame:
     """Exact ROC AUC per group (Mann-Whitney U / (n1 n0), ties count 1/2);
     null when the group has a single class."""
     g = _g(group_cols)
-    u = negatives_below(scored, g, label_col, prob_col, buckets).groupBy(*g).agg(*_u_stats())
+    u = negatives_below(scored, g, label_col, prob_col).groupBy(*g).agg(*_u_stats())
     return u.select(*g, _auroc_col().alias("auroc_score"))
 
 

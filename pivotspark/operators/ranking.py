@@ -1,4 +1,9 @@
-"""Exact "first k rows in seeded-hash order" without a global window.
+"""Exact ranks, quantiles and "first k rows in seeded-hash order" without a
+global window.
+
+Ranks and quantiles go by a range exchange (``_ranged``): the order is cut into
+partitions, and one small row for each partition and group gives the offsets.
+The rest is about the first k.
 
 A global ``row_number()`` (no partition) moves every row into one task.  Here
 the rank is found in three bounded steps instead:
@@ -17,10 +22,11 @@ is collected to the driver and the big table is never joined.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.keys import hord
 from ..session import ensure_checkpoint_dir
@@ -66,113 +72,128 @@ def first_k_by_hash(df: DataFrame, key: str, seed, k, digits: int = DEFAULT_DIGI
     return F.coalesce(rank_key(seed, key) <= thr, F.lit(False))
 
 
-#: Rows that one bucket is meant to hold, and cut points of one level.  More
-#: buckets than that are made in two levels.
-BUCKET_ROWS = 1 << 16
-LEVEL_BUCKETS = 1 << 12
+def _weighted(batches, n_groups: int):
+    """Adds to sorted batches of one partition (group columns first, weight
+    last): the partition's number and the weight of the rows before, counted
+    from the start of the row's group."""
+    from pyspark import TaskContext
+
+    pid = TaskContext.get().partitionId()
+    last, carried = None, 0  # the group that may go on, and its weight so far
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        weight = np.asarray(batch.column(batch.num_columns - 1), dtype=np.int64)
+        new = np.zeros(n, dtype=bool)
+        for i in range(n_groups):
+            codes = np.asarray(batch.column(i).dictionary_encode(null_encoding="encode").indices)
+            new[1:] |= codes[1:] != codes[:-1]
+        group = tuple(batch.column(i)[0].as_py() for i in range(n_groups))
+        new[0] = group != last
+        before = np.cumsum(weight) - weight
+        first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        own = np.where(first >= 0, before - before[first], before + carried)
+        carried = int(own[-1] + weight[-1])
+        last = tuple(batch.column(i)[n - 1].as_py() for i in range(n_groups))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, pid, dtype=np.int32)), pa.array(own)],
+                                         names=[*batch.schema.names, "_pid", "_own"])
+
+
+def _ranged(df: DataFrame, g: list[str], order_cols, ranges: int | None, weight: str | None) -> tuple[DataFrame, DataFrame]:
+    """The rows in ranges of (group, order), each in one partition, with
+    ``_pid`` and ``_own`` (the weight of the group's rows before it there),
+    and one row for each group and partition that meet: ``_pid``, the group,
+    its weight ``_n`` there, ``_off`` in the partitions before and ``_all``.
+
+    The exchange cuts the order itself, so a group with any share of the rows
+    lies over many partitions; rows that the order does not tell apart meet in
+    one."""
+    order = [*(F.col(c) for c in g), *order_cols]
+    n = F.lit(1).cast("long") if weight is None else F.coalesce(F.col(weight).cast("long"), F.lit(0))
+    names = df.columns
+    rows = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], *names, n.alias("_w"))
+    dealt = (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    schema = StructType([*dealt.schema.fields, StructField("_pid", IntegerType()), StructField("_own", LongType())])
+    n_groups = len(g)
+    # Read twice below: written once, to the shared checkpoint folder.
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = dealt.mapInArrow(lambda batches: _weighted(batches, n_groups), schema).checkpoint()
+    keys = [f"_g{i}" for i in range(n_groups)]
+    met = placed.groupBy("_pid", *keys).agg(F.sum("_w").alias("_n"))
+    whole = Window.partitionBy(*keys) if g else Window.partitionBy(F.lit(0))  # without groups: a row for each partition
+    before = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("_all"))
+    return placed, met
 
 
-def bucket_count(rows: int, least: int = 16) -> int:
-    """Buckets for ``rows`` rows: grows with them, whatever their number."""
-    return max(least, -(-rows // BUCKET_ROWS))
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    on = a["_pid"] == b["_pid"]
+    for k in keys:
+        on = on & a[k].eqNullSafe(b[k])
+    return on
 
 
-def _cut(d: DataFrame, g: list[str], buckets: int, out: str) -> DataFrame:
-    """Number of the ordered bucket of ``_key`` inside each group."""
-    qs = F.array(*[F.lit(i / buckets) for i in range(1, max(2, buckets))])
-    cuts = F.array_distinct(F.percentile_approx("_key", qs, max(10000, 4 * buckets)))
-    place = F.size(F.filter("_cuts", lambda c: c < F.col("_key")))
-    if g:
-        return d.join(d.groupBy(*g).agg(cuts.alias("_cuts")), g).withColumn(out, place).drop("_cuts")
-    # at most LEVEL_BUCKETS numbers
-    known = [repr(c) if math.isfinite(c) else f"'{c}'" for c in d.agg(cuts).first()[0] or []]
-    literal = F.expr(f"cast(array({', '.join(known)}) as array<double>)")
-    return d.withColumn(out, F.size(F.filter(literal, lambda c: c < F.col("_key"))))
+def _rank(df: DataFrame, g: list[str], order_cols, ranges: int | None, rank_col: str, weight: str | None) -> DataFrame:
+    placed, met = _ranged(df, g, order_cols, ranges, weight)
+    keys = [f"_g{i}" for i in range(len(g))]
+    # Bounded by the number of partitions: only a partition's first group can
+    # have begun before it.
+    off = met.where("_off > 0").select("_pid", *keys, "_off")
+    out = placed.join(F.broadcast(off), _same(placed, off, keys), "left")
+    return out.select(*[placed[c] for c in df.columns], (placed["_own"] + F.coalesce(off["_off"], F.lit(0))).alias(rank_col))
 
 
-def _bucketed_rank(df: DataFrame, g: list[str], order_cols, bucket_key, buckets: int | None, rank_col: str,
-                   weight: str | None) -> DataFrame:
-    key = F.col(bucket_key) if isinstance(bucket_key, str) else bucket_key
-    n = F.lit(1) if weight is None else F.col(weight)
-    # read four times below: computed once, into the shared checkpoint folder
-    ensure_checkpoint_dir(df.sparkSession)
-    d = df.withColumn("_key", key.cast("double")).checkpoint()
-    buckets = bucket_count(d.count()) if buckets is None else buckets
-    level = ["_b1"]
-    d = _cut(d, g, min(buckets, LEVEL_BUCKETS), "_b1")
-    if buckets > LEVEL_BUCKETS:
-        d = _cut(d, [*g, "_b1"], min(-(-buckets // LEVEL_BUCKETS), LEVEL_BUCKETS), "_b2")
-        level.append("_b2")
-    per = d.groupBy(*g, *level).agg(F.sum(n).alias("_nb"))
-    # offsets: the window holds one row per bucket of a group
-    before = (Window.partitionBy(*g) if g else Window).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
-    off = per.select(*g, *level, F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
-    d = d.join(off, [*g, *level])
-    inside = Window.partitionBy(*g, *level).orderBy(*order_cols)
-    own = (F.row_number().over(inside) - 1 if weight is None
-           else F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.withColumn(rank_col, F.col("_off") + own).drop("_key", "_off", *level)
-
-
-def global_rank(df: DataFrame, order_cols, bucket_key, buckets: int | None = None, rank_col: str = "rank",
+def global_rank(df: DataFrame, order_cols, ranges: int | None = None, rank_col: str = "rank",
                 weight: str | None = None) -> DataFrame:
-    """0-based global rank by ``order_cols`` without a single-task window.
+    """0-based global rank by ``order_cols`` without a single-task window: rows
+    are exchanged by ranges of the order, numbered inside their partition, and
+    get the count of the partitions before.  With ``weight`` a row counts that
+    many times."""
+    return _rank(df, [], order_cols, ranges, rank_col, weight)
 
-    ``bucket_key`` is a numeric column that is monotone in the order (equal
-    keys may repeat).  Approximate quantiles of it cut the rows into ordered
-    buckets, as many as the number of rows asks for; per-bucket counts give
-    each bucket's offset; the rank is offset + row_number inside the bucket.
-    The result is exact whatever the quantile error -- it only affects
-    balance.  With ``weight`` a row counts that many times."""
-    return _bucketed_rank(df, [], order_cols, bucket_key, buckets, rank_col, weight)
 
+def group_rank(df: DataFrame, group_cols, order_cols, ranges: int | None = None, rank_col: str = "rank",
+               weight: str | None = None) -> DataFrame:
+    """``global_rank`` inside each group; a group with a large share of the
+    rows lies over many partitions."""
+    return _rank(df, list(group_cols), order_cols, ranges, rank_col, weight)
 
-def group_rank(df: DataFrame, group_cols, order_cols, bucket_key, buckets: int | None = None,
-               rank_col: str = "rank", weight: str | None = None) -> DataFrame:
-    """``global_rank`` inside each group; stays spread out when one group
-    holds a large share of the rows."""
-    return _bucketed_rank(df, list(group_cols), order_cols, bucket_key, buckets, rank_col, weight)
 
+def _quantiles(df: DataFrame, g: list[str], value_col: str, qs) -> DataFrame:
+    """(group..., i, value): exact, linearly interpolated quantile of each
+    ``qs[i]``.
 
-def _at_ranks(counts: DataFrame, position: Column) -> tuple[Column, Column]:
-    """Whether the value of a row (rank ``_r``, ``_c`` copies) is at the floor
-    and at the ceiling of a position."""
-    covers = lambda p: (F.col("_r") <= p) & (p < F.col("_r") + F.col("_c"))
-    return covers(F.floor(position)), covers(F.ceil(position))
+    Equal values are counted first, so a value that a third of the rows share
+    is one row.  The counts are ranged by (group, value); a quantile's two
+    places floor/ceil(q (n - 1)) are found in the table of groups and
+    partitions, and only the rows there are picked."""
+    v = df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    placed, met = _ranged(v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")), g, [F.col("_v")], None, "_c")
+    keys = [f"_g{i}" for i in range(len(g))]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+    places = met.select("*", F.inline(wanted)).withColumn("_p", F.col("q") * (F.col("_all") - 1))
+    places = places.select("*", F.explode(F.array(F.floor("_p"), F.ceil("_p"))).alias("_at"))
+    places = places.where((F.col("_at") >= F.col("_off")) & (F.col("_at") < F.col("_off") + F.col("_n")))
+    places = places.select("_pid", *keys, "i", "_p", (F.col("_at") - F.col("_off")).alias("_at")).distinct()
+    inside = (placed["_own"] <= places["_at"]) & (places["_at"] < placed["_own"] + placed["_w"])
+    hits = placed.join(places, _same(placed, places, keys) & inside)
+    per = hits.groupBy(*[placed[c] for c in g], "i", "_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # Equal neighbours as they are: infinite ones have no difference.
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        F.col("_lo") + (F.col("_p") - F.floor("_p")) * (F.col("_hi") - F.col("_lo")))
+    return per.select(*g, "i", value.alias("value"))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, qs) -> Column:
     """Scalar array column: exact linearly interpolated quantiles (the
-    definition of ``percentile`` / numpy's default) of ``value_col``.
-
-    Equal values are counted first, so a value that a third of the rows share
-    is one row; the distinct values are ranked by their counts and only those
-    at ranks floor/ceil(q (n - 1)) are kept and interpolated -- one scalar
-    subquery whose result is a handful of values."""
-    v = df.select(F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    n = v.agg(F.count(F.lit(1))).scalar()
-    r = global_rank(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")), [F.col("_v")], "_v", rank_col="_r", weight="_c")
-    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)])
-    pos = r.withColumn("_w", F.explode(wanted)).withColumn("_p", F.col("_w.q") * (n - 1))
-    low, high = _at_ranks(pos, F.col("_p"))
-    per_q = pos.where(low | high).groupBy(F.col("_w.i").alias("i"), "_p").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    val = F.col("_lo") + (F.col("_p") - F.floor("_p")) * (F.col("_hi") - F.col("_lo"))
-    return per_q.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", val.alias("v")))),
-                                 lambda s: s["v"]).alias("q")).scalar()
+    definition of ``percentile`` / numpy's default) of ``value_col``."""
+    return _quantiles(df, [], value_col, qs).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]).alias("q")).scalar()
 
 
 def exact_group_quantile(df: DataFrame, group_cols, value_col: str, q: float = 0.5,
                          out_col: str = "quantile") -> DataFrame:
     """(group..., quantile): exact, linearly interpolated per-group quantile
     (``median`` for q = 0.5) without buffering a whole group in one task."""
-    g = list(group_cols)
-    v = df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    c = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    n = c.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    r = group_rank(c, g, [F.col("_v")], "_v", rank_col="_r", weight="_c").join(n, g)
-    r = r.withColumn("_p", F.lit(float(q)) * (F.col("_n") - 1))
-    low, high = _at_ranks(r, F.col("_p"))
-    agg = r.where(low | high).groupBy(*g, "_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    return agg.select(*g, (F.col("_lo") + (F.col("_p") - F.floor("_p")) * (F.col("_hi") - F.col("_lo")))
-                      .alias(out_col))
+    return _quantiles(df, list(group_cols), value_col, (q,)).select(*group_cols, F.col("value").alias(out_col))

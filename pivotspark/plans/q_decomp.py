@@ -44,8 +44,7 @@ def q_stride_sample(spark, sf):
     """Per layer, every step-th row (step = n // 30) and every step-th dim
     (first 5)."""
     a = _train(spark, sf)
-    order, key = DC.by_label_then_id(a)
-    return tidy(_thin_long(DC.stride_sample(a, order, key, 30, "activation", 5, ["layer"])))
+    return tidy(_thin_long(DC.stride_sample(a, DC.by_label_then_id(), 30, "activation", 5, ["layer"])))
 
 
 _UNIFORM = "(CAST(('0x' || substr(md5(CAST(seed AS VARCHAR) || '|' || CAST(layer AS VARCHAR) || '|' || CAST(dim AS VARCHAR) || '|{k}'), 1, 8)) AS BIGINT) / 4294967296.0)"

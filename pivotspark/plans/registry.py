@@ -103,11 +103,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM r WHERE turn >= 1 AND turn % 3 = 1"""),
     "vector_corpus": ((), """
         WITH base AS (
-          SELECT e.vec_id AS row_id, v.event_type AS reasoning_pattern,
+          SELECT v.event_id AS row_id, v.event_type AS reasoning_pattern,
                  (v.value - 30) / 100 AS prob_delta,
                  'tok' || CAST(v.user_id % 17 AS VARCHAR) AS pivot_token,
                  e.embedding AS steering_vector, e.label AS cluster_id
-          FROM embeddings e JOIN events v ON e.vec_id = v.event_id)
+          FROM events v JOIN embeddings e ON e.vec_id = v.event_id % (SELECT count(*) FROM embeddings))
         SELECT * FROM base"""),
     "corpus_long": (("vector_corpus",), """
         SELECT row_id, reasoning_pattern, prob_delta, pivot_token, cluster_id,
@@ -138,9 +138,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(CASE WHEN run IN (2, 4, 5) THEN 1.2 WHEN run IN (3, 6, 7) THEN 1.4 END AS DOUBLE) AS factor
         FROM (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS run FROM lineitem)"""),
     "token_texts": ((), """
-        SELECT CASE WHEN l.quality = 1 THEN 'base' ELSE 'steered' END AS run, d.doc_id, d.text,
-               d.source AS task
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
+        SELECT CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'steered' END AS run, doc_id, text, source AS task
+        FROM documents"""),
     "gate_probe": ((), """
         SELECT list(w ORDER BY dim) AS w, list(v ORDER BY dim) AS v, -sum(w * (p + q) / 2) - 0.5 AS b
         FROM (SELECT dim, p, q, v, 100.0 * (p - q) AS w

@@ -111,11 +111,12 @@ def hidden_states(spark: SparkSession, sf_dir: str, probe_rows: DataFrame) -> Da
 
 
 def vector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T8 steering-vector corpus: embeddings joined to events on id."""
+    """T8 steering-vector corpus: every event, with the embedding of
+    event_id mod n."""
     emb = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     ev = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    rows = emb.join(ev, emb.vec_id == ev.event_id).select(
-        F.col("vec_id").alias("row_id"),
+    rows = ev.withColumn("vec_id", F.col("event_id") % n_embeddings(spark, sf_dir)).join(emb, "vec_id").select(
+        F.col("event_id").alias("row_id"),
         F.col("event_type").alias("reasoning_pattern"),
         ((F.col("value") - 30) / 100).alias("prob_delta"),
         F.concat(F.lit("tok"), (F.col("user_id") % 17).cast("string")).alias("pivot_token"),
@@ -175,13 +176,11 @@ def random_control_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, doc_id, text): the labelled documents; quality 1 = base,
-    quality 0 = steered."""
+    """(run, doc_id, text, task): all documents; those of even ids are the base
+    run, the others the steered one."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(lab, "doc_id").select(
-        F.when(F.col("quality") == 1, "base").otherwise("steered").alias("run"), "doc_id", "text",
-        F.col("source").alias("task"))
+    return docs.select(F.when(F.col("doc_id") % 2 == 0, "base").otherwise("steered").alias("run"), "doc_id", "text",
+                       F.col("source").alias("task"))
 
 
 #: The gate probe's weights are this many times the difference of the class
@@ -217,10 +216,9 @@ def gate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import vectors as V
     from ..operators.ranking import group_rank
     ev = load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    # step number = rank of (ts, event_id) inside the run; bucketed by time so
-    # that one very long run is not sorted in a single task
-    ranked = group_rank(ev, ["user_id"], [F.col("ts"), F.col("event_id")],
-                        F.unix_micros(F.col("ts").cast("timestamp")), rank_col="_r")
+    # step number = rank of (ts, event_id) inside the run; one very long run is
+    # not sorted in a single task
+    ranked = group_rank(ev, ["user_id"], [F.col("ts"), F.col("event_id")], rank_col="_r")
     step = (F.col("_r") + 1).cast("long")
     steps = ranked.select(
         F.col("user_id").alias("run"), step.alias("step"), "event_id",

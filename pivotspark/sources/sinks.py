@@ -13,27 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
+from .store import read_current, read_version, write_version
 
 
 def new_path(spark: SparkSession, prefix: str) -> str:
     return shared_path(spark, f"{prefix}/{uuid.uuid4().hex}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def save_activation_store(acts: DataFrame, path: str) -> str:
-    """Parquet partitioned by (split, layer) -> partition pruning on read."""
-    acts.write.mode("overwrite").partitionBy("split", "layer").parquet(path)
+def save_activation_store(acts: DataFrame, path: str, key: str = "") -> str:
+    """A version of Parquet partitioned by (split, layer) -> partition
+    pruning on read.  Readers have the version before until it is whole."""
+    write_version(acts, path, key, ["split", "layer"])
     return path
 
 
-def load_activation_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_activation_store(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """The newest whole version; an error if there is none."""
+    found = read_current(spark, path, key)
+    if found is None:
+        raise FileNotFoundError(f"no finished version in {path}")
+    return found
 
 
 def write_split(df: DataFrame, path: str) -> dict[str, str]:
@@ -69,12 +68,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     return path
 
 
-def materialize_once(spark: SparkSession, df_fn, path: str, force: bool = False) -> DataFrame:
-    """Reuse a stored result unless ``force``; otherwise compute, write
-    and read back (the read cuts the lineage)."""
-    if force or not _exists(spark, path):
-        df_fn().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def materialize_once(spark: SparkSession, df_fn, path: str, force: bool = False, key: str = "") -> DataFrame:
+    """Reuse the stored result of this ``key`` unless ``force``; otherwise
+    compute, write and read back (the read cuts the lineage).  Only a finished
+    write counts: after a crash the result is computed anew."""
+    found = None if force else read_current(spark, path, key)
+    return found if found is not None else read_version(spark, path, write_version(df_fn(), path, key))
 
 
 def generations_text(scored: DataFrame) -> DataFrame:

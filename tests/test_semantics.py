@@ -220,25 +220,57 @@ def test_global_rank_equals_row_number(spark):
     from pyspark.sql import Window
     from pivotspark.operators.ranking import global_rank, group_rank
     df = spark.range(0, 2000).select((F.col("id") * 7919 % 1013).alias("v"), F.col("id"), (F.col("id") % 3).alias("g"))
-    a = global_rank(df, [F.col("v"), F.col("id")], "v", buckets=32).select("id", "rank")
+    a = global_rank(df, [F.col("v"), F.col("id")], ranges=32).select("id", "rank")
     b = df.select("id", (F.row_number().over(Window.orderBy("v", "id")) - 1).alias("rank"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    c = group_rank(df, ["g"], [F.col("v"), F.col("id")], "v", buckets=8).select("id", "rank")
+    c = group_rank(df, ["g"], [F.col("v"), F.col("id")], ranges=8).select("id", "rank")
     d = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("v", "id")) - 1).alias("rank"))
     assert sorted(map(tuple, c.collect())) == sorted(map(tuple, d.collect()))
 
 
-def test_hot_values_and_two_levels_of_buckets(spark, monkeypatch):
+def test_ranks_and_quantiles_of_hot_values_and_groups(spark):
+    """One group with over a third of the rows, one value with a third of that
+    group's, groups of one row, null groups, descending order, weights."""
     from pivotspark.operators import ranking as K
     rng = np.random.default_rng(4)
-    vals = [0.5] * 2000 + rng.normal(size=2500).round(3).tolist()
-    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, x double")
-    qs = (0.1, 0.25, 0.5, 0.9)
-    for rows, level in ((K.BUCKET_ROWS, K.LEVEL_BUCKETS), (40, 8)):
-        monkeypatch.setattr(K, "BUCKET_ROWS", rows)
-        monkeypatch.setattr(K, "LEVEL_BUCKETS", level)
-        assert np.allclose(df.select(K.exact_quantiles(df, "x", qs)).first()[0], np.quantile(vals, qs))
-        assert K.exact_group_quantile(df, ["g"], "x", 0.3).first().quantile == pytest.approx(np.quantile(vals, 0.3))
-    ids = spark.range(0, 3000).select((F.col("id") * 7919 % 1013).alias("v"), "id")
-    got = K.global_rank(ids, [F.col("v"), F.col("id")], "v").orderBy("rank").collect()
-    assert [r["rank"] for r in got] == list(range(3000)) and [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
+    rows = [("hot", 0.5)] * 1500 + [("hot", float(v)) for v in rng.normal(size=2500).round(3)]
+    rows += [(f"g{i % 700}", float(v)) for i, v in enumerate(rng.normal(size=3000).round(2))]
+    rows += [(None, float(v)) for v in rng.integers(0, 9, 300)] + [("inf", float("inf")), ("inf", 1.0), ("inf", float("inf"))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, g string, x double")
+    by = {}
+    for i, (g, x) in enumerate(rows):
+        by.setdefault(g, []).append((-x, i))
+    want = {i: k for own in by.values() for k, (_, i) in enumerate(sorted(own))}
+    for ranges in (1, 7, 40):
+        got = K.group_rank(df, ["g"], [F.col("x").desc(), F.col("id")], ranges=ranges, rank_col="r").collect()
+        assert {r.id: r.r for r in got} == want
+    qs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    hot = [x for g, x in rows if g == "hot"]
+    assert np.allclose(df.where("g = 'hot'").select(K.exact_quantiles(df.where("g = 'hot'"), "x", qs)).first()[0], np.quantile(hot, qs))
+    medians = {r.g: r.quantile for r in K.exact_group_quantile(df, ["g"], "x", 0.3).collect()}
+    assert medians.keys() == by.keys()
+    assert all(medians[g] == pytest.approx(np.quantile([-x for x, _ in by[g]], 0.3)) for g in by if g != "inf")
+    assert np.isinf(medians["inf"])
+    weighted = df.groupBy("g", "x").agg(F.count("*").alias("c"))
+    got = {(r.g, r.x): r.r for r in K.group_rank(weighted, ["g"], [F.col("x")], ranges=9, rank_col="r", weight="c").collect()}
+    assert all(got[g, x] == sum(-y < x for y, _ in by[g]) for g, x in set(rows[:4000:13]))
+
+
+def test_ranks_of_empty_and_single(spark):
+    from pivotspark.operators import ranking as K
+    df = spark.range(1).select(F.lit(1).alias("g"), F.lit(2.5).alias("x"))
+    assert K.global_rank(df, [F.col("x")]).first()["rank"] == 0
+    assert K.exact_group_quantile(df, ["g"], "x").first().quantile == 2.5
+    assert K.global_rank(df.limit(0), [F.col("x")]).count() == 0
+    assert K.exact_group_quantile(df.limit(0), ["g"], "x").count() == 0
+
+
+def test_a_hot_group_is_ranked_in_many_partitions(spark):
+    """The rows of one group with all rows lie evenly over the partitions, and
+    nothing but small tables is broadcast."""
+    from pivotspark.operators import ranking as K
+    df = spark.range(20000).select(F.lit("one").alias("g"), (F.col("id") * 7919 % 20011).alias("v"))
+    placed, met = K._ranged(df, ["g"], [F.col("v")], 16, None)
+    sizes = [r["count"] for r in placed.groupBy("_pid").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 3 * 20000 / 16
+    assert met.count() == len(sizes)
