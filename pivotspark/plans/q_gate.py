@@ -174,10 +174,10 @@ SELECT run, step, round(prob, 6) AS prob, fired, CAST(latch AS BIGINT) AS latch_
 FROM lat"""))
 def q_gate_stream(spark, sf):
     """H9: the same gate online -- Structured Streaming over step files
-    (availableNow), per-run state in applyInPandasWithState; must equal the
+    (availableNow), per-run state in transformWithStateInPandas; must equal the
     batch fire log (H4), with the energy so far."""
     from ..streaming.gate_stream import run_available_now, write_step_files
     base = new_path(spark, "gate_stream")
-    write_step_files(X.gate_steps(spark, sf), f"{base}/src", n_slices=4)
+    write_step_files(X.gate_steps(spark, sf), f"{base}/src")
     out = run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", TAU, N_HOLD)
     return tidy(out.select("run", "step", "prob", "fired", "latch_remaining", "energy"))

@@ -91,8 +91,8 @@ def q_pattern_counts(spark, sf):
     return tidy(pat.unionByName(clu))
 
 
-_HIST_SQL = """SELECT '{w}' AS which, CAST(b AS BIGINT) AS bin, round(lo + b * (hi - lo) / 40, 6) AS "left",
-       round(lo + (b + 1) * (hi - lo) / 40, 6) AS "right", CAST(count(*) AS BIGINT) AS count
+_HIST_SQL = """SELECT '{w}' AS which, CAST(b AS BIGINT) AS bin, round(lo + b * (hi - lo) / 40, 8) AS "left",
+       round(lo + (b + 1) * (hi - lo) / 40, 8) AS "right", CAST(count(*) AS BIGINT) AS count
 FROM (SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 40)), 39) END AS b, lo, hi
       FROM (SELECT {e} AS v, min({e}) OVER () AS lo, max({e}) OVER () AS hi FROM vector_corpus))
 GROUP BY b, lo, hi"""
@@ -106,7 +106,8 @@ def q_delta_histogram(spark, sf):
     c = X.vector_corpus(spark, sf).withColumn("abs_delta", F.abs("prob_delta"))
     a = TS.delta_histogram(c, "prob_delta").withColumn("which", F.lit("signed"))
     b = TS.delta_histogram(c, "abs_delta").withColumn("which", F.lit("abs"))
-    return tidy(a.unionByName(b).select("which", "bin", "left", "right", "count"))
+    # edges are multiples of a 400,000th: 6 digits would cut many in the middle
+    return tidy(a.unionByName(b).select("which", "bin", "left", "right", "count"), 8)
 
 
 @query("top_tokens_median", with_ctes("""

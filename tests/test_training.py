@@ -95,7 +95,7 @@ def test_stream_equals_batch(spark):
     from pivotspark.sources.sinks import new_path
     from pivotspark.streaming.gate_stream import run_available_now, write_step_files
     base = new_path(spark, "test_stream")
-    write_step_files(X.gate_steps(spark, SF_SMALL), f"{base}/src", n_slices=3)
+    write_step_files(X.gate_steps(spark, SF_SMALL), f"{base}/src", slice_steps=40)
     s = run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", 0.5, 2, files_per_batch=3)
     b = latched(spark, SF_SMALL)
     cols = ["run", "step", "probe_fire", "held", "fired", "latch_remaining"]
@@ -111,6 +111,69 @@ def test_stream_equals_batch(spark):
     assert run_available_now(spark, f"{base}/src", f"{base}/sink", f"{base}/ckpt", 0.5, 2).count() == s.count() + 1
 
 
+def _sequential(rows, n_hold):
+    """(step, fired, latch) of one run's (step, prob) in order."""
+    out, latch = [], 0
+    for step, prob in sorted(rows):
+        fire = prob > 0.5
+        held = not fire and latch > 0
+        latch = n_hold if fire else max(0, latch - 1)
+        out.append((step, fire or held, latch))
+    return out
+
+
+def test_stream_takes_steps_out_of_order(spark, tmp_path):
+    """Steps of one micro-batch lie over many files in any order, with repeated
+    chunks of a run, gaps inside a batch and one long run."""
+    import random
+
+    from pivotspark.streaming import gate_stream as G
+    rng = random.Random(5)
+    rows = [(run, i + 1, rng.random(), "decode", 1.0) for run, n in ((1, 30000), (2, 700), (3, 1)) for i in range(n)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, G.STEP_SCHEMA).repartition(6).write.parquet(f"{tmp_path}/src")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        out = G.run_available_now(spark, f"{tmp_path}/src", f"{tmp_path}/sink", f"{tmp_path}/ck", 0.5, 3, files_per_batch=100)
+        got = sorted((r.run, r.step, r.fired, r.latch_remaining) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(run, *x) for run in (1, 2, 3) for x in _sequential([(s, p) for r, s, p, *_ in rows if r == run], 3)]
+    assert got == want
+    ends = {r.run: (r.n, r.e) for r in out.groupBy("run").agg(F.max("n_calls").alias("n"), F.max("energy").alias("e")).collect()}
+    assert ends == {run: (n, float(sum(f for r, _, f, _ in want if r == run))) for run, n in ((1, 30000), (2, 700), (3, 1))}
+
+
+def test_stream_waits_for_a_missing_step_till_patience_ends(spark, tmp_path):
+    import time
+
+    from pivotspark.streaming import gate_stream as G
+    rows = [(1, s, 0.6 if s == 2 else 0.1, "decode", 1.0) for s in (1, 2, 4, 5)]
+    write = lambda r: spark.createDataFrame(r, G.STEP_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+    write(rows)
+    spark.conf.set(G.STORE, G.ROCKSDB)
+    try:
+        steps = spark.readStream.schema(G.STEP_SCHEMA).parquet(f"{tmp_path}/src")
+        q = (G.gate_stream(steps, 0.5, 2, patience_ms=3_000).writeStream.format("memory").queryName("gate_out").outputMode("append")
+             .option("checkpointLocation", f"{tmp_path}/ck").start())
+        seen = lambda: sorted((r.step, r.fired) for r in spark.table("gate_out").collect())
+        end = time.time() + 120
+        while len(seen()) < 2 and time.time() < end:
+            time.sleep(0.2)
+        assert [s for s, _ in seen()][:2] == [1, 2]
+        while len(seen()) < 4 and time.time() < end:
+            time.sleep(0.2)
+        # Step 3 never came: 4 is the first decision after the fire, 5 the second.
+        assert seen() == [(1, False), (2, True), (4, True), (5, True)]
+        write([(1, 3, 0.1, "decode", 1.0), (1, 6, 0.1, "decode", 1.0)])
+        while len(seen()) < 6 and time.time() < end:
+            time.sleep(0.2)
+        assert seen() == [(1, False), (2, True), (3, False), (4, True), (5, True), (6, False)]
+        q.stop()
+    finally:
+        spark.conf.unset(G.STORE)
+
+
 def test_latch_block_equals_loop():
     from pivotspark.streaming.gate_stream import latch_block
     rng = np.random.default_rng(8)
