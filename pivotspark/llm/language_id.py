@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import text_slices
@@ -42,8 +42,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 EMBEDDING = 8
 FILTERS = 16
-#: Labelled texts a language that the network is fitted on, at most.
+#: Different labelled texts a language that the network is fitted on, at most,
+#: and languages that it learns, those with the most texts.
 SAMPLE = 1500
+LANGUAGES = 500
 #: Bytes of a sampled text that reach the driver, at most: windows from its
 #: start, middle and end.
 SAMPLE_WINDOWS = 3
@@ -216,22 +218,25 @@ def held_out(id_col: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int,
                     held: bool = False) -> list:
-    """(language, pieces of text) of labelled rows outside the held-out third,
-    or in it, about ``per_language`` each, chosen by a hash of the text.  A first scan of
-    ids and labels gives the shares; the driver gets a few windows a text."""
+    """(language, pieces of text) of ``per_language`` different texts a
+    language, or all if it has fewer, from labelled rows outside the held-out
+    third, or in it: those with the smallest hashes, whatever the partitions
+    and however many copies a text has.  A first scan estimates how many texts
+    each language has; about twice as many as wanted are then ranked, and the
+    driver gets a few windows of each."""
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.coalesce(held_out(F.col("i")), F.lit(not held)) == held))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    if not counts:
-        return []
-    share = F.coalesce(*[F.when(F.col("l") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(counts.items())])
+    rows = rows.select("l", "t", F.xxhash64("t").alias("h")).withColumn("u", F.pmod("h", F.lit(1 << 30)))
+    sizes = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
     n = F.char_length("t")
     pieces = F.when(n <= SAMPLE_WINDOWS * WINDOW, F.array("t")).otherwise(F.array(*[
         F.substring(F.col("t"), (F.floor((n - WINDOW) * k / (SAMPLE_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW))
         for k in range(SAMPLE_WINDOWS)]))
-    hashed = F.pmod(F.xxhash64("t"), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.where(hashed < share).select("l", pieces.alias("p")).limit(2 * per_language * len(counts))
-    return sorted((r["l"], r["p"]) for r in chosen.collect())
+    chosen = rows.join(F.broadcast(sizes), "l").where(F.col("u") < F.lit(2.0 * per_language * (1 << 30)) / F.col("n"))
+    texts = chosen.select("l", "u", "h", pieces.alias("p")).groupBy("l", "u", "h").agg(F.min("p").alias("p"))
+    order = Window.partitionBy("l").orderBy("u", "h")
+    first = texts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    return sorted((r["l"], r["p"]) for r in first.select("l", "p").collect())
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -41,6 +41,23 @@ def test_only_the_other_two_thirds_are_learned_from(spark):
     assert {lang for lang, _ in sample} == set(WORDS)
 
 
+def test_sample_is_of_different_texts(spark):
+    texts, langs = corpus(400)
+    few = [" ".join(WORDS["de"][i % 8:] + [str(i)]) for i in range(5)]
+    docs = documents(spark, texts + few * 150, langs + ["few"] * 750)
+    sample = L.labelled_sample(docs, "doc_id", "text", "lang", 20)
+    got = [(lang, tuple(p)) for lang, p in sample]
+    assert len(set(got)) == len(got)
+    assert {lang: sum(x == lang for x, _ in got) for lang in {x for x, _ in got}} == {**dict.fromkeys(WORDS, 20), "few": 5}
+    assert L.labelled_sample(docs.repartition(7, "text"), "doc_id", "text", "lang", 20) == sample
+
+
+def test_languages_with_most_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    docs = documents(spark, [f"text {i}" for i in range(60)] + ["copy"] * 60, ["a"] * 40 + ["b"] * 20 + ["c"] * 60)
+    assert {lang for lang, _ in L.labelled_sample(docs, "doc_id", "text", "lang", 10)} == {"a", "b"}
+
+
 def test_label_and_id_are_no_inputs(spark, trained):
     _, _, model = trained
     texts, langs = corpus(60)
