@@ -49,7 +49,7 @@ RULES = (UrlRule("block", "net/"), UrlRule("allow", "example.net/en/"),
 
 # Host words of sites that a crawl would not want; the production list below
 # names every canonical URL of such a site.
-SPAM_HOST = r"(^|[.-])(casino|bets|pills|ads|porn|viagra|loans)([.-]|$)"
+SPAM_HOST = r"(^|[.-])(spam|casino|bets|pills|ads|adult|porn|viagra|loans)([.-]|$)"
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
