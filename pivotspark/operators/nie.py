@@ -11,6 +11,8 @@ data B times.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..functions.keys import hord
 from .ranking import exact_group_quantile
 
 
@@ -74,15 +77,29 @@ def nie_summary(samples: DataFrame, group_cols: Sequence[str] = (), n_rows=None)
 
 # -- G4: Poisson bootstrap -------------------------------------------------------
 
-def _mix64(x: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser (vectorised, wraps mod 2**64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Weights come from arithmetic modulo this prime: products fit 64 bits, so any
+#: engine with md5 gets the same ones.
+PRIME = (1 << 31) - 1
+#: A value below the prime has the weight of how many of these it reaches:
+#: P(Poisson(1) <= k) for k = 0..11.
+POISSON_STEPS = [int(p * PRIME) for p in np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])]
 
 
-# P(Poisson(1) <= k) for k = 0..11: inverse-CDF thresholds
-_POIS1_CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
+def replicate_terms(n_boot: int, seed: int) -> np.ndarray:
+    """Coefficients [4, n_boot] of each replicate's cubic, from the four words
+    of md5 of ``seed|rep|replicate``."""
+    digests = [hashlib.md5(f"{seed}|rep|{b}".encode()).hexdigest() for b in range(n_boot)]
+    return np.array([[int(d[8 * i:8 * i + 8], 16) % PRIME for d in digests] for i in range(4)], dtype=np.uint64)
+
+
+def poisson_weights(keys: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights [keys, replicates]: the cubic of a key, of which any
+    four rows are independent, counted in ``POISSON_STEPS``."""
+    p, k = np.uint64(PRIME), keys.astype(np.uint64)[:, None]
+    u = np.broadcast_to(terms[3], (len(keys), terms.shape[1]))
+    for term in terms[2::-1]:
+        u = (u * k + term) % p
+    return np.searchsorted(np.array(POISSON_STEPS, dtype=np.uint64), u, side="right").astype(np.float64)
 
 
 def bootstrap_ci(samples: DataFrame, value_col: str = "nie", key_col: str = "_key",
@@ -91,17 +108,17 @@ def bootstrap_ci(samples: DataFrame, value_col: str = "nie", key_col: str = "_ke
     """(group..., ci_lo, ci_hi, n): alpha/2 and 1 - alpha/2 quantiles of
     ``n_boot`` bootstrap means; null when a group has no sample.
 
-    Every row gets a Poisson(1) weight per replicate from a hash of
-    (seed, key, replicate) -- the same on any partitioning or retry -- and each
-    partition emits only (group, replicate, sum w*x, sum w)."""
+    Every row gets a Poisson(1) weight per replicate from md5 of (seed, key)
+    and of (seed, replicate) -- the same on any partitioning, retry or engine;
+    rows whose keys agree in 31 bits share theirs -- and each partition emits
+    only (group, replicate, sum w*x, sum w)."""
     g = list(group_cols)
     drop_all = not g
     if drop_all:
         samples, g = samples.withColumn("_all", F.lit(1)), ["_all"]
     keyed = samples.select(*g, F.col(value_col).cast("double").alias("_x"),
-                           F.xxhash64(F.lit(seed), F.col(key_col)).alias("_h"))
-    reps = np.arange(n_boot, dtype=np.uint64)
-    rep_mix = _mix64(reps + np.uint64(0x9E3779B97F4A7C15))
+                           (F.conv(F.substring(hord(seed, key_col), 1, 8), 16, 10).cast("long") % PRIME).alias("_h"))
+    terms = replicate_terms(n_boot, seed)
     chunk = 1024  # rows per vectorised step: chunk x n_boot weights in memory
 
     def partial(it):
@@ -109,14 +126,11 @@ def bootstrap_ci(samples: DataFrame, value_col: str = "nie", key_col: str = "_ke
         for pdf in it:
             if pdf.empty:
                 continue
-            h_all = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64)
+            h_all = pdf["_h"].to_numpy()
             x_all = pdf["_x"].to_numpy()
             codes, uniq = pd.factorize(pd.MultiIndex.from_frame(pdf[g]))
             for start in range(0, len(pdf), chunk):
-                h = h_all[start:start + chunk]
-                u = _mix64(h[:, None] ^ rep_mix[None, :])
-                unif = (u >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-                w = np.searchsorted(_POIS1_CDF, unif, side="right").astype(np.float64)
+                w = poisson_weights(h_all[start:start + chunk], terms)
                 x = x_all[start:start + chunk]
                 cc = codes[start:start + chunk]
                 onehot = np.zeros((len(uniq), len(cc)))

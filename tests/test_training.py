@@ -79,6 +79,19 @@ def test_one_shard_is_sequential_adam(spark):
     assert np.allclose([r.loss for r in losses.orderBy("epoch").collect()], means, atol=1e-9)
 
 
+def test_bootstrap_weights_are_poisson():
+    keys = np.random.default_rng(3).integers(0, N.PRIME, 4000)
+    w = N.poisson_weights(keys, N.replicate_terms(300, 42))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.005
+    # sums over rows vary as those of independent weights
+    assert 0.75 < w.sum(axis=0).var() / len(keys) < 1.25
+    # the cubic in Python's own integers
+    terms = N.replicate_terms(3, 42)
+    a, k = [int(t) for t in terms[:, 2]], int(keys[5])
+    u = (a[3] * k ** 3 + a[2] * k ** 2 + a[1] * k + a[0]) % N.PRIME
+    assert N.poisson_weights(keys[5:6], terms)[0, 2] == sum(u >= t for t in N.POISSON_STEPS)
+
+
 def test_bootstrap_brackets_mean(spark):
     rng = np.random.default_rng(3)
     vals = rng.normal(1.0, 2.0, size=400).tolist()
