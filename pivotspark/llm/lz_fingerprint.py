@@ -232,7 +232,9 @@ def ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                  batch.column(0).take(take), batch.column(1).take(take)], names=["range", "guest", "id", "text"])
 
     dealt = rows.mapInArrow(deal, "range bigint, guest boolean, id bigint, text string")
-    return dealt.repartition("range").sortWithinPartitions("range", "guest", F.col("id").desc_nulls_last(), "text")
+    # Dealt in turn: a hash of so few numbers would leave partitions uneven.
+    parts = n // RANGES
+    return dealt.repartitionById(parts, F.pmod("range", F.lit(parts)).cast("int")).sortWithinPartitions("range", "guest", F.col("id").desc_nulls_last(), "text")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
