@@ -1,12 +1,12 @@
 """Probe training.
 
-* Logistic probes: per layer, standardise with the population std (E1),
-  then MLlib ``LogisticRegression(regParam = 1 / (C n), elasticNetParam = 0,
-  standardization = False)``, which has the same optimum as an L2 logistic
-  regression with inverse strength C and a free intercept.  Each fit is a
-  distributed L-BFGS (tree aggregates over the executors); the layers are
-  submitted concurrently from a small thread pool.  Only coefficients (one
-  hidden-size vector per layer) come back to the driver.
+* Logistic probes: per layer, standardised with the population std (E1); the
+  L2 logistic regression with inverse strength C and a free intercept, by
+  damped Newton steps.  All layers and all C advance together: a step is one
+  pass over the rows, which sums loss, gradient and Hessian of every model
+  that still moves.  Tasks hold the sums of one layer, the sums are added by
+  rows of the Hessian, and each model's system is solved in a task of its own;
+  only vectors of hidden size come back to the driver.
 * Adam probes: one Spark job per epoch for all layers.  A layer of up to
   ``SHARD_ROWS`` rows is sequential mini-batch Adam; a larger one is cut into
   shards of that size, whose parameters and moments are averaged each epoch.
@@ -14,75 +14,176 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec
 from ..sources.sinks import new_path
-from .probes import apply_scaler, scaler_arrays
+
+# -- E2-E4: logistic probes ------------------------------------------------------
+
+BLOCK_VALUES = 1 << 20   # values of one matrix product
+
+
+def _newton_sums(models: dict, stats: dict):
+    """The function of one pass: for every run of rows of one layer and every
+    model of it, d + 1 rows (layer, model, i, [loss, gradient i, Hessian row
+    i]); the loss is in row 0.  ``models`` has {layer: {model: weights with
+    the intercept last}}, ``stats`` {layer: (mean, std, weight of class 0, of
+    class 1)}."""
+    schema = pa.schema([("layer", pa.int32()), ("model", pa.int32()), ("i", pa.int32()), ("row", pa.list_(pa.float64()))])
+
+    def out(layer: int, sums: dict) -> Iterator[pa.RecordBatch]:
+        for model, m in sums.items():
+            d = len(m)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(d, layer, np.int32)), pa.array(np.full(d, model, np.int32)),
+                pa.array(np.arange(d, dtype=np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * (d + 2)), pa.array(m.ravel()))],
+                schema=schema)
+
+    def add(sums: dict, layer: int, x: np.ndarray, y: np.ndarray) -> None:
+        mean, std, w0, w1 = stats[layer]
+        x = np.hstack([(x - mean) / std, np.ones((len(x), 1))])
+        s = np.where(y > 0, w1, w0)
+        for model, w in models[layer].items():
+            z = x @ w
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+            m = sums.setdefault(model, np.zeros((len(w), len(w) + 2)))
+            m[0, 0] += (s * (np.logaddexp(0.0, z) - z * y)).sum()
+            m[:, 1] += x.T @ (s * (p - y))
+            m[:, 2:] += x.T @ (x * (s * p * (1.0 - p))[:, None])
+
+    def run(it):
+        now, sums = None, {}
+        for batch in it:
+            layers, ys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("layer", "y"))
+            edges = np.flatnonzero(layers[1:] != layers[:-1]) + 1
+            for a, b in zip([0, *edges], [*edges, len(layers)]):
+                if a == b or int(layers[a]) not in models:
+                    continue
+                if now != int(layers[a]):
+                    yield from out(now, sums)
+                    now, sums = int(layers[a]), {}
+                step = max(1, BLOCK_VALUES // len(stats[now][0]))
+                for lo in range(a, b, step):
+                    n = min(step, b - lo)
+                    flat = batch.column("x").slice(lo, n).flatten().to_numpy(zero_copy_only=False)
+                    add(sums, now, flat.reshape(n, -1).astype(np.float64), ys[lo:lo + n])
+        yield from out(now, sums)
+    return run
+
+
+def _newton_step(models: dict, cs: Sequence[float]):
+    """The function that solves one model: its penalised loss, largest
+    gradient entry, step and the gradient along the step."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        layer, model = int(pdf["layer"].iloc[0]), int(pdf["model"].iloc[0])
+        m = np.stack(pdf.sort_values("i")["row"].to_numpy())
+        w, pen = models[layer][model], np.full(len(m), 1.0 / cs[model])
+        pen[-1] = 0.0  # the intercept is free
+        g = m[:, 1] + pen * w
+        h = m[:, 2:] + np.diag(pen)
+        # an intercept without curvature (every probability 0 or 1) gets a little
+        h[np.diag_indices_from(h)] += 1e-14 * max(np.trace(h), 1e-300)
+        step = -np.linalg.solve(h, g)
+        loss = m[0, 0] + 0.5 * float(pen @ (w * w))
+        return pd.DataFrame([[layer, model, loss, float(np.abs(g).max()), float(g @ step), step]],
+                            columns=["layer", "model", "loss", "g_max", "slope", "step"])
+    return run
+
+
+def _fit(data: DataFrame, stats: dict, counts: dict, cs: Sequence[float], max_iter: int, tol: float) -> dict:
+    """{(layer, model): weights}: damped Newton steps from 0.  A step that does
+    not lower the loss enough is halved; a model leaves when the largest entry
+    of its gradient is below ``tol`` a row."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    zero = {layer: np.zeros(len(st[0]) + 1) for layer, st in stats.items()}
+    w = {(layer, k): zero[layer] for layer in stats for k in range(len(cs))}
+    trial, base, size = dict(w), {}, {}
+    for _ in range(max_iter):
+        if not trial:
+            break
+        models: dict = {}
+        for (layer, k), v in trial.items():
+            models.setdefault(layer, {})[k] = v
+        parts = data.where(F.col("layer").isin(list(models))).mapInArrow(
+            _newton_sums(models, stats), "layer int, model int, i int, row array<double>")
+        total = parts.groupBy("layer", "model", "i").agg(
+            vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+        got = total.groupBy("layer", "model").applyInPandas(
+            _newton_step(models, cs), "layer int, model int, loss double, g_max double, slope double, step array<double>").collect()
+        for r in got:
+            key = r["layer"], r["model"]
+            last = base.get(key)
+            # the loss is a sum of many rows: its last digits do not count
+            if last is None or r["loss"] <= last[0] + 1e-4 * size[key] * last[1] + 1e-12 * abs(last[0]):
+                w[key], base[key], size[key] = trial[key], (r["loss"], r["slope"], np.array(r["step"])), 1.0
+                if r["g_max"] <= tol * counts[key[0]]:
+                    del trial[key]
+                    continue
+            else:
+                size[key] /= 2
+                if size[key] < 1e-9:
+                    del trial[key]
+                    continue
+            trial[key] = w[key] + size[key] * base[key][2]
+    return w
 
 
 def train_logreg_layers(train: DataFrame, layers: Sequence[int] | None = None, C: float = 1.0,
-                        class_weight: str | None = None, max_iter: int = 100, tol: float = 1e-6,
-                        parallelism: int = 8, vec_col: str = "activation", label_col: str = "label",
+                        class_weight: str | None = None, max_iter: int = 100, tol: float = 1e-10,
+                        vec_col: str = "activation", label_col: str = "label",
                         cs: Sequence[float] | None = None) -> DataFrame:
     """(layer, c, n_train, coef_scaled, intercept_scaled, coef_raw, bias_raw,
     mean, std).  ``coef_raw``/``bias_raw`` act on raw vectors and give the
-    same probabilities as the scaled model; layers with one class are
-    skipped (no row)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    same probabilities as the scaled model.  Layers with one class have no
+    row; rows without layer, vector or label are left out."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     spark = train.sparkSession
-    scaler = scaler_arrays(train, ["layer"], vec_col)
-    scaled = apply_scaler(train, scaler, ["layer"], vec_col, "_scaled").select(
-        "layer", array_to_vector("_scaled").alias("features"),
-        (F.col(label_col) >= 0.5).cast("double").alias("y"))
-    if class_weight == "balanced":
-        cnt = scaled.groupBy("layer", "y").agg(F.count(F.lit(1)).alias("_nc"))
-        tot = scaled.groupBy("layer").agg(F.count(F.lit(1)).alias("_n"))
-        scaled = (scaled.join(F.broadcast(cnt), ["layer", "y"]).join(F.broadcast(tot), "layer")
-                  .withColumn("w", F.col("_n") / (2.0 * F.col("_nc"))).drop("_nc", "_n"))
-    # written once by layer: each fit reads its own partition only
-    path = new_path(spark, "scaled")
-    scaled.write.partitionBy("layer").parquet(path)
-    scaled = spark.read.schema(scaled.schema).parquet(path)
-    counts = {r["layer"]: (r["n"], r["npos"]) for r in scaled.groupBy("layer").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("npos")).collect()}
-    todo = [int(x) for x in layers] if layers else sorted(counts)
-
-    def fit(job):
-        layer, c = job
-        n, npos = counts.get(layer, (0, 0))
-        if n == 0 or npos in (0, n):
-            return None
-        lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (c * n),
-                                elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                                maxIter=max_iter, tol=tol)
-        if class_weight == "balanced":
-            lr = lr.setWeightCol("w")
-        m = lr.fit(scaled.where(F.col("layer") == layer))
-        return (int(layer), float(c), int(n), [float(x) for x in m.coefficients.toArray()], float(m.intercept))
-
-    jobs = [(layer, float(c)) for c in (cs or [C]) for layer in todo]
-    with ThreadPoolExecutor(max(1, parallelism)) as ex:
-        fitted = [r for r in ex.map(fit, jobs) if r is not None]
-    models = spark.createDataFrame(fitted, "layer int, c double, n_train long, coef_scaled array<double>, "
-                                           "intercept_scaled double")
-    j = models.join(scaler, "layer")
-    coef_raw = F.zip_with("coef_scaled", "std", lambda w, s: w / s)
-    shift = F.aggregate(F.zip_with(F.zip_with("coef_scaled", "mean", lambda w, m: w * m), "std",
-                                   lambda wm, s: wm / s), F.lit(0.0), lambda a, x: a + x)
-    return j.select("layer", "c", "n_train", "coef_scaled", "intercept_scaled", coef_raw.alias("coef_raw"),
-                    (F.col("intercept_scaled") - shift).alias("bias_raw"), "mean", "std")
+    cs = [float(c) for c in (cs or [C])]
+    rows = train.select(F.col("layer").cast("int").alias("layer"), vec.to_double(vec_col).alias("x"),
+                        (F.col(label_col) >= 0.5).cast("double").alias("y")).dropna()
+    if layers:
+        rows = rows.where(F.col("layer").isin([int(x) for x in layers]))
+    # written once, read in each pass: a partition holds few layers, a large layer lies over many partitions
+    path = new_path(spark, "probe-rows")
+    rows.repartitionByRange("layer", F.xxhash64("x", "y")).sortWithinPartitions("layer").write.parquet(path)
+    data = spark.read.schema(rows.schema).parquet(path)
+    st = data.groupBy("layer").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"),
+        Summarizer.metrics("mean", "variance").summary(array_to_vector("x")).alias("s"))
+    st = st.select("layer", "n", "n1", vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"))
+    stats, counts = {}, {}
+    for r in st.collect():  # one row a layer
+        n, n1 = r["n"], r["n1"]
+        if n1 in (0, n):
+            continue
+        sd = np.sqrt(np.array(r["var"]) * (n - 1) / n)  # ddof 0
+        balanced = class_weight == "balanced"
+        stats[r["layer"]] = (np.array(r["mean"]), np.where(sd == 0, 1.0, sd),
+                             n / (2.0 * (n - n1)) if balanced else 1.0, n / (2.0 * n1) if balanced else 1.0)
+        counts[r["layer"]] = n
+    out = []
+    for (layer, k), w in sorted(_fit(data, stats, counts, cs, max_iter, tol).items()):
+        mean, sd = stats[layer][:2]
+        raw = w[:-1] / sd
+        out.append((layer, cs[k], counts[layer], w[:-1].tolist(), float(w[-1]), raw.tolist(),
+                    float(w[-1] - raw @ mean), mean.tolist(), sd.tolist()))
+    return spark.createDataFrame(out, "layer int, c double, n_train long, coef_scaled array<double>, intercept_scaled double, "
+                                      "coef_raw array<double>, bias_raw double, mean array<double>, std array<double>")
 
 
 def c_sweep(train: DataFrame, cs: Sequence[float] = (0.001, 0.01, 0.1, 1.0), **kw) -> DataFrame:
-    """E2 for each C (one table, column ``c``), all fits in one pool."""
+    """E2 for each C (one table, column ``c``), all in the same passes."""
     return train_logreg_layers(train, cs=list(cs), **kw)
 
 

@@ -14,6 +14,7 @@ from ..operators import sampling as S
 from ..operators import training as TR
 from ..operators import vectors as V
 from ..sources import fixtures as X
+from .q_train import _COSINES
 from .q_vectors import _train, _train_dirs
 from .registry import query, tidy, with_ctes
 
@@ -122,7 +123,9 @@ def q_cluster_heatmap(spark, sf):
     return tidy(DC.cluster_heatmap(X.vector_corpus(spark, sf)).select("row_id", "cluster_id", "boundary", "dim", "x"))
 
 
-@query("probe_weight_direction")
+@query("probe_weight_direction", with_ctes("""
+SELECT CAST(p.layer AS BIGINT) AS layer, round(sqrt(list_dot_product(raw, raw)), 6) AS norm, cos > 0 AS agrees_with_centroid
+FROM lr_probes p JOIN cosines k ON p.layer = k.layer AND p.c = k.c WHERE p.c = 1.0""", "lr_probes", local=_COSINES))
 def q_probe_weight_direction(spark, sf):
     """Trained probe weights (raw space) used as a direction; their norm
     and sign agreement with the train centroid difference."""

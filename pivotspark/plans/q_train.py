@@ -1,8 +1,8 @@
 """Registered queries for probe training.
 
-These are iterative fits: no SQL oracle; the tests check invariants
-(logistic gradient ~ 0 at the optimum, raw and scaled weights give the same
-probabilities, Adam loss decreases, metrics re-derive from the counts).
+The oracle of the logistic probes reaches the same optimum by accelerated
+gradient descent in a recursive CTE.  The Adam probes follow a hash order
+that DuckDB lacks: no SQL; the tests compare them with a sequential loop.
 """
 
 from __future__ import annotations
@@ -40,20 +40,40 @@ def flagship(spark, sf):
                           "f1_score", "auroc_score", "coef_norm"))
 
 
-@query("train_logreg")
+# the raw weights' cosine with the train centroid difference
+_COSINES = [("cosines", """
+SELECT p.layer, p.c, list_cosine_similarity(p.raw, d.direction) AS cos
+FROM lr_probes p JOIN (SELECT layer, list(v ORDER BY dim) AS direction
+      FROM (SELECT layer, dim, avg(x) FILTER (WHERE label = 1) - avg(x) FILTER (WHERE label = 0) AS v
+            FROM (SELECT layer, label, generate_subscripts(activation, 1) AS dim, CAST(unnest(activation) AS DOUBLE) AS x
+                  FROM acts_shifted WHERE split = 'train') GROUP BY layer, dim) GROUP BY layer) d ON p.layer = d.layer""")]
+
+
+@query("train_logreg", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, n_train, round(accuracy, 6) AS accuracy, round(f1_score, 6) AS f1_score,
+       round(auroc_score, 6) AS auroc_score, round(coef_norm, 6) AS coef_norm
+FROM lr_eval WHERE c = 1.0 AND layer = 1""", "lr_eval"))
 def q_train_logreg(spark, sf):
     """L2 logistic probe (C = 1) for layer 1 with validation metrics."""
     ev = logreg_metrics(spark, sf, layers=[1])
     return tidy(ev.select("layer", "n_train", "accuracy", "f1_score", "auroc_score", "coef_norm"))
 
 
-@query("train_logreg_layers")
+@query("train_logreg_layers", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, n_train, TN, FP, FN, TP, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, round(auroc_score, 6) AS auroc_score, round(coef_norm, 6) AS coef_norm
+FROM lr_eval WHERE c = 1.0""", "lr_eval"))
 def q_train_logreg_layers(spark, sf):
     """The probe for every layer (layers without two classes skipped)."""
     return flagship(spark, sf)
 
 
-@query("c_sweep")
+@query("c_sweep", with_ctes("""
+SELECT CAST(e.layer AS BIGINT) AS layer, round(e.c, 6) AS c, round(accuracy, 6) AS accuracy, round(f1_score, 6) AS f1_score,
+       round(auroc_score, 6) AS auroc_score, round(coef_norm, 6) AS coef_norm, round(cos, 6) AS cos_to_centroid,
+       first_value(e.c) OVER (PARTITION BY e.layer ORDER BY accuracy DESC, e.c) AS best_c_by_accuracy,
+       first_value(e.c) OVER (PARTITION BY e.layer ORDER BY cos DESC, e.c) AS best_c_by_cosine
+FROM lr_eval e JOIN cosines k ON e.layer = k.layer AND e.c = k.c""", "lr_eval", local=_COSINES))
 def q_c_sweep(spark, sf):
     """C in {0.001, 0.01, 0.1, 1}: accuracy, F1, AUROC, |w| and cosine of
     the raw weights with the train centroid difference; best C by accuracy
@@ -75,6 +95,16 @@ def q_c_sweep(spark, sf):
                            "best_c_by_accuracy", "best_c_by_cosine"))
 
 
+@query("logreg_coefficients", with_ctes("""
+SELECT CAST(layer AS BIGINT) AS layer, round(c, 6) AS c, CAST(unnest(range(17)) AS BIGINT) AS dim,
+       round(unnest(list_append(coef_scaled, intercept_scaled)), 6) AS w FROM lr_probes""", "lr_probes"))
+def q_logreg_coefficients(spark, sf):
+    """Every scaled coefficient of every layer and C, the intercept as
+    the last dim."""
+    p = TR.c_sweep(_split(spark, sf)[0], (0.001, 0.01, 0.1, 1.0))
+    return tidy(p.select("layer", "c", F.posexplode(F.concat("coef_scaled", F.array("intercept_scaled"))).alias("dim", "w")))
+
+
 @query("logreg_stationarity", with_ctes("""
 SELECT CAST(layer AS BIGINT) AS layer, round(c, 6) AS c, CAST(count(*) AS BIGINT) AS n_train, true AS stationary
 FROM acts_shifted CROSS JOIN (VALUES (CAST(0.001 AS DOUBLE)), (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) v(c)
@@ -117,7 +147,11 @@ def q_epoch_loss_table(spark, sf):
     return tidy(losses)
 
 
-@query("training_summary")
+@query("training_summary", with_ctes("""
+SELECT 'spark_logreg' AS backend, CAST(layer AS BIGINT) AS best_layer, round(accuracy, 6) AS best_accuracy,
+       (SELECT string_agg(CAST(layer AS VARCHAR), ',' ORDER BY CAST(layer AS VARCHAR)) FROM lr_eval WHERE c = 1.0) AS selected_layers,
+       (SELECT CAST(max(len(activation)) AS BIGINT) FROM activations) AS input_dim
+FROM lr_eval WHERE c = 1.0 ORDER BY accuracy DESC, layer LIMIT 1""", "lr_eval"))
 def q_training_summary(spark, sf):
     """Backend, selected layers, input dim, best layer and accuracy."""
     ev = logreg_metrics(spark, sf)

@@ -45,6 +45,12 @@ def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*out)
 
 
+# The oracle's logistic fits: steps of accelerated gradient descent.
+LR_STEPS, LR_MOMENTUM = 400, 0.7
+# CTEs that are read in every step of a recursion
+KEPT = {"lr_rows", "lr_fit", "lr_scores"}
+RECURSIVE = {"lr_fit"}
+
 # -- fixture CTEs (DuckDB) ----------------------------------------------------
 # name -> (dependencies, body).  The bodies mirror sources/fixtures.py.
 
@@ -101,6 +107,59 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT dataset_item_id, query, pivot_context, pivot_token, timestamp,
                CAST(prob_delta AS DOUBLE) AS prob_delta, conv_id * 1048576 + turn * 2 + 1 AS row_ord
         FROM r WHERE turn >= 1 AND turn % 3 = 1"""),
+    # standardised train rows, a last entry of ones for the intercept
+    "lr_scale": (("acts_shifted",), """
+        SELECT layer, list(m ORDER BY dim) AS mean, list(CASE WHEN s = 0 THEN 1.0 ELSE s END ORDER BY dim) AS std
+        FROM (SELECT layer, dim, avg(x) AS m, stddev_pop(x) AS s
+              FROM (SELECT layer, generate_subscripts(activation, 1) AS dim, CAST(unnest(activation) AS DOUBLE) AS x
+                    FROM acts_shifted WHERE split = 'train') GROUP BY layer, dim) GROUP BY layer"""),
+    "lr_rows": (("lr_scale",), """
+        SELECT a.layer, CAST(label AS DOUBLE) AS y,
+               list_append(list_transform(activation, lambda x, i: (CAST(x AS DOUBLE) - s.mean[i]) / s.std[i]), 1.0) AS x
+        FROM acts_shifted a JOIN lr_scale s ON a.layer = s.layer WHERE split = 'train'"""),
+    # the steepest slope of the gradient: a quarter of the Gram matrix's largest row sum
+    "lr_bound": (("lr_rows",), """
+        SELECT layer, max(b) / 4 AS bound, min(n) AS n
+        FROM (SELECT layer, i, sum(abs(g)) AS b, min(n) AS n
+              FROM (SELECT layer, i, j, sum(x[i] * x[j]) AS g, count(*) AS n
+                    FROM lr_rows CROSS JOIN range(1, 18) a(i) CROSS JOIN range(1, 18) b(j) GROUP BY layer, i, j)
+              GROUP BY layer, i) GROUP BY layer"""),
+    # accelerated gradient descent for every layer and C
+    "lr_fit": (("lr_rows", "lr_bound"), f"""
+        SELECT 0 AS it, layer, c, n, bound + 1 / c AS lip, list_transform(range(17), lambda i: CAST(0 AS DOUBLE)) AS w,
+               list_transform(range(17), lambda i: CAST(0 AS DOUBLE)) AS v
+        FROM lr_bound CROSS JOIN (VALUES (CAST(0.001 AS DOUBLE)), (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) k(c)
+        UNION ALL
+        SELECT it + 1, layer, c, n, lip, nw, list_transform(nw, lambda e, i: e + {LR_MOMENTUM} * (e - w[i]))
+        FROM (SELECT it, layer, c, n, lip, w, list_transform(g, lambda e, i:
+                         v[i] - (e + CASE WHEN i < 17 THEN v[i] / c ELSE 0 END) / lip) AS nw
+              FROM (SELECT it, layer, c, any_value(n) AS n, any_value(lip) AS lip, any_value(w) AS w, any_value(v) AS v,
+                           [{", ".join(f"sum(r * x[{i}])" for i in range(1, 18))}] AS g
+                    FROM (SELECT f.*, r.x, 1.0 / (1.0 + exp(-list_dot_product(f.v, r.x))) - r.y AS r
+                          FROM lr_fit f JOIN lr_rows r ON f.layer = r.layer WHERE f.it < {LR_STEPS})
+                    GROUP BY it, layer, c))"""),
+    "lr_probes": (("lr_fit", "lr_scale"), f"""
+        SELECT layer, c, n AS n_train, w[1:16] AS coef_scaled, w[17] AS intercept_scaled, raw,
+               w[17] - list_dot_product(raw, mean) AS bias
+        FROM (SELECT f.*, s.mean, list_transform(w[1:16], lambda e, i: e / s.std[i]) AS raw
+              FROM lr_fit f JOIN lr_scale s ON f.layer = s.layer WHERE it = {LR_STEPS})"""),
+    # test rows scored, counts at 0.5 and the AUROC over all pairs
+    "lr_scores": (("lr_probes",), """
+        SELECT a.layer, c, label, 1.0 / (1.0 + exp(-(list_dot_product(list_transform(activation, lambda x: CAST(x AS DOUBLE)), p.raw) + p.bias))) AS prob
+        FROM acts_shifted a JOIN lr_probes p ON a.layer = p.layer WHERE a.split = 'test'"""),
+    "lr_eval": (("lr_scores",), """
+        SELECT q.*, (TP + TN) / (TN + FP + FN + TP) AS accuracy,
+               CASE WHEN TP + FP > 0 THEN TP / (TP + FP) ELSE 0.0 END AS precision,
+               CASE WHEN TP + FN > 0 THEN TP / (TP + FN) ELSE 0.0 END AS recall,
+               CASE WHEN 2 * TP + FP + FN > 0 THEN 2 * TP / (2 * TP + FP + FN) ELSE 0.0 END AS f1_score, u.auroc_score,
+               p.n_train, sqrt(list_dot_product(p.coef_scaled, p.coef_scaled)) AS coef_norm
+        FROM (SELECT layer, c, count(*) FILTER (WHERE label = 0 AND prob < 0.5) AS TN, count(*) FILTER (WHERE label = 0 AND prob >= 0.5) AS FP,
+                     count(*) FILTER (WHERE label = 1 AND prob < 0.5) AS FN, count(*) FILTER (WHERE label = 1 AND prob >= 0.5) AS TP
+              FROM lr_scores GROUP BY layer, c) q
+        JOIN (SELECT a.layer, a.c, avg(CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0.0 END) AS auroc_score
+              FROM lr_scores a JOIN lr_scores b ON a.layer = b.layer AND a.c = b.c AND a.label = 1 AND b.label = 0
+              GROUP BY a.layer, a.c) u ON q.layer = u.layer AND q.c = u.c
+        JOIN lr_probes p ON q.layer = p.layer AND q.c = p.c"""),
     "vector_corpus": ((), """
         WITH base AS (
           SELECT v.event_id AS row_id, v.event_type AS reasoning_pattern,
@@ -175,7 +234,8 @@ def with_ctes(body: str, *names: str, local: list[tuple[str, str]] | tuple = (),
 
     for n in names:
         visit(n)
-    parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order] + [f"{n} AS ({q}\n)" for n, q in local]
+    recursive = recursive or bool(RECURSIVE & set(order))
+    parts = [f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({CTES[n][1]}\n)" for n in order] + [f"{n} AS ({q}\n)" for n, q in local]
     if not parts:
         return body
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body

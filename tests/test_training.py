@@ -25,6 +25,70 @@ def test_logreg_gradient_is_zero_and_raw_equals_scaled(spark):
     assert np.allclose(raw, prob, atol=1e-9)
 
 
+def _newton(x, y, c, s=None, steps=60):
+    """Scaled weights, intercept last, by plain Newton steps on all rows."""
+    s = np.ones(len(y)) if s is None else s
+    sd = x.std(axis=0)
+    xb = np.hstack([(x - x.mean(axis=0)) / np.where(sd == 0, 1, sd), np.ones((len(x), 1))])
+    pen, w = np.append(np.full(x.shape[1], 1 / c), 0.0), np.zeros(x.shape[1] + 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(xb @ w)))
+        g = xb.T @ (s * (p - y)) + pen * w
+        w = w - np.linalg.solve((xb * (s * p * (1 - p))[:, None]).T @ xb + np.diag(pen), g)
+    return w
+
+
+def _scaled(row):
+    return np.append(row.coef_scaled, row.intercept_scaled)
+
+
+def test_all_layers_and_c_in_one_solver(spark):
+    """Two layers of unlike sizes, a layer of one class, a constant dim, nulls,
+    repeated rows; small Arrow batches."""
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for layer, n in ((3, 900), (7, 60)):
+        x = np.hstack([rng.normal(size=(n, 4)).round(2), np.full((n, 1), 2.5)])
+        y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=n) > 0).astype(float)
+        x[30:50], y[30:50] = x[0], y[0]
+        rows += [(layer, [float(v) for v in r], int(k)) for r, k in zip(x, y)]
+        want[layer] = (x, y)
+    rows += [(9, [0.0] * 5, 1)] * 4 + [(3, None, 1), (3, [9.0] * 5, None), (None, [9.0] * 5, 1)]
+    df = spark.createDataFrame(rows, "layer int, activation array<double>, label int")
+    key, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for parts, size in ((1, "10000"), (7, "37")):
+            spark.conf.set(key, size)
+            got.append({(r.layer, r.c): _scaled(r) for r in TR.c_sweep(df.repartition(parts), (0.01, 1.0)).collect()})
+    finally:
+        spark.conf.set(key, before)
+    assert set(got[0]) == set(got[1]) == {(layer, c) for layer in (3, 7) for c in (0.01, 1.0)}
+    for (layer, c), w in got[0].items():
+        assert np.allclose(w, got[1][layer, c], atol=1e-9)
+        assert np.allclose(w, _newton(*want[layer], c), atol=1e-7)
+    balanced = TR.train_logreg_layers(df, layers=[3], class_weight="balanced").collect()
+    x, y = want[3]
+    s = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    assert [r.layer for r in balanced] == [3] and np.allclose(_scaled(balanced[0]), _newton(x, y, 1.0, s), atol=1e-7)
+    assert TR.train_logreg_layers(df.where("layer = 9")).count() == 0
+    assert TR.train_logreg_layers(df.where("false")).count() == 0
+
+
+def test_newton_on_separable_rows_with_a_weak_penalty(spark):
+    """Full steps overshoot here: they are halved until the loss falls."""
+    x = np.concatenate([np.linspace(-3, -0.01, 40), np.linspace(0.01, 50, 40)])
+    y = (x > 0).astype(int)
+    df = spark.createDataFrame([(0, [float(a), float(a) ** 2], int(k)) for a, k in zip(x, y)],
+                               "layer int, activation array<double>, label int")
+    for c in (1.0, 1e4):
+        r = TR.train_logreg_layers(df, C=c).first()
+        xs = (np.stack([x, x ** 2], axis=1) - r.mean) / np.array(r.std)
+        p = 1 / (1 + np.exp(-(xs @ np.array(r.coef_scaled) + r.intercept_scaled)))
+        g = np.append(np.array(r.coef_scaled) / c + xs.T @ (p - y), (p - y).sum())
+        assert np.abs(g).max() < 1e-6 * len(y)
+
+
 def test_adam_loss_decreases(spark):
     a = X.activations_shifted(spark, SF_SMALL).where(F.col("split") == "train")
     _, losses = TR.train_adam_layers(a, epochs=4)
