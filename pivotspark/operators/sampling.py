@@ -139,9 +139,10 @@ def min_group_size(df: DataFrame, group_col: str, min_rows: int = 40) -> DataFra
 
 # -- B10 -----------------------------------------------------------------------
 
-def pc1_outlier_filter(df: DataFrame, layer: int = 14, bound: float = -30.0,
+def pc1_outlier_filter(df: DataFrame, layer: int | Column = 14, bound: float | Column = -30.0,
                        pc_col: str = "pc1", layer_col: str = "layer") -> DataFrame:
-    """Drop rows of one layer whose first component is below ``bound``."""
+    """Drop rows of one layer whose first component is below ``bound``; with
+    columns for both, of every layer by its own bound."""
     return df.where((F.col(layer_col) != layer) | (F.col(pc_col) >= bound))
 
 

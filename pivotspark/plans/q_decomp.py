@@ -3,9 +3,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -13,6 +10,7 @@ from ..operators import decomp as DC
 from ..operators import sampling as S
 from ..operators import training as TR
 from ..operators import vectors as V
+from ..operators.ranking import exact_group_quantile
 from ..sources import fixtures as X
 from .q_train import _COSINES
 from .q_vectors import _train, _train_dirs
@@ -65,26 +63,59 @@ def q_random_directions(spark, sf):
     return tidy(r.select("layer", "seed", "norm", "cos_to_reference"))
 
 
-def _layers(spark, sf):
-    return [r[0] for r in X.activations(spark, sf).select("layer").distinct().orderBy("layer").collect()]  # tens of values
+# The oracle's eigenvectors: a matrix squared again and again becomes the
+# product of its top eigenvector with itself.
+
+def _powers(name: str, matrix: str) -> tuple[str, str]:
+    return name, f"""
+SELECT 0 AS it, g, i, j, x / max(abs(x)) OVER (PARTITION BY g) AS x FROM {matrix}
+UNION ALL
+SELECT it + 1, g, i, j, x / max(abs(x)) OVER (PARTITION BY g)
+FROM (SELECT a.it, a.g, a.i, b.j, sum(a.x * b.x) AS x FROM {name} a JOIN {name} b ON a.g = b.g AND a.j = b.i
+      WHERE a.it < 40 GROUP BY a.it, a.g, a.i, b.j)"""
+
+
+def _top(name: str, powers: str) -> tuple[str, str]:
+    """The column with the largest diagonal entry, of length 1, its largest
+    entry positive."""
+    return name, f"""
+SELECT g, i, x / sqrt(sum(x * x) OVER (PARTITION BY g)) * sign(first_value(x) OVER (PARTITION BY g ORDER BY abs(x) DESC, i)) AS v
+FROM {powers} JOIN (SELECT g, arg_max(i, x) AS j FROM {powers} WHERE it = 40 AND i = j GROUP BY g) USING (g, j) WHERE it = 40"""
 
 
-def _pca_rows(spark, sf, layer):
-    a = X.activations(spark, sf).where(F.col("layer") == layer)
-    comp, evr, mean = DC.pca_2d(a)
-    return DC.project(a, comp, mean), comp, evr
+def _value(name: str, matrix: str, vectors: str) -> tuple[str, str]:
+    return name, f"""
+SELECT g, sum(m.x * a.v * b.v) AS value FROM {matrix} m JOIN {vectors} a USING (g, i) JOIN {vectors} b ON b.g = m.g AND b.i = m.j GROUP BY g"""
 
 
-@query("pca_2d")
+_PCA_LOCAL = [
+    ("cov", """
+SELECT layer AS g, a.dim AS i, b.dim AS j, sum(a.x * b.x) AS x
+FROM (SELECT layer, query_id, dim, x - avg(x) OVER (PARTITION BY layer, dim) AS x FROM acts_long) a
+JOIN (SELECT layer, query_id, dim, x - avg(x) OVER (PARTITION BY layer, dim) AS x FROM acts_long) b USING (layer, query_id)
+GROUP BY layer, a.dim, b.dim"""),
+    _powers("pow1", "cov"), _top("vec1", "pow1"), _value("val1", "cov", "vec1"),
+    ("rest", """
+SELECT g, m.i, m.j, m.x - value * a.v * b.v AS x FROM cov m JOIN val1 USING (g) JOIN vec1 a USING (g, i) JOIN vec1 b ON b.g = m.g AND b.i = m.j"""),
+    _powers("pow2", "rest"), _top("vec2", "pow2"), _value("val2", "cov", "vec2")]
+
+
+@query("pca_2d", with_ctes("""
+SELECT CAST(g AS BIGINT) AS layer, bucket, round(sum(c * a.v), 6) AS pc1, round(sum(c * b.v), 6) AS pc2,
+       round(any_value(val1.value / t), 6) AS evr1, round(any_value(val2.value / t), 6) AS evr2
+FROM (SELECT layer AS g, bucket, dim AS i, avg(x) AS c
+      FROM (SELECT layer, bucket, dim, x - avg(x) OVER (PARTITION BY layer, dim) AS x FROM acts_long) GROUP BY ALL)
+JOIN vec1 a USING (g, i) JOIN vec2 b USING (g, i) JOIN val1 USING (g) JOIN val2 USING (g)
+JOIN (SELECT g, sum(x) AS t FROM cov WHERE i = j GROUP BY g) USING (g)
+GROUP BY g, bucket""", "acts_long", local=_PCA_LOCAL, recursive=True))
 def q_pca_2d(spark, sf):
     """Per layer, 2-component centred PCA of the activations: explained
     variance ratio and the projected class centroids."""
-    out = []
-    for layer in _layers(spark, sf):
-        rows, comp, evr = _pca_rows(spark, sf, layer)
-        out.append(rows.groupBy("layer", "bucket").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2")).withColumns(
-            {"evr1": F.lit(float(evr[0])), "evr2": F.lit(float(evr[1]))}))
-    return tidy(reduce(DataFrame.unionByName, out))
+    a = X.activations(spark, sf)
+    model = DC.pca(a)
+    centroids = DC.project(a, model).groupBy("layer", "bucket").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"))
+    return tidy(centroids.join(model, "layer").select(
+        "layer", "bucket", "pc1", "pc2", F.col("ratio")[0].alias("evr1"), F.col("ratio")[1].alias("evr2")))
 
 
 @query("pc1_outlier_filter", with_ctes("""
@@ -94,16 +125,21 @@ FROM (SELECT layer, count(*) AS n FROM activations GROUP BY layer)""", "activati
 def q_pc1_outlier_filter(spark, sf):
     """Per layer, rows with pc1 below a bound dropped (bound: the exact
     5th percentile of the layer's pc1 here, -30 in the notebook's units)."""
-    from ..operators.ranking import exact_quantiles
-    out = []
-    for layer in _layers(spark, sf):
-        rows, _, _ = _pca_rows(spark, sf, layer)
-        bound = rows.select(exact_quantiles(rows, "pc1", (0.05,)).getItem(0)).first()[0]
-        out.append(S.pc1_outlier_filter(rows, layer=layer, bound=bound).groupBy("layer").agg(F.count(F.lit(1)).alias("n_kept")))
-    return tidy(reduce(DataFrame.unionByName, out))
-
-
-@query("pca_column_order")
+    a = X.activations(spark, sf)
+    rows = DC.project(a, DC.pca(a, 1), 1)
+    bounds = exact_group_quantile(rows, ["layer"], "pc1", 0.05, "bound")
+    rows = rows.join(F.broadcast(bounds), "layer")  # one row a layer
+    kept = S.pc1_outlier_filter(rows, layer=F.col("layer"), bound=F.col("bound"))
+    return tidy(kept.groupBy("layer").agg(F.count(F.lit(1)).alias("n_kept")))
+
+
+@query("pca_column_order", with_ctes("""
+SELECT row_number() OVER (ORDER BY v DESC, i) - 1 AS position, CAST(i AS BIGINT) AS dim FROM vec1""", "corpus_long", local=[
+    ("gram", """
+SELECT 0 AS g, a.dim AS i, b.dim AS j, sum(a.x * b.x) AS x
+FROM (SELECT row_id, dim, x - avg(x) OVER (PARTITION BY row_id) AS x FROM corpus_long) a
+JOIN (SELECT row_id, dim, x - avg(x) OVER (PARTITION BY row_id) AS x FROM corpus_long) b USING (row_id) GROUP BY a.dim, b.dim"""),
+    _powers("pow1", "gram"), _top("vec1", "pow1")], recursive=True))
 def q_pca_column_order(spark, sf):
     """Corpus dims ordered by the first PC of the transposed matrix."""
     order = DC.pca_column_order(X.vector_corpus(spark, sf))
