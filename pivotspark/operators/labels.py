@@ -17,8 +17,10 @@ on single spaces, empty tokens dropped).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,24 +72,66 @@ def longest_context(rows: DataFrame, id_col: str = "dataset_item_id", ord_col: s
 
 # -- C2 ------------------------------------------------------------------------
 
+def prefix_digests(texts: DataFrame, id_col: str, text_col: str = "longest_text", sizes_col: str = "sizes") -> DataFrame:
+    """(key = id as string, size, digest): SHA-256 of the text's first ``size`` UTF-8 bytes for
+    each of its sizes up to its length, in one pass over the text."""
+    schema = pa.schema([("key", pa.string()), ("size", pa.int32()), ("digest", pa.string())])
+
+    def run(it):
+        for batch in it:
+            key, text, sizes = (batch.column(c) for c in ("key", "text", "sizes"))
+            rows: list = []
+            for i in range(batch.num_rows):
+                raw, h, at = memoryview(text[i].as_py().encode()), hashlib.sha256(), 0
+                for size in sizes[i].as_py():
+                    if size > len(raw):
+                        break
+                    h.update(raw[at:size])
+                    at = size
+                    rows.append((key[i].as_py(), size, h.hexdigest()))
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return texts.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"), F.array_sort(sizes_col).alias("sizes")).where(
+        "text IS NOT NULL").mapInArrow(run, "key string, size int, digest string")
+
+
 def pivot_positions(rows: DataFrame, tokenize: Tokenizer = T.whitespace_tokens,
                     id_col: str = "dataset_item_id", ord_col: str = "row_ord",
                     variant: str = "default") -> DataFrame:
     """(id, query, longest_text, tokens, pivots): the longest text gives
     len - 2 (if len > 1); every other row whose context + token is a prefix of
     it gives len(tokens(context)) - 1 (if > 0; the focused variant needs > 1
-    tokens).  Divergent rows add nothing."""
-    lg = longest_context(rows, id_col, ord_col)
-    j = rows.join(lg, id_col)
-    ctx_len = F.size(tokenize(F.col("pivot_context")))
+    tokens).  Divergent rows add nothing; rows without an id are left out.
+
+    No text is joined to the rows of its id: a row sends the length and SHA-256
+    of its own, the longest text its digest at the lengths that occur, and the
+    two meet on (id, length, digest), so a hot id lies over many tasks."""
     min_len = 1 if variant == "default" else 2
-    long_len = F.size(tokenize(F.col("longest_text")))
-    is_longest = F.col(ord_col) == F.col("longest_ord")
-    pos = (F.when(is_longest, F.when(long_len > 1, long_len - 2))
-           .when(F.col("longest_text").startswith(F.concat("pivot_context", "pivot_token")) & (ctx_len >= min_len),
-                 ctx_len - 1))
-    agg = j.groupBy(id_col).agg(F.array_sort(F.collect_set(pos)).alias("pivots"))
-    return lg.join(agg, id_col).withColumn("tokens", tokenize(F.col("longest_text")))
+    rows = rows.where(F.col(id_col).isNotNull())
+    lg = longest_context(rows, id_col, ord_col)
+    text = F.concat("pivot_context", "pivot_token")
+    sent = rows.select(id_col, F.octet_length(text).alias("size"), F.sha2(text, 256).alias("digest"),
+                       F.size(tokenize(F.col("pivot_context"))).alias("n"), F.col(ord_col).alias("_o"))
+    sent = sent.where(F.col("digest").isNotNull() & (F.col("n") >= min_len)).groupBy(id_col, "size", "digest", "n").agg(
+        F.min("_o").alias("_first"), F.max("_o").alias("_last"))
+    sizes = sent.groupBy(id_col).agg(F.collect_set("size").alias("sizes"))  # at most the longest text's bytes
+    known = prefix_digests(lg.join(sizes, id_col).select(id_col, "longest_text", "sizes"), id_col)
+    hits = sent.join(known.withColumnsRenamed({"size": "_size", "digest": "_digest"}),
+                     (F.col(id_col).cast("string") == F.col("key")) & (F.col("size") == F.col("_size")) & (F.col("digest") == F.col("_digest")))
+    # a text's rows with their least and greatest order: the longest row alone is none of the others
+    found = hits.groupBy(id_col, F.col("n") - 1).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")).toDF(
+        id_col, "_p", "_first", "_last")
+    per = found.groupBy(id_col).agg(F.collect_set(F.struct("_p", "_first", "_last")).alias("_found"))
+    out = lg.join(per, id_col, "left").withColumn("tokens", tokenize(F.col("longest_text")))
+    others = F.transform(F.filter("_found", lambda f: (f["_first"] != F.col("longest_ord")) | (f["_last"] != F.col("longest_ord"))),
+                         lambda f: f["_p"])
+    own = F.when(F.size("tokens") > 1, F.array(F.size("tokens") - 2)).otherwise(F.array().cast("array<int>"))
+    pivots = F.array_sort(F.array_union(F.coalesce(others, F.array().cast("array<int>")), own))
+    return out.withColumn("pivots", pivots).select(id_col, "query", "longest_text", "longest_ord", "pivots", "tokens")
 
 
 # -- C3 / C4 -------------------------------------------------------------------

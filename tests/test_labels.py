@@ -61,3 +61,44 @@ def test_split_fallback(spark):
     only = new_path(spark, "split")
     spark.createDataFrame([("c",)], "x string").withColumn("split", F.lit("c")).write.partitionBy("split").parquet(only)
     assert read_split(spark, only, "test", "x string").first().x == "c"
+
+
+def _positions(rows, focused):
+    """The rule, row by row."""
+    out = {}
+    for key in {r[0] for r in rows if r[0] is not None}:
+        own = [r for r in rows if r[0] == key]
+        best = max((r for r in own if r[1] is not None), key=lambda r: (len(r[1]), -r[3]))
+        text, hits = best[1] + best[2], set()
+        words = lambda s: [w for w in s.split(" ") if w]
+        for _, ctx, tok, order in own:
+            if order == best[3]:
+                hits |= {len(words(text)) - 2} if len(words(text)) > 1 else set()
+            elif ctx is not None and text.startswith(ctx + tok) and len(words(ctx)) >= 1 + focused:
+                hits.add(len(words(ctx)) - 1)
+        out[key] = sorted(hits)
+    return out
+
+
+def test_positions_by_digests_equal_the_rule(spark):
+    """Divergent, repeated and equal-length rows, letters of several bytes, the
+    longest text split otherwise, nulls, and a row whose text is the longer
+    one though its context is not."""
+    import random
+    rng, rows = random.Random(2), []
+    for key in ("a", "b", "c", "é"):
+        words = [rng.choice(["x", "yy", "żó", "漢字"]) for _ in range(60)]
+        for i in range(200):
+            n = rng.randrange(0, 60)
+            mine = words[:n] if rng.random() < 0.7 else words[:n // 2] + ["z"] * (n - n // 2)
+            rows.append((key, " ".join(mine), rng.choice([" ", ""]) + (words + ["q"])[n], i))
+        rows += [(key, " ".join(words[:40]), " " + " ".join(words[40:]), 900), (key, None, " x", 901),
+                 (key, " ".join(words[:58]), " " + words[58] + " tail", 902), (key, " ".join(words), "", 903),
+                 (key, " ".join(words[:20]), " " + words[20], 904), (key, " ".join(words[:20]), " " + words[20], 904)]
+    rows += [("one", "", " x", 0), ("two", "w", " x", 0), (None, "w", " x", 0)]
+    df = spark.createDataFrame([(k, "query", c, t, o) for k, c, t, o in rows],
+                               "dataset_item_id string, query string, pivot_context string, pivot_token string, row_ord long")
+    for variant in ("default", "focused"):
+        got = L.pivot_positions(df.repartition(5), variant=variant).collect()
+        assert {r.dataset_item_id: r.pivots for r in got} == _positions(rows, variant == "focused")
+    assert L.pivot_positions(df.where("false")).count() == 0
