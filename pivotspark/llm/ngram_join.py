@@ -23,7 +23,11 @@ walked: all pairs of different components are held against the sketch bound
 inside the task, a large bucket as pairs of chunks, and those that pass are
 verified.  Only links are decided by the exact sets, so none is lost and none
 is made up.  The walk is made twice: first every set brings its nearest one in the
-bucket only, whose links merge what is left of large groups, then all pairs.
+bucket only, whose links merge what is left of large groups, then all pairs of
+sets that have a second near one there.  Pairs tried before (those with the
+bucket's smallest key, and a set's nearest ones in all its buckets) are not
+brought again, so a large group of near copies makes no pairs with every set
+that just misses it, bucket after bucket.
 Buckets of more than ``HOT`` sets do not count for sets that have
 ``spare`` of them or fewer in the band, as above.
 
@@ -45,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import text_slices
+from .chunks import ranges, text_slices
 from .common import stored
 from .components import connected_components
 
@@ -61,6 +65,8 @@ CHUNK = 1024
 LOOK = 64
 LOOK_SETS = 256
 LOOK_MOST = 4096
+#: Pairs of a set that are decided in one place.
+TOGETHER = 256
 #: Bytes of the sketch differences held at a time.
 WORK = 1 << 24
 ROWS = 1 << 16
@@ -169,7 +175,8 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
 
 def blocks(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each set, as (set, bucket); the low byte of a bucket is its
-    band.  A set is in the bands of its possible smaller partners."""
+    band, 40 bits of hash are above it (a chance meeting is only a candidate).
+    A set is in the bands of its possible smaller partners."""
     total, weak, _ = plan(percent)
     own = np.searchsorted(LOW, counts, side="right") - 1
     least = np.searchsorted(LOW, -(-counts * percent // 100), side="right") - 1
@@ -196,7 +203,7 @@ def blocks(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nda
         level = band[of[kept]].astype(np.uint64)
         bucket = mixed(value[kept] + mixed((kept - offset[of[kept]]).astype(np.uint64) * _MULT[0] + level))
         out_set.append(sets[of[kept]])
-        out_bucket.append(bucket & ~np.uint64(255) | level)
+        out_bucket.append(bucket >> np.uint64(24) << np.uint64(8) | level)
     return np.concatenate(out_set), np.concatenate(out_bucket)
 
 
@@ -216,7 +223,8 @@ def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def meetings(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(bucket, key) of the sets; a task sends a set once."""
+    """(key, bucket) of the sets; a task sends a set once.  In this order what
+    a set's rows share lies together, which shuffles smaller."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -230,9 +238,9 @@ def meetings(docs: DataFrame, text_col: str, shingle: int, percent: int) -> Data
                 if len(counts):
                     which, bucket = blocks(hashes, counts, percent)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket.view(np.int64)), pa.array(keys[which].view(np.int64))], names=["bucket", "key"])
+                        [pa.array(keys[which].view(np.int64)), pa.array(bucket.view(np.int64))], names=["key", "bucket"])
 
-    return docs.select(docs[text_col].alias("__text")).mapInArrow(run, "bucket bigint, key bigint")
+    return docs.select(docs[text_col].alias("__text")).mapInArrow(run, "key bigint, bucket bigint")
 
 
 def large_buckets(docs: DataFrame, text_col: str, shingle: int, percent: int) -> dict[int, int]:
@@ -252,16 +260,16 @@ def shared_buckets(met: DataFrame, large: dict[int, int]) -> DataFrame:
 
     def deal(batches):
         for batch in batches:
-            bucket, key = (np.asarray(c, dtype=np.int64) for c in batch.columns)
+            key, bucket = (np.asarray(c, dtype=np.int64) for c in batch.columns)
             part = np.zeros(len(bucket), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
                 hit = known[at] == bucket
                 part[hit] = 1 + (key[hit].view(np.uint64) % parts[at[hit]].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["bucket", "key", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["key", "bucket", "part"])
 
     if large:
-        met = met.mapInArrow(deal, "bucket bigint, key bigint, part int")
+        met = met.mapInArrow(deal, "key bigint, bucket bigint, part int")
     else:
         met = met.withColumn("part", F.lit(0))
     met = met.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key")
@@ -282,7 +290,7 @@ def shared_buckets(met: DataFrame, large: dict[int, int]) -> DataFrame:
         held: list[np.ndarray] = []
         count = 0
         for batch in batches:
-            held.append(np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns], axis=1))
+            held.append(np.stack([np.asarray(batch.column(i), dtype=np.int64) for i in (1, 0, 2)], axis=1))
             count += len(held[-1])
             if count < ROWS:
                 continue
@@ -326,40 +334,63 @@ def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, text_col: str, pairs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a stored table) of linked sets, by the sets themselves."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = stored(classes.join(needed, "key", "left_semi").select("th"), "join-texts")
-    rows = docs.select(F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("__text")).join(texts, "th", "left_semi")
+    """The pairs (a stored table) of linked sets, by the sets themselves.  A
+    set goes from its text straight to where its pairs are decided: with the
+    smaller key of each, up to ``TOGETHER`` pairs in one place."""
+    parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    dealt = pairs.join(parts, "v").withColumn("group", F.xxhash64("v", F.pmod(F.xxhash64("u"), F.col("parts"))))
+    dealt = stored(dealt.select("u", "v", "group"), "join-dealt")
+    ends = dealt.select(F.col("u").alias("key"), "group", F.col("v").alias("with")).unionByName(
+        dealt.select(F.col("v").alias("key"), "group", F.col("v").alias("with")).distinct())
+    needed = ends.groupBy("key").agg(F.collect_list(F.struct("group", "with")).alias("ends"))
+    texts = stored(classes.join(needed, "key").select("th", "key", "ends"), "join-texts")
+    rows = docs.select(F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("__text")).join(texts, "th")
 
     def sets(batches):
         seen: set[int] = set()
         for batch in batches:
-            for _, part in text_slices(batch, "__text"):
+            for slice_, part in text_slices(batch, "__text"):
                 hashes, counts = token_sets(part.cast(pa.binary()).to_pylist(), shingle)
-                keys = set_keys(hashes, counts).view(np.int64)
-                new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()], dtype=bool)
+                wanted = slice_.column(slice_.schema.get_field_index("key")).to_pylist()
+                keys = set_keys(hashes, counts).view(np.int64).tolist()
+                new = np.array([k == w and k not in seen and not seen.add(k) for k, w in zip(keys, wanted)], dtype=bool)
                 if len(seen) > SEEN:
                     seen.clear()
-                offsets = np.append(0, np.cumsum(counts[new])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[np.repeat(new, counts)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), lists], names=["key", "tokens"])
+                own = slice_.column(slice_.schema.get_field_index("ends")).filter(pa.array(new))
+                hashes, counts, keys = hashes[np.repeat(new, counts)], counts[new], np.array(keys, dtype=np.int64)[new]
+                starts = np.cumsum(counts) - counts
+                which = np.repeat(np.arange(len(own)), np.asarray(own.value_lengths(), dtype=np.int64))
+                group, other = (np.asarray(x, dtype=np.int64) for x in own.flatten().flatten())
+                for i in range(0, len(which), 256):
+                    at = which[i:i + 256]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[at])).astype(np.int32)),
+                                                     pa.array(hashes[ranges(starts[at], counts[at])].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (group[i:i + 256], other[i:i + 256], keys[at])] + [lists],
+                        names=["group", "with", "key", "tokens"])
 
-    found = rows.select("__text").mapInArrow(sets, "key bigint, tokens array<bigint>")
-    found = stored(found.groupBy("key").agg(F.first("tokens").alias("tokens")), "join-sets")
-    side = lambda name: found.select(F.col("key").alias(name), F.col("tokens").alias(f"t_{name}"))
+    # The set that the others are held against comes first; a group is one's,
+    # but for equal hashes.
+    met = rows.mapInArrow(sets, "group bigint, with bigint, key bigint, tokens array<bigint>")
+    met = met.repartition("group").sortWithinPartitions("group", "with", F.col("key") != F.col("with"))
 
     def verify(batches):
+        centre, whose = None, None
         for batch in batches:
-            u, v, t, w = (batch.column(batch.schema.get_field_index(c)) for c in ("u", "v", "t_u", "t_v"))
-            ok = []
-            for i in range(len(u)):
-                a, b = np.asarray(t[i].values), np.asarray(w[i].values)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * same >= percent * (len(a) + len(b) - same))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
-
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(verify, "u bigint, v bigint")
+            other, key = (np.asarray(batch.column(i), dtype=np.int64) for i in (1, 2))
+            u, v = [], []
+            for i in range(len(key)):
+                own = np.asarray(batch.column(3)[i].values)
+                if key[i] == other[i]:
+                    centre, whose = own, key[i]
+                elif whose == other[i]:
+                    same = len(np.intersect1d(own, centre, assume_unique=True))
+                    if 100 * same >= percent * (len(own) + len(centre) - same):
+                        u.append(key[i])
+                        v.append(other[i])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return met.mapInArrow(verify, "u bigint, v bigint")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -367,41 +398,44 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def open_buckets(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(bucket, key, root) of the buckets of three or more sets that are in
+    """(bucket, key, low, root) of the buckets of three or more sets that are in
     several components, without what the spare blocks allow to leave out."""
-    rooted = stored(_rooted(shared.where("size <> 2").select("bucket", "key", "size"), roots), "join-rooted")
+    rooted = stored(_rooted(shared.where("size <> 2").select("bucket", "key", "low", "size"), roots), "join-rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"),
                                            F.min("size").alias("least"), F.max("size").alias("most")).where("a <> b")
     several = stored(several.select("bucket", ((F.col("least") < 0) | (F.col("most") > HOT)).alias("hot")), "join-open")
-    rows = rooted.join(several, "bucket").select("bucket", "key", "root", "hot")
+    rows = rooted.join(several, "bucket").select("bucket", "key", "low", "root", "hot")
     spare = F.element_at(F.lit([int(s) for s in plan(percent)[2]]), (F.col("bucket").bitwiseAND(F.lit(255)) + 1).cast("int"))
     band = F.col("bucket").bitwiseAND(F.lit(255))
     free = rows.where("hot").groupBy("key", band.alias("band")).agg(F.count("*").alias("z"), F.first(spare).alias("spare")).where("z <= spare")
     free = free.select("key", "band", F.lit(True).alias("free"))
-    return rows.withColumn("band", band).join(free, ["key", "band"], "left").where("not hot or free is null").select("bucket", "key", "root")
+    return rows.withColumn("band", band).join(free, ["key", "band"], "left").where("not hot or free is null").select("bucket", "key", "low", "root")
 
 
-def walk(rows: np.ndarray, sketch: list[bytes], percent: int, every: bool) -> np.ndarray:
+def walk(rows: np.ndarray, sketch: list[bytes], tried: list[np.ndarray], percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """One bucket's sets, or two chunks of it, held against each other (side 0
     against itself, -2 against -1): pairs of different roots within the sketch
-    bound.  ``every``: all of them; else, for each set that has any, the one
-    with the nearest sketch.  Columns of ``rows``: key, root, n, side; returns
-    row numbers."""
+    bound that were not tried, with the bucket's smallest key or as ``tried``
+    lists for each set.  ``every``: all of them; else, for each set that has
+    any, the one with the nearest sketch.  Columns of ``rows``: key, root, n,
+    side, low; returns row numbers and, for each, whether its first set has
+    several."""
     size = min(map(len, sketch))
     words = np.stack([folded(s, size) for s in sketch])
-    _, root, n, side = rows.T
+    key, root, n, side, low = rows.T
     if side[0] == 0:
         left = right = np.arange(len(rows))
     else:
         left, right = np.flatnonzero(side == -2), np.flatnonzero(side == -1)
     none = np.iinfo(np.int64).max
     out, block = [np.zeros((0, 2), np.int64)], max(1, WORK // (8 * max(1, len(right)) * words.shape[1]))
-    best, partner = np.full(len(rows), none), np.zeros(len(rows), dtype=np.int64)
+    best, partner, count = np.full(len(rows), none), np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
     for at in range(0, len(left), block):
         a = left[at:at + block]
         apart = np.bitwise_count(words[a][:, None] ^ words[right][None]).sum(axis=2, dtype=np.int64)
         near = (apart <= most_apart(n[a][:, None] + n[right][None], percent)) & (root[a][:, None] != root[right][None])
         near &= np.minimum(n[a][:, None], n[right][None]) * 100 >= np.maximum(n[a][:, None], n[right][None]) * percent
+        near &= (low[a][:, None] != key[right][None]) & (key[a][:, None] != low[right][None])
         if every:
             i, j = np.nonzero(near)
             out.append(np.stack([a[i], right[j]], axis=1))
@@ -411,43 +445,64 @@ def walk(rows: np.ndarray, sketch: list[bytes], percent: int, every: bool) -> np
                 found = np.take_along_axis(apart, np.expand_dims(least, axis), axis).ravel()
                 better = found < best[own]
                 best[own[better]], partner[own[better]] = found[better], other[least[better]]
+                if axis or side[0]:
+                    count[own] += near.sum(axis=axis)
     if not every:
         has = np.flatnonzero(best < none)
-        out.append(np.stack([has, partner[has]], axis=1))
-    return np.concatenate(out)
+        return np.stack([has, partner[has]], axis=1), count[has] > 1
+    found = np.concatenate(out)
+    if len(found):
+        order = np.argsort(key)
+        own = np.repeat(np.arange(len(rows)), list(map(len, tried)))
+        known = np.concatenate(tried)
+        at = order[np.minimum(np.searchsorted(key, known, sorter=order), len(rows) - 1)]
+        own, at = own[key[at] == known], at[key[at] == known]
+        i, j = found.T
+        found = found[~np.isin(i * len(rows) + j, np.concatenate([own * len(rows) + at, at * len(rows) + own]))]
+    return found, np.ones(len(found), dtype=bool)
 
 
 def walked(rows: DataFrame, classes: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(bucket, u, v) of the open buckets' sets that may be linked."""
+    """(bucket, u, v, low, several) of the open buckets' sets that may be
+    linked; ``several`` when u has more than one such set there.  ``rows`` may
+    have ``tried``, keys that a set was held against before."""
+    if "tried" not in rows.columns:
+        rows = rows.withColumn("tried", F.array().cast("array<bigint>"))
     sizes = stored(rows.groupBy("bucket").count().where(F.col("count") > CHUNK), "join-large")
     chunks = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / CHUNK)
     dealt = (rows.join(sizes, "bucket", "left").withColumn("chunks", chunks)
              .withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))))
     dealt = dealt.select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key", "root", "bucket",
+        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "key", "root", "bucket", "low", "tried",
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(-2).cast("long").alias("side"))
-    dealt = dealt.join(classes.select("key", "n", "sketch"), "key").select("group", "key", "root", "n", "side", "bucket", "sketch")
+    dealt = dealt.join(classes.select("key", "n", "sketch"), "key").select(
+        "group", "key", "root", "n", "side", "low", "bucket", "sketch", "tried")
     dealt = dealt.repartition("group").sortWithinPartitions("group")
 
     def pairs_of(held):
-        group, sketch = held[0], held[6]
-        rows = np.stack(held[1:5], axis=1)
+        group, bucket, sketch, tried = held[0], held[6], held[7], held[8]
+        rows = np.stack(held[1:6], axis=1)
         cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-        found = [np.zeros((0, 2), np.int64)]
+        found, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, dtype=bool)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a > 1:
-                found.append(a + walk(rows[a:b], sketch[a:b], percent, every))
+                pairs, several = walk(rows[a:b], sketch[a:b], tried[a:b], percent, every)
+                found.append(a + pairs)
+                more.append(several)
         u, v = np.concatenate(found).T
-        return pa.RecordBatch.from_arrays([pa.array(held[5][u]), pa.array(held[1][u]), pa.array(held[1][v])],
-                                          names=["bucket", "u", "v"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(x)) for x in (bucket[u], rows[u, 0], rows[v, 0], rows[u, 4], np.concatenate(more))],
+            names=["bucket", "u", "v", "low", "several"])
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [np.asarray(batch.column(i), dtype=np.int64) for i in range(6)] + [batch.column(6).to_pylist()]
+            lists = batch.column(8)
+            cols = [np.asarray(batch.column(i), dtype=np.int64) for i in range(7)] + [
+                batch.column(7).to_pylist(), [np.asarray(lists[i].values, dtype=np.int64) for i in range(len(lists))]]
             if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held[:6], cols[:6])] + [held[6] + cols[6]]
+                cols = [np.concatenate([h, c]) for h, c in zip(held[:7], cols[:7])] + [h + c for h, c in zip(held[7:], cols[7:])]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
@@ -457,7 +512,7 @@ def walked(rows: DataFrame, classes: DataFrame, percent: int, every: bool) -> Da
         if held is not None and len(held[0]):
             yield pairs_of(held)
 
-    return dealt.mapInArrow(run, "bucket bigint, u bigint, v bigint")
+    return dealt.mapInArrow(run, "bucket bigint, u bigint, v bigint, low bigint, several boolean")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -478,16 +533,18 @@ def linked_classes(docs: DataFrame, printed: DataFrame, text_col: str = "text",
     first = stored(links(docs, text_col, near, classes, shingle, percent), "join-links")
     roots = stored(connected_components(first), "join-roots")
     # Each set's nearest in every open bucket, then all pairs of what that has
-    # left apart: sets with no near one in a bucket are out of it.
+    # left apart: a pair not tried there is of two sets that have several.
     closest = stored(walked(open_buckets(shared, roots, percent), classes, percent, every=False), "join-closest")
     near = stored(_pairs(closest), "join-near")
     second = links(docs, text_col, near, classes, shingle, percent)
     roots = stored(connected_components(roots.select("u", F.col("root").alias("v")).unionByName(second)), "join-roots")
-    members = closest.select("bucket", F.col("u").alias("key")).distinct()
+    members = closest.where("several").groupBy("bucket", F.col("u").alias("key")).agg(F.min("low").alias("low"))
+    # A set has at most two of these for each of its buckets.
+    tried = closest.groupBy(F.col("u").alias("key")).agg(F.array_union(F.collect_set("v"), F.collect_set("low")).alias("tried"))
     rooted = stored(_rooted(members, roots), "join-rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    near = stored(_pairs(walked(rooted.join(several, "bucket"), classes, percent, every=True)).join(near, ["u", "v"], "left_anti"),
-                  "join-near")
+    rest = walked(rooted.join(several, "bucket").join(tried, "key"), classes, percent, every=True)
+    near = stored(_pairs(rest).join(near, ["u", "v"], "left_anti"), "join-near")
     third = links(docs, text_col, near, classes, shingle, percent)
     return connected_components(roots.select("u", F.col("root").alias("v")).unionByName(third))
 

@@ -132,3 +132,36 @@ def test_single_word_shingles(spark):
     texts = ["a b c d e", "a b c d e f", "a b c x y", "e d c b a"]
     got = {r.doc_id: r.component_id for r in J.near_duplicates(documents(spark, texts), shingle=1).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 0}
+
+
+def _edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"x{rng.randrange(10 ** 9)}"
+    return " ".join(out)
+
+
+def test_pairs_tried_before_are_not_brought_again(spark, monkeypatch):
+    """A large group of near copies beside sets that just miss it: the walk of
+    all pairs brings few rows, however many buckets they share."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)] + [_edited(rng, base, 2) for _ in range(60)] + [_edited(rng, base, 9) for _ in range(12)]
+    docs, rows, old = documents(spark, texts), {}, J.walked
+
+    def walked(*args, every, **more):
+        out = J.stored(old(*args, every=every, **more), "walked")
+        rows[every] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "walked", walked)
+    got = sorted(map(tuple, J.near_duplicates(docs).collect()), key=str)
+    assert got == brute(list(range(len(texts))), texts)
+    assert rows[True] <= 3 * len(texts)
+
+
+def test_pairs_of_one_set_are_decided_in_several_places(spark, monkeypatch):
+    monkeypatch.setattr(J, "TOGETHER", 3)
+    texts = corpus()
+    got = sorted(map(tuple, J.near_duplicates(documents(spark, texts)).collect()), key=str)
+    assert got == brute(list(range(len(texts))), texts)
