@@ -10,10 +10,11 @@ in batches on the executors and sees the whole text.
 The network names one of its languages for whatever it is given, and surely
 so: its score does not tell a foreign text from a mixed one.  ``keep_documents``
 therefore also asks how familiar a text is: the share of its runs of four bytes
-(letters and single spaces) that the training sample shows, whatever the
-language.  A text that mixes learned languages is familiar throughout, one in
+(letters and single spaces) that the texts outside the held-out third show,
+whatever the language.  A text that mixes learned languages is familiar throughout, one in
 an unlearned language or of random letters is not.  The least share is measured
-for each language on texts of the held-out third.
+for each language on texts of the held-out third.  Runs and least shares come
+from all labelled texts; only the network is fitted on a bounded sample.
 
 A filter's response is a sum of one table row per byte of its width.  Rows for
 two adjacent bytes are added up beforehand, so a response costs one or two
@@ -36,7 +37,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import exact_group_quantile
 from .chunks import text_slices
+from .common import stored
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -54,8 +57,8 @@ BATCH = 64
 RATE = 0.01
 SEED = 7
 UNDETERMINED = "und"
-#: Held-out texts a language that its least familiarity is measured on, at most.
-HELD_SAMPLE = 500
+#: A run is known when it is this part of a language's runs (and occurs twice).
+RUN_SHARE = 2e-6
 #: A text goes below this part of the familiarity that all but a twentieth of
 #: its language's held-out texts have.
 FAMILIAR_PART, FAMILIAR_QUANTILE = 0.8, 0.05
@@ -79,7 +82,7 @@ class ByteCnn:
     bias: list[np.ndarray]
     weights: np.ndarray         # [len(WIDTHS) * FILTERS, languages]
     offset: np.ndarray
-    #: Hashes of the sample's runs of four bytes, and the least share of them
+    #: Hashes of the learned texts' runs of four bytes, and the least share of them
     #: in a text of each language; None: not measured.
     runs: np.ndarray | None = None
     least: dict[str, float] | None = None
@@ -194,16 +197,16 @@ def byte_runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run * np.uint32(0x9E3779B1) >> np.uint32(32 - RUN_BITS), spaces <= 1
 
 
-def familiarity(windows: np.ndarray, starts: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Share of known runs of each text, whose windows begin at ``starts``; 1
-    for a text of fewer than ``LEAST_RUNS``."""
+def familiarity(windows: np.ndarray, starts: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of known runs of each text, whose windows begin at ``starts``, 1
+    for a text of fewer than ``LEAST_RUNS``; and its number of runs."""
     known, all_runs = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.int64)
     for i in range(0, len(windows), TOGETHER):
         runs, counts = byte_runs(windows[i:i + TOGETHER])
         known[i:i + TOGETHER] = (seen[runs] & counts).sum(axis=1)
         all_runs[i:i + TOGETHER] = counts.sum(axis=1)
     known, all_runs = np.add.reduceat(known, starts), np.add.reduceat(all_runs, starts)
-    return np.where(all_runs < LEAST_RUNS, 1.0, known / np.maximum(all_runs, 1))
+    return np.where(all_runs < LEAST_RUNS, 1.0, known / np.maximum(all_runs, 1)), all_runs
 
 
 def _table(runs: np.ndarray) -> np.ndarray:
@@ -216,16 +219,15 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int,
-                    held: bool = False) -> list:
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
     """(language, pieces of text) of ``per_language`` different texts a
     language, or all if it has fewer, from labelled rows outside the held-out
-    third, or in it: those with the smallest hashes, whatever the partitions
+    third: those with the smallest hashes, whatever the partitions
     and however many copies a text has.  A first scan estimates how many texts
     each language has; about twice as many as wanted are then ranked, and the
     driver gets a few windows of each."""
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l"))
-    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.coalesce(held_out(F.col("i")), F.lit(not held)) == held))
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(held_out(F.col("i")), F.lit(True)))
     rows = rows.select("l", "t", F.xxhash64("t").alias("h")).withColumn("u", F.pmod("h", F.lit(1 << 30)))
     sizes = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
     n = F.char_length("t")
@@ -242,7 +244,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = SAMPLE, measure: bool = True) -> ByteCnn | None:
     """A network trained on ``labelled_sample``; None without labelled rows.
-    With ``measure`` it also knows the sample's runs of bytes and the least
+    With ``measure`` it also knows all learned texts' runs of bytes and the least
     familiarity of each language, which ``keep_documents`` asks for."""
     sample = labelled_sample(docs, id_col, text_col, lang_col, per_language)
     languages = sorted({lang for lang, _ in sample})
@@ -256,25 +258,65 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         labels += [languages.index(lang)] * len(own)
     model = train(np.concatenate(windows), np.array(labels), languages)
     if measure:
-        # A run has to occur twice; distinct runs are bounded by the sample.
-        n = np.zeros(1 << RUN_BITS, np.int32)
-        for own in windows:
-            runs, counts = byte_runs(own)
-            np.add.at(n, runs[counts], 1)
-        model.runs = np.flatnonzero(n > 1).astype(np.uint32)
-        model.least = least_familiarity(labelled_sample(docs, id_col, text_col, lang_col, HELD_SAMPLE, held=True), model.runs)
+        model.runs = known_runs(docs, languages, id_col, text_col, lang_col)
+        model.least = least_familiarity(docs, model, id_col, text_col, lang_col)
     return model
 
 
-def least_familiarity(sample: list, runs: np.ndarray) -> dict[str, float]:
-    """For each language of ``sample``, as ``labelled_sample`` gives it, the
-    least familiarity that a text of it must have."""
-    seen, shares = _table(runs), {}
-    for lang, pieces in sample:
-        windows = np.concatenate([cut(np.frombuffer(p.encode(), np.uint8)) for p in pieces])
-        if byte_runs(windows)[1].sum() >= LEAST_RUNS:
-            shares.setdefault(lang, []).append(familiarity(windows, np.array([0]), seen)[0])
-    return {lang: FAMILIAR_PART * float(np.quantile(x, FAMILIAR_QUANTILE)) for lang, x in shares.items()}
+def _labelled(docs: DataFrame, languages: list[str], id_col: str, text_col: str, lang_col: str, held: bool) -> DataFrame:
+    """(l, h, __text): labelled rows in ``languages``, in the held-out third or
+    outside it; h is a hash of the text."""
+    rows = docs.select(docs[lang_col].alias("l"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("__text"),
+                       F.coalesce(held_out(docs[id_col]), F.lit(not held)).alias("held"))
+    return rows.where(F.col("l").isin(languages) & F.col("__text").isNotNull() & (F.col("held") == held)).drop("held")
+
+
+def known_runs(docs: DataFrame, languages: list[str], id_col: str, text_col: str, lang_col: str) -> np.ndarray:
+    """Hashes of the runs of four bytes that all learned texts show: those that
+    occur twice in a language, and are ``RUN_SHARE`` of its runs at least, so
+    that a few foreign words in many texts do not make a language known."""
+    rows = _labelled(docs, languages, id_col, text_col, lang_col, held=False).select("l", "__text")
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch, "__text"):
+                cuts = [cut(np.frombuffer(t, np.uint8)) for t in texts.cast(pa.binary()).to_pylist()]
+                windows, coded = np.concatenate(cuts), part.column(0).dictionary_encode()
+                lang = np.repeat(np.asarray(coded.indices, dtype=np.int64), [len(c) for c in cuts])
+                found = []
+                for i in range(0, len(windows), TOGETHER):
+                    runs, counts = byte_runs(windows[i:i + TOGETHER])
+                    found.append((runs + (lang[i:i + TOGETHER, None] << RUN_BITS))[counts])
+                code, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [coded.dictionary.take(pa.array(code >> RUN_BITS)), pa.array((code & (1 << RUN_BITS) - 1).astype(np.int32)), pa.array(n)],
+                    names=["l", "run", "n"])
+
+    counts = stored(rows.mapInArrow(run, "l string, run int, n bigint").groupBy("l", "run").agg(F.sum("n").alias("n")), "language-runs")
+    whole = counts.groupBy("l").agg(F.sum("n").alias("all"))
+    known = counts.join(F.broadcast(whole), "l").where((F.col("n") > 1) & (F.col("n") >= F.col("all") * F.lit(RUN_SHARE)))
+    return np.array(sorted(r["run"] for r in known.select("run").distinct().collect()), dtype=np.uint32)
+
+
+def least_familiarity(docs: DataFrame, model: ByteCnn, id_col: str, text_col: str, lang_col: str) -> dict[str, float]:
+    """For each language the least familiarity that a text of it must have, by
+    all different texts of the held-out third: an exact quantile."""
+    rows, known = _labelled(docs, model.languages, id_col, text_col, lang_col, held=True), model.runs
+
+    def run(batches):
+        seen = _table(known)
+        for batch in batches:
+            for part, texts in text_slices(batch, "__text"):
+                cuts = [cut(np.frombuffer(t, np.uint8)) for t in texts.cast(pa.binary()).to_pylist()]
+                sizes = np.array([len(c) for c in cuts])
+                shares, runs = familiarity(np.concatenate(cuts), np.cumsum(sizes) - sizes, seen)
+                long = pa.array(runs >= LEAST_RUNS)
+                yield pa.RecordBatch.from_arrays([x.filter(long) for x in (part.column(0), part.column(1), pa.array(shares))],
+                                                 names=["l", "h", "share"])
+
+    shares = rows.mapInArrow(run, "l string, h bigint, share double").groupBy("l", "h").agg(F.min("share").alias("share"))
+    found = exact_group_quantile(shares, ["l"], "share", FAMILIAR_QUANTILE)
+    return {r["l"]: FAMILIAR_PART * r["quantile"] for r in found.collect()}
 
 
 def _predictor(model: ByteCnn | None, judge: bool = False):
@@ -303,7 +345,7 @@ def _predictor(model: ByteCnn | None, judge: bool = False):
         scores[rows] = np.clip(mean[np.arange(len(rows)), best], 0, 1)
         if seen is not None:
             least = np.array([model.least.get(lang, 0.0) for lang in model.languages])
-            familiar[rows] = familiarity(windows, starts, seen) >= least[best]
+            familiar[rows] = familiarity(windows, starts, seen)[0] >= least[best]
         return langs, scores, familiar
 
     return run

@@ -147,3 +147,29 @@ def test_one_language_is_told_from_none(spark):
     other = [t for t, lang in zip(texts, langs) if lang == "de"][:20]
     kept = {r.doc_id for r in L.keep_documents(documents(spark, own[:20] + other), model).collect()}
     assert kept == set(range(20))
+
+
+def test_least_familiarity_is_of_all_held_out_texts(spark):
+    """An exact quantile over every different held-out text, its copies once,
+    and runs of all learned texts, not of a sample."""
+    texts, langs = corpus(1500)
+    texts = [f"{t} {t} {t}" for t in texts]
+    docs = documents(spark, texts + texts[:300], langs + langs[:300])
+    model = L.fit(docs, per_language=20)
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(1800)]
+    n = {}
+    for t, lang in [x for x, h in zip(zip(texts + texts[:300], langs + langs[:300]), held) if not h]:
+        runs, counts = L.byte_runs(L.cut(np.frombuffer(t.encode(), np.uint8)))
+        for r in runs[counts].tolist():
+            n[lang, r] = n.get((lang, r), 0) + 1
+    whole = {lang: sum(c for (x, _), c in n.items() if x == lang) for lang in WORDS}
+    known = {r for (lang, r), c in n.items() if c > 1 and c >= L.RUN_SHARE * whole[lang]}
+    assert set(model.runs.tolist()) == known
+    seen, shares = L._table(model.runs), {}
+    for t, lang in {x for x, h in zip(zip(texts + texts[:300], langs + langs[:300]), held) if h}:
+        share, runs = L.familiarity(L.cut(np.frombuffer(t.encode(), np.uint8)), np.array([0]), seen)
+        if runs[0] >= L.LEAST_RUNS:
+            shares.setdefault(lang, []).append(share[0])
+    assert set(model.least) == set(WORDS)
+    for lang, x in shares.items():
+        assert model.least[lang] == pytest.approx(L.FAMILIAR_PART * np.quantile(x, L.FAMILIAR_QUANTILE))
