@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby, islice
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import ensure_checkpoint_dir
 from .probes import negatives_below
 
 
@@ -31,15 +32,25 @@ def cascade_gate(df: DataFrame, p1: str, p2: str, tau1: float = 0.5, tau_steer:
             .withColumn("strength", F.when(F.col("fire"), F.lit(alpha_max) * p).otherwise(0.0)))
 
 
-def _accepted(steps: np.ndarray, lock: int, k: int) -> tuple[np.ndarray, int]:
-    """Which of the sorted firing ``steps`` are accepted when steps up to
-    ``lock`` are locked, and the lock after them."""
-    ok, i = np.zeros(len(steps), bool), int(np.searchsorted(steps, lock, side="right"))
-    while i < len(steps):
-        ok[i] = True
-        lock = int(steps[i]) + k
-        i = int(np.searchsorted(steps, lock, side="right"))
-    return ok, lock
+def _lock_after(steps: list[int], lock: int, k: int) -> int:
+    """The lock after the sorted firing ``steps`` when steps up to ``lock``
+    are locked."""
+    for step in steps:
+        if step > lock:
+            lock = step + k
+    return lock
+
+
+def _in_parts(rows, schema: pa.Schema, size: int = 10_000):
+    """Arrow batches of the tuples ``rows``."""
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
+def _tuples(batches):
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
 def refractory_gate(steps: DataFrame, k: int = 3, threshold: float = 0.5, run_col: str = "run",
@@ -52,38 +63,58 @@ def refractory_gate(steps: DataFrame, k: int = 3, threshold: float = 0.5, run_co
     how many of its first steps are locked (0 to k): pass one tabulates the
     lock it hands on for each of these, the tables (k + 1 numbers a block)
     are composed along the run, and pass two replays each block from its
-    lock.  No task holds a run's steps."""
-    rows = steps.select(F.col(run_col).alias("run"), "step", "prob", F.floor(F.col("step") / block).alias("blk"))
-
-    def tabulate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[1]) * block
-        fires = np.sort(pdf.loc[pdf["prob"] > threshold, "step"].to_numpy())
-        # handed on: locked steps of the next block, by locked steps of this one
-        out = [max(0, _accepted(fires, first + s - 1, k)[1] - (first + block) + 1) for s in range(k + 1)]
-        return pd.DataFrame({"run": [key[0]], "blk": [key[1]], "out": [out]})
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, locked, at, starts = pdf.sort_values("blk"), 0, None, []
-        for blk, out in zip(pdf["blk"], pdf["out"]):
-            if at is not None and blk != at + 1:
-                locked = max(0, locked - (blk - at - 1) * block)
-            starts.append(locked)
-            locked, at = int(out[min(locked, k)]), blk
-        return pd.DataFrame({"run": pdf["run"], "blk": pdf["blk"], "locked": starts})
-
-    def replay(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        fire = (pdf["prob"] > threshold).to_numpy()
-        accepted = np.zeros(len(pdf), bool)
-        lock = int(key[1]) * block + int(start["locked"].iloc[0]) - 1
-        accepted[fire] = _accepted(pdf["step"].to_numpy()[fire], lock, k)[0]
-        return pdf[["run", "step", "prob"]].assign(accepted=accepted)
-
+    lock.  No task holds a run's steps.  Only fires move; a task goes through
+    its blocks in one sorted stream, so many short runs cost no more than few
+    long ones."""
     assert k < block
-    tables = rows.groupBy("run", "blk").applyInPandas(tabulate, "run long, blk long, out array<long>")
-    starts = tables.groupBy("run").applyInPandas(compose, "run long, blk long, locked long")
-    out = rows.groupBy("run", "blk").cogroup(starts.groupBy("run", "blk")).applyInPandas(
-        replay, "run long, step long, prob double, accepted boolean")
+    ensure_checkpoint_dir(steps.sparkSession)
+    # Read three times below: written once, to the shared checkpoint folder.
+    rows = steps.select(F.col(run_col).cast("long").alias("run"), F.col("step").cast("long").alias("step"),
+                        F.col("prob").cast("double").alias("prob")).checkpoint()
+    fire = F.coalesce((F.col("prob") > threshold) & ~F.isnan("prob"), F.lit(False))
+    fires = rows.where(fire).withColumn("blk", F.floor(F.col("step") / block))
+    in_blocks = lambda df: df.repartition("run", "blk").sortWithinPartitions("run", "blk", "step")
+
+    def tabulate(batches):
+        def tables():
+            for (run, blk), own in groupby(_tuples(batches), key=lambda r: r[:2]):
+                first, own = blk * block, [r[2] for r in own]
+                # handed on: locked steps of the next block, by locked steps of this one
+                yield run, blk, [max(0, _lock_after(own, first + s - 1, k) - (first + block) + 1) for s in range(k + 1)]
+        yield from _in_parts(tables(), pa.schema([("run", pa.int64()), ("blk", pa.int64()), ("out", pa.list_(pa.int64()))]))
+
+    def compose(batches):
+        def starts():
+            for _, own in groupby(_tuples(batches), key=lambda r: r[0]):
+                locked, at = 0, None
+                for run, blk, out in own:
+                    if at is not None and blk != at + 1:  # blocks without a fire between
+                        locked = max(0, locked - (blk - at - 1) * block)
+                    if locked:
+                        yield run, blk, locked
+                    locked, at = out[min(locked, k)], blk
+        yield from _in_parts(starts(), pa.schema([("run", pa.int64()), ("blk", pa.int64()), ("locked", pa.int64())]))
+
+    def replay(batches):
+        at, lock = None, 0
+        for batch in batches:
+            accepted = []
+            for run, blk, step, locked in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (run, blk) != at:
+                    at, lock = (run, blk), blk * block + locked - 1
+                accepted.append(step > lock)
+                if accepted[-1]:
+                    lock = step + k
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4), pa.array(accepted, pa.bool_())],
+                                             names=["run", "step", "prob", "accepted"])
+
+    tables = in_blocks(fires.select("run", "blk", "step")).mapInArrow(tabulate, "run long, blk long, out array<long>")
+    starts = tables.repartition("run").sortWithinPartitions("run", "blk").mapInArrow(compose, "run long, blk long, locked long")
+    starts = starts.withColumnsRenamed({"run": "_run", "blk": "_blk"})
+    known = fires.join(starts, F.col("run").eqNullSafe(F.col("_run")) & (F.col("blk") == F.col("_blk")), "left")
+    known = in_blocks(known.select("run", "blk", "step", F.coalesce("locked", F.lit(0).cast("long")).alias("locked"), "prob"))
+    out = known.mapInArrow(replay, "run long, step long, prob double, accepted boolean")
+    out = out.unionByName(rows.where(~fire).withColumn("accepted", F.lit(False)))
     return out.withColumnRenamed("run", run_col)
 
 
