@@ -25,7 +25,11 @@ def score_run(gen: DataFrame, output_col: str = "full_output", answer_col: str =
     pred = T.extract_answer(output_col)
     truth = T.extract_answer(answer_col)
     out = gen.select("*", pred.alias("predicted"), truth.alias("ground_truth"))
-    out = out.withColumn("correct", T.is_correct("predicted", "ground_truth"))
+    # Step by step: inside one expression each use is computed anew.
+    out = out.select("*", T.plain_answer("predicted").alias("_p"), T.plain_answer("ground_truth").alias("_g"))
+    out = out.select("*", F.col("_p").try_cast("double").alias("_pn"), F.col("_g").try_cast("double").alias("_gn"))
+    out = out.withColumn("correct", T.same_answer("predicted", "ground_truth", *map(F.col, ("_p", "_g", "_pn", "_gn"))))
+    out = out.drop("_p", "_g", "_pn", "_gn")
     if tail_chars:
         out = out.withColumn(output_col, F.right(F.col(output_col), F.lit(tail_chars)))
     return out
