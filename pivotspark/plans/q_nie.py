@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import gating as G
 from ..operators import nie as N
+from ..operators import runs as R
 from ..operators import vectors as V
 from ..sources import fixtures as X
+from ..sources.sinks import new_path
 from ..sources.tables import load
 from .q_gate import _latch_local, _uniform_sql, decided, latched, stored_steps
 from .q_labels import _probe_local, probe_rows
-from .q_runs import _RUN_LOCAL, metrics as run_metrics_df, paired
+from .q_runs import _RUN_LOCAL, BASE, scored
 from .q_vectors import _d, _n
 from .registry import query, tidy, with_ctes
 
@@ -245,7 +247,10 @@ def q_arm_compare(spark, sf):
     on = steps.agg(F.lit(1.0).alias("fire_rate"), F.sum("delta_norm").alias("energy"))
     gates = (det.withColumn("arm", F.lit("detect")).unionByName(rnd.withColumn("arm", F.lit("random")))
              .unionByName(on.withColumn("arm", F.lit("always_on"))))
-    flips = paired(spark, sf).groupBy("run").agg(
+    runs, path = scored(spark, sf).select("run", "idx", "predicted", "correct"), new_path(spark, "scored")
+    runs.write.parquet(path)  # read for the metrics, the base run and the others
+    runs = spark.read.schema(runs.schema).parquet(path)
+    flips = R.pair_with_base(runs, BASE).groupBy("run").agg(
         F.sum((~F.col("base_correct").eqNullSafe(F.col("correct"))).cast("long")).alias("flips"))
-    j = arms.join(run_metrics_df(spark, sf), "run").join(flips, "run", "left").join(gates, "arm", "left")
+    j = arms.join(R.run_metrics(runs), "run").join(flips, "run", "left").join(gates, "arm", "left")
     return tidy(j.select("arm", "accuracy", "parse_rate", "fire_rate", "energy", "flips"))
