@@ -246,6 +246,13 @@ _HS_LOCAL = [
 ]
 
 
+def _stored_probe(spark, sf):
+    """The probe rows, written once for queries that read them more than once."""
+    p, path = probe_rows(spark, sf), new_path(spark, "probe_rows")
+    p.write.parquet(path)
+    return spark.read.schema(p.schema).parquet(path)
+
+
 def _states(spark, sf, probe):
     return X.hidden_states(spark, sf, probe)
 
@@ -258,7 +265,7 @@ FROM hs h JOIN lab b ON h.id = b.id AND h.position = b.position WHERE b.label <>
                                            local=_probe_local() + _HS_LOCAL))
 def q_explode_labeled_tokens(spark, sf):
     """Hidden states aligned with labels; 1 -> pivotal, -1 -> non_pivotal."""
-    p = probe_rows(spark, sf)
+    p = _stored_probe(spark, sf)
     e = L.explode_labeled_tokens(p, _states(spark, sf, p))
     return tidy(e.select("id", "layer", "position", "label", "bucket", vec.vsum("activation").alias("act_sum")))
 
@@ -274,7 +281,7 @@ FROM (SELECT p.original_dataset_item_id, len(p.labels) AS n_labels, coalesce(s.n
       ON p.original_dataset_item_id = s.id)""", "pivot_rows", local=_probe_local() + _HS_LOCAL))
 def q_truncation_audit(spark, sf):
     """Rows whose state count differs from their label count, and rate."""
-    p = probe_rows(spark, sf)
+    p = _stored_probe(spark, sf)
     return tidy(L.truncation_audit(p, _states(spark, sf, p)))
 
 
