@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from .chunks import ranges, text_slices
 from .common import stored
 from .components import connected_components
+from .url_filter import BITS_PER_ENTRY, BROADCAST_BLOCKS, bloom_bits, bloom_blocks
 
 SHINGLE = 5
 PERCENT = 80
@@ -333,10 +334,22 @@ def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u bigint, v bigint")
 
 
+def wanted_texts(docs: DataFrame, text_col: str, texts: DataFrame) -> DataFrame:
+    """(th, __text) of the documents whose text is one of ``texts(th)``, and of
+    a few others: a Bloom filter goes to the documents, so that the other texts
+    need not be shuffled to be joined."""
+    n_blocks = min(BROADCAST_BLOCKS, max(1, -(-texts.count() * BITS_PER_ENTRY // 64)))
+    blocks = F.broadcast(bloom_blocks(texts, "th", n_blocks))
+    rows = docs.select(F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("__text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("th"), F.lit(n_blocks))).join(blocks, "block")
+    return rows.where(F.col("word").bitwiseAND(bloom_bits(F.col("th"))) == bloom_bits(F.col("th"))).select("th", "__text")
+
+
 def links(docs: DataFrame, text_col: str, pairs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a stored table) of linked sets, by the sets themselves.  A
     set goes from its text straight to where its pairs are decided: with the
-    smaller key of each, up to ``TOGETHER`` pairs in one place."""
+    smaller key of each, up to ``TOGETHER`` pairs in one place.  Texts without
+    a pair stay where they are."""
     parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
     dealt = pairs.join(parts, "v").withColumn("group", F.xxhash64("v", F.pmod(F.xxhash64("u"), F.col("parts"))))
     dealt = stored(dealt.select("u", "v", "group"), "join-dealt")
@@ -344,7 +357,7 @@ def links(docs: DataFrame, text_col: str, pairs: DataFrame, classes: DataFrame,
         dealt.select(F.col("v").alias("key"), "group", F.col("v").alias("with")).distinct())
     needed = ends.groupBy("key").agg(F.collect_list(F.struct("group", "with")).alias("ends"))
     texts = stored(classes.join(needed, "key").select("th", "key", "ends"), "join-texts")
-    rows = docs.select(F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("__text")).join(texts, "th")
+    rows = wanted_texts(docs, text_col, texts).join(texts, "th")
 
     def sets(batches):
         seen: set[int] = set()
@@ -403,8 +416,9 @@ def open_buckets(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     rooted = stored(_rooted(shared.where("size <> 2").select("bucket", "key", "low", "size"), roots), "join-rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"),
                                            F.min("size").alias("least"), F.max("size").alias("most")).where("a <> b")
-    several = stored(several.select("bucket", ((F.col("least") < 0) | (F.col("most") > HOT)).alias("hot")), "join-open")
-    rows = rooted.join(several, "bucket").select("bucket", "key", "low", "root", "hot")
+    several = several.select("bucket", ((F.col("least") < 0) | (F.col("most") > HOT)).alias("hot"))
+    # Read twice below: brought together once.
+    rows = stored(rooted.join(several, "bucket").select("bucket", "key", "low", "root", "hot"), "join-open")
     spare = F.element_at(F.lit([int(s) for s in plan(percent)[2]]), (F.col("bucket").bitwiseAND(F.lit(255)) + 1).cast("int"))
     band = F.col("bucket").bitwiseAND(F.lit(255))
     free = rows.where("hot").groupBy("key", band.alias("band")).agg(F.count("*").alias("z"), F.first(spare).alias("spare")).where("z <= spare")

@@ -165,3 +165,15 @@ def test_pairs_of_one_set_are_decided_in_several_places(spark, monkeypatch):
     texts = corpus()
     got = sorted(map(tuple, J.near_duplicates(documents(spark, texts)).collect()), key=str)
     assert got == brute(list(range(len(texts))), texts)
+
+
+def test_texts_without_a_pair_are_not_shuffled(spark):
+    """Whatever the join with the needed texts costs, few others get there."""
+    texts = [f"text number {i}" for i in range(3000)] + [None, "", "text number 7"]
+    docs = documents(spark, texts, extra=True)
+    needed = docs.where("doc_id % 50 = 7 and doc_id < 3000").selectExpr("xxhash64(text) as th", "doc_id as key")
+    got = [r["__text"] for r in J.wanted_texts(docs, "text", needed).collect()]
+    want = [t for i, t in enumerate(texts) if i < 3000 and i % 50 == 7] + ["text number 7"]
+    assert not set(want) - set(got) and got.count("text number 7") == 2
+    assert len(got) < 0.1 * len(texts)
+    assert J.wanted_texts(docs, "text", needed.limit(0)).count() == 0
