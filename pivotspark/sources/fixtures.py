@@ -230,11 +230,13 @@ def gate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = load(spark, sf_dir, "embeddings").select("vec_id", vec.to_double(F.col("embedding")).alias("h"))
     probe = gate_probe(spark, sf_dir)
     w, b, v = (probe.select(c).scalar() for c in ("w", "b", "v"))
-    j = steps.withColumn("vec_id", F.col("event_id") % n_embeddings(spark, sf_dir)).join(emb, "vec_id")
     # scalars of the probe travel as columns: lambdas must not capture them
-    j = j.withColumn("_w", w).withColumn("_v", v)
+    emb = emb.withColumn("_w", w).withColumn("_v", v)
     delta = vec.norm(vec.sub(V.steer("h", "_v", GATE_COEF, "additive_normalized"), "h"))
-    return j.select("run", "step", "event_id", "phase", G.probe_prob("h", "_w", b).alias("prob"), delta.alias("delta_norm"))
+    # Both are of the residual alone: once for each, not for each of its steps.
+    scored = emb.select("vec_id", G.probe_prob("h", "_w", b).alias("prob"), delta.alias("delta_norm"))
+    return steps.withColumn("vec_id", F.col("event_id") % n_embeddings(spark, sf_dir)).join(scored, "vec_id").select(
+        "run", "step", "event_id", "phase", "prob", "delta_norm")
 
 
 def seeded_order(seed, *keys):

@@ -46,6 +46,20 @@ def latch_block(fire: np.ndarray, latch: int, n_hold: int) -> tuple[np.ndarray,
     return held, np.where(fire, n_hold, left)
 
 
+def _arrays(rows: pd.DataFrame) -> list[np.ndarray]:
+    """The columns ``AHEAD``.  A run is often a few steps, for which making
+    pandas frames costs more than deciding them."""
+    return [rows[c].to_numpy() for c in AHEAD]
+
+
+def _in_order(batch: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows by step; those of the same step stay in their order."""
+    if (batch[0][1:] >= batch[0][:-1]).all():
+        return batch
+    order = np.argsort(batch[0], kind="stable")
+    return [c[order] for c in batch]
+
+
 class GateProcessor(StatefulProcessor):
     """The gate of one run."""
 
@@ -61,46 +75,49 @@ class GateProcessor(StatefulProcessor):
         pass
 
     def _load(self) -> None:
-        self.at = list(self.gate.get()) if self.gate.exists() else [1, 0, 0, 0, 0, 0.0, None]
+        kept = self.gate.get()
+        self.at = [1, 0, 0, 0, 0, 0.0, None] if kept is None else list(kept)
 
-    def _decide(self, run, batch: pd.DataFrame) -> pd.DataFrame:
+    def _decide(self, run, batch: list[np.ndarray]) -> pd.DataFrame:
         """Decisions of steps in their order; the state moves on."""
         _, latch, n_calls, n_fired, holds, energy, _ = self.at
-        decode = (batch["phase"] == "decode").to_numpy()
+        step, prob, phase, delta = batch
+        decode = phase.astype(object) == "decode"
         calls = n_calls + np.cumsum(decode | self.prefill_unsteered)
-        own = batch[decode]
-        fire = (own["prob"] > self.threshold).to_numpy()
+        own = prob[decode]
+        fire = own > self.threshold
         held, left = latch_block(fire, latch, self.n_hold)
         fired = fire | held
-        spent = np.where(decode, 0.0, 0.0 if self.prefill_unsteered else batch["delta_norm"].to_numpy())
-        spent[decode] = np.where(fired, own["delta_norm"].to_numpy(), 0.0)
+        spent = np.where(decode, 0.0, 0.0 if self.prefill_unsteered else delta)
+        spent[decode] = np.where(fired, delta[decode], 0.0)
         spent = energy + np.cumsum(spent)
+        fires, holds = n_fired + np.cumsum(fire), holds + np.cumsum(held)
         out = pd.DataFrame({
-            "run": np.full(len(own), run, dtype=np.int64), "step": own["step"].to_numpy(), "prob": own["prob"].to_numpy(),
+            "run": np.full(len(own), run, dtype=np.int64), "step": step[decode], "prob": own,
             "probe_fire": fire, "held": held, "fired": fired, "latch_remaining": left.astype(np.int32),
-            "n_calls": calls[decode], "n_fired": n_fired + np.cumsum(fire), "n_hysteresis_holds": holds + np.cumsum(held),
-            "energy": spent[decode]})
-        if len(out):
-            self.at[1], self.at[3], self.at[4] = int(left[-1]), int(out["n_fired"].iloc[-1]), int(out["n_hysteresis_holds"].iloc[-1])
+            "n_calls": calls[decode], "n_fired": fires, "n_hysteresis_holds": holds, "energy": spent[decode]}, copy=False)
+        if len(own):
+            self.at[1], self.at[3], self.at[4] = int(left[-1]), int(fires[-1]), int(holds[-1])
         self.at[2], self.at[5] = int(calls[-1]), float(spent[-1])
         return out
 
-    def _take(self, run, batch: pd.DataFrame) -> pd.DataFrame | None:
+    def _take(self, run, batch: list[np.ndarray]) -> pd.DataFrame | None:
         """Decides what is due of some steps; the rest waits."""
-        batch = batch.sort_values("step", kind="stable")
-        steps = batch["step"].to_numpy()
+        batch = _in_order(batch)
+        steps = batch[0]
         coming = np.unique(steps[steps >= self.at[0]])
         self.at[0] += int((coming == self.at[0] + np.arange(len(coming))).cumprod().sum())
         due = steps < self.at[0]
-        rest = batch[~due]
-        if len(rest):
-            self.ahead.appendList(list(rest[AHEAD].itertuples(index=False, name=None)))
-            least = int(rest["step"].iloc[0])
-            self.at[6] = least if self.at[6] is None else min(least, self.at[6])
-        return self._decide(run, batch[due]) if due.any() else None
-
-    def _waiting(self) -> pd.DataFrame:
-        rows = pd.DataFrame(list(self.ahead.get()), columns=AHEAD)
+        if due.all():
+            return self._decide(run, batch) if len(due) else None
+        rest = [c[~due] for c in batch]
+        self.ahead.appendList(list(zip(*(c.tolist() for c in rest))))
+        least = int(rest[0][0])
+        self.at[6] = least if self.at[6] is None else min(least, self.at[6])
+        return self._decide(run, [c[due] for c in batch]) if due.any() else None
+
+    def _waiting(self) -> list[np.ndarray]:
+        rows = _arrays(pd.DataFrame(list(self.ahead.get()), columns=AHEAD))
         self.ahead.clear()
         self.at[6] = None
         return rows
@@ -108,7 +125,7 @@ class GateProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self._load()
         for chunk in rows:
-            out = self._take(key[0], chunk[AHEAD])
+            out = self._take(key[0], _arrays(chunk))
             while True:
                 if out is not None and len(out):
                     yield out
@@ -123,8 +140,8 @@ class GateProcessor(StatefulProcessor):
 
     def _give_up(self, run) -> pd.DataFrame:
         """Decides the steps that wait, whatever is missing before them."""
-        waiting = self._waiting().sort_values("step", kind="stable")
-        self.at[0] = int(waiting["step"].iloc[-1]) + 1
+        waiting = _in_order(self._waiting())
+        self.at[0] = int(waiting[0][-1]) + 1
         return self._decide(run, waiting)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -251,6 +251,64 @@ def test_stream_waits_for_a_missing_step_till_patience_ends(spark, tmp_path):
         spark.conf.unset(G.STORE)
 
 
+def test_gate_steps_score_a_residual_once(spark):
+    """What is computed from vectors is computed below the join with the steps."""
+    plan = X.gate_steps(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    above, found, below = plan.partition("Join")
+    assert found and "lambda" not in above and "lambda" in below
+
+
+def test_gate_of_short_runs_reads_and_writes_its_state_once():
+    import random
+
+    import pandas as pd
+
+    from pivotspark.streaming import gate_stream as G
+
+    class State:
+        kept, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, kept):
+            self.calls += 1
+            self.kept = kept
+
+    class Waiting:
+        def __init__(self):
+            self.rows = []
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def get(self):
+            return iter(self.rows)
+
+        def clear(self):
+            self.rows = []
+
+    rng = random.Random(3)
+    for shuffled in (False, True):
+        gate = G.GateProcessor(0.5, 2)
+        gate.gate, gate.ahead = State(), Waiting()
+        rows = [(s, rng.random(), "prefill" if s % 13 == 1 else "decode", 1.0) for s in range(1, 60)]
+        parts = [rows[:20], rows[20:]]
+        got, spent = [], []
+        for part in parts:
+            if shuffled:
+                rng.shuffle(part)
+            chunks = [pd.DataFrame(part[i:i + 7], columns=G.AHEAD) for i in range(0, len(part), 7)]
+            for out in gate.handleInputRows((4,), iter(chunks), None):
+                got += list(zip(out["step"], out["fired"], out["latch_remaining"]))
+                spent += list(out["energy"])
+        want = _sequential([r[:2] for r in rows if r[2] == "decode"], 2)
+        assert got == want
+        assert spent == list(np.cumsum([float(f) for _, f, _ in want]))
+        assert gate.gate.calls == 2 * len(parts) and not gate.ahead.rows
+
+
 def test_latch_block_equals_loop():
     from pivotspark.streaming.gate_stream import latch_block
     rng = np.random.default_rng(8)
